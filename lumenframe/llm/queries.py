@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontaminate
+from .html_extract import op2_html_extract
+from .language_id import op9_langid_nb
+from .language_model import op8_lm_backoff
+from .packing import op3_pack_mbs
+from .quality_crf import op4_quality_crf
 from .quality_rules import op7_quality_rules
+from .toxicity import op1_toxicity_ftrl
 
 QUERIES = {
+    "op1_toxicity_ftrl": op1_toxicity_ftrl,
+    "op2_html_extract": op2_html_extract,
+    "op3_pack_mbs": op3_pack_mbs,
+    "op4_quality_crf": op4_quality_crf,
+    "op5_decontaminate": op5_decontaminate,
     "op7_quality_rules": op7_quality_rules,
+    "op8_lm_backoff": op8_lm_backoff,
+    "op9_langid_nb": op9_langid_nb,
 }
 
 ORACLES: dict[str, str] = {}
