@@ -116,6 +116,31 @@ class WordCache(dict):
         return value
 
 
+class WordTable(dict):
+    """word -> row of columns that ``make`` computes once; emptied between texts when it has grown past ``limit``."""
+
+    def __init__(self, make: Callable, dtypes: list, limit: int = 400_000):
+        super().__init__()
+        self.make, self.limit = make, limit
+        self.columns = [np.empty(1024, d) for d in dtypes]
+
+    def __missing__(self, word):
+        row = len(self)
+        if row == len(self.columns[0]):
+            self.columns = [np.resize(c, 2 * row) for c in self.columns]
+        for column, value in zip(self.columns, self.make(word), strict=True):
+            column[row] = value
+        self[word] = row
+        return row
+
+    def of(self, words: list[str]) -> list[np.ndarray]:
+        """The columns for a text's words."""
+        if len(self) > self.limit:
+            self.clear()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return [c[rows] for c in self.columns]
+
+
 def hash_words(words: list[str], cache: dict) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WordCache, arrow_map, cut, hash_word, read_table, shingle_hashes, small_side, words_of
+from .common import BROADCAST_ROWS, WordTable, arrow_map, cut, hash_word, read_table, shingle_hashes, small_side, words_of
 
 WINDOW = 8
 MIN_TOKENS = 5
@@ -61,24 +61,20 @@ def _classify(raw: str) -> tuple[int, int, bool]:
     return NAME if word[0].isupper() and word[1:].islower() else LITERAL, hash_word(low), ends
 
 
-def canonical(text: str | None, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def canonical(text: str | None, cache: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template hashes, value hashes, classes) of a text's words; line breaks end sentences."""
     text = (text or "").replace("\n", " \x00 ")
     words = words_of(_GLUED.sub(" ", text))
-    got = [cache[w] for w in words]
-    if not got:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    kinds, values, ends = zip(*got, strict=True)
-    kind, value = np.array(kinds), np.array(values, np.uint64)
-    starts = np.concatenate([[True], np.array(ends[:-1], bool)])
+    kind, value, ends = cache.of(words)
+    starts = np.concatenate([[True], ends[:-1]])[: len(words)]
     keep = kind != EMPTY
     kind, value, starts = kind[keep], value[keep], starts[keep]
-    after_number = np.concatenate([[False], kind[:-1] == NUMBER]) if len(kind) else starts
+    after_number = np.concatenate([[False], kind[:-1] == NUMBER])[: len(kind)]
     kind = np.where((kind == NAME) & starts | (kind == UNIT) & ~after_number, LITERAL, kind)
     return np.where(kind == LITERAL, value, _PLACEHOLDERS[kind]), value, kind
 
 
-def _windows(text: str | None, sizes: list[int], cache: dict, known: np.ndarray | None):
+def _windows(text: str | None, sizes: list[int], cache: WordTable, known: np.ndarray | None):
     """(hash, size, place, slot values) of the windows of a text; only those in ``known`` if given."""
     template, value, kind = canonical(text, cache)
     slots = kind != LITERAL
@@ -104,7 +100,7 @@ def window_table(df: DataFrame, id_col: str, sizes: list[int], known: np.ndarray
     held = None if known is None else df.sparkSession.sparkContext.broadcast(known)
 
     def run(batch):
-        cache = state.setdefault("cache", WordCache(_classify))
+        cache = state.setdefault("cache", WordTable(_classify, [np.int64, np.uint64, bool]))
         out = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column("text").to_pylist(), strict=True):
             out.extend((i, *w) for w in _windows(text, sizes, cache, None if held is None else held.value))
@@ -119,7 +115,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     state: dict = {}
 
     def run(batch):
-        cache = state.setdefault("cache", WordCache(_classify))
+        cache = state.setdefault("cache", WordTable(_classify, [np.int64, np.uint64, bool]))
         out = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column("text").to_pylist(), strict=True):
             n = len(canonical(text, cache)[0])

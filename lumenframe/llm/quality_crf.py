@@ -23,11 +23,11 @@ from .common import arrow_map, bounded_sample, fit_on_shards, fold, labelled, re
 #: At most about so many labelled documents are learned from.
 SAMPLE_ROWS = 12_000
 SHARDS = 8
-STEPS = 120
-RATE, DECAY = 0.5, 1e-3
+STEPS = 250
+RATE, DECAY = 1.0, 1e-4
 CUTOFF = 0.5
 HELD = (3, 1)
-OWN = 10
+OWN = 13
 FEATURES = 3 * OWN
 
 #: Character classes: 0 other, 1 upper, 2 other letter, 3 digit, 4 white space, 5 symbol, 6 exclamation, 7 punctuation.
@@ -57,6 +57,12 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     own[:, 1:8] = np.sqrt(counts / lengths[:, None])
     own[:, 8] = np.minimum((lengths - counts[:, 3]) / (counts[:, 3] + 1) / 10, 3)
     own[:, 9] = again
+    for k, line in enumerate(lines):
+        words = line.split()
+        n = max(len(words), 1)
+        own[k, 10] = sum(map(str.__eq__, words, words[1:])) / n  # words that repeat the one before
+        own[k, 11] = len(set(words)) / n
+    own[:, 12] = counts[:, 4] > 0.08 * lengths
     blank = np.zeros((1, OWN))
     return np.hstack([own, np.vstack([blank, own[:-1]]), np.vstack([own[1:], blank])]), lengths
 

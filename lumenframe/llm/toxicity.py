@@ -19,31 +19,50 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, arrow_map, bounded_sample, fit_on_shards, fold, hash_word, hash_words, labelled, mix, read_table, words_of
+from .common import WordTable, arrow_map, bounded_sample, fit_on_shards, fold, hash_word, labelled, mix, read_table, words_of
 
 DIMS = 1 << 20
 BIAS = 0
 #: At most about so many labelled documents are learned from.
 SAMPLE_ROWS = 24_000
-SHARDS = 8
+#: A shard has about so many; weights of several shards are averaged.
+SHARD_ROWS = 6_000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 CUTOFF = 0.3
+#: Letters of a word's beginning.
+STEM = 4
 HELD = (4, 2)
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
-def _plain_hash(word: str) -> int:
-    return hash_word(_EDGES.sub("", word.lower()))
+def _hashes(word: str) -> tuple[int, int]:
+    """Hashes of a word without case and edge punctuation, and of its beginning."""
+    plain = _EDGES.sub("", word.lower())
+    return hash_word(plain), mix(np.array([hash_word(plain[:STEM])], np.uint64) + np.uint64(3)).item()
 
 
-def features(text: str | None, cache: dict) -> np.ndarray:
-    """Sorted distinct feature numbers of a text; BIAS is always among them."""
-    h = hash_words(words_of(text), cache)
+def word_table() -> WordTable:
+    return WordTable(_hashes, [np.uint64, np.uint64])
+
+
+def raw_features(text: str | None, cache: WordTable) -> np.ndarray:
+    """Feature numbers of a text, with repeats: word unigrams, bigrams, skip-grams and word beginnings."""
+    h, stems = cache.of(words_of(text))
     two = mix(h[:-1] * np.uint64(3) + h[1:] + np.uint64(1)) if len(h) > 1 else h[:0]
     skip = mix(h[:-2] * np.uint64(5) + h[2:] + np.uint64(2)) if len(h) > 2 else h[:0]
-    found = np.unique(np.concatenate([h, two, skip]) % np.uint64(DIMS - 1)).astype(np.int64) + 1
-    return np.concatenate([[BIAS], found])
+    return (np.concatenate([h, two, skip, stems]) % np.uint64(DIMS - 1)).astype(np.int64) + 1
+
+
+def features(text: str | None, cache: WordTable) -> np.ndarray:
+    """Sorted distinct feature numbers of a text, BIAS always among them."""
+    return np.unique(np.concatenate([[BIAS], raw_features(text, cache)]))
+
+
+def margin(text: str | None, cache: WordTable, weights: np.ndarray) -> float:
+    """The sum of the weights of a text's distinct features; only those with a weight are sorted."""
+    found = raw_features(text, cache)
+    return weights[BIAS] + weights[np.unique(found[weights[found] != 0])].sum()
 
 
 def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
@@ -68,16 +87,17 @@ def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS)
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
-    cache = WordCache(_plain_hash)
+    cache = word_table()
     rows = [features(t, cache) for t in pdf["text"]]
     w = train_ftrl(rows, pdf["label"].to_numpy(float))
     i = np.flatnonzero(w)
     return pd.DataFrame({"i": i, "w": w[i]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS, shards: int = SHARDS) -> dict[int, float]:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> dict[int, float]:
     """Feature weights from labelled documents; empty without any. ``labels``: (doc_id, label)."""
     sample = bounded_sample(labels, "doc_id", max_rows)
+    shards = max(1, round(min(max_rows, sample.count()) / SHARD_ROWS))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     shard_weights = fit_on_shards(rows, _fit, shards, "i long, w double").groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
     found = {r["i"]: r["w"] for r in shard_weights.orderBy("i").collect()}  # at most DIMS rows
@@ -94,9 +114,9 @@ def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
         if not state:
             dense = np.zeros(DIMS)
             dense[held.value[0]] = held.value[1]
-            state.update(dense=dense, cache=WordCache(_plain_hash), empty=not len(held.value[0]))
+            state.update(dense=dense, cache=word_table(), empty=not len(held.value[0]))
         texts = batch.column("text").to_pylist()
-        margins = np.array([state["dense"][features(t, state["cache"])].sum() for t in texts])
+        margins = np.array([margin(t, state["cache"], state["dense"]) for t in texts])
         scores = np.zeros(len(texts)) if state["empty"] else 1 / (1 + np.exp(-np.clip(margins, -35, 35)))
         return {"doc_id": batch.column("doc_id"), "score": scores}
 
