@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
 from .html_extract import op2_html_extract
+from .jaccard_join import op10_jaccard_join
 from .language_id import op9_langid_nb
 from .language_model import op8_lm_backoff
 from .packing import op3_pack_mbs
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_lm_backoff": op8_lm_backoff,
     "op9_langid_nb": op9_langid_nb,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
