@@ -10,6 +10,8 @@ from .language_model import op8_lm_backoff
 from .packing import op3_pack_mbs
 from .quality_crf import op4_quality_crf
 from .quality_rules import op7_quality_rules
+from .substring_dedup import ORACLE as OP6_SQL
+from .substring_dedup import op6_substring_dedup
 from .toxicity import op1_toxicity_ftrl
 
 QUERIES = {
@@ -18,10 +20,11 @@ QUERIES = {
     "op3_pack_mbs": op3_pack_mbs,
     "op4_quality_crf": op4_quality_crf,
     "op5_decontaminate": op5_decontaminate,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_lm_backoff": op8_lm_backoff,
     "op9_langid_nb": op9_langid_nb,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_substring_dedup": OP6_SQL}
