@@ -13,13 +13,13 @@ from lumenframe.llm.common import cut, read_table
 from lumenframe.llm.decontaminate import drop_contaminated
 from lumenframe.llm.jaccard_join import keep_first
 from lumenframe.llm.packing import pack, tokenize
-from lumenframe.llm.quality_rules import score_documents, trusted_ids
+from lumenframe.llm.quality_rules import keep_documents, trusted_ids
 from lumenframe.llm.substring_dedup import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return score_documents(docs, trusted_ids(spark, sf_dir)).where("kept").select(*docs.columns)
+    return keep_documents(docs, trusted_ids(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,6 +141,13 @@ def score_documents(
     return df.drop("_words", "_grams", "_weights")
 
 
+def keep_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The documents with a good verdict, in their own columns."""
+    scored = score_documents(docs, trusted).withColumn("_row", F.monotonically_increasing_id())
+    # the row number keeps the filter above the scores: pushed below, it would compute them anew for every array element
+    return scored.where("kept AND _row >= 0").select(*docs.columns)
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir, "quality").where("label = 1").select("doc_id")
 
