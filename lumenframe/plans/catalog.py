@@ -1,42 +1,6 @@
-"""Queries of the toolkit by name, and the DuckDB SQL each is checked against."""
+"""All queries of the toolkit by name, and the DuckDB SQL each is checked against."""
 
-from __future__ import annotations
+from . import dedup, drift, features, modeling, quality, stats, streams, text, timeseries  # noqa: F401
+from .base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and, where SQL can express it, its oracle."""
-
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "dedup_hash_documents",
-    r"""
-    WITH k AS (SELECT doc_id, md5(lower(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), ' +', ' ', 'g'))) AS key FROM documents)
-    SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS group_id, doc_id <> min(doc_id) OVER (PARTITION BY key) AS is_duplicate FROM k
-    """,
-)
-def dedup_hash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    keyed = docs.select("doc_id", F.md5(F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))).alias("key"))
-    first = F.min("doc_id").over(W.partitionBy("key"))
-    return keyed.select("doc_id", first.alias("group_id"), (F.col("doc_id") != first).alias("is_duplicate"))
+__all__ = ["ORACLES", "QUERIES"]
