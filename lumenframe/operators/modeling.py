@@ -245,3 +245,71 @@ def cross_validate(df: DataFrame, id_col: str, target: str, features: list[str],
         one = metrics(fitted.transform(rows.where(F.col("fold") == f)), target, "prediction").withColumn("fold", F.lit(f))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def permutation_importance(fitted, df: DataFrame, id_col: str, target: str, features: list[str], metric: str = "rmse", seed: int = 42) -> DataFrame:
+    """(feature, importance): how much worse a regression metric gets when a feature's values are dealt anew by hash order.
+
+    Rows and values are matched by their number in two written orders of the same table.
+    """
+
+    base = regression_metrics(fitted.transform(df), target, "prediction").select(F.col(metric).alias("base"))
+    buckets = 64
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets))
+    out = None
+    for f in features:
+        rows = df.withColumn("_b", place)
+        own = rows.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(id_col)))
+        other = rows.select("_b", F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + 1), F.col(id_col)))).alias("_r"), F.col(f).alias("_v"))
+        dealt = own.join(other, ["_b", "_r"]).withColumn(f, F.col("_v")).drop("_b", "_r", "_v")
+        one = regression_metrics(fitted.transform(dealt), target, "prediction").join(F.broadcast(base), F.lit(True)).select(F.lit(f).alias("feature"), (F.col(metric) - F.col("base")).alias("importance"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def calibrate(df: DataFrame, truth: str, score: str, method: str = "isotonic") -> DataFrame:
+    """``df`` with <score>_calibrated by isotonic regression or a logistic (sigmoid) fit."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
+    x = VectorAssembler(inputCols=[score], outputCol="_x").transform(df).withColumn("_y", F.col(truth).cast("double"))
+    if method == "isotonic":
+        out = IsotonicRegression(featuresCol="_x", labelCol="_y", predictionCol="_p").fit(x).transform(x).withColumn(f"{score}_calibrated", F.col("_p"))
+    elif method == "sigmoid":
+        out = LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_c").fit(x).transform(x)
+        out = out.withColumn(f"{score}_calibrated", vector_to_array("_p")[1])
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return out.select(*df.columns, f"{score}_calibrated")
+
+
+def stability_selection(df: DataFrame, id_col: str, features: list[str], target: str, rounds: int = 20, threshold: float = 0.6, keep: int | None = None) -> DataFrame:
+    """(feature, frequency): in how many hash halves of the rows a feature is among the most correlated with the target.
+
+    All halves are one aggregate over the table.
+    """
+    keep = keep or max(1, len(features) // 2)
+    half = lambda r: F.pmod(F.xxhash64(F.lit(r), F.col(id_col)), F.lit(2)) == 0
+    wide = df.agg(*[F.corr(F.when(half(r), F.col(f)), F.col(target)).alias(f"c{r}_{i}") for r in range(rounds) for i, f in enumerate(features)])
+    rows = [F.struct(F.lit(r).alias("round"), F.lit(f).alias("feature"), F.abs(F.col(f"c{r}_{i}")).alias("r")) for r in range(rounds) for i, f in enumerate(features)]
+    ranked = wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*").withColumn("rk", F.row_number().over(W.partitionBy("round").orderBy(F.desc_nulls_last("r"), "feature")))
+    return ranked.groupBy("feature").agg((F.sum(F.when(F.col("rk") <= keep, 1).otherwise(0)) / rounds).alias("frequency")).where(F.col("frequency") >= threshold)
+
+
+def recursive_elimination(df: DataFrame, id_col: str, features: list[str], target: str, least: int = 1) -> DataFrame:
+    """(n_features, features, r2): drop the feature with the weakest standardised weight, refit, repeat; test r2 by hash split."""
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    left, rows = list(features), []
+    data = split_hash(df, id_col).withColumns({c: F.col(c).cast("double") for c in [*features, target]})
+    while len(left) >= least:
+        x = VectorAssembler(inputCols=left, outputCol="_raw", handleInvalid="skip").transform(data)
+        x = StandardScaler(inputCol="_raw", outputCol="features").fit(x).transform(x)
+        fitted = make_model("linear", "regression").setLabelCol(target).fit(x.where("split = 'train'"))
+        score = regression_metrics(fitted.transform(x.where("split = 'test'")), target, "prediction").head()["r2"]
+        rows.append((len(left), ",".join(left), float(score)))
+        weakest = min(zip(map(abs, fitted.coefficients.toArray()), left, strict=True))[1]
+        left.remove(weakest)
+    return df.sparkSession.createDataFrame(rows, "n_features int, features string, r2 double")

@@ -144,3 +144,27 @@ def cross_validate(spark, d):
 @query("estimate_bytes", "SELECT 'n_nationkey' AS column_name, (count(*) * 4)::BIGINT AS bytes FROM nation UNION ALL SELECT 'n_name', sum(strlen(n_name))::BIGINT FROM nation UNION ALL SELECT 'n_regionkey', (count(*) * 4)::BIGINT FROM nation")
 def estimate_bytes(spark, d):
     return S.estimate_bytes(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query("calibrate_isotonic")
+def calibrate_isotonic(spark, d):
+    return M.calibration_error(M.calibrate(scored(spark, d), "quality", "score"), "quality", "score_calibrated")
+
+
+@query("stability_selection")
+def stability_selection(spark, d):
+    df = table(spark, d, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return M.stability_selection(df, "id", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", rounds=6, threshold=0.3, keep=2)
+
+
+@query("recursive_elimination")
+def recursive_elimination(spark, d):
+    df = table(spark, d, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return M.recursive_elimination(df, "id", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+
+
+@query("permutation_importance")
+def permutation_importance(spark, d):
+    df = table(spark, d, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    fitted, _ = M.auto_model(df, "id", "l_extendedprice", ["l_quantity", "l_tax"], ["l_returnflag"])
+    return M.permutation_importance(fitted, df.withColumns({c: F.col(c).cast("double") for c in ("l_quantity", "l_tax", "l_extendedprice")}), "id", "l_extendedprice", ["l_quantity", "l_tax"])

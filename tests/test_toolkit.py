@@ -211,3 +211,14 @@ def test_sources(spark, tmp_path):
     assert {r["column_name"]: r["bytes"] for r in tables.estimate_bytes(df).collect()} == {"id": 200, "s": 40}
     with pytest.raises(ValueError):
         tables.load_chunks(spark, "x", file_format="feather")
+
+
+def test_reports(spark):
+    from lumenframe.operators import report
+
+    df = spark.createDataFrame([(1, 2.0, "a|b"), (2, None, "<c>")], "id int, x double, s string")
+    text_form = report.quality_report(df)
+    assert "## Missing values" in text_form and "| x | 2 | 1 | 50 |" in text_form
+    assert "&lt;c&gt;" in report.to_html(df) and "a\\|b" in report.to_markdown(df)
+    assert "psi" not in report.drift_report(df, df) and "| s | categorical |" in report.drift_report(df, df)
+    assert report.escape_markup("$5_") == "\\$5\\_"
