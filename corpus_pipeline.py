@@ -14,7 +14,7 @@ from lumenframe.llm.decontaminate import drop_contaminated
 from lumenframe.llm.jaccard_join import keep_first
 from lumenframe.llm.packing import pack, tokenize
 from lumenframe.llm.quality_rules import keep_documents, trusted_ids
-from lumenframe.llm.substring_dedup import remove_repeats
+from lumenframe.llm.substring_dedup import stripped
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +29,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; a text that loses all its words goes, one that loses none stays as it is."""
-    found = remove_repeats(docs).where("n_removed < n_words OR n_words = 0")
+    found = stripped(docs).where("n_removed < n_words OR n_words = 0")
     changed = F.col("n_removed") > 0
-    found = found.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
-    found = found.withColumn("n_chars", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    own = [F.when(changed, new[c]).otherwise(F.col("_doc")[c]).alias(c) if c in new else F.col("_doc")[c].alias(c) for c in docs.columns]
+    return found.select(own)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +41,11 @@ def words_of(text: str | None) -> list[str]:
     return words
 
 
+def byte_words(text: str | None) -> list[bytes]:
+    """The same words as UTF-8: bytes.split() cuts at exactly the contract's white space, and fast."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
 def fold(doc_id: Column, modulus: int, held: int) -> Column:
     """True where crc32 of the id as text falls in the held-out remainder; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(modulus) == F.lit(held), F.lit(False))
@@ -94,18 +99,29 @@ def labelled(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     )
 
 
-def hash_word(word: str) -> int:
-    """A stable 64-bit hash of a word's UTF-8 bytes (two seeded crc32 halves, mixed)."""
-    raw = word.encode("utf-8", "surrogatepass")
-    x = (zlib.crc32(raw) << 32) | zlib.crc32(raw[::-1], len(raw) & 0xFFFFFFFF)
-    x = (x ^ (x >> 31)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-    return x ^ (x >> 29)
+def hash_word(raw: bytes, seed: int = 0) -> int:
+    """A stable 64-bit hash of a word's UTF-8 bytes."""
+    return xxhash.xxh3_64_intdigest(raw, seed)
+
+
+_KEPT: dict = {}
+
+
+def kept(name, make: Callable):
+    """What ``make`` returns, once per Python worker as long as no other name is asked for.
+
+    Tables of words so outlive a task, for workers are used again, but not the operator.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 
 class WordCache(dict):
     """word -> value, computed once; emptied when it grows past ``limit`` so memory stays bounded."""
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    def __init__(self, make: Callable, limit: int = 300_000):
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -119,7 +135,7 @@ class WordCache(dict):
 class WordTable(dict):
     """word -> row of columns that ``make`` computes once; emptied between texts when it has grown past ``limit``."""
 
-    def __init__(self, make: Callable, dtypes: list, limit: int = 400_000):
+    def __init__(self, make: Callable, dtypes: list, limit: int = 300_000):
         super().__init__()
         self.make, self.limit = make, limit
         self.columns = [np.empty(1024, d) for d in dtypes]
@@ -133,7 +149,7 @@ class WordTable(dict):
         self[word] = row
         return row
 
-    def of(self, words: list[str]) -> list[np.ndarray]:
+    def of(self, words: list[bytes]) -> list[np.ndarray]:
         """The columns for a text's words."""
         if len(self) > self.limit:
             self.clear()
@@ -141,7 +157,7 @@ class WordTable(dict):
         return [c[rows] for c in self.columns]
 
 
-def hash_words(words: list[str], cache: dict) -> np.ndarray:
+def hash_words(words: list[bytes], cache: dict) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, arrow_map, cut, hash_word, hash_words, mix, read_table, shingle_hashes, small_side, words_of
+from .common import WordCache, arrow_map, byte_words, cut, hash_word, hash_words, kept, mix, read_table, shingle_hashes, small_side
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -46,7 +46,7 @@ _ADD = np.random.default_rng(21).integers(1, 1 << 63, TREES * DEPTH, dtype=np.ui
 
 def shingles_of(text: str | None, cache: dict) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    h = hash_words(words_of(text), cache)
+    h = hash_words(byte_words(text), cache)
     if not len(h):
         return h
     return np.unique(shingle_hashes(h, min(SHINGLE, len(h))) + np.uint64(max(0, SHINGLE - len(h))))
@@ -78,10 +78,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Rows without words or id have n = 0 and no signature.
     """
-    state: dict = {}
 
     def run(batch):
-        cache = state.setdefault("cache", WordCache(hash_word))
+        cache = kept("word hashes", lambda: WordCache(hash_word))
         out = []
         for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             s = shingles_of(text, cache) if i is not None else ()
@@ -167,7 +166,7 @@ def _verify(depth: int, threshold: float):
         table = table.sort_by([(c, "ascending") for c in ("node", "tree", "i", "j", "rep")])
         node, tree, i, j, b, rep, copies = (table.column(c).to_numpy() for c in ("node", "tree", "i", "j", "b", "rep", "copies"))
         keys = node_keys(_signatures(table.column("sig")), depth)
-        texts, cache = table.column("text").to_pylist(), WordCache(hash_word)
+        texts, cache = table.column("text").to_pylist(), kept("word hashes", lambda: WordCache(hash_word))
         sets: dict[int, np.ndarray] = {}
         for r, t in zip(rep.tolist(), texts, strict=True):
             if r not in sets:
@@ -238,7 +237,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, group_id, n_links) of every row: exact class, component of links, and number of linked rows.
+    """(doc_id, exact_id, class_id, n_links) of every row: smallest id with an equal set, component of links, linked rows.
 
     ``n_links`` counts the other rows with a similarity of ``threshold`` or more, copies included.
     """
@@ -265,8 +264,8 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, threshold: float =
         .join(roots.withColumnRenamed("id", "rep"), "rep", "left")
         .select(
             "s1", "s2", "n",
-            F.col("rep").alias("class_id"),
-            F.coalesce("root", "rep").alias("group_id"),
+            F.col("rep").alias("exact_id"),
+            F.coalesce("root", "rep").alias("class_id"),
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         )
     )
@@ -275,8 +274,8 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, threshold: float =
         .join(per_class, ["s1", "s2", "n"], "left")
         .select(
             "doc_id",
+            F.coalesce("exact_id", "doc_id").alias("exact_id"),
             F.coalesce("class_id", "doc_id").alias("class_id"),
-            F.coalesce("group_id", "doc_id").alias("group_id"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )
     )
@@ -285,7 +284,7 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, threshold: float =
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest id; rows with a null id stay."""
     found = cut(near_duplicates(docs).where("doc_id IS NOT NULL"), "groups")
-    others = cut(found.where("doc_id <> group_id").select("doc_id").distinct(), "others")
+    others = cut(found.where("doc_id <> class_id").select("doc_id").distinct(), "others")
     kept = docs.join(small_side(others), "doc_id", "left_anti").select(*docs.columns)
     repeated = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
@@ -295,4 +294,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")

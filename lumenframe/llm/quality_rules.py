@@ -14,7 +14,8 @@ Edge cases: a null text counts as empty (no words, so ``base_failed``); a text
 without n-grams has ratio 0; a null doc_id is scored but never trusted;
 repeated rows are kept and counted as they come; with no trusted documents
 every ratio is 0, and only the count rules decide; extra columns pass through
-``score_documents`` untouched, but names in ``RESULT`` are overwritten.
+``score_documents`` untouched, but names in ``RESULT`` are overwritten
+(``keep_documents`` returns all columns as they came).
 """
 
 from __future__ import annotations
@@ -142,10 +143,11 @@ def score_documents(
 
 
 def keep_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The documents with a good verdict, in their own columns."""
-    scored = score_documents(docs, trusted).withColumn("_row", F.monotonically_increasing_id())
+    """The documents with a good verdict, in their own columns, whatever those are named."""
+    whole = docs.select("doc_id", "text", F.struct("*").alias("_doc"))
+    scored = score_documents(whole, trusted).withColumn("_row", F.monotonically_increasing_id())
     # the row number keeps the filter above the scores: pushed below, it would compute them anew for every array element
-    return scored.where("kept AND _row >= 0").select(*docs.columns)
+    return scored.where("kept AND _row >= 0").select("_doc.*")
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,16 +178,18 @@ def covered_words(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def _strip(docs: DataFrame, columns: list, window: int) -> DataFrame:
-    """Apply ``_starts`` (recurring windows) and ``_copies`` to the texts; rows carry ``columns`` and ADDED."""
-    schema = StructType([*columns, StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
+def _strip(docs: DataFrame, window: int) -> DataFrame:
+    """Apply ``_starts`` (recurring windows) and ``_copies`` to the text in ``_doc``; rows carry ``_doc`` and ADDED."""
+    added = [StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())]
+    schema = StructType([docs.schema["_doc"], *added])
     arrow = to_arrow_schema(schema)
-    names = [f.name for f in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_words, n_removed = [], [], []
-            for text, starts, copies in zip(*(batch.column(c).to_pylist() for c in ("_text", "_starts", "_copies")), strict=True):
+            for text, starts, copies in zip(
+                batch.column("_doc").field("text").to_pylist(), batch.column("_starts").to_pylist(), batch.column("_copies").to_pylist(), strict=True
+            ):
                 words = byte_words(text)
                 gone = 0
                 if copies > 1 and len(words) >= window:
@@ -200,18 +202,17 @@ def _strip(docs: DataFrame, columns: list, window: int) -> DataFrame:
                 texts.append(b" ".join(left).decode("utf-8", "surrogatepass"))
                 n_words.append(len(words))
                 n_removed.append(gone)
-            cols = [batch.column(c) for c in names] + [texts, n_words, n_removed]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+            cols = [batch.column("_doc").cast(arrow[0].type), pa.array(texts), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """``docs`` with ``kept`` (the words left, joined by one space), ``n_words`` and ``n_removed``."""
-    docs = docs.select([c for c in docs.columns if c not in ADDED])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_text", text).withColumn("k1", F.xxhash64("_text")).withColumn("k2", F.xxhash64(F.lit(1), "_text"))
-    plain = keyed.select("k1", "k2", F.col("_text").alias("text"))
+def stripped(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """(_doc, kept, n_words, n_removed) of every row: the row as it came, its words left joined by one space, and counts."""
+    text = F.coalesce(F.col("_doc.text"), F.lit(""))
+    keyed = docs.select(F.struct("*").alias("_doc")).withColumn("k1", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.lit(1), text))
+    plain = keyed.select("k1", "k2", text.alias("text"))
     copied = cut(plain.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1"), "copied")
 
     anchors = cut(anchor_rows(plain, window, phrase), "anchors")
@@ -239,9 +240,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     hit_keys = small_side(hits.select("k1", "k2"))
     touched = keyed.join(hit_keys, ["k1", "k2"], "left_semi").join(hits, ["k1", "k2"])
     rest = keyed.join(hit_keys, ["k1", "k2"], "left_anti").withColumn("_starts", none).withColumn("_copies", F.lit(1).cast("long"))
-    wanted = [*docs.columns, "_text", "_starts", "_copies"]
-    fields = [f for f in docs.schema.fields]
-    return _strip(touched.select(wanted), fields, window).unionByName(_strip(rest.select(wanted), fields, window))
+    wanted = ["_doc", "_starts", "_copies"]
+    return _strip(touched.select(wanted), window).unionByName(_strip(rest.select(wanted), window))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """``docs`` with ``kept``, ``n_words`` and ``n_removed``, in place of columns of those names."""
+    names = [c for c in docs.columns if c not in ADDED]
+    return stripped(docs.select(names), window, phrase).select("_doc.*", *ADDED)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,8 +100,9 @@ def test_rules_without_trusted_and_extra_columns(spark, docs, empty):
     got = quality_rules.score_documents(docs.withColumn("kept", F.lit("x")), none, buckets=64)
     assert {r["llr"] for r in got.collect()} == {0.0}
     assert quality_rules.score_documents(empty, none, buckets=64).count() == 0
-    kept = quality_rules.keep_documents(docs, none)
-    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    kept = quality_rules.keep_documents(docs.withColumn("kept", F.lit("own")).withColumn("_words", F.lit(1)), none)
+    assert kept.columns == [*docs.columns, "kept", "_words"] and 0 < kept.count() < docs.count()
+    assert kept.select("kept").distinct().head()[0] == "own"
 
 
 # 3: packing
@@ -220,7 +221,7 @@ def test_jaccard_join_equals_brute_force(spark, empty):
     found = sum(x["n_links"] for x in got.values())
     assert found >= 0.995 * sum(links[: len(texts)])
     for i in range(len(texts)):
-        assert got[i]["group_id"] == rows[group[i]][0]
+        assert got[i]["class_id"] == rows[group[i]][0]
         assert got[i]["n_links"] <= links[i]
     assert jaccard_join.near_duplicates(empty).count() == 0
     kept = jaccard_join.keep_first(spark.createDataFrame(rows, SCHEMA))
@@ -420,14 +421,16 @@ def test_pipeline_stages(spark, tmp_path):
     texts[5] += " " + leak
     texts += ["too short", None, ""]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    clashing = {"kept": F.lit("own"), "n_words": F.lit(-1), "k1": F.lit("k"), "copies": F.lit(0), "_row": F.lit(None).cast("int")}
+    spark.createDataFrame(rows, SCHEMA).withColumns(clashing).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = common.cut(stage(spark, docs, str(tmp_path)), name)
-        assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+        assert docs.columns == [*[c.split()[0] for c in SCHEMA.split(", ")], *clashing]
+        assert docs.select("kept", "n_words", "k1", "copies", "_row").distinct().collect() == [("own", -1, "k", 0, None)]
         kept.append({x["doc_id"]: x["text"] for x in docs.collect()})
     assert set(kept[0]) == set(range(30)) and set(kept[1]) == set(kept[0]) - {1, 2}
     assert set(kept[2]) == set(kept[1]) and kept[2][6] == texts[6] and passage not in kept[2][3] and texts[4].endswith(kept[2][4])
