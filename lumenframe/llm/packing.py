@@ -15,6 +15,7 @@ empty result; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,13 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, cut, read_table, words_of
+from .common import WordCache, byte_words, cut, kept, read_table
 
 LIMIT = 4096
 END_ID = 1
 #: Pieces that are packed together; a group's last sequence may stay partly empty.
 GROUP_PIECES = 1500
 VOCABULARY = "word_bpe_49k.json"
+#: Punctuation that cannot start a contraction or a special token, at the end of a word.
+_TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([" + re.escape(_TAIL.decode()) + r"]*)")
+PIECES = 1500
+VOCABULARY = "word_bpe_49k.json"
+#: Latin letters, then punctuation that cannot start a contraction or a special token.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\\[-`{-~]*)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -45,21 +53,42 @@ def load_tokenizer(path: str | None = None):
     return Tokenizer.from_file(path)
 
 
-def word_encoder(tokenizer) -> WordCache:
-    """word -> ids. The vocabulary never joins text across white space, so words are encoded one by one."""
-    return WordCache(lambda w: np.asarray(tokenizer.encode(w, add_special_tokens=False).ids, "<u4"))
+class WordEncoder(WordCache):
+    """word (UTF-8) -> its ids as little-endian bytes.
+
+    The vocabulary never joins text across white space, so words are encoded one
+    by one. Case is folded and a tail of punctuation is a token run of its own, so
+    a word of ASCII letters is encoded once without either.
+    """
+
+    def __init__(self, tokenizer, limit: int = 300_000):
+        super().__init__(self._whole, limit)
+        self.tokenizer = tokenizer
+        self.plain = WordCache(self._ids, 2 * limit)
+
+    def _ids(self, raw: bytes) -> bytes:
+        return np.asarray(self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _whole(self, raw: bytes) -> bytes:
+        letters = raw.rstrip(_TAIL)
+        if letters.isalpha():  # of bytes: ASCII letters alone
+            return self.plain[letters.lower()] + (self.plain[raw[len(letters) :]] if len(letters) < len(raw) else b"")
+        m = _LATIN.fullmatch(raw.decode("utf-8"))
+        if m:
+            return self.plain[m[1].lower().encode()] + (self.plain[m[2].encode()] if m[2] else b"")
+        return self._ids(raw)
 
 
 def tokenize(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
     """Pieces of every document: ids of the text, then END_ID, cut after every ``limit`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(load_tokenizer(path))
-        end = np.asarray([END_ID], "<u4")
+        encode = kept(("encoder", path), lambda: WordEncoder(load_tokenizer(path)))
+        end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.concatenate([*map(encode.__getitem__, words_of(text)), end])
+                ids = np.frombuffer(b"".join(map(encode.__getitem__, byte_words(text))) + end, "<u4")
                 for k in range(0, len(ids), limit):
                     part = ids[k : k + limit]
                     out.append((doc_id, k // limit, k, len(part), zlib.crc32(part.tobytes())))
