@@ -180,10 +180,12 @@ def month_year_parse(spark, d):
 
 
 def _logical(c, kind):
-    return f"SELECT '{c}' AS column_name, '{kind}' AS logical_type"
+    few = f"count(DISTINCT {c}) <= 20 OR count(DISTINCT {c}) / count({c}) < {0.1 if kind == 'string' else 0.05}"
+    names = ("categorical", "string") if kind == "string" else (f"categorical_{kind}", f"continuous_{kind}")
+    return f"SELECT '{c}' AS column_name, CASE WHEN {few} THEN '{names[0]}' ELSE '{names[1]}' END AS logical_type FROM customer"
 
 
-@query("logical_types", " UNION ALL ".join(_logical(*x) for x in [("c_custkey", "continuous_integer"), ("c_name", "string"), ("c_nationkey", "categorical_integer"), ("c_acctbal", "continuous_float"), ("c_mktsegment", "categorical")]))
+@query("logical_types", " UNION ALL ".join(_logical(*x) for x in [("c_custkey", "integer"), ("c_name", "string"), ("c_nationkey", "integer"), ("c_acctbal", "float"), ("c_mktsegment", "string")]))
 def logical_types(spark, d):
     return Y.logical_types(table(spark, d, "customer")).select("column_name", "logical_type")
 
