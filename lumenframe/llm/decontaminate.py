@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WordTable, arrow_map, cut, hash_word, read_table, shingle_hashes, small_side, words_of
+from .common import BROADCAST_ROWS, WordTable, arrow_map, byte_words, cut, hash_word, kept, read_table, shingle_hashes, small_side
 
 WINDOW = 8
 MIN_TOKENS = 5
@@ -47,24 +47,31 @@ LITERAL, NUMBER, UNIT, NAME, EMPTY = range(5)
 _PLACEHOLDERS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0], np.uint64)
 
 
-def _classify(raw: str) -> tuple[int, int, bool]:
+def _classify(raw: bytes) -> tuple[int, int, bool]:
     """(class, hash of the plain word, whether a sentence may end here) of a raw word."""
-    ends = raw[-1] in ".!?\x00"
-    word = _EDGES.sub("", raw)
+    ends = raw[-1:] in (b".", b"!", b"?", b"\x00")
+    word = _EDGES.sub("", raw.decode("utf-8", "surrogatepass"))
     if not word:
         return EMPTY, 0, ends
     low = word.lower()
+    value = hash_word(low.encode("utf-8", "surrogatepass"))
     if _NUMBER.match(word):
-        return NUMBER, hash_word(low), ends
+        return NUMBER, value, ends
     if low in UNITS:
-        return UNIT, hash_word(low), ends
-    return NAME if word[0].isupper() and word[1:].islower() else LITERAL, hash_word(low), ends
+        return UNIT, value, ends
+    return NAME if word[0].isupper() and word[1:].islower() else LITERAL, value, ends
+
+
+def word_table() -> WordTable:
+    return WordTable(_classify, [np.int64, np.uint64, bool])
 
 
 def canonical(text: str | None, cache: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template hashes, value hashes, classes) of a text's words; line breaks end sentences."""
     text = (text or "").replace("\n", " \x00 ")
-    words = words_of(_GLUED.sub(" ", text))
+    if any(map(text.__contains__, "0123456789")):  # a unit may stick to its number
+        text = _GLUED.sub(" ", text)
+    words = byte_words(text)
     kind, value, ends = cache.of(words)
     starts = np.concatenate([[True], ends[:-1]])[: len(words)]
     keep = kind != EMPTY
@@ -96,11 +103,10 @@ def _windows(text: str | None, sizes: list[int], cache: WordTable, known: np.nda
 
 def window_table(df: DataFrame, id_col: str, sizes: list[int], known: np.ndarray | None = None) -> DataFrame:
     """(id, h, size, place, slots) of all windows."""
-    state: dict = {}
     held = None if known is None else df.sparkSession.sparkContext.broadcast(known)
 
     def run(batch):
-        cache = state.setdefault("cache", WordTable(_classify, [np.int64, np.uint64, bool]))
+        cache = kept("template words", word_table)
         out = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column("text").to_pylist(), strict=True):
             out.extend((i, *w) for w in _windows(text, sizes, cache, None if held is None else held.value))
@@ -112,10 +118,8 @@ def window_table(df: DataFrame, id_col: str, sizes: list[int], known: np.ndarray
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """Windows of the items with their length: WINDOW words, or all of a shorter item's."""
-    state: dict = {}
-
     def run(batch):
-        cache = state.setdefault("cache", WordTable(_classify, [np.int64, np.uint64, bool]))
+        cache = kept("template words", word_table)
         out = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column("text").to_pylist(), strict=True):
             n = len(canonical(text, cache)[0])
