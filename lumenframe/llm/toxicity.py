@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, arrow_map, bounded_sample, fit_on_shards, fold, hash_word, labelled, mix, read_table, words_of
+from .common import WordTable, arrow_map, bounded_sample, byte_words, fit_on_shards, fold, hash_word, kept, labelled, mix, read_table
 
 DIMS = 1 << 20
 BIAS = 0
@@ -36,10 +36,10 @@ HELD = (4, 2)
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
-def _hashes(word: str) -> tuple[int, int]:
+def _hashes(word: bytes) -> tuple[int, int]:
     """Hashes of a word without case and edge punctuation, and of its beginning."""
-    plain = _EDGES.sub("", word.lower())
-    return hash_word(plain), mix(np.array([hash_word(plain[:STEM])], np.uint64) + np.uint64(3)).item()
+    plain = _EDGES.sub("", word.decode("utf-8", "surrogatepass").lower())
+    return hash_word(plain.encode("utf-8", "surrogatepass")), hash_word(plain[:STEM].encode("utf-8", "surrogatepass"), seed=3)
 
 
 def word_table() -> WordTable:
@@ -48,7 +48,7 @@ def word_table() -> WordTable:
 
 def raw_features(text: str | None, cache: WordTable) -> np.ndarray:
     """Feature numbers of a text, with repeats: word unigrams, bigrams, skip-grams and word beginnings."""
-    h, stems = cache.of(words_of(text))
+    h, stems = cache.of(byte_words(text))
     two = mix(h[:-1] * np.uint64(3) + h[1:] + np.uint64(1)) if len(h) > 1 else h[:0]
     skip = mix(h[:-2] * np.uint64(5) + h[2:] + np.uint64(2)) if len(h) > 2 else h[:0]
     return (np.concatenate([h, two, skip, stems]) % np.uint64(DIMS - 1)).astype(np.int64) + 1
@@ -87,7 +87,7 @@ def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS)
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
-    cache = word_table()
+    cache = kept("toxicity words", word_table)
     rows = [features(t, cache) for t in pdf["text"]]
     w = train_ftrl(rows, pdf["label"].to_numpy(float))
     i = np.flatnonzero(w)
@@ -99,10 +99,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> dict
     sample = bounded_sample(labels, "doc_id", max_rows)
     shards = max(1, round(min(max_rows, sample.count()) / SHARD_ROWS))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    shard_weights = fit_on_shards(rows, _fit, shards, "i long, w double").groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
-    found = {r["i"]: r["w"] for r in shard_weights.orderBy("i").collect()}  # at most DIMS rows
-    used = shard_weights.where(F.col("i") == BIAS).select("n").head()
-    return {i: w / used["n"] for i, w in found.items()} if used else {}
+    sums = fit_on_shards(rows, _fit, shards, "i long, w double").groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    found = {r["i"]: (r["w"], r["n"]) for r in sums.collect()}  # at most DIMS rows
+    fitted = found.get(BIAS, (0.0, 0))[1]  # every shard has a bias
+    return {i: w / fitted for i, (w, _) in sorted(found.items())} if fitted else {}
 
 
 def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
@@ -114,7 +114,7 @@ def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
         if not state:
             dense = np.zeros(DIMS)
             dense[held.value[0]] = held.value[1]
-            state.update(dense=dense, cache=word_table(), empty=not len(held.value[0]))
+            state.update(dense=dense, cache=kept("toxicity words", word_table), empty=not len(held.value[0]))
         texts = batch.column("text").to_pylist()
         margins = np.array([margin(t, state["cache"], state["dense"]) for t in texts])
         scores = np.zeros(len(texts)) if state["empty"] else 1 / (1 + np.exp(-np.clip(margins, -35, 35)))
