@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -63,10 +64,12 @@ class WordEncoder(WordCache):
 
     def __init__(self, tokenizer, limit: int = 300_000):
         super().__init__(self._whole, limit)
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         self.plain = WordCache(self._ids, 2 * limit)
 
     def _ids(self, raw: bytes) -> bytes:
+        if raw.isalpha():  # one run of ASCII letters, which every step before the model leaves as it is
+            return array("I", [t.id for t in self.model.tokenize(raw.decode().lower())]).tobytes()
         return np.asarray(self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _whole(self, raw: bytes) -> bytes:

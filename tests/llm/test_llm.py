@@ -135,7 +135,7 @@ def test_packing_round_trip(docs, corpus, empty):
 def test_word_encoder_equals_whole_text():
     tok, r = packing.load_tokenizer(), random.Random(3)
     encode = packing.WordEncoder(tok, limit=50)
-    pieces = ["It's", "don't!!", "Große", "ÉLAN,", "x<|endoftext|>y", "éte", "12,5%", "İstanbul", "ΣΑΣ", "a\x1cb", "日本語", "…", "hello...", "'ll", "(a)'s"]
+    pieces = ["It's", "A", "thatthtieror", "HELLO", "Re.", "naïve,", "don't!!", "Große", "ÉLAN,", "x<|endoftext|>y", "éte", "12,5%", "İstanbul", "ΣΑΣ", "a\x1cb", "日本語", "…", "hello...", "'ll", "(a)'s"]
     for _ in range(60):
         text = "".join(r.choice(pieces) + r.choice([" ", "\n", "\t ", "  "]) for _ in range(30))
         ids = np.frombuffer(b"".join(map(encode.__getitem__, common.byte_words(text))), "<u4").tolist()
