@@ -1,20 +1,20 @@
 """Operator 8: scoring by a weighted backoff automaton.
 
-Counts cover every training document: words natively, then bigrams and
-trigrams of core words. Smoothed n-grams become the arcs of an automaton whose
-states are word histories; a state without an arc for the next word follows
-its failure arc to the shorter history and pays its weight. One left-to-right
-traversal carries the state and adds log10 probabilities.
+Counts cover every training document: words, and all bigrams and trigrams that
+occur at least ``LEAST`` times, whatever the corpus. Smoothed n-grams become the
+arcs of an automaton whose states are word histories; a state without an arc for
+the next word follows its failure arc to the shorter history and pays its weight.
 
 Unigrams are add-one smoothed, ``(c + 1) / (N + V + 1)``; an n-gram above them
 has ``(c - d) / c(history)`` (absolute discount) and the failure arc of its
 history the mass that is left, so every history's probabilities sum to one.
 
-What is broadcast is bounded by construction, whatever the corpus: a core word
-makes up at least ``CORE_SHARE`` of all training tokens (so there are at most
-1 / CORE_SHARE), a kept n-gram at least ``GRAM_SHARE``. All other words are
-scored by a join with the full word table, never dropped: they leave history
-states, and their exact counts are added per document.
+The model grows with the corpus and is a written table. What is broadcast is its
+hot part, bounded by construction: words of at least ``CORE_SHARE`` of all
+training tokens and n-grams of at least ``GRAM_SHARE``, traversed left to right.
+Every other word and n-gram is looked up by a join. A kept n-gram's parts are
+kept, so a text's score is a sum over its occurrences: each n-gram adds what its
+arc differs from the path below it, and the joined sums complete the traversal.
 
 Edge cases: a null or empty text is its end token alone; a null doc_id trains
 and is scored; repeated rows are counted and scored as they come (the join runs
@@ -31,17 +31,23 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, fold, read_table
+from .common import WordCache, arrow_map, cut, fold, kept, read_table, small_side
 
 HELD = (7, 2)
 CORE_SHARE = 1e-6
 GRAM_SHARE = 4e-6
+#: Bigrams and trigrams with this count are kept; it does not depend on the corpus.
+LEAST = 2
 DISCOUNT = 0.75
 #: The end token; no word holds a space.
 END = b"</s> "
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -78,38 +84,58 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def gram_counts(docs: DataFrame, core: dict[bytes, int], order: int, below: np.ndarray | None) -> DataFrame:
-    """(k, c): counts of the n-grams of core words; for trigrams only those whose first two words are a kept bigram.
+def hash_token(raw: bytes) -> int:
+    """What Spark's xxhash64 gives for a binary column, unsigned."""
+    return xxhash.xxh64_intdigest(raw, 42)
+
+
+def _xxhash(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    turned = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    h = (seed + _P5 + np.uint64(8)) ^ (turned(x * _P2, 31) * _P1)
+    h = turned(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of two long columns: a bigram's key from its words' hashes, a trigram's from its bigrams' keys."""
+    return _xxhash(b, _xxhash(a, np.full(len(a), 42, np.uint64)))
 
-    A key is the history's number times the number of core words, plus the word.
-    """
-    held = docs.sparkSession.sparkContext.broadcast((core, below))
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(size, a, b, c): counts of all bigrams (a, b: hashes of their words) and trigrams (keys of their bigrams)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, kept = held.value
-        size, parts, room = np.int64(len(ids)), [], 0
+        cache = kept("token hashes", lambda: WordCache(hash_token))
+        parts, room = [], 0
 
         def flush():
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
+            words, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])[:-1]
             parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["k", "c"])
+            inner = np.ones(max(len(words) - 1, 0), bool)
+            inner[ends - 1] = False  # no n-gram crosses texts
+            a, b = words[:-1], words[1:]
+            for size in (2, 3):
+                keys = pair_keys(a, b)
+                _, at, n = np.unique(keys[inner], return_index=True, return_counts=True)
+                cols = [np.full(len(n), size, np.int8), a[inner][at].view(np.int64), b[inner][at].view(np.int64), n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["size", "a", "b", "c"])
+                a, b, inner = keys[:-1], keys[1:], inner[:-1] & inner[1:]
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                t = token_ids(tokens_of(text), ids)
-                keys = np.where((t[:-1] >= 0) & (t[1:] >= 0), t[:-1] * size + t[1:], -1)
-                if order == 3:
-                    state = lookup(kept, keys[:-1])
-                    keys = np.where((state >= 0) & (t[2:] >= 0), state * size + t[2:], -1)
-                parts.append(keys[keys >= 0])
-                room += len(t)
-                if room > 4_000_000:
-                    yield flush()
+                found = tokens_of(text)
+                parts.append(np.fromiter(map(cache.__getitem__, found), np.uint64, len(found)))
+                room += len(found)
+                if room > 2_000_000:
+                    yield from flush()
                     room = 0
         if parts:
-            yield flush()
+            yield from flush()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "size byte, a long, b long, c long")
+    return rows.groupBy("size", "a", "b").agg(F.sum("c").alias("c"))
 
 
 def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -120,40 +146,63 @@ def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def build_automaton(core: dict[bytes, int], unigram: np.ndarray, total: int, vocab: int, two: tuple, three: tuple) -> dict:
-    """States: 0 the empty history, 1 + w a core word, 1 + V + b a kept bigram.
+def gram_tables(docs: DataFrame, words: DataFrame, total: int, vocab: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables of the whole model: histories of one word (a, n, back1), bigrams and trigrams.
 
-    ``two``, ``three``: sorted keys and counts of kept n-grams. Arc arrays give, for
-    each key, the log10 weight and the next state; ``back`` the failure weight by state.
+    Bigrams: (k, a, b, c, arc1, back1, arc2, back2); trigrams: (k, a, b, c, low, arc3, back2), ``low`` the last bigram's
+    arc. Weights are log10; ``back`` is that of a failure arc.
+    """
+    one = cut(words.select(F.xxhash64("word").alias("h"), "c"), "one")
+    grams = cut(gram_counts(docs).where(F.col("c") >= LEAST).withColumn("k", F.xxhash64("a", "b")), "grams")
+    left = lambda mass: F.greatest(F.lit(1.0) - mass, F.lit(1e-9))
+    mass, arc = F.sum(F.col("c") - DISCOUNT).alias("mass"), lambda n: F.log10((F.col("c") - DISCOUNT) / F.col(n))
+    p1 = (F.col("c") + 1.0) / F.lit(float(total + vocab + 1))
+    two = grams.where("size = 2").join(small_side(one).select(F.col("h").alias("b"), p1.alias("p1")), "b")
+    after1 = two.groupBy("a").agg(mass, F.sum("p1").alias("below")).join(one.select(F.col("h").alias("a"), F.col("c").alias("n")), "a")
+    after1 = cut(after1.select("a", "n", F.log10(left(F.col("mass") / F.col("n")) / left(F.col("below"))).alias("back1")), "after1")
+    two = two.join(small_side(after1), "a").select("k", "a", "b", "c", F.log10("p1").alias("arc1"), "back1", arc("n").alias("arc2"))
+    two = cut(two, "two")
+    three = grams.where("size = 3").join(two.select(F.col("k").alias("b"), F.col("arc2").alias("low")), "b")
+    three = cut(three.select("k", "a", "b", "c", "low"), "three")
+    after2 = three.groupBy("a").agg(mass, F.sum(F.pow(F.lit(10.0), "low")).alias("below"))
+    after2 = after2.join(two.select(F.col("k").alias("a"), F.col("c").alias("n")), "a")
+    after2 = cut(after2.select("a", "n", F.log10(left(F.col("mass") / F.col("n")) / left(F.col("below"))).alias("back2")), "after2")
+    back2 = after2.select(F.col("a").alias("k"), "back2")
+    two = cut(two.join(back2, "k", "left").withColumn("back2", F.coalesce("back2", F.lit(0.0))), "bigrams")
+    three = cut(three.join(after2, "a").select("k", "a", "b", "c", "low", arc("n").alias("arc3"), "back2"), "trigrams")
+    return after1, two, three
+
+
+def build_automaton(core: dict[bytes, int], p1: np.ndarray, back1: np.ndarray, two: tuple, three: tuple) -> dict:
+    """States: 0 the empty history, 1 + w a core word, 1 + V + b a hot bigram.
+
+    ``two``: keys, words' hashes, arc and failure weights of the hot bigrams; ``three``: their keys of first and last
+    bigram and arc weights of the hot trigrams. Arc arrays give, for each key (the history's number times the number
+    of core words, plus the word), the log10 weight and the next state; ``back`` the failure weight by state.
     """
     size = len(core)
-    p1 = (unigram + 1.0) / (total + vocab + 1)
-    keys2, c2 = two
-    h2, w2 = keys2 // max(size, 1), keys2 % max(size, 1)
-    p2 = (c2 - DISCOUNT) / unigram[h2]
-    left = np.ones(size) - np.bincount(h2, p2, size)
-    under = np.ones(size) - np.bincount(h2, p1[w2], size)
-    bow1 = np.maximum(left, 1e-9) / np.maximum(under, 1e-9)
-    keys3, c3 = three
-    h3, w3 = keys3 // max(size, 1), keys3 % max(size, 1)
-    p3 = (c3 - DISCOUNT) / c2[h3]
-    mid = lookup(keys2, w2[h3] * size + w3)  # the same word after the shorter history
-    lower = np.where(mid >= 0, p2[mid] if len(p2) else 0.0, bow1[w2[h3]] * p1[w3])
-    left = np.ones(len(keys2)) - np.bincount(h3, p3, len(keys2))
-    under = np.ones(len(keys2)) - np.bincount(h3, lower, len(keys2))
-    bow2 = np.maximum(left, 1e-9) / np.maximum(under, 1e-9)
+    hashes = np.fromiter(map(hash_token, core), np.uint64, size).view(np.int64)
+    by_hash = np.argsort(hashes)
+    keys, a, b, arc2, back2 = two
+    h2, w2 = (by_hash[np.searchsorted(hashes[by_hash], x)] if size else x for x in (a, b))
+    order = np.argsort(h2 * size + w2)
+    keys, h2, w2, arc2, back2 = (x[order] for x in (keys, h2, w2, arc2, back2))
+    by_key = np.argsort(keys)
+    a, b, arc3 = three
+    first, last = (by_key[np.searchsorted(keys[by_key], x)] if len(keys) else x for x in (a, b))
+    keys3 = first * size + (w2[last] if len(keys) else last)
+    order = np.argsort(keys3)
     return {
         "core": core,
+        "hashes": hashes.view(np.uint64),
         "arc1": np.log10(p1),
-        "keys2": keys2,
-        "arc2": np.log10(p2),
-        "keys3": keys3,
-        "arc3": np.log10(p3),
-        "after3": np.where(mid >= 0, 1 + size + mid, 1 + w3),
-        "back": np.concatenate([[0.0], np.log10(bow1), np.log10(bow2)]),
+        "keys2": h2 * size + w2,
+        "arc2": arc2,
+        "keys3": keys3[order],
+        "arc3": arc3[order],
+        "after3": 1 + size + last[order],
+        "back": np.concatenate([[0.0], back1, back2]),
         "fail": np.concatenate([[0], np.zeros(size, np.int64), 1 + w2]),
-        "total": total,
-        "vocab": vocab,
     }
 
 
@@ -176,17 +225,24 @@ def step(parts: dict, state: int, word: int) -> tuple[float, int]:
         weight, state = weight + parts["back"][state], parts["fail"][state]
 
 
-def traverse(parts: dict, t: np.ndarray) -> np.ndarray:
-    """Weights of all steps of one left-to-right traversal, the same as repeated ``step``.
+def hot_arcs(parts: dict, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hot bigram and trigram that end at each word, -1 where there is none.
 
-    The state before a word is the longest history that is a state, so it follows from
-    the two words before; arcs are then found for all places at once.
+    The state before a word is the longest history that is a state, so it follows from the two words before; arcs are
+    found for all places at once.
     """
     size = len(parts["core"])
     word, before = t >= 0, np.concatenate([[-1], t[:-1]])
-    pair = np.where(word & (before >= 0), lookup(parts["keys2"], before * size + t), -1)  # the bigram that ends here
+    pair = np.where(word & (before >= 0), lookup(parts["keys2"], before * size + t), -1)
     deep = np.concatenate([[-1], pair[:-1]])  # the bigram state before the word
-    three = np.where(word & (deep >= 0), lookup(parts["keys3"], deep * size + t), -1)
+    return pair, np.where(word & (deep >= 0), lookup(parts["keys3"], deep * size + t), -1)
+
+
+def traverse(parts: dict, t: np.ndarray, arcs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Weights of all steps of one left-to-right traversal, the same as repeated ``step``."""
+    size = len(parts["core"])
+    pair, three = arcs or hot_arcs(parts, t)
+    word, before, deep = t >= 0, np.concatenate([[-1], t[:-1]]), np.concatenate([[-1], pair[:-1]])
     weight = np.where(word, parts["arc1"][t] if size else 0.0, 0.0)
     weight = weight + np.where(before >= 0, parts["back"][1 + before], 0.0)
     if len(parts["keys2"]):
@@ -198,27 +254,39 @@ def traverse(parts: dict, t: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, words: DataFrame) -> dict:
-    """The automaton from the training documents and their word table."""
+    """The hot automaton from the training documents and their word table, and the tables of all else.
+
+    ``after1``: (a, n, back1) by word hash; ``grams``: (k, value), what an occurrence of any other kept n-gram adds.
+    """
     sums = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).head()
     total, vocab = sums["n"] or 0, sums["v"]
-    least = max(2, math.ceil(CORE_SHARE * total))
-    rows = words.where(F.col("c") >= least).orderBy(F.desc("c"), "word").collect()  # at most 1 / CORE_SHARE
-    core = {r["word"]: i for i, r in enumerate(rows)}
-    unigram = np.array([r["c"] for r in rows], np.float64)
-    kept = max(2, math.ceil(GRAM_SHARE * total))
-
-    def grams(order: int, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        got = gram_counts(docs, core, order, below).where(F.col("c") >= kept).toPandas().sort_values("k")  # at most 1 / GRAM_SHARE
-        return got["k"].to_numpy(np.int64), got["c"].to_numpy(np.float64)
-
-    two = grams(2, None)
-    return build_automaton(core, unigram, total, vocab, two, grams(3, two[0]))
+    after1, two, three = gram_tables(docs, words, total, vocab)
+    least = max(LEAST, math.ceil(CORE_SHARE * total))
+    core = words.where(F.col("c") >= least).withColumn("a", F.xxhash64("word")).join(after1, "a", "left")
+    rows = core.orderBy(F.desc("c"), "word").select("word", "c", F.coalesce("back1", F.lit(0.0)).alias("back1")).collect()  # at most 1 / CORE_SHARE
+    p1 = (np.array([r["c"] for r in rows], np.float64) + 1) / (total + vocab + 1)
+    hot = max(LEAST, math.ceil(GRAM_SHARE * total))
+
+    def arrays(df: DataFrame, *cols: str) -> tuple:
+        got = df.where(F.col("c") >= hot).select(*cols).toPandas()  # at most 1 / GRAM_SHARE
+        return tuple(got[c].to_numpy(np.float64 if c[:3] in ("arc", "bac") else np.int64) for c in cols)
+
+    parts = build_automaton(
+        {r["word"]: i for i, r in enumerate(rows)},
+        p1,
+        np.array([r["back1"] for r in rows], np.float64),
+        arrays(two, "k", "a", "b", "arc2", "back2"),
+        arrays(three, "a", "b", "arc3"),
+    )
+    cold2 = two.where(F.col("c") < hot).select("k", F.expr("arc2 - back1 - arc1 + back2").alias("value"))
+    cold3 = three.where(F.col("c") < hot).select("k", F.expr("arc3 - back2 - low").alias("value"))
+    return parts | {"total": total, "vocab": vocab, "after1": after1, "grams": cold2.unionAll(cold3)}
 
 
 def score(docs: DataFrame, words: DataFrame, parts: dict) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(parts)
+    held = spark.sparkContext.broadcast({k: v for k, v in parts.items() if not isinstance(v, DataFrame)})
     total, vocab = parts["total"], parts["vocab"]
 
     def run(batch):
@@ -226,32 +294,45 @@ def score(docs: DataFrame, words: DataFrame, parts: dict) -> DataFrame:
         for text in batch.column("text").to_pylist():
             found = tokens_of(text)
             t = token_ids(found, parts["core"])
-            rare = Counter(map(found.__getitem__, np.flatnonzero(t < 0).tolist()))
+            at = np.flatnonzero(t < 0)
+            others = list(map(found.__getitem__, at.tolist()))
+            rare = Counter(others)
             known = t[t >= 0]
-            out.append((len(found), len(known), parts["arc1"][known].sum(), traverse(parts, t).sum(), [*rare], [*rare.values()]))
+            arcs = hot_arcs(parts, t)
+            h = parts["hashes"][t] if len(parts["hashes"]) else np.zeros(len(t), np.uint64)
+            h[at] = np.fromiter(map(hash_token, others), np.uint64, len(at))
+            two = pair_keys(h[:-1], h[1:])
+            cold = np.concatenate([two[arcs[0][1:] < 0], pair_keys(two[:-1], two[1:])[arcs[1][2:] < 0]]).view(np.int64)
+            out.append((len(found), len(known), parts["arc1"][known].sum(), traverse(parts, t, arcs).sum(), [*rare], [*rare.values()], cold))
         cols = zip(*out, strict=True)
-        return {"doc_id": batch.column("doc_id")} | dict(zip(("n_tokens", "core", "base", "walk", "rare", "tf"), cols, strict=True))
+        return {"doc_id": batch.column("doc_id")} | dict(zip(("n_tokens", "core", "base", "walk", "rare", "tf", "cold"), cols, strict=True))
 
     walked = arrow_map(
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
         run,
-        "doc_id long, n_tokens long, core long, base double, walk double, rare array<binary>, tf array<long>",
+        "doc_id long, n_tokens long, core long, base double, walk double, rare array<binary>, tf array<long>, cold array<long>",
     )
     walked = cut(walked, "walked").withColumn("row", F.monotonically_increasing_id())
     pairs = walked.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.tf").alias("tf"))
     log_p = F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(float(total + vocab + 1)))
+    table = words.withColumn("a", F.xxhash64("word")).join(small_side(parts["after1"]), "a", "left").select("word", "c", "back1")
     sums = (
-        pairs.join(words, "word", "left")
+        pairs.join(table, "word", "left")
         .groupBy("row")
-        .agg(F.sum(F.col("tf") * log_p).alias("added"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more"))
+        .agg(
+            F.sum(F.col("tf") * log_p).alias("added"),
+            F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more"),
+            F.sum(F.col("tf") * F.coalesce("back1", F.lit(0.0))).alias("left"),
+        )
     )
-    added = F.coalesce("added", F.lit(0.0))
-    return walked.join(sums, "row", "left").select(
+    deeper = walked.select("row", F.explode("cold").alias("k")).join(parts["grams"], "k").groupBy("row").agg(F.sum("value").alias("deeper"))
+    or_0 = lambda c: F.coalesce(c, F.lit(0.0))
+    return walked.drop("rare", "tf", "cold").join(sums, "row", "left").join(deeper, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("core") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        (F.col("base") + added).alias("base_score"),
-        (F.col("walk") + added).alias("score"),
+        (F.col("base") + or_0("added")).alias("base_score"),
+        (F.col("walk") + or_0("added") + or_0("left") + or_0("deeper")).alias("score"),
     )
 
 
