@@ -30,6 +30,10 @@ BUCKETS = 1 << 18
 THRESHOLD = -0.05
 #: Pseudo-count per bucket, spread over the raw frequencies.
 SMOOTHING = 20.0
+#: Pseudo-counts per trusted n-gram where verdicts must mean the same at every size: weights then lie above log(1 / 2).
+SHARE = 1.0
+#: Least mean of trusted n-grams in a bucket there; small tables fold their buckets so that noise does not reject texts.
+PER_BUCKET = 16
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
 
 
@@ -60,11 +64,12 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
     return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
 
 
-def bucket_weights(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+def bucket_weights(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, share: float | None = None) -> DataFrame:
     """One row: the array of log(target / raw) by bucket (index 0 first), rounded so that runs agree.
 
     The array has ``buckets`` entries whatever the corpus, so one row may hold it.
-    Each target count is smoothed by ``smoothing * buckets`` draws from the raw distribution.
+    Target counts are smoothed by ``smoothing * buckets`` draws from the raw distribution, or, with ``share`` (which takes
+    a power of two for ``buckets``), by ``share`` times as many as there are trusted n-grams.
     """
     filled = (
         counts.sparkSession.range(buckets)
@@ -77,14 +82,24 @@ def bucket_weights(counts: DataFrame, buckets: int = BUCKETS, smoothing: float =
         F.sum("target").cast("double").alias("target_all"),
         F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("held"),
     )
-    drawn = F.lit(smoothing * buckets)
+    drawn, copies = F.lit(smoothing * buckets), F.lit(1)
+    if share is not None:
+        drawn = F.lit(share) * F.col("target_all")
+        fine = F.floor(F.log2(F.col("target_all") / PER_BUCKET))
+        row = row.withColumn("size", F.greatest(F.lit(1), F.least(F.lit(buckets), F.pow(F.lit(2.0), fine))).cast("int"))
+        one = row.select("raw_all", "target_all", "size", F.explode("held").alias("s"))
+        folded = one.groupBy("raw_all", "target_all", "size", (F.col("s.bucket") % F.col("size")).alias("bucket")).agg(
+            F.sum("s.raw").alias("raw"), F.sum("s.target").alias("target")
+        )
+        row = folded.groupBy("raw_all", "target_all", "size").agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("held"))
+        copies = (F.lit(buckets) / F.col("size")).cast("int")
 
     def weight(s: Column) -> Column:
         p = s["raw"] / F.col("raw_all")
         ratio = F.log((s["target"] + drawn * p) / (F.col("target_all") + drawn) / p)
         return F.when((s["raw"] > 0) & (F.col("target_all") > 0), F.round(ratio, 6)).otherwise(F.lit(0.0)).cast("float")
 
-    return row.select(F.transform("held", weight).alias("weights"))
+    return row.select(F.flatten(F.array_repeat(F.transform("held", weight), copies)).alias("weights"))
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -130,10 +145,15 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 
 def score_documents(
-    docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, smoothing: float = SMOOTHING
+    docs: DataFrame,
+    trusted: DataFrame,
+    threshold: float = THRESHOLD,
+    buckets: int = BUCKETS,
+    smoothing: float = SMOOTHING,
+    share: float | None = None,
 ) -> DataFrame:
     """``docs`` with the columns of ``RESULT``. ``trusted``: doc_id of the documents of the target corpus."""
-    weights = bucket_weights(bucket_counts(docs, trusted, buckets), buckets, smoothing)
+    weights = bucket_weights(bucket_counts(docs, trusted, buckets), buckets, smoothing, share)
     df = base_columns(docs).withColumn("_grams", ngram_buckets("_words", buckets))
     df = df.withColumn("_weights", weights.scalar())
     total = F.aggregate("_grams", F.lit(0.0), lambda acc, b: acc + F.get("_weights", b).cast("double"))
@@ -145,7 +165,7 @@ def score_documents(
 def keep_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The documents with a good verdict, in their own columns, whatever those are named."""
     whole = docs.select("doc_id", "text", F.struct("*").alias("_doc"))
-    scored = score_documents(whole, trusted).withColumn("_row", F.monotonically_increasing_id())
+    scored = score_documents(whole, trusted, share=SHARE).withColumn("_row", F.monotonically_increasing_id())
     # the row number keeps the filter above the scores: pushed below, it would compute them anew for every array element
     return scored.where("kept AND _row >= 0").select("_doc.*")
 
@@ -156,4 +176,4 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_documents(docs, trusted_ids(spark, sf_dir)).select("doc_id", *RESULT)
+    return score_documents(docs, trusted_ids(spark, sf_dir), share=SHARE).select("doc_id", *RESULT)

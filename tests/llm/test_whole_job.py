@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lumenframe.llm import language_model
+from lumenframe.llm import jaccard_join, language_model, quality_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -32,3 +32,30 @@ def test_language_model_keeps_every_ngram_that_occurs_twice(spark, monkeypatch):
     for i, x in expected.items():
         assert got[i] == pytest.approx(x)
     assert any(abs(x[2] - x[1]) > 1 for x in expected.values())
+
+
+def test_quality_verdicts_are_the_same_at_every_size(spark):
+    r = random.Random(5)
+    for n in (300, 2400):
+        texts = [prose(120, r) for _ in range(n)] + [" ".join(f"junk{r.randrange(300)}" for _ in range(120)) for _ in range(n // 8)]
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+        kept = {x["doc_id"] for x in quality_rules.keep_documents(docs, docs.where(f"doc_id < {n // 2}").select("doc_id")).collect()}
+        assert len(kept & set(range(n))) >= 0.99 * n and max(kept) < n
+
+
+def test_borderline_links_do_not_depend_on_a_large_group(spark):
+    r = random.Random(7)
+    seed = prose(200, r, 10_000).split()
+    texts = []
+    for i in range(150):  # 11,175 links of high similarity
+        w = seed.copy()
+        w[r.randrange(200)] = f"x{i}"
+        texts.append(" ".join(w))
+    for i in range(1500):  # 8 of 10 shingles are shared
+        common = prose(12, r, 1_000_000)
+        texts += [f"{common} a{i}", f"{common} b{i}"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x["n_links"] for x in jaccard_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert min(got[i] for i in range(150)) == 149
+    lost = sum(got[i] != 1 for i in range(150, len(texts))) // 2
+    assert lost <= 2
