@@ -4,9 +4,9 @@ A text is the set of its five-word shingles (a shorter text is one shingle, all
 its words). Documents with the same set are one class and go on as its
 smallest id. Every class has TREES min-wise signatures of DEPTH values; in each
 tree the signatures are the strings of a prefix trie, and two classes are
-candidates when they share a node at the matched depth. The depth starts long
-and is shortened, level by level, until the recall that the found links imply
-reaches the target; every candidate pair is verified on the exact sets.
+candidates when they share a node at the matched depth. That is the longest at
+which a pair just at the threshold is found with the target probability, so no
+link depends on what else the table holds; every candidate is verified exactly.
 
 Nodes with more members than a block are dealt into pairs of blocks, so a node
 of any size becomes tasks of bounded size, and a task counts its links and
@@ -32,9 +32,9 @@ from .common import WordCache, arrow_map, byte_words, cut, hash_word, hash_words
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 16
-DEPTH = 6
-#: The matched depth is never shorter: there every pair at the threshold is found with probability 0.9998.
-LEAST_DEPTH = 4
+#: The longest match; there a pair at the threshold is found with probability 0.9998.
+DEPTH = 4
+#: Least probability with which any pair at or above the threshold is found.
 RECALL = 0.999
 #: Members of a block; a task verifies a pair of blocks.
 BLOCK = 128
@@ -147,8 +147,8 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(float)
 
 
-def cell_links(sets: list[np.ndarray], earlier: np.ndarray, block: np.ndarray, mixed: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links, similarities) of a cell's members: a pair counts in the first tree in which it meets, and in one cell there."""
+def cell_links(sets: list[np.ndarray], earlier: np.ndarray, block: np.ndarray, mixed: bool, threshold: float) -> np.ndarray:
+    """Links of a cell's members: a pair counts in the first tree in which it meets, and in one cell there."""
     n = np.array([len(s) for s in sets], float)
     shared = shared_counts(sets)
     sim = shared / (n[:, None] + n - shared)
@@ -158,7 +158,7 @@ def cell_links(sets: list[np.ndarray], earlier: np.ndarray, block: np.ndarray, m
     np.fill_diagonal(link, False)
     if mixed:  # pairs inside one block belong to the block's own cell
         link &= block[:, None] != block[None, :]
-    return link, sim
+    return link
 
 
 def _verify(depth: int, threshold: float):
@@ -172,15 +172,14 @@ def _verify(depth: int, threshold: float):
             if r not in sets:
                 sets[r] = shingles_of(t, cache)
         new = np.flatnonzero((node[1:] != node[:-1]) | (tree[1:] != tree[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        reps, links, roots, hist = [], [], [], np.zeros(10, np.int64)
+        reps, links, roots = [], [], []
         for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(rep)], strict=True):
             if hi - lo < 2:
                 continue
             ids = rep[lo:hi]
-            link, sim = cell_links([sets[r] for r in ids.tolist()], keys[lo:hi, : tree[lo]], b[lo:hi], i[lo] != j[lo], threshold)
+            link = cell_links([sets[r] for r in ids.tolist()], keys[lo:hi, : tree[lo]], b[lo:hi], i[lo] != j[lo], threshold)
             if not link.any():
                 continue
-            hist += np.bincount(np.minimum(((sim[np.triu(link)] - threshold) * 50).astype(int), 9), minlength=10)
             root = ids
             while True:  # members of a local component get its least class
                 grown = np.minimum(root, np.where(link, root[None, :], root[:, None]).min(1))
@@ -192,15 +191,13 @@ def _verify(depth: int, threshold: float):
             links.append((link @ copies[lo:hi])[some])
             roots.append(root[some])
         cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        rows = len(cat(reps))
-        hists = [hist.tolist()] + [None] * (rows - 1) if rows else []
-        return pa.table({"rep": cat(reps), "links": cat(links), "root": cat(roots), "hist": pa.array(hists, pa.list_(pa.int64()))})
+        return pa.table({"rep": cat(reps), "links": cat(links), "root": cat(roots)})
 
     return run
 
 
 def verified(docs: DataFrame, classes: DataFrame, depth: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(rep, links, root, hist) from all cells at a depth. ``classes``: (rep, copies, sig)."""
+    """(rep, links, root) from all cells at a depth. ``classes``: (rep, copies, sig)."""
     cells = cut(node_cells(node_members(classes, depth)), "cells")
     packs = max(1, -(-cells.where("small").count() // PACK_ROWS))
     wanted = cut(cells.select("rep").distinct(), "wanted")
@@ -208,15 +205,12 @@ def verified(docs: DataFrame, classes: DataFrame, depth: int, threshold: float =
     texts = texts.join(classes, "rep").dropDuplicates(["rep"])
     pack = F.when(F.col("small"), F.pmod(F.xxhash64("node"), F.lit(packs))).otherwise(F.xxhash64("node", "tree", "i", "j"))
     rows = cells.join(texts, "rep").select(pack.alias("pack"), "node", "tree", "i", "j", "b", "rep", "copies", "sig", "text")
-    return rows.groupBy("pack").applyInArrow(_verify(depth, threshold), "rep long, links long, root long, hist array<long>")
+    return rows.groupBy("pack").applyInArrow(_verify(depth, threshold), "rep long, links long, root long")
 
 
-def implied_recall(hist: list[int], depth: int, threshold: float = THRESHOLD) -> float:
-    """Found links over the number that found ones imply: each stands for 1 / P(found at its similarity)."""
-    low = threshold + np.arange(10) * 0.02
-    p = 1 - (1 - np.minimum(low, 1.0) ** depth) ** TREES
-    found = np.asarray(hist, float)
-    return float(found.sum() / (found / p).sum()) if found.sum() else 1 - (1 - threshold**depth) ** TREES
+def match_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest depth at which a pair at the threshold, the hardest to find, shares a node with probability ``recall``."""
+    return next((d for d in range(DEPTH, 1, -1) if 1 - (1 - threshold**d) ** TREES >= recall), 1)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,13 +243,7 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL, threshold: float =
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("sig").alias("sig")),
         "classes",
     )
-    depth = DEPTH
-    while True:
-        found = cut(verified(docs, classes.select("rep", "copies", "sig"), depth, threshold), "links")
-        hist = found.select([F.sum(F.get("hist", F.lit(k))).alias(f"h{k}") for k in range(10)]).head()
-        if depth <= LEAST_DEPTH or implied_recall([h or 0 for h in hist], depth, threshold) >= recall:
-            break
-        depth -= 1
+    found = cut(verified(docs, classes.select("rep", "copies", "sig"), match_depth(threshold, recall), threshold), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("root < rep").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     per_class = (
