@@ -5,7 +5,12 @@ inside a sentence) and units (after a number) become typed placeholders whose
 values are kept as slots. Windows of eight template words are hashed and
 joined with those of the benchmark. Matches on one diagonal (document place
 minus item place) must map slots one to one; what is left must cover enough of
-the item. Items shorter than a window match as a whole from MIN_TOKENS up.
+the item. Items shorter than a window match as a whole, by template from
+MIN_TOKENS up.
+
+Every window is also hashed by its lower-cased plain words, whatever their class,
+so that verbatim copies are found where templates differ or have too few literals;
+on their diagonal both kinds count towards cover.
 
 The benchmark's window hashes are broadcast when a count shows them few; then
 only hits leave the scan. Otherwise all windows are joined by shuffle.
@@ -13,7 +18,7 @@ only hits leave the scan. Otherwise all windows are joined by shuffle.
 Edge cases: null or empty texts and items match nothing; null ids are kept as
 null; repeated rows give their pair once; ties need no order, for all pairs
 over the thresholds are returned; windows without enough literal words are
-not compared; other columns are not read.
+compared by their plain words alone; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ MIN_TOKENS = 5
 MIN_COVER = 0.3
 #: Least literal (not placeholder) words in a window.
 MIN_LITERALS = 4
+#: Keeps the hashes of plain words apart from those of templates.
+_PLAIN = np.uint64(0x5851F42D4C957F2D)
 
 #: Unit words.
 UNITS = set(
@@ -81,6 +88,15 @@ def canonical(text: str | None, cache: WordTable) -> tuple[np.ndarray, np.ndarra
     return np.where(kind == LITERAL, value, _PLACEHOLDERS[kind]), value, kind
 
 
+def _among(h: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """Which hashes are in the sorted ``known``; all if there is none."""
+    if known is None:
+        return np.ones(len(h), bool)
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
 def _windows(text: str | None, sizes: list[int], cache: WordTable, known: np.ndarray | None):
     """(hash, size, place, slot values) of the windows of a text; only those in ``known`` if given."""
     template, value, kind = canonical(text, cache)
@@ -90,15 +106,15 @@ def _windows(text: str | None, sizes: list[int], cache: WordTable, known: np.nda
         h = shingle_hashes(template, size) + np.uint64(size)
         if not len(h):
             continue
+        plain = shingle_hashes(value, size) + np.uint64(size) + _PLAIN
         ok = size - (seen[size:] - seen[:-size]) >= min(MIN_LITERALS, size)
-        if known is not None and len(known):
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            ok &= known[at] == h
-        elif known is not None:
+        if size < MIN_TOKENS:
             ok &= False
-        for i in np.flatnonzero(ok):
+        for i in np.flatnonzero(ok & _among(h, known)):
             part = slice(i, i + size)
             yield h[i].view(np.int64), size, int(i), value[part][slots[part]].view(np.int64).tolist()
+        for i in np.flatnonzero(_among(plain, known)):
+            yield plain[i].view(np.int64), size, int(i), []
 
 
 def window_table(df: DataFrame, id_col: str, sizes: list[int], known: np.ndarray | None = None) -> DataFrame:
@@ -123,7 +139,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         out = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column("text").to_pylist(), strict=True):
             n = len(canonical(text, cache)[0])
-            if n >= MIN_TOKENS:
+            if n:
                 out.extend((i, n, *w) for w in _windows(text, [min(n, WINDOW)], cache, None))
         return dict(zip(("item_id", "n", "h", "size", "item_place", "item_slots"), zip(*out, strict=True), strict=True)) if out else None
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lumenframe.llm import jaccard_join, language_model, quality_rules
+from lumenframe.llm import decontaminate, html_extract, jaccard_join, language_model, quality_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,3 +59,18 @@ def test_borderline_links_do_not_depend_on_a_large_group(spark):
     assert min(got[i] for i in range(150)) == 149
     lost = sum(got[i] != 1 for i in range(150, len(texts))) // 2
     assert lost <= 2
+
+
+def test_verbatim_copies_match_where_templates_do_not(spark):
+    items = [(1, "12 + 30 = 42, 7 * 8 = 56, 90 / 3 = 30"), (2, "Name two primes"), (3, "Which river flows through old Vienna?"), (4, "Der Hund und die Katze sehen den Vogel im Garten")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(1, f"so {items[0][1]} then"), (2, "please name two primes now"), (3, f"Question: {items[2][1]}"), (4, items[3][1].lower()), (5, "none of these at all, name two others")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='page with-sidebar'>", "<div id='content-with-nav'>", "<section class='post has-comments'>", "<div class='menu-layout'>"])
+def test_wrappers_named_after_a_neighbour_keep_their_article(wrapper):
+    page = f"{wrapper}<article><div class='post-header'><h1>The head</h1></div><p>some words of text</p><div class='ad-slot'>buy</div></article><div class='sidebar'>other</div>"
+    weights = {"w:": 1.0, "div": -0.1, "/div": -0.1, "article": -0.1, "/article": -0.1, "p": -0.1, "/p": -0.1, "h1": -0.1, "/h1": -0.1, "section": -0.1}
+    assert html_extract.extract(page, weights) == "The head\nsome words of text"
