@@ -45,6 +45,9 @@ MARKS = set(
     footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related share
     sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split()
 )
+#: Heads of an article are part of it; names such as has-sidebar or content-with-nav tell of a neighbour.
+HEADERS = set("header masthead".split())
+QUALIFIERS = set("has have with without no not".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 _TOKEN = re.compile(
@@ -55,31 +58,41 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
-def _is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+def _is_boilerplate(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """(whether the element is boilerplate, whether only a part of a class or id says so)."""
     if tag in BOILERPLATE or tag == "header" and not in_article:
-        return True
+        return True, False
+    partly = False
     for name, a, b, c in _ATTR.findall(attrs):
         value = (a or b or c).lower()
-        if name.lower() == "role" and value in ROLES:
-            return True
-        if name.lower() != "role" and not MARKS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return tag not in ("article", "main", "body", "html")
-    return False
+        if name.lower() == "role":
+            if value in ROLES:
+                return True, False
+        elif tag not in ("article", "main", "body", "html"):
+            for one in value.split():
+                tokens = re.split(r"[_-]+", one)
+                marks = MARKS.intersection(tokens) if QUALIFIERS.isdisjoint(tokens) else set()
+                marks -= HEADERS if in_article else set()
+                if len(tokens) == 1 and marks:
+                    return True, False
+                partly = partly or bool(marks)
+    return partly, partly
 
 
 def scan(page: str) -> list[tuple]:
     """The page's parts in order: ("tag", type, content) and ("text", block type, content, block no, text, out).
 
-    ``content``: inside an article or main element; ``out``: inside boilerplate.
+    ``content``: inside an article or main element; ``out``: inside boilerplate. An element that only a part of its class
+    or id marks is none when it holds an article or main element.
     """
     parts: list[tuple] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, tuple]] = []  # tag, content, surely out, marks (lists, emptied when disproved)
     block, at = 0, 0
 
     def text(upto: int) -> None:
         if upto > at:
-            where = next((t for t, _, _ in reversed(stack) if t in BLOCKS or t == "a"), "body")
-            parts.append(("text", where, bool(stack) and stack[-1][1], block, page[at:upto], bool(stack) and stack[-1][2]))
+            where = next((t for t, *_ in reversed(stack) if t in BLOCKS or t == "a"), "body")
+            parts.append(("text", where, bool(stack) and stack[-1][1], block, page[at:upto], stack[-1][2:] if stack else (False, ())))
 
     for m in _TOKEN.finditer(page):
         text(m.start())
@@ -88,10 +101,10 @@ def scan(page: str) -> list[tuple]:
             continue
         tag, closing = m[3].lower(), m[2]
         if tag == "br":
-            parts.append(("text", "br", False, block, " ", bool(stack) and stack[-1][2]))
+            parts.append(("text", "br", False, block, " ", stack[-1][2:] if stack else (False, ())))
         if tag in BLOCKS:
             block += 1
-        inside, out = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        inside, out, marks = stack[-1][1:] if stack else (False, False, ())
         if closing:
             parts.append(("tag", "/" + tag, inside))
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
@@ -105,13 +118,17 @@ def scan(page: str) -> list[tuple]:
                     break
                 if stack[k][0] in BLOCKS:
                     break
-            inside, out = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            inside, out, marks = stack[-1][1:] if stack else (False, False, ())
         inside = inside or tag in ("article", "main")
+        if tag in ("article", "main"):
+            for mark in marks:
+                mark.clear()
         parts.append(("tag", tag, inside))
         if tag not in VOID and not m[4].endswith("/"):
-            stack.append((tag, inside, out or _is_boilerplate(tag, m[4], inside)))
+            found, partly = _is_boilerplate(tag, m[4], inside)
+            stack.append((tag, inside, out or found and not partly, (*marks, [tag]) if partly else marks))
     text(len(page))
-    return parts
+    return [(*p[:5], p[5][0] or any(p[5][1])) if p[0] == "text" else p for p in parts]
 
 
 def learn(pages: list[str]) -> tuple[Counter, Counter]:
