@@ -45,9 +45,15 @@ def process_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sc
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Only a local master gets a temporary folder where neither is set; on a cluster each executor would write to its own
+    disk, so that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not hasattr(spark, "_lumenframe_folder"):
             spark._lumenframe_folder = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
         found = spark._lumenframe_folder
@@ -55,10 +61,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write to the shared folder and read back, so that lineage ends and a lost executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write to the shared folder and read back, so that lineage ends and a lost executor costs nothing.
+
+    The steps of an application lie in one folder named after it, to be removed when it has ended.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimate_bytes(df: DataFrame) -> DataFrame:
