@@ -6,9 +6,6 @@ checkpoint folder, and the word rules that several contracts state.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,30 +14,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize as cut  # noqa: F401  (written steps of all operators)
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
-_SPACES = re.compile("[\x20\x09-\x0d]+")
 
 #: A table of at most so many narrow rows (tens of bytes each) is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that Python code turns into objects at a time.
+BATCH_BYTES = 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text, in order; none for a null text."""
-    if not text:
-        return []
-    words = _SPACES.split(text)
-    if words and not words[0]:
-        words = words[1:]
-    if words and not words[-1]:
-        words = words[:-1]
-    return words
-
-
 def byte_words(text: str | None) -> list[bytes]:
     """The same words as UTF-8: bytes.split() cuts at exactly the contract's white space, and fast."""
     return (text or "").encode("utf-8", "surrogatepass").split()
@@ -51,26 +39,6 @@ def fold(doc_id: Column, modulus: int, held: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(modulus) == F.lit(held), F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = getattr(spark, "_lumenframe_shared", None)
-        if held is None:
-            held = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-            spark._lumenframe_shared = held
-        found = held
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark for broadcast when a count shows it small; otherwise leave the choice to Spark.
 
@@ -170,6 +138,91 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Bytes of text whose words are hashed at a time.
+SLICE = 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = np.random.default_rng(30).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, made once per process."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(SLICE + 1, base, np.uint64)
+            x[0] = 1
+            _POWERS.append(np.cumprod(x, dtype=np.uint64))
+    return _POWERS
+
+
+def _hash_slice(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first byte, end) of the words of at most SLICE bytes: differences of one running polynomial."""
+    up, down = _powers()
+    codes = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[codes]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_BYTES[codes] * up[: len(codes)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts]), starts, ends
+
+
+def _cuts(raw: bytes) -> Iterator[bytes]:
+    """Pieces of at most SLICE bytes that end at white space (a longer word is one of its own)."""
+    at = 0
+    while len(raw) - at > SLICE:
+        end = at + SLICE
+        while end > at and not _SPACE[raw[end]]:
+            end -= 1
+        if end == at:
+            end = at + SLICE
+            while end < len(raw) and not _SPACE[raw[end]]:
+                end += 1
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+def text_hashes(texts: list[str | None], change: Callable[[bytes], bytes] | None = None) -> list[np.ndarray]:
+    """64-bit hashes of the words of every text, in order; equal words have equal hashes wherever they stand.
+
+    Short texts are hashed together, long ones a slice at a time. ``change`` maps the UTF-8 bytes first and keeps white space.
+    """
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+
+    def flush() -> None:
+        if held:
+            h, starts, _ = _hash_slice(b"\n".join(held))
+            at = np.cumsum([0] + [len(r) + 1 for r in held])
+            out.extend(np.split(h, np.searchsorted(starts, at[1:-1])))
+            held.clear()
+
+    size = 0
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        raw = change(raw) if change else raw
+        if size + len(raw) + 1 > SLICE:
+            flush()
+            size = 0
+        if len(raw) >= SLICE:
+            out.append(np.concatenate([_hash_slice(x)[0] if len(x) <= SLICE else _hash_long(x) for x in _cuts(raw)]))
+        else:
+            held.append(raw)
+            size += len(raw) + 1
+    flush()
+    return out
+
+
+def _hash_long(raw: bytes) -> np.ndarray:
+    """The hash of one word (and white space around it) of more than SLICE bytes."""
+    found = raw.split()
+    return np.array([hash_word(w) for w in found], np.uint64)
+
+
 def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of every n consecutive words; empty when there are fewer than n."""
     m = len(hashes) - n + 1
@@ -182,6 +235,16 @@ def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def bounded_batches(batch: pa.RecordBatch, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Halves of a batch until each has at most ``size`` bytes or one row."""
+    if batch.num_rows > 1 and batch.nbytes > size:
+        half = batch.num_rows // 2
+        yield from bounded_batches(batch.slice(0, half), size)
+        yield from bounded_batches(batch.slice(half), size)
+    else:
+        yield batch
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """Apply ``fn`` to Arrow batches; it returns columns by name for ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -190,7 +253,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded_batches(whole)):
             if batch.num_rows:
                 got = fn(batch)
                 if got is not None:

@@ -1,352 +1,319 @@
 """Operator 8: scoring by a weighted backoff automaton.
 
-Counts cover every training document: words, and all bigrams and trigrams that
-occur at least ``LEAST`` times, whatever the corpus. Smoothed n-grams become the
-arcs of an automaton whose states are word histories; a state without an arc for
-the next word follows its failure arc to the shorter history and pays its weight.
-
-Unigrams are add-one smoothed, ``(c + 1) / (N + V + 1)``; an n-gram above them
-has ``(c - d) / c(history)`` (absolute discount) and the failure arc of its
-history the mass that is left, so every history's probabilities sum to one.
-
-The model grows with the corpus and is a written table. What is broadcast is its
-hot part, bounded by construction: words of at least ``CORE_SHARE`` of all
-training tokens and n-grams of at least ``GRAM_SHARE``, traversed left to right.
-Every other word and n-gram is looked up by a join. A kept n-gram's parts are
-kept, so a text's score is a sum over its occurrences: each n-gram adds what its
-arc differs from the path below it, and the joined sums complete the traversal.
+The model is a trigram model over all training documents, with every n-gram
+they hold, whatever its count. Unigrams are add-one smoothed, ``(c + 1) /
+(N + V + 1)``; above them a history shares its mass between its n-grams and the
+shorter history in proportion to its count (a hierarchy of Dirichlet priors):
+``P(w | h) = (c(hw) + k P(w | h')) / (c(h) + k)``. As an automaton: a state is a
+history of up to two words, an arc is an n-gram with that weight, and a state
+without an arc for the next word follows its failure arc, ``k / (c(h) + k)``, to
+the shorter history. Each history's probabilities sum to one.
+
+The whole automaton grows with the corpus and is nowhere in one place. Texts are
+written once, in batches of word numbers. A batch asks the parts of the n-gram
+table (dealt by key) for the counts of its own n-grams; a part adds up what all
+batches counted and answers each in the order of its question, so keys travel
+one way. From the answers a batch compiles its own part of the automaton, which
+holds every arc that its texts can take, and traverses its texts left to right,
+side by side, each with its state.
+
+Words have 64-bit keys. Keys of longer n-grams have ``SPARE_BITS`` more than the
+logarithm of the number of tokens: one in 2^SPARE_BITS may share another's count.
+Questions and answers are sorted, coded as differences and compressed.
 
 Edge cases: a null or empty text is its end token alone; a null doc_id trains
-and is scored; repeated rows are counted and scored as they come (the join runs
-on a row key, so equal ids do not mix); with no training document all counts
-are 0 and every token scores log10(1) = 0.
+and is scored; repeated rows are counted and scored as they come; a text of any
+length is read in slices, is a batch of its own beyond ``BATCH_TOKENS``, and is
+cut into runs for the traversal, each begun two words early to have its state;
+with no training document all counts are 0 and every token scores log10(1) = 0;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, arrow_map, cut, fold, kept, read_table, small_side
+from .common import bounded_batches, cut, fold, hash_word, mix, read_table, text_hashes
 
 HELD = (7, 2)
-CORE_SHARE = 1e-6
-GRAM_SHARE = 4e-6
-#: Bigrams and trigrams with this count are kept; it does not depend on the corpus.
-LEAST = 2
-DISCOUNT = 0.75
-#: The end token; no word holds a space.
-END = b"</s> "
-_P1, _P2, _P3, _P4, _P5 = (
-    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
-)
-
-
-def tokens_of(text: str | None) -> list[bytes]:
-    """The tokens as UTF-8; bytes.lower() changes A-Z alone and bytes.split() cuts at ASCII white space alone."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    found.append(END)
-    return found
-
-
-def token_ids(found: list[bytes], core: dict[bytes, int]) -> np.ndarray:
-    """Numbers of core words, -1 for all others."""
-    return np.fromiter(map(core.get, found, repeat(-1)), np.int64, len(found))
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over all training documents, combined inside each task before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
-            held.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(tokens_of(text))
-                if len(held) > 500_000:
+#: Tokens of a batch.
+BATCH_TOKENS = 1_000_000
+#: About so many n-grams of batches meet in a part of the table.
+PART_RECORDS = 1_000_000
+#: Weight of the shorter history, in counts, for histories of one and of two words.
+STRENGTH = (300.0, 5.0)
+SPARE_BITS = 12
+#: Words of a long text that are traversed in one run.
+RUN = 512
+#: The end token's key; no word holds a space.
+END_KEY = np.uint64(hash_word(b"</s> "))
+BATCH = "batch long, doc_id array<long>, trained array<boolean>, lengths array<long>, ids binary, words binary"
+
+
+def token_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """Keys of the tokens of every text; bytes.lower() changes A-Z alone."""
+    return [np.append(h, END_KEY) for h in text_hashes(texts, bytes.lower)]
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Unsigned numbers as compressed byte planes, as many as the largest needs."""
+    planes = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    rows = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T)
+    return bytes([planes]) + zstandard.ZstdCompressor(level=1).compress(rows.tobytes())
+
+
+def unpack_numbers(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u8")[:, 0]
+
+
+def batches_of(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """Texts in batches (``BATCH``): word numbers in text order, and the words' keys. ``docs``: doc_id, text, trained."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, at, held, size = TaskContext.get().partitionId(), 0, 0, most or BATCH_TOKENS
+        parts, rows = [], []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal at
+            found, first, ids, times = np.unique(np.concatenate(parts), return_index=True, return_inverse=True, return_counts=True)
+            often = np.lexsort((first, -times))  # common words get small numbers, which compress
+            rank = np.empty(len(often), np.int64)
+            rank[often] = np.arange(len(often))
+            doc_id, trained, lengths = zip(*rows, strict=True)
+            cols = [(task << 32) + at, doc_id, trained, lengths, pack_numbers(rank[ids]), found[often].tobytes()]
+            at += 1
+            parts.clear()
+            rows.clear()
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds, strict=True)], names=["batch", "doc_id", "trained", "lengths", "ids", "words"])
+
+        for batch in (part for whole in batches for part in bounded_batches(whole)):
+            texts = token_hashes(batch.column("text").to_pylist())
+            for doc_id, trained, found in zip(batch.column("doc_id").to_pylist(), batch.column("trained").to_pylist(), texts, strict=True):
+                parts.append(found)
+                rows.append((doc_id, trained, len(found)))
+                held += len(found)
+                if held >= size:
                     yield flush()
-        if held:
+                    held = 0
+        if rows:
             yield flush()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def hash_token(raw: bytes) -> int:
-    """What Spark's xxhash64 gives for a binary column, unsigned."""
-    return xxhash.xxh64_intdigest(raw, 42)
-
-
-def _xxhash(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    turned = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
-    h = (seed + _P5 + np.uint64(8)) ^ (turned(x * _P2, 31) * _P1)
-    h = turned(h, 27) * _P1 + _P4
-    h = (h ^ (h >> np.uint64(33))) * _P2
-    h = (h ^ (h >> np.uint64(29))) * _P3
-    return h ^ (h >> np.uint64(32))
-
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "trained").mapInArrow(run, BATCH)
 
-def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of two long columns: a bigram's key from its words' hashes, a trigram's from its bigrams' keys."""
-    return _xxhash(b, _xxhash(a, np.full(len(a), 42, np.uint64)))
 
+class Grams:
+    """The distinct n-grams of a batch and where they stand.
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(size, a, b, c): counts of all bigrams (a, b: hashes of their words) and trigrams (keys of their bigrams)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = kept("token hashes", lambda: WordCache(hash_token))
-        parts, room = [], 0
-
-        def flush():
-            words, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])[:-1]
-            parts.clear()
-            inner = np.ones(max(len(words) - 1, 0), bool)
-            inner[ends - 1] = False  # no n-gram crosses texts
-            a, b = words[:-1], words[1:]
-            for size in (2, 3):
-                keys = pair_keys(a, b)
-                _, at, n = np.unique(keys[inner], return_index=True, return_counts=True)
-                cols = [np.full(len(n), size, np.int8), a[inner][at].view(np.int64), b[inner][at].view(np.int64), n.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["size", "a", "b", "c"])
-                a, b, inner = keys[:-1], keys[1:], inner[:-1] & inner[1:]
+    ``pairs``: codes first * V + last by local number; ``threes``: codes pair * V + last. ``order`` sorts the keys of
+    pairs and threes together, ``keys`` is that order. ``counts1`` and ``counts`` (in the order of ``keys``) count the trained texts.
+    """
 
+    def __init__(self, ids: bytes, words: bytes, lengths: np.ndarray, trained: np.ndarray, bits: int):
+        self.ids, self.words = unpack_numbers(ids).astype(np.int64), np.frombuffer(words, np.uint64)
+        v, t = len(self.words), self.ids
+        own = np.repeat(np.arange(len(lengths)), lengths)
+        counted = trained[own]
+        self.lengths, self.own = lengths, own
+        self.counts1 = np.bincount(t[counted], minlength=v)
+        inner = own[1:] == own[:-1]
+        self.pairs, pair = np.unique((t[:-1] * v + t[1:])[inner], return_inverse=True)
+        at = self.pair_at = np.zeros(len(t), np.int64)  # the pair that ends at a place; 0 where none does, which fits no state there
+        at[1:][inner] = pair
+        deep = inner[1:] & inner[:-1]
+        self.threes, three = np.unique((at[1:-1] * v + t[2:])[deep], return_inverse=True)
+        self.three_at = np.zeros(len(t), np.int64)
+        self.three_at[2:][deep] = three
+        self.last = np.empty(len(self.threes), np.int64)  # the pair that a three ends with
+        self.last[three] = at[2:][deep]
+        counts2 = np.bincount(pair[counted[1:][inner]], minlength=len(self.pairs))
+        counts3 = np.bincount(three[counted[2:][deep]], minlength=len(self.threes))
+        join = lambda a, b, n: mix(mix(a * np.uint64(0x9E3779B97F4A7C15) + b) + np.uint64(n))
+        two = join(self.words[self.pairs // v], self.words[self.pairs % v], 2)
+        keys = np.concatenate([two, join(two[self.threes // v], self.words[self.threes % v], 3)]) >> np.uint64(64 - bits)
+        self.order = np.argsort(keys)
+        self.keys, self.counts = keys[self.order], np.concatenate([counts2, counts3])[self.order]
+
+
+def _grams(row: dict, bits: int) -> Grams:
+    return Grams(row["ids"], row["words"], np.array(row["lengths"], np.int64), np.array(row["trained"], bool), bits)
+
+
+def questions(table: DataFrame, what: str, bits: int, parts: int) -> DataFrame:
+    """(batch, part, keys, counts): what each batch counted of its words or longer n-grams, by key range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = tokens_of(text)
-                parts.append(np.fromiter(map(cache.__getitem__, found), np.uint64, len(found)))
-                room += len(found)
-                if room > 2_000_000:
-                    yield from flush()
-                    room = 0
-        if parts:
-            yield from flush()
+            for row in batch.to_pylist():
+                if what == "words":
+                    words = np.frombuffer(row["words"], np.uint64)
+                    order = np.argsort(words)
+                    ids = unpack_numbers(row["ids"]).astype(np.int64)
+                    counts = np.bincount(ids[np.repeat(np.array(row["trained"], bool), row["lengths"])], minlength=len(words))
+                    keys, counts = words[order], counts[order]
+                else:
+                    grams = _grams(row, bits)
+                    keys, counts = grams.keys, grams.counts
+                shift = np.uint64(bits - parts.bit_length() + 1)
+                at = np.searchsorted(keys >> shift if parts > 1 else np.zeros(len(keys), np.uint64), np.arange(parts + 1, dtype=np.uint64))
+                out = []
+                for p in range(parts):
+                    part = keys[at[p] : at[p + 1]]
+                    if len(part):
+                        steps = np.diff(part, prepend=np.uint64((p << int(shift)) if parts > 1 else 0))
+                        out.append((row["batch"], p, pack_numbers(steps), pack_numbers(counts[at[p] : at[p + 1]])))
+                if out:
+                    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["batch", "part", "keys", "counts"])
+
+    wanted = table if what != "words" else table.select("batch", "trained", "lengths", "ids", "words")
+    return wanted.mapInArrow(run, "batch long, part long, keys binary, counts binary")
+
+
+def answers(asked: DataFrame, bits: int, parts: int) -> DataFrame:
+    """(batch, part, counts, seen): for every question, the counts over all batches; one row a part says how many keys occur."""
+    shift = bits - parts.bit_length() + 1
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("batch")
+        part = table.column("part")[0].as_py()
+        start = np.uint64((part << shift) if parts > 1 else 0)
+        keys = [start + np.cumsum(unpack_numbers(x)) for x in table.column("keys").to_pylist()]
+        own = np.concatenate([unpack_numbers(x) for x in table.column("counts").to_pylist()])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(at, weights=own).astype(np.int64)
+        ends = np.cumsum([len(k) for k in keys])
+        out = [pack_numbers(sums[at[e - len(k) : e]]) for k, e in zip(keys, ends.tolist(), strict=True)]
+        seen = [int((sums > 0).sum())] + [0] * (len(keys) - 1)
+        return pa.table({"batch": table.column("batch"), "part": table.column("part"), "counts": pa.array(out, pa.binary()), "seen": pa.array(seen, pa.int64())})
+
+    return asked.groupBy("part").applyInArrow(run, "batch long, part long, counts binary, seen long")
+
+
+class Automaton:
+    """A batch's automaton. States: 0 the empty history, 1 + w a word, 1 + V + p a pair.
+
+    Arcs are numbered as words, pairs and threes are, one after another: ``source`` (-1 where the n-gram does not occur in
+    training), ``weight`` (log10) and ``target`` by arc, ``back`` and ``fail`` by state.
+    """
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "size byte, a long, b long, c long")
-    return rows.groupBy("size", "a", "b").agg(F.sum("c").alias("c"))
+    def __init__(self, grams: Grams, counts1: np.ndarray, counts: np.ndarray, total: int, vocab: int, strength: tuple = STRENGTH):
+        v, pairs, threes = len(grams.words), grams.pairs, grams.threes
+        plain = np.empty_like(counts)
+        plain[grams.order] = counts
+        c2, c3 = plain[: len(pairs)], plain[len(pairs) :]
+        k2, k3 = strength
+        a, b = pairs // v, pairs % v
+        first = threes // v
+        p1 = (counts1 + 1.0) / (total + vocab + 1.0)
+        p2 = (c2 + k2 * p1[b]) / (counts1[a] + k2)
+        p3 = (c3 + k3 * p2[grams.last]) / (c2[first] + k3)
+        self.deep = np.array([1, 1 + v])  # the first states of one and of two words
+        self.source = np.concatenate([np.zeros(v, np.int64), np.where(c2 > 0, 1 + a, -1), np.where(c3 > 0, 1 + v + first, -1)])
+        self.weight = np.log10(np.concatenate([p1, p2, p3]))
+        self.target = np.concatenate([np.where(counts1 > 0, 1 + np.arange(v), 0), 1 + v + np.arange(len(pairs)), 1 + v + grams.last])
+        self.back = np.log10(np.concatenate([[1.0], k2 / (counts1 + k2), k3 / (c2 + k3)]))
+        self.fail = np.concatenate([np.zeros(1 + v, np.int64), 1 + b])
+        # the arc that each place would take from a state of no, one or two words
+        self.arcs = np.stack([grams.ids, grams.pair_at + v, grams.three_at + v + len(pairs)])
+
+    def step(self, states: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 weights, next states) of one step from each state by the word at its place, along failure arcs until an arc fits."""
+        at = self.arcs[np.searchsorted(self.deep, states, "right"), places]
+        miss = np.flatnonzero(self.source[at] != states)
+        weights, after = self.weight[at], self.target[at]
+        if len(miss):
+            lower, after[miss] = self.step(self.fail[states[miss]], places[miss])  # the empty history has an arc for every word
+            weights[miss] = self.back[states[miss]] + lower
+        return weights, after
+
+    def traverse(self, lengths: np.ndarray, run: int = RUN) -> np.ndarray:
+        """log10 weights of the texts, walked left to right side by side; runs of a long text start early to have their state."""
+        pieces = np.maximum(1, -(-lengths // run))
+        text = np.repeat(np.arange(len(lengths)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        early = np.minimum(2, nth * run)
+        begin = (np.cumsum(lengths) - lengths)[text] + nth * run - early
+        steps = np.minimum(run, lengths[text] - nth * run) + early
+        order = np.argsort(-steps, kind="stable")
+        begin, early, steps = begin[order], early[order], steps[order]
+        states, sums = np.zeros(len(order), np.int64), np.zeros(len(order))
+        for t in range(int(steps[0]) if len(steps) else 0):
+            n = int(np.searchsorted(-steps, -t))  # those with more than t steps
+            weights, states[:n] = self.step(states[:n], begin[:n] + t)
+            sums[:n] += weights if t >= 2 else np.where(early[:n] <= t, weights, 0.0)
+        return np.bincount(text[order], weights=sums, minlength=len(lengths))
+
+
+def scored(table: DataFrame, words: DataFrame, grams: DataFrame, bits: int, total: int, vocab: int) -> DataFrame:
+    """(doc_id, trained, n_tokens, n_known, base_score, score) of every text, batch by batch."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("kind", "ascending"), ("part", "ascending")])
+        row = rows.slice(0, 1).to_pylist()[0]
+        kinds, blobs = rows.column("kind").to_pylist(), rows.column("counts").to_pylist()
+        got = [[unpack_numbers(x) for k, x in zip(kinds, blobs, strict=True) if k == kind] for kind in (1, 2)]
+        held = _grams(row, bits)
+        counts1 = np.empty(len(held.words), np.int64)
+        counts1[np.argsort(held.words)] = np.concatenate(got[0])
+        counts = np.concatenate(got[1]).astype(np.int64) if got[1] else np.empty(0, np.int64)
+        known, n = counts1[held.ids] > 0, len(held.lengths)
+        base = np.log10((counts1 + 1.0) / (total + vocab + 1.0))
+        walked = Automaton(held, counts1, counts, total, vocab).traverse(held.lengths)
+        return pa.table(
+            {
+                "doc_id": pa.array(row["doc_id"], pa.int64()),
+                "trained": pa.array(row["trained"], pa.bool_()),
+                "n_tokens": held.lengths,
+                "n_known": np.bincount(held.own[known], minlength=n),
+                "base_score": np.bincount(held.own, weights=base[held.ids], minlength=n),
+                "score": walked,
+            }
+        )
 
+    none = F.lit(None)
+    texts = table.select("batch", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), none.cast("binary").alias("counts"), "doc_id", "trained", "lengths", "ids", "words")
+    answer = lambda df, kind: df.select("batch", F.lit(kind).alias("kind"), "part", "counts", *[none.cast(texts.schema[c].dataType).alias(c) for c in texts.columns[4:]])
+    rows = texts.unionAll(answer(words, 1)).unionAll(answer(grams, 2))
+    return rows.groupBy("batch").applyInArrow(run, "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double")
 
-def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in a sorted table, -1 where absent."""
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
 
+def parts_for(records: float) -> int:
+    """A power of two, so that a part has about PART_RECORDS."""
+    return 1 << max(0, math.ceil(math.log2(max(1.0, records) / PART_RECORDS)))
 
-def gram_tables(docs: DataFrame, words: DataFrame, total: int, vocab: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables of the whole model: histories of one word (a, n, back1), bigrams and trigrams.
 
-    Bigrams: (k, a, b, c, arc1, back1, arc2, back2); trigrams: (k, a, b, c, low, arc3, back2), ``low`` the last bigram's
-    arc. Weights are log10; ``back`` is that of a failure arc.
-    """
-    one = cut(words.select(F.xxhash64("word").alias("h"), "c"), "one")
-    grams = cut(gram_counts(docs).where(F.col("c") >= LEAST).withColumn("k", F.xxhash64("a", "b")), "grams")
-    left = lambda mass: F.greatest(F.lit(1.0) - mass, F.lit(1e-9))
-    mass, arc = F.sum(F.col("c") - DISCOUNT).alias("mass"), lambda n: F.log10((F.col("c") - DISCOUNT) / F.col(n))
-    p1 = (F.col("c") + 1.0) / F.lit(float(total + vocab + 1))
-    two = grams.where("size = 2").join(small_side(one).select(F.col("h").alias("b"), p1.alias("p1")), "b")
-    after1 = two.groupBy("a").agg(mass, F.sum("p1").alias("below")).join(one.select(F.col("h").alias("a"), F.col("c").alias("n")), "a")
-    after1 = cut(after1.select("a", "n", F.log10(left(F.col("mass") / F.col("n")) / left(F.col("below"))).alias("back1")), "after1")
-    two = two.join(small_side(after1), "a").select("k", "a", "b", "c", F.log10("p1").alias("arc1"), "back1", arc("n").alias("arc2"))
-    two = cut(two, "two")
-    three = grams.where("size = 3").join(two.select(F.col("k").alias("b"), F.col("arc2").alias("low")), "b")
-    three = cut(three.select("k", "a", "b", "c", "low"), "three")
-    after2 = three.groupBy("a").agg(mass, F.sum(F.pow(F.lit(10.0), "low")).alias("below"))
-    after2 = after2.join(two.select(F.col("k").alias("a"), F.col("c").alias("n")), "a")
-    after2 = cut(after2.select("a", "n", F.log10(left(F.col("mass") / F.col("n")) / left(F.col("below"))).alias("back2")), "after2")
-    back2 = after2.select(F.col("a").alias("k"), "back2")
-    two = cut(two.join(back2, "k", "left").withColumn("back2", F.coalesce("back2", F.lit(0.0))), "bigrams")
-    three = cut(three.join(after2, "a").select("k", "a", "b", "c", "low", arc("n").alias("arc3"), "back2"), "trigrams")
-    return after1, two, three
-
-
-def build_automaton(core: dict[bytes, int], p1: np.ndarray, back1: np.ndarray, two: tuple, three: tuple) -> dict:
-    """States: 0 the empty history, 1 + w a core word, 1 + V + b a hot bigram.
-
-    ``two``: keys, words' hashes, arc and failure weights of the hot bigrams; ``three``: their keys of first and last
-    bigram and arc weights of the hot trigrams. Arc arrays give, for each key (the history's number times the number
-    of core words, plus the word), the log10 weight and the next state; ``back`` the failure weight by state.
-    """
-    size = len(core)
-    hashes = np.fromiter(map(hash_token, core), np.uint64, size).view(np.int64)
-    by_hash = np.argsort(hashes)
-    keys, a, b, arc2, back2 = two
-    h2, w2 = (by_hash[np.searchsorted(hashes[by_hash], x)] if size else x for x in (a, b))
-    order = np.argsort(h2 * size + w2)
-    keys, h2, w2, arc2, back2 = (x[order] for x in (keys, h2, w2, arc2, back2))
-    by_key = np.argsort(keys)
-    a, b, arc3 = three
-    first, last = (by_key[np.searchsorted(keys[by_key], x)] if len(keys) else x for x in (a, b))
-    keys3 = first * size + (w2[last] if len(keys) else last)
-    order = np.argsort(keys3)
-    return {
-        "core": core,
-        "hashes": hashes.view(np.uint64),
-        "arc1": np.log10(p1),
-        "keys2": h2 * size + w2,
-        "arc2": arc2,
-        "keys3": keys3[order],
-        "arc3": arc3[order],
-        "after3": 1 + size + last[order],
-        "back": np.concatenate([[0.0], back1, back2]),
-        "fail": np.concatenate([[0], np.zeros(size, np.int64), 1 + w2]),
-    }
-
-
-def step(parts: dict, state: int, word: int) -> tuple[float, int]:
-    """One step of the automaton: (log10 weight, next state). A word of -1 has no arc: it leaves for the empty history."""
-    size, weight = len(parts["core"]), 0.0
-    while True:
-        if word >= 0 and state == 0:
-            return weight + parts["arc1"][word], 1 + word
-        if word >= 0 and state <= size:
-            at = lookup(parts["keys2"], np.array([(state - 1) * size + word]))[0]
-            if at >= 0:
-                return weight + parts["arc2"][at], 1 + size + at
-        elif word >= 0:
-            at = lookup(parts["keys3"], np.array([(state - 1 - size) * size + word]))[0]
-            if at >= 0:
-                return weight + parts["arc3"][at], parts["after3"][at]
-        elif state == 0:
-            return weight, 0
-        weight, state = weight + parts["back"][state], parts["fail"][state]
-
-
-def hot_arcs(parts: dict, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the hot bigram and trigram that end at each word, -1 where there is none.
-
-    The state before a word is the longest history that is a state, so it follows from the two words before; arcs are
-    found for all places at once.
-    """
-    size = len(parts["core"])
-    word, before = t >= 0, np.concatenate([[-1], t[:-1]])
-    pair = np.where(word & (before >= 0), lookup(parts["keys2"], before * size + t), -1)
-    deep = np.concatenate([[-1], pair[:-1]])  # the bigram state before the word
-    return pair, np.where(word & (deep >= 0), lookup(parts["keys3"], deep * size + t), -1)
-
-
-def traverse(parts: dict, t: np.ndarray, arcs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Weights of all steps of one left-to-right traversal, the same as repeated ``step``."""
-    size = len(parts["core"])
-    pair, three = arcs or hot_arcs(parts, t)
-    word, before, deep = t >= 0, np.concatenate([[-1], t[:-1]]), np.concatenate([[-1], pair[:-1]])
-    weight = np.where(word, parts["arc1"][t] if size else 0.0, 0.0)
-    weight = weight + np.where(before >= 0, parts["back"][1 + before], 0.0)
-    if len(parts["keys2"]):
-        weight = np.where(pair >= 0, parts["arc2"][pair], weight)
-        weight = weight + np.where(deep >= 0, parts["back"][1 + size + deep], 0.0)
-    if len(parts["keys3"]):
-        weight = np.where(three >= 0, parts["arc3"][three], weight)
-    return weight
-
-
-def fit(docs: DataFrame, words: DataFrame) -> dict:
-    """The hot automaton from the training documents and their word table, and the tables of all else.
-
-    ``after1``: (a, n, back1) by word hash; ``grams``: (k, value), what an occurrence of any other kept n-gram adds.
-    """
-    sums = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).head()
-    total, vocab = sums["n"] or 0, sums["v"]
-    after1, two, three = gram_tables(docs, words, total, vocab)
-    least = max(LEAST, math.ceil(CORE_SHARE * total))
-    core = words.where(F.col("c") >= least).withColumn("a", F.xxhash64("word")).join(after1, "a", "left")
-    rows = core.orderBy(F.desc("c"), "word").select("word", "c", F.coalesce("back1", F.lit(0.0)).alias("back1")).collect()  # at most 1 / CORE_SHARE
-    p1 = (np.array([r["c"] for r in rows], np.float64) + 1) / (total + vocab + 1)
-    hot = max(LEAST, math.ceil(GRAM_SHARE * total))
-
-    def arrays(df: DataFrame, *cols: str) -> tuple:
-        got = df.where(F.col("c") >= hot).select(*cols).toPandas()  # at most 1 / GRAM_SHARE
-        return tuple(got[c].to_numpy(np.float64 if c[:3] in ("arc", "bac") else np.int64) for c in cols)
-
-    parts = build_automaton(
-        {r["word"]: i for i, r in enumerate(rows)},
-        p1,
-        np.array([r["back1"] for r in rows], np.float64),
-        arrays(two, "k", "a", "b", "arc2", "back2"),
-        arrays(three, "a", "b", "arc3"),
-    )
-    cold2 = two.where(F.col("c") < hot).select("k", F.expr("arc2 - back1 - arc1 + back2").alias("value"))
-    cold3 = three.where(F.col("c") < hot).select("k", F.expr("arc3 - back2 - low").alias("value"))
-    return parts | {"total": total, "vocab": vocab, "after1": after1, "grams": cold2.unionAll(cold3)}
-
-
-def score(docs: DataFrame, words: DataFrame, parts: dict) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every row."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast({k: v for k, v in parts.items() if not isinstance(v, DataFrame)})
-    total, vocab = parts["total"], parts["vocab"]
-
-    def run(batch):
-        parts, out = held.value, []
-        for text in batch.column("text").to_pylist():
-            found = tokens_of(text)
-            t = token_ids(found, parts["core"])
-            at = np.flatnonzero(t < 0)
-            others = list(map(found.__getitem__, at.tolist()))
-            rare = Counter(others)
-            known = t[t >= 0]
-            arcs = hot_arcs(parts, t)
-            h = parts["hashes"][t] if len(parts["hashes"]) else np.zeros(len(t), np.uint64)
-            h[at] = np.fromiter(map(hash_token, others), np.uint64, len(at))
-            two = pair_keys(h[:-1], h[1:])
-            cold = np.concatenate([two[arcs[0][1:] < 0], pair_keys(two[:-1], two[1:])[arcs[1][2:] < 0]]).view(np.int64)
-            out.append((len(found), len(known), parts["arc1"][known].sum(), traverse(parts, t, arcs).sum(), [*rare], [*rare.values()], cold))
-        cols = zip(*out, strict=True)
-        return {"doc_id": batch.column("doc_id")} | dict(zip(("n_tokens", "core", "base", "walk", "rare", "tf", "cold"), cols, strict=True))
-
-    walked = arrow_map(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
-        run,
-        "doc_id long, n_tokens long, core long, base double, walk double, rare array<binary>, tf array<long>, cold array<long>",
-    )
-    walked = cut(walked, "walked").withColumn("row", F.monotonically_increasing_id())
-    pairs = walked.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.tf").alias("tf"))
-    log_p = F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(float(total + vocab + 1)))
-    table = words.withColumn("a", F.xxhash64("word")).join(small_side(parts["after1"]), "a", "left").select("word", "c", "back1")
-    sums = (
-        pairs.join(table, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("tf") * log_p).alias("added"),
-            F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more"),
-            F.sum(F.col("tf") * F.coalesce("back1", F.lit(0.0))).alias("left"),
-        )
-    )
-    deeper = walked.select("row", F.explode("cold").alias("k")).join(parts["grams"], "k").groupBy("row").agg(F.sum("value").alias("deeper"))
-    or_0 = lambda c: F.coalesce(c, F.lit(0.0))
-    return walked.drop("rare", "tf", "cold").join(sums, "row", "left").join(deeper, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("core") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        (F.col("base") + or_0("added")).alias("base_score"),
-        (F.col("walk") + or_0("added") + or_0("left") + or_0("deeper")).alias("score"),
+def language_model(docs: DataFrame, trained: Column) -> DataFrame:
+    """(doc_id, trained, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from those with ``trained``."""
+    table = cut(batches_of(docs.withColumn("trained", trained)), "batches")
+    sizes = table.select(F.explode(F.arrays_zip("lengths", "trained")).alias("x"), F.lit(0).alias("w")).agg(
+        F.sum("x.lengths").alias("all"), F.sum(F.when(F.col("x.trained"), F.col("x.lengths"))).alias("total")
     )
+    size, total = (x or 0 for x in sizes.head())
+    distinct = table.agg(F.sum(F.octet_length("words") / 8)).head()[0] or 0
+    parts = parts_for(distinct)
+    words = cut(answers(questions(table, "words", 64, parts), 64, parts), "word-counts")
+    vocab = words.agg(F.sum("seen")).head()[0] or 0
+    bits = min(64, max(1, size).bit_length() + 2 + SPARE_BITS)
+    parts = parts_for(2 * size)
+    grams = answers(questions(table, "grams", bits, parts), bits, parts)
+    return scored(table, words, grams, bits, total, vocab).withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def op8_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    training = docs.where(~fold(F.col("doc_id"), *HELD))
-    words = cut(word_counts(training), "words")
-    parts = fit(training, words)
-    return score(docs, words, parts).select(
-        "doc_id",
-        fold(F.col("doc_id"), *HELD).alias("held_out"),
-        "n_tokens",
-        "n_known",
-        F.lit(parts["total"]).cast("long").alias("train_tokens"),
-        "base_score",
-        "score",
-    )
+    got = language_model(docs, ~fold(F.col("doc_id"), *HELD))
+    return got.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
