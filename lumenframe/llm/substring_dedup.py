@@ -1,27 +1,30 @@
 """Operator 6: substring deduplication by repeated-phrase automata.
 
-A window is WINDOW consecutive words. Each window has an anchor: of its phrases
+A window is WINDOW consecutive words; what is removed are the words covered by a
+window that starts anywhere else too. Each window has an anchor: of its phrases
 (PHRASE consecutive words) the one with the least hash, so equal windows have
 equal anchors. The steps:
 
-1. Every text emits its anchors; those that occur once anywhere are dropped.
-2. Documents with recurring anchors are taken in shards; a shard's recurring
-   phrases are compiled into an Aho-Corasick automaton over word numbers, and its
-   documents are streamed through it to locate every occurrence of a phrase.
-   Windows with a located anchor are candidates.
-3. Candidate windows are counted over the whole corpus. One that starts only once
-   carries its own place, which comes back to its document; all others recur,
-   and the words that they cover are removed.
-
-Only hashes, places and the texts of documents with recurring anchors are
-shuffled. Texts that are there twice as a whole count once per task with
-weight two, and all their words go. Hot anchors and windows are combined inside
-the tasks before any shuffle.
+1. Every text emits its anchors; those that occur once anywhere are dropped, and
+   with them all windows that cannot recur.
+2. The windows with a recurring anchor are counted over the whole corpus. Those
+   found twice are confirmed, and each gets one place to stand for it. Blocks of
+   such places, with their words, are the table of recurring passages.
+3. Documents with confirmed windows are dealt to shards. A shard takes the
+   passages that its documents need from the table, compiles their windows into
+   an Aho-Corasick automaton over word numbers, and streams its documents through
+   it. Every occurrence that it locates, word by word, covers words to remove.
+
+A document without a confirmed window holds no occurrence and is not streamed.
+Texts that are there twice as a whole count once per task with weight two, and
+all their words go. Hot anchors and windows are combined inside the tasks before
+any shuffle, and joins on them are split by rows.
 
 Edge cases: a null or empty text has no words and keeps none; texts shorter than
 a window keep all words; null or repeated ids need no care, for texts are
-matched by content; repeated rows are copies of each other; other columns pass
-through ``remove_repeats`` unless they are named in ``ADDED``.
+matched by content; repeated rows are copies of each other; very long texts are
+hashed in slices and may be a shard of their own; other columns pass through
+``remove_repeats`` unless they are named in ``ADDED``.
 """
 
 from __future__ import annotations
@@ -36,13 +39,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import WordCache, byte_words, cut, hash_word, hash_words, kept, mix, read_table, small_side
+from .common import bounded_batches, byte_words, cut, mix, read_table, small_side, text_hashes
 
 WINDOW = 35
 PHRASE = 18
 ADDED = ["kept", "n_words", "n_removed"]
-#: Words of documents that share an automaton (a longer document has its own).
-SHARD_WORDS = 300_000
+#: About so many words of documents share an automaton; each adds at most WINDOW nodes.
+SHARD_WORDS = 30_000
+#: Places of a passage block.
+BLOCK = 64
+#: Rows of one window or passage are dealt to so many tasks.
+SALTS = 32
+#: Bytes of text hashed at a time.
+TEXT_BYTES = 4 << 20
+_TEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -71,16 +81,24 @@ def window_minima(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def phrases_and_anchors(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase hash by place, anchor by window start); both empty for a text shorter than a window."""
-    if len(h) < window:
-        return h[:0], h[:0]
-    p = run_hashes(h, phrase)
-    return p, window_minima(p, window - phrase + 1)
+class Hashed:
+    """The words of several texts one after another: ``h`` their hashes, ``text`` whose each is, ``begin`` where texts begin.
 
+    ``phrases`` and ``anchors`` are by place and marked with their text, so that they are told apart between texts.
+    """
 
-def _hash_cache() -> WordCache:
-    return kept("word hashes", lambda: WordCache(hash_word))
+    def __init__(self, texts: list[str | None], window: int, phrase: int):
+        found = text_hashes(texts)
+        self.begin = np.cumsum([0] + [len(x) for x in found])
+        self.h = np.concatenate(found)
+        self.text = np.repeat(np.arange(len(found), dtype=np.uint64), np.diff(self.begin))
+        p = run_hashes(self.h, phrase)
+        a = window_minima(p, window - phrase + 1) if len(self.h) >= window else p[:0]
+        own = self.text[: len(p)] == self.text[phrase - 1 :] if len(p) else np.zeros(0, bool)
+        self.phrases = (p + self.text[: len(p)] * _TEXT)[own]
+        self.starts = np.flatnonzero(self.text[: len(a)] == self.text[window - 1 :]) if len(a) else np.zeros(0, np.int64)
+        self.plain = a[self.starts]
+        self.anchors = self.plain + self.text[self.starts] * _TEXT
 
 
 def anchor_rows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -88,86 +106,126 @@ def anchor_rows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}
-        for batch in batches:
-            out = []
-            for k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
-                times = seen[k1, k2] = seen.get((k1, k2), 0) + 1
-                if times > 2:  # two occurrences already make each of its windows recur
+        for batch in (part for whole in batches for part in bounded_batches(whole, TEXT_BYTES)):
+            keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True))
+            fresh = []
+            for i, key in enumerate(keys):
+                times = seen[key] = seen.get(key, 0) + 1
+                if times <= 2:  # two occurrences already make each of its windows recur
+                    fresh.append(i)
+            if not fresh:
+                continue
+            batch = batch.take(pa.array(fresh))
+            got = Hashed(batch.column("text").to_pylist(), window, phrase)
+            if not len(got.starts):
+                continue
+            new = np.concatenate([[True], got.anchors[1:] != got.anchors[:-1]])
+            found, at = np.unique(got.anchors[new], return_index=True)
+            times = np.sort(got.phrases)
+            c = np.searchsorted(times, found, "right") - np.searchsorted(times, found)
+            text = got.text[got.starts[new][at]].astype(np.int64)
+            k1, k2 = (batch.column(k).to_numpy()[text] for k in ("k1", "k2"))
+            cols = [k1, k2, got.plain[new][at].view(np.int64), c]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["k1", "k2", "anchor", "c"])
+
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, anchor long, c long")
+
+
+def candidate_windows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(k1, k2, weight, text, n, starts, windows) per text: the windows with a recurring anchor. ``docs``: k1, k2, text, copies, anchors."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in (part for whole in batches for part in bounded_batches(whole, TEXT_BYTES)):
+            rows = []
+            for row in batch.to_pylist():
+                key = row["k1"], row["k2"]
+                if row["copies"] > 1 and key in seen:  # a copy adds nothing to a text of weight two
                     continue
-                p, a = phrases_and_anchors(hash_words(byte_words(text), _hash_cache()), window, phrase)
-                if len(a):
-                    found = np.unique(a)
-                    p = np.sort(p)
-                    c = np.searchsorted(p, found, "right") - np.searchsorted(p, found)
-                    out.append((np.full(len(found), k1), np.full(len(found), k2), found.view(np.int64), c))
+                if row["copies"] > 1:
+                    seen.add(key)
+                rows.append(row)
+            if not rows:
+                continue
+            got = Hashed([r["text"] for r in rows], window, phrase)
+            known = [np.array(r["anchors"], np.int64).view(np.uint64) for r in rows]
+            known = np.sort(np.concatenate(known) + np.repeat(np.arange(len(rows), dtype=np.uint64), list(map(len, known))) * _TEXT)
+            at = np.minimum(np.searchsorted(known, got.anchors), len(known) - 1)
+            starts = got.starts[known[at] == got.anchors]
+            hashes = run_hashes(got.h, window)[starts].view(np.int64)
+            ends = np.searchsorted(starts, got.begin)
+            cols = zip(
+                *(
+                    (r["k1"], r["k2"], min(r["copies"], 2), r["text"], int(got.begin[i + 1] - got.begin[i]), starts[lo:hi] - got.begin[i], hashes[lo:hi])
+                    for i, (r, lo, hi) in enumerate(zip(rows, ends[:-1], ends[1:], strict=True))
+                ),
+                strict=True,
+            )
+            names = ["k1", "k2", "weight", "text", "n", "starts", "windows"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=names)
+
+    return docs.mapInArrow(run, "k1 long, k2 long, weight long, text string, n long, starts array<long>, windows array<long>")
+
+
+def passages_of(standing: DataFrame, window: int) -> DataFrame:
+    """(at_row, at_block, words, offsets): the words of every block of standing windows. ``standing``: row, text, at (their starts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in bounded_batches(whole, TEXT_BYTES)):
+            out = []
+            for row, text, at in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "at")), strict=True):
+                words, at = byte_words(text), np.sort(np.array(at, np.int64))
+                blocks, first = np.unique(at // BLOCK, return_index=True)
+                for block, part in zip(blocks.tolist(), np.split(at, first[1:]), strict=True):
+                    out.append((row, block, b" ".join(words[part[0] : part[-1] + window]), part - part[0]))
             if out:
-                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["k1", "k2", "anchor", "c"])
+                cols = zip(*out, strict=True)
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["at_row", "at_block", "words", "offsets"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, anchor long, c long")
+    return standing.mapInArrow(run, "at_row long, at_block long, words binary, offsets array<long>")
 
 
-def locate(texts: list[list[bytes]], recurring: list[np.ndarray], window: int, phrase: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(window starts, window hashes) of the candidates of one shard's texts, located by its automaton."""
+def compile_automaton(passages: list[tuple[bytes, list[int]]], window: int) -> tuple[ahocorasick.Automaton | None, dict[bytes, int]]:
+    """The automaton of the passages' windows, and the numbers of their words; 0 is any other word."""
     numbers: dict[bytes, int] = {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    held = []
-    for words, anchors in zip(texts, recurring, strict=True):
-        h = hash_words(words, _hash_cache())
-        p, a = phrases_and_anchors(h, window, phrase)
-        ids = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words)
-        for at in np.flatnonzero(np.isin(p, anchors)).tolist():
-            automaton.add_word(ids[at : at + phrase], 1)
-        held.append((h, p, a, ids))
+    for words, offsets in passages:
+        ids = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words.split())
+        for at in offsets:
+            automaton.add_word(ids[at : at + window], 1)
     if not len(automaton):
-        return [(np.empty(0, np.int64), np.empty(0, np.uint64)) for _ in texts]
+        return None, numbers
     automaton.make_automaton()
-    out = []
-    for h, p, a, ids in held:
-        ends = np.fromiter((end for end, _ in automaton.iter(ids)), np.int64)
-        starts = np.flatnonzero(np.isin(a, p[ends - phrase + 1])) if len(ends) and len(a) else np.empty(0, np.int64)
-        out.append((starts, run_hashes(h, window)[starts]))
-    return out
+    return automaton, numbers
 
 
-def candidate_windows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(k1, k2, weight, starts, windows) per text. ``docs``: k1, k2, text, copies, anchors."""
+def located(documents: DataFrame, passages: DataFrame, window: int) -> DataFrame:
+    """(k1, k2, starts): every occurrence of a passage's window in a document of its shard.
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        rows, size, seen = [], 0, set()
-        for batch in batches:
-            for k1, k2, text, copies, anchors in zip(
-                *(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "copies", "anchors")), strict=True
-            ):
-                if (k1, k2) in seen:  # a copy adds nothing to a text of weight two
-                    continue
-                if copies > 1:
-                    seen.add((k1, k2))
-                words = byte_words(text)
-                if rows and size + len(words) > SHARD_WORDS:
-                    yield rows
-                    rows, size = [], 0
-                rows.append((k1, k2, min(copies, 2), words, np.array(anchors, np.int64).view(np.uint64)))
-                size += len(words)
-        if rows:
-            yield rows
+    ``documents``: shard, k1, k2, text; ``passages``: shard, words, offsets.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in shards(batches):
-            k1, k2, weight, words, anchors = zip(*rows, strict=True)
-            found = locate(list(words), list(anchors), window, phrase)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(k1, pa.int64()),
-                    pa.array(k2, pa.int64()),
-                    pa.array(weight, pa.int64()),
-                    pa.array([s for s, _ in found], pa.list_(pa.int64())),
-                    pa.array([w.view(np.int64) for _, w in found], pa.list_(pa.int64())),
-                ],
-                names=["k1", "k2", "weight", "starts", "windows"],
-            )
+    def run(table: pa.Table) -> pa.Table:
+        own = table.column("offsets").is_null().to_pylist()
+        words, offsets = table.column("words").to_pylist(), table.column("offsets").to_pylist()
+        automaton, numbers = compile_automaton([(w, o) for w, o, doc in zip(words, offsets, own, strict=True) if not doc], window)
+        out = []
+        for k1, k2, text, doc in zip(table.column("k1").to_pylist(), table.column("k2").to_pylist(), words, own, strict=True):
+            if doc and automaton:
+                ids = tuple(numbers.get(w, 0) for w in text.split())
+                starts = [end - window + 1 for end, _ in automaton.iter(ids)] if len(ids) >= window else []
+                if starts:
+                    out.append((k1, k2, starts))
+        cols = zip(*out, strict=True) if out else ([], [], [])
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["k1", "k2", "starts"])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, weight long, starts array<long>, windows array<long>")
+    none = F.lit(None)
+    texts = documents.select("shard", "k1", "k2", F.col("text").cast("binary").alias("words"), none.cast("array<bigint>").alias("offsets"))
+    phrases = passages.select("shard", none.cast("long").alias("k1"), none.cast("long").alias("k2"), "words", "offsets")
+    return texts.unionAll(phrases).groupBy("shard").applyInArrow(run, "k1 long, k2 long, starts array<long>")
 
 
 def covered_words(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -185,7 +243,7 @@ def _strip(docs: DataFrame, window: int) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded_batches(whole)):
             texts, n_words, n_removed = [], [], []
             for text, starts, copies in zip(
                 batch.column("_doc").field("text").to_pylist(), batch.column("_starts").to_pylist(), batch.column("_copies").to_pylist(), strict=True
@@ -223,17 +281,28 @@ def stripped(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Dat
     keys = small_side(by_text.select("k1", "k2"))
     some = plain.join(keys, ["k1", "k2"], "left_semi").join(by_text, ["k1", "k2"]).select("k1", "k2", "text", "copies", "anchors")
     windows = cut(candidate_windows(some, window, phrase), "windows").withColumn("row", F.monotonically_increasing_id())
-    places = windows.select("row", "weight", F.explode(F.arrays_zip("starts", "windows")).alias("w"))
-    single = (
-        places.groupBy(F.col("w.windows").alias("window"))
-        .agg(F.sum("weight").alias("n"), F.min("row").alias("row"), F.min("w.starts").alias("start"))
-        .where("n = 1")
+    places = windows.select("row", "weight", F.explode(F.arrays_zip("starts", "windows")).alias("w")).select(
+        "row", "weight", F.col("w.windows").alias("window"), F.col("w.starts").alias("start"), F.pmod("row", F.lit(SALTS)).alias("salt")
+    )
+    lone = F.col("weight") == 1
+    split = places.groupBy("window", "salt").agg(F.sum("weight").alias("n"), F.count(F.when(lone, 1)).alias("lone"), F.min(F.struct("row", "start")).alias("at"))
+    whole = split.groupBy("window").agg(F.sum("n").alias("n"), F.sum("lone").alias("lone"), F.min("at").alias("at"))
+    # windows of copied texts alone are no pattern: all words of those texts go
+    confirmed = cut(whole.where("n > 1 AND lone > 0").select("window", "at"), "confirmed")
+    standing = confirmed.groupBy(F.col("at.row").alias("row")).agg(F.collect_list("at.start").alias("at"))  # at most a text's windows
+    passages = cut(passages_of(windows.select("row", "text").join(standing, "row"), window), "passages")
+
+    single = places.where(lone).select("row", "window", "salt")
+    stands = single.select("window", "salt").distinct().join(confirmed, "window")
+    words = windows.where(lone).agg(F.sum("n")).head()[0] or 0
+    shard = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-words // SHARD_WORDS))))
+    needs = single.join(stands, ["window", "salt"]).select(
+        "row", shard.alias("shard"), F.col("at.row").alias("at_row"), F.floor(F.col("at.start") / BLOCK).alias("at_block")
     )
-    lone = single.groupBy("row").agg(F.collect_list("start").alias("lone"))  # at most a text's windows
-    repeats = windows.where("weight = 1").select("row", "k1", "k2", "starts").join(lone, "row", "left")
-    repeats = repeats.select(
-        "k1", "k2", F.array_except("starts", F.coalesce("lone", F.array().cast("array<bigint>"))).alias("_starts"), F.lit(1).cast("long").alias("_copies")
-    ).where("size(_starts) > 0")
+    needs = cut(needs.distinct(), "needs")
+    streamed = windows.join(small_side(needs.select("row").distinct()), "row", "left_semi").select(shard.alias("shard"), "k1", "k2", "text")
+    wanted = needs.select("shard", "at_row", "at_block").distinct().join(passages, ["at_row", "at_block"])
+    repeats = located(streamed, wanted, window).select("k1", "k2", F.col("starts").alias("_starts"), F.lit(1).cast("long").alias("_copies"))
     none = F.array().cast("array<bigint>")
     hits = cut(repeats.unionByName(copied.select("k1", "k2", none.alias("_starts"), F.col("copies").alias("_copies"))), "repeats")
 
