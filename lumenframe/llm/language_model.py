@@ -45,7 +45,7 @@ from .common import bounded_batches, cut, fold, hash_word, mix, read_table, text
 
 HELD = (7, 2)
 #: Tokens of a batch.
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 700_000
 #: About so many n-grams of batches meet in a part of the table.
 PART_RECORDS = 1_000_000
 #: Weight of the shorter history, in counts, for histories of one and of two words.
@@ -121,28 +121,30 @@ class Grams:
     """
 
     def __init__(self, ids: bytes, words: bytes, lengths: np.ndarray, trained: np.ndarray, bits: int):
-        self.ids, self.words = unpack_numbers(ids).astype(np.int64), np.frombuffer(words, np.uint64)
-        v, t = len(self.words), self.ids
-        own = np.repeat(np.arange(len(lengths)), lengths)
-        counted = trained[own]
-        self.lengths, self.own = lengths, own
-        self.counts1 = np.bincount(t[counted], minlength=v)
-        inner = own[1:] == own[:-1]
-        self.pairs, pair = np.unique((t[:-1] * v + t[1:])[inner], return_inverse=True)
-        at = self.pair_at = np.zeros(len(t), np.int64)  # the pair that ends at a place; 0 where none does, which fits no state there
-        at[1:][inner] = pair
+        t, self.words = unpack_numbers(ids).astype(np.int64), np.frombuffer(words, np.uint64)
+        v, n = len(self.words), len(t)
+        self.lengths, self.own = lengths, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        counted = trained[self.own]
+        self.ids, self.counts1 = t.astype(np.int32), np.bincount(t[counted], minlength=v)
+        inner = self.own[1:] == self.own[:-1]
+        self.pairs, found = np.unique((t[:-1] * v + t[1:])[inner], return_inverse=True)
+        self.pair_at = np.zeros(n, np.int32)  # the pair that ends at a place; 0 where none does, which fits no state there
+        self.pair_at[1:][inner] = found
+        counts2 = np.bincount(found[counted[1:][inner]], minlength=len(self.pairs))
         deep = inner[1:] & inner[:-1]
-        self.threes, three = np.unique((at[1:-1] * v + t[2:])[deep], return_inverse=True)
-        self.three_at = np.zeros(len(t), np.int64)
-        self.three_at[2:][deep] = three
-        self.last = np.empty(len(self.threes), np.int64)  # the pair that a three ends with
-        self.last[three] = at[2:][deep]
-        counts2 = np.bincount(pair[counted[1:][inner]], minlength=len(self.pairs))
-        counts3 = np.bincount(three[counted[2:][deep]], minlength=len(self.threes))
+        self.threes, found = np.unique((self.pair_at[1:-1] * np.int64(v) + t[2:])[deep], return_inverse=True)
+        self.three_at = np.zeros(n, np.int32)
+        self.three_at[2:][deep] = found
+        self.last = np.empty(len(self.threes), np.int32)  # the pair that a three ends with
+        self.last[found] = self.pair_at[2:][deep]
+        counts3 = np.bincount(found[counted[2:][deep]], minlength=len(self.threes))
+        del t, found, counted, inner, deep
         join = lambda a, b, n: mix(mix(a * np.uint64(0x9E3779B97F4A7C15) + b) + np.uint64(n))
         two = join(self.words[self.pairs // v], self.words[self.pairs % v], 2)
-        keys = np.concatenate([two, join(two[self.threes // v], self.words[self.threes % v], 3)]) >> np.uint64(64 - bits)
-        self.order = np.argsort(keys)
+        three = join(two[self.threes // v], self.words[self.threes % v], 3)
+        keys = np.concatenate([two, three]) >> np.uint64(64 - bits)
+        del two, three
+        self.order = np.argsort(keys).astype(np.int32)
         self.keys, self.counts = keys[self.order], np.concatenate([counts2, counts3])[self.order]
 
 
@@ -165,6 +167,7 @@ def questions(table: DataFrame, what: str, bits: int, parts: int) -> DataFrame:
                 else:
                     grams = _grams(row, bits)
                     keys, counts = grams.keys, grams.counts
+                    del grams
                 shift = np.uint64(bits - parts.bit_length() + 1)
                 at = np.searchsorted(keys >> shift if parts > 1 else np.zeros(len(keys), np.uint64), np.arange(parts + 1, dtype=np.uint64))
                 out = []
@@ -173,6 +176,7 @@ def questions(table: DataFrame, what: str, bits: int, parts: int) -> DataFrame:
                     if len(part):
                         steps = np.diff(part, prepend=np.uint64((p << int(shift)) if parts > 1 else 0))
                         out.append((row["batch"], p, pack_numbers(steps), pack_numbers(counts[at[p] : at[p + 1]])))
+                del keys, counts
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                     cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -221,13 +225,13 @@ class Automaton:
         p2 = (c2 + k2 * p1[b]) / (counts1[a] + k2)
         p3 = (c3 + k3 * p2[grams.last]) / (c2[first] + k3)
         self.deep = np.array([1, 1 + v])  # the first states of one and of two words
-        self.source = np.concatenate([np.zeros(v, np.int64), np.where(c2 > 0, 1 + a, -1), np.where(c3 > 0, 1 + v + first, -1)])
+        self.source = np.concatenate([np.zeros(v, np.int32), np.where(c2 > 0, 1 + a, -1), np.where(c3 > 0, 1 + v + first, -1)], dtype=np.int32, casting="unsafe")
         self.weight = np.log10(np.concatenate([p1, p2, p3]))
-        self.target = np.concatenate([np.where(counts1 > 0, 1 + np.arange(v), 0), 1 + v + np.arange(len(pairs)), 1 + v + grams.last])
+        self.target = np.concatenate([np.where(counts1 > 0, 1 + np.arange(v), 0), 1 + v + np.arange(len(pairs)), 1 + v + grams.last], dtype=np.int32, casting="unsafe")
         self.back = np.log10(np.concatenate([[1.0], k2 / (counts1 + k2), k3 / (c2 + k3)]))
-        self.fail = np.concatenate([np.zeros(1 + v, np.int64), 1 + b])
+        self.fail = np.concatenate([np.zeros(1 + v, np.int32), 1 + b], dtype=np.int32, casting="unsafe")
         # the arc that each place would take from a state of no, one or two words
-        self.arcs = np.stack([grams.ids, grams.pair_at + v, grams.three_at + v + len(pairs)])
+        self.arcs = np.stack([grams.ids, grams.pair_at + np.int32(v), grams.three_at + np.int32(v + len(pairs))])
 
     def step(self, states: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 weights, next states) of one step from each state by the word at its place, along failure arcs until an arc fits."""
@@ -249,7 +253,7 @@ class Automaton:
         steps = np.minimum(run, lengths[text] - nth * run) + early
         order = np.argsort(-steps, kind="stable")
         begin, early, steps = begin[order], early[order], steps[order]
-        states, sums = np.zeros(len(order), np.int64), np.zeros(len(order))
+        states, sums = np.zeros(len(order), np.int32), np.zeros(len(order))
         for t in range(int(steps[0]) if len(steps) else 0):
             n = int(np.searchsorted(-steps, -t))  # those with more than t steps
             weights, states[:n] = self.step(states[:n], begin[:n] + t)
