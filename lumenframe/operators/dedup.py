@@ -237,17 +237,27 @@ def flag_similar_records(df: DataFrame, id_col: str, pairs: DataFrame) -> DataFr
     return out.select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("group_id"), (F.coalesce("root", "id") != F.col("id")).alias("is_duplicate"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
+#: The edges of one node are dealt to so many tasks.
+SALTS = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(a, b, m): every edge with the least b of its a. The edges of a hub meet in parts; only their minima meet in one task."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = dealt.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"))
+    return dealt.join(parts.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, root) of all ends of edges (a, b): alternating large and small stars until an unchanged round."""
+    """(id, root) of all ends of edges (a, b), of any type with an order: alternating large and small stars until an unchanged round."""
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("b"))
-        small = large.join(low.withColumnRenamed("b", "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(small.unionAll(low).distinct(), "edges")
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = _with_least(large).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+        e = materialize(small.select("e.a", F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
         state = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).head())
         if state == before:
             return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
