@@ -1,23 +1,26 @@
 """Operator 10: n-gram Jaccard join by a MinHash LSH forest.
 
 A text is the set of its five-word shingles (a shorter text is one shingle, all
-its words). Documents with the same set are one class and go on as its
-smallest id. Every class has TREES min-wise signatures of DEPTH values; in each
-tree the signatures are the strings of a prefix trie, and two classes are
-candidates when they share a node at the matched depth. That is the longest at
-which a pair just at the threshold is found with the target probability, so no
-link depends on what else the table holds; every candidate is verified exactly.
-
-Nodes with more members than a block are dealt into pairs of blocks, so a node
-of any size becomes tasks of bounded size, and a task counts its links and
-returns one row per member, never the pairs. A pair is verified in the first
-tree that holds it. Components come from the members' local roots by
-alternating star steps.
+its words). Rows with the same set are one class. Every class has TREES min-wise
+signatures of DEPTH values; in each tree the signatures are the strings of a
+prefix trie, and two classes are candidates when they share a node at the
+matched depth. That is the longest at which a pair just at the threshold is
+found with the target probability, so no link depends on what else the table
+holds; every candidate is verified exactly.
+
+Nodes with more members, or longer texts, than a block holds are dealt into
+pairs of blocks, so a node of any size becomes tasks of bounded size, and a task
+counts its links and returns one row per member, never the pairs. A pair is
+verified in the first tree that holds it. Components come from the members'
+local roots by alternating star steps that split the edges of a hub.
 
 Edge cases: a null text or one without words links to nothing and is its own
 class and group, and so is a row with a null doc_id; repeated rows are copies of
-each other and have a row each (an id is taken to have one text); ties need no
-order, for every pair at the threshold counts; extra columns are not read.
+each other and have a row each; classes are of texts, so an id with several
+texts has a row in the class of each, and ``keep_first`` decides about each; ties
+go to the smaller id, then the smaller key of the text; very long texts are
+hashed in slices and verified in blocks of their own; extra columns are not
+read, and ``keep_first`` hands them on.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, arrow_map, byte_words, cut, hash_word, hash_words, kept, mix, read_table, shingle_hashes, small_side
+from ..operators.dedup import connected_components
+from .common import arrow_map, cut, mix, read_table, shingle_hashes, small_side, text_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -36,17 +40,16 @@ TREES = 16
 DEPTH = 4
 #: Least probability with which any pair at or above the threshold is found.
 RECALL = 0.999
-#: Members of a block; a task verifies a pair of blocks.
-BLOCK = 128
-#: About so many members of small nodes share a task.
-PACK_ROWS = 1_000
+#: Members of a block, and about so many shingles; a task verifies a pair of blocks.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 19
+#: About so many members of small nodes, and so many shingles, share a task.
+PACK_ROWS, PACK_SHINGLES = 250, 1 << 18
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(21).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64)
 
 
-def shingles_of(text: str | None, cache: dict) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    h = hash_words(byte_words(text), cache)
+def shingles_of(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text from those of its words."""
     if not len(h):
         return h
     return np.unique(shingle_hashes(h, min(SHINGLE, len(h))) + np.uint64(max(0, SHINGLE - len(h))))
@@ -73,57 +76,65 @@ def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``t1`` and ``t2``, a 128-bit key of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)})
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, s1, s2, n, sig) of every row: 128-bit fingerprint and size of the shingle set, and its signature.
+    """(doc_id, t1, t2, s1, s2, n, sig) of every row: 128-bit fingerprint and size of the shingle set, and its signature.
 
     Rows without words or id have n = 0 and no signature.
     """
 
     def run(batch):
-        cache = kept("word hashes", lambda: WordCache(hash_word))
-        out = []
-        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            s = shingles_of(text, cache) if i is not None else ()
-            if len(s):
+        ids, out = batch.column("doc_id").to_pylist(), []
+        for i, h in zip(ids, text_hashes(batch.column("text").to_pylist()), strict=True):
+            if i is not None and len(h):
+                s = shingles_of(h)
                 one, two = np.add.reduce(s), np.bitwise_xor.reduce(mix(s + np.uint64(77)))
                 sig = (signature(s) >> np.uint64(48)).astype(np.uint16)
-                out.append((i, one.view(np.int64), two.view(np.int64), len(s), sig.tobytes()))
+                out.append((one.view(np.int64), two.view(np.int64), len(s), sig.tobytes()))
             else:
-                out.append((i, 0, 0, 0, None))
-        return dict(zip(("doc_id", "s1", "s2", "n", "sig"), zip(*out, strict=True), strict=True))
+                out.append((0, 0, 0, None))
+        own = {c: batch.column(c) for c in ("doc_id", "t1", "t2")}
+        return own | dict(zip(("s1", "s2", "n", "sig"), zip(*out, strict=True), strict=True))
 
-    return arrow_map(docs, run, "doc_id long, s1 long, s2 long, n long, sig binary")
+    return arrow_map(docs, run, "doc_id long, t1 long, t2 long, s1 long, s2 long, n long, sig binary")
 
 
 def node_members(classes: DataFrame, depth: int) -> DataFrame:
-    """(node, tree, rep): membership in the forest's nodes at a depth."""
+    """(node, tree, rep, n): membership in the forest's nodes at a depth."""
 
     def run(batch):
         keys = node_keys(_signatures(batch.column("sig")), depth)
-        reps = np.repeat(batch.column("rep").to_numpy(), TREES)
-        return {"node": keys.ravel(), "tree": np.tile(np.arange(TREES, dtype=np.int32), len(keys)), "rep": reps}
+        reps, n = (np.repeat(batch.column(c).to_numpy(), TREES) for c in ("rep", "n"))
+        return {"node": keys.ravel(), "tree": np.tile(np.arange(TREES, dtype=np.int32), len(keys)), "rep": reps, "n": n}
 
-    return arrow_map(classes.select("rep", "sig"), run, "node long, tree int, rep long")
+    return arrow_map(classes.select("rep", "n", "sig"), run, "node long, tree int, rep long, n long")
 
 
 def node_cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(node, tree, i, j, b, rep, small): the members of every pair of a node's blocks; b is the member's own block.
+    """(node, tree, i, j, b, rep, n, small): the members of every pair of a node's blocks; b is the member's own block.
 
     Nodes with the same members in several trees are kept in the first one.
     """
     nodes = members.groupBy("node", "tree").agg(
         F.count("*").alias("size"),
+        F.sum("n").alias("shingles"),
         F.bit_xor(F.xxhash64("rep")).alias("x1"),
         F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x2"),
     )
-    nodes = nodes.where("size > 1").groupBy("size", "x1", "x2").agg(F.min(F.struct("tree", "node")).alias("at"))
-    nodes = nodes.select("at.node", "at.tree", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("shingles") / BLOCK_SHINGLES))
+    nodes = nodes.where("size > 1").groupBy("size", "shingles", "x1", "x2").agg(F.min(F.struct("tree", "node")).alias("at"))
+    nodes = nodes.select("at.node", "at.tree", F.least(blocks, F.col("size")).cast("int").alias("blocks"))
     placed = members.join(nodes, ["node", "tree"]).withColumn(
         "b", F.pmod(F.xxhash64("rep", "node"), F.col("blocks").cast("long")).cast("int")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    return placed.select("node", "tree", "rep", "b", (F.col("blocks") == 1).alias("small"), other).select(
-        "node", "tree", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "small"
+    return placed.select("node", "tree", "rep", "n", "b", (F.col("blocks") == 1).alias("small"), other).select(
+        "node", "tree", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "n", "small"
     )
 
 
@@ -166,11 +177,9 @@ def _verify(depth: int, threshold: float):
         table = table.sort_by([(c, "ascending") for c in ("node", "tree", "i", "j", "rep")])
         node, tree, i, j, b, rep, copies = (table.column(c).to_numpy() for c in ("node", "tree", "i", "j", "b", "rep", "copies"))
         keys = node_keys(_signatures(table.column("sig")), depth)
-        texts, cache = table.column("text").to_pylist(), kept("word hashes", lambda: WordCache(hash_word))
-        sets: dict[int, np.ndarray] = {}
-        for r, t in zip(rep.tolist(), texts, strict=True):
-            if r not in sets:
-                sets[r] = shingles_of(t, cache)
+        ids, first = np.unique(rep, return_index=True)
+        texts = table.column("text").take(pa.array(first)).to_pylist()
+        sets = dict(zip(ids.tolist(), map(shingles_of, text_hashes(texts)), strict=True))
         new = np.flatnonzero((node[1:] != node[:-1]) | (tree[1:] != tree[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         reps, links, roots = [], [], []
         for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(rep)], strict=True):
@@ -197,12 +206,12 @@ def _verify(depth: int, threshold: float):
 
 
 def verified(docs: DataFrame, classes: DataFrame, depth: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(rep, links, root) from all cells at a depth. ``classes``: (rep, copies, sig)."""
+    """(rep, links, root) from all cells at a depth. ``docs``: t1, t2, text; ``classes``: (rep, t1, t2, n, copies, sig)."""
     cells = cut(node_cells(node_members(classes, depth)), "cells")
-    packs = max(1, -(-cells.where("small").count() // PACK_ROWS))
-    wanted = cut(cells.select("rep").distinct(), "wanted")
-    texts = docs.withColumnRenamed("doc_id", "rep").join(small_side(wanted), "rep", "left_semi")
-    texts = texts.join(classes, "rep").dropDuplicates(["rep"])
+    size = cells.where("small").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).head()
+    packs = max(1, -(-size["rows"] // PACK_ROWS), -(-(size["n"] or 0) // PACK_SHINGLES))
+    wanted = cut(classes.join(cells.select("rep").distinct(), "rep", "left_semi").select("t1", "t2", "rep", "copies", "sig"), "wanted")
+    texts = docs.select("t1", "t2", "text").join(small_side(wanted), ["t1", "t2"]).drop("t1", "t2").dropDuplicates(["rep"])
     pack = F.when(F.col("small"), F.pmod(F.xxhash64("node"), F.lit(packs))).otherwise(F.xxhash64("node", "tree", "i", "j"))
     rows = cells.join(texts, "rep").select(pack.alias("pack"), "node", "tree", "i", "j", "b", "rep", "copies", "sig", "text")
     return rows.groupBy("pack").applyInArrow(_verify(depth, threshold), "rep long, links long, root long")
@@ -213,72 +222,54 @@ def match_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     return next((d for d in range(DEPTH, 1, -1) if 1 - (1 - threshold**d) ** TREES >= recall), 1)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root): connected components of edges (a, b), a > b, by alternating large and small stars until nothing changes."""
-    edges = cut(edges.select("a", "b").distinct(), "edges")
-    before = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("b"))
-        small = large.join(least.withColumnRenamed("b", "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.unionAll(least).distinct(), "edges")
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).head()
-        if state == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        before = state
-
-
-def near_duplicates(docs: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, exact_id, class_id, n_links) of every row: smallest id with an equal set, component of links, linked rows.
+def grouped(docs: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, t1, t2, first, class, n_links) of every row; ``docs``: doc_id, text, t1, t2.
 
-    ``n_links`` counts the other rows with a similarity of ``threshold`` or more, copies included.
+    ``first`` is the least (doc_id, t1, t2) with an equal set, ``class`` the least of the component of links; both NULL for
+    a row without words or id. ``n_links`` counts the other rows with a similarity of ``threshold`` or more, copies included.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prints = cut(fingerprints(docs), "prints")
-    classes = cut(
-        prints.where("n > 0")
-        .groupBy("s1", "s2", "n")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("sig").alias("sig")),
-        "classes",
+    rep = F.xxhash64("s1", "s2", "n").alias("rep")
+    classes = prints.where("n > 0").groupBy("s1", "s2", "n").agg(
+        F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.count("*").alias("copies"), F.min("sig").alias("sig")
     )
-    found = cut(verified(docs, classes.select("rep", "copies", "sig"), match_depth(threshold, recall), threshold), "links")
+    classes = cut(classes.select(rep, "first", "first.t1", "first.t2", "n", "copies", "sig"), "classes")
+    found = cut(verified(docs, classes, match_depth(threshold, recall), threshold), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.where("root < rep").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    # a component goes by the least first row of its classes
+    ends = found.where("root <> rep").select("rep", "root").distinct()
+    for c in ("rep", "root"):
+        ends = ends.join(classes.select(F.col("rep").alias(c), F.col("first").alias(f"{c}_first")), c)
+    roots = connected_components(ends.select(F.col("rep_first").alias("a"), F.col("root_first").alias("b")))
     per_class = (
-        classes.select("s1", "s2", "n", "rep", "copies")
+        classes.select("rep", "first", "copies")
         .join(links, "rep", "left")
-        .join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-        .select(
-            "s1", "s2", "n",
-            F.col("rep").alias("exact_id"),
-            F.coalesce("root", "rep").alias("class_id"),
-            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        )
-    )
-    return (
-        prints.select("doc_id", "s1", "s2", "n")
-        .join(per_class, ["s1", "s2", "n"], "left")
-        .select(
-            "doc_id",
-            F.coalesce("exact_id", "doc_id").alias("exact_id"),
-            F.coalesce("class_id", "doc_id").alias("class_id"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        )
+        .join(roots.withColumnRenamed("id", "first"), "first", "left")
+        .select("rep", "first", F.coalesce("root", "first").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
+    rows = prints.select("doc_id", "t1", "t2", F.when(F.col("n") > 0, rep).alias("rep"))
+    return rows.join(per_class, "rep", "left").select("doc_id", "t1", "t2", "first", "class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, exact_id, class_id, n_links) of every row: smallest id with an equal set, and in its component of links; linked rows."""
+    rows = grouped(keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))), recall, threshold)
+    own = lambda c: F.coalesce(F.col(f"{c}.doc_id"), F.col("doc_id"))
+    return rows.select("doc_id", own("first").alias("exact_id"), own("class").alias("class_id"), "n_links")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id; rows with a null id stay."""
-    found = cut(near_duplicates(docs).where("doc_id IS NOT NULL"), "groups")
-    others = cut(found.where("doc_id <> class_id").select("doc_id").distinct(), "others")
-    kept = docs.join(small_side(others), "doc_id", "left_anti").select(*docs.columns)
-    repeated = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    """One row of each group, the one with the smallest id and, of its texts, the smallest key; rows with a null id stay."""
+    whole = keyed(docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    key = ["doc_id", "t1", "t2"]
+    rows = cut(grouped(whole.drop("_doc")).where("doc_id IS NOT NULL"), "groups")
+    others = cut(rows.where(F.struct(*key) != F.col("class")).select(*key).distinct(), "others")
+    repeated = cut(rows.groupBy(*key).count().where("count > 1").select(*key).join(small_side(others), key, "left_anti"), "repeated")
+    kept = whole.join(small_side(others), key, "left_anti")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(small_side(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small_side(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        return kept.select("_doc.*")
+    once = kept.join(small_side(repeated), key, "left_semi").dropDuplicates(key)
+    return kept.join(small_side(repeated), key, "left_anti").select("_doc.*").unionAll(once.select("_doc.*"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
