@@ -186,41 +186,92 @@ def _cuts(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def text_hashes(texts: list[str | None], change: Callable[[bytes], bytes] | None = None) -> list[np.ndarray]:
-    """64-bit hashes of the words of every text, in order; equal words have equal hashes wherever they stand.
+def hashed_groups(texts: list[str | None], change: Callable[[bytes], bytes] | None = None) -> Iterator[tuple]:
+    """(raw, hashes, starts, ends, counts): words of a few texts at a time, their bytes in ``raw``, and how many each text has.
 
-    Short texts are hashed together, long ones a slice at a time. ``change`` maps the UTF-8 bytes first and keeps white space.
+    Short texts are hashed together. A text of several slices comes in as many groups; all but the last have a count of None.
     """
-    out: list[np.ndarray] = []
     held: list[bytes] = []
 
-    def flush() -> None:
-        if held:
-            h, starts, _ = _hash_slice(b"\n".join(held))
-            at = np.cumsum([0] + [len(r) + 1 for r in held])
-            out.extend(np.split(h, np.searchsorted(starts, at[1:-1])))
-            held.clear()
+    def joined() -> tuple:
+        raw = b"\n".join(held)
+        h, starts, ends = _hash_slice(raw)
+        at = np.cumsum([0] + [len(r) + 1 for r in held])
+        held.clear()
+        return raw, h, starts, ends, np.diff(np.searchsorted(starts, at))
 
     size = 0
     for text in texts:
         raw = (text or "").encode("utf-8", "surrogatepass")
         raw = change(raw) if change else raw
-        if size + len(raw) + 1 > SLICE:
-            flush()
+        if held and size + len(raw) + 1 > SLICE:
+            yield joined()
             size = 0
-        if len(raw) >= SLICE:
-            out.append(np.concatenate([_hash_slice(x)[0] if len(x) <= SLICE else _hash_long(x) for x in _cuts(raw)]))
-        else:
+        if len(raw) < SLICE:
             held.append(raw)
             size += len(raw) + 1
-    flush()
+            continue
+        pieces = list(_cuts(raw))
+        for k, piece in enumerate(pieces):
+            h, starts, ends = _hash_slice(piece) if len(piece) <= SLICE else _hash_long(piece)
+            yield piece, h, starts, ends, None if k < len(pieces) - 1 else np.array([len(h)])
+    if held:
+        yield joined()
+
+
+def text_hashes(texts: list[str | None], change: Callable[[bytes], bytes] | None = None) -> list[np.ndarray]:
+    """64-bit hashes of the words of every text, in order; equal words have equal hashes wherever they stand.
+
+    ``change`` maps the UTF-8 bytes first and keeps white space.
+    """
+    out: list[np.ndarray] = []
+    long: list[np.ndarray] = []
+    for _, h, _, _, counts in hashed_groups(texts, change):
+        if counts is None:
+            long.append(h)
+        elif long:
+            out.append(np.concatenate([*long, h]))
+            long = []
+        else:
+            out.extend(np.split(h, np.cumsum(counts)[:-1]))
     return out
 
 
-def _hash_long(raw: bytes) -> np.ndarray:
-    """The hash of one word (and white space around it) of more than SLICE bytes."""
-    found = raw.split()
-    return np.array([hash_word(w) for w in found], np.uint64)
+def _hash_long(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one word, with white space around it, of more than SLICE bytes."""
+    word = raw.strip(b" \t\n\v\f\r")
+    start = raw.index(word)
+    return np.array([hash_word(word)], np.uint64), np.array([start]), np.array([start + len(word)])
+
+
+class WordColumns:
+    """Columns of values that ``make`` computes from a word's bytes, once per distinct word; emptied when past ``limit``."""
+
+    def __init__(self, make: Callable, dtypes: list, limit: int = 300_000):
+        self.make, self.dtypes, self.limit = make, dtypes, limit
+        self.rows: dict[int, tuple] = {}
+
+    def of(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The columns for all words of all texts, one after another, and where each text begins."""
+        parts, counts, open_words = [], [0], 0
+        for raw, h, starts, ends, n in hashed_groups(texts):
+            if len(self.rows) > self.limit:
+                self.rows.clear()
+            found, first, at = np.unique(h, return_index=True, return_inverse=True)
+            rows = list(map(self.rows.get, found.tolist()))
+            for i, row in enumerate(rows):
+                if row is None:
+                    k = first[i]
+                    rows[i] = self.rows[int(found[i])] = self.make(raw[starts[k] : ends[k]])
+            values = zip(*rows, strict=True) if rows else [()] * len(self.dtypes)
+            parts.append([np.array(v, d)[at] for v, d in zip(values, self.dtypes, strict=True)])
+            if n is None:
+                open_words += len(h)
+            else:
+                counts += [int(n[0]) + open_words, *n[1:].tolist()]
+                open_words = 0
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, d) for d in self.dtypes]
+        return columns, np.cumsum(counts)
 
 
 def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
