@@ -1,15 +1,20 @@
 """Operator 2: main text of web pages by a maximum-scoring subsequence.
 
 A page becomes a sequence of tags and words. Words score positive by the block
-they stand in, tags negative; the weights are log-odds counted on a bounded
-sample of pages whose article or main element labels the content. One linear
-scan finds the contiguous region of the highest sum. From it, blocks inside
-menus, forms, notices, adverts, comments and the like are left out.
+they stand in and whether they are linked, block tags negative, inline tags
+nothing; the weights are log-odds counted on a bounded sample of pages whose
+article or main element labels the content, and kinds that the sample does not
+show are nearly neutral. One linear scan finds the contiguous region of the
+highest sum, and its first and last block are taken whole. From it, menus,
+forms and their controls, notices, adverts, comments and the like are left out.
 
 Edge cases: a null or empty page, or one without words, gives an empty text;
-cut-off markup counts as far as it goes; pages are extracted one by one, so
-repeated rows and null ids pass through; ties take the earliest region; a
-table without labelled pages uses word weight 1 and tag weight -1.
+cut-off markup counts as far as it goes, and end tags that HTML lets out are
+supplied (an open script, style or title takes the rest of the page, as in
+browsers); pages are extracted one by one, so repeated rows and null ids pass
+through; very long pages are read in one pass; ties take the earliest region; a
+table without labelled pages uses word weight 1 and tag weight -1; columns other
+than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import html as htmllib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -29,6 +35,8 @@ from .common import arrow_map, bounded_sample, fit_on_shards, read_table
 #: At most about so many pages are learned from.
 SAMPLE_ROWS = 4_000
 SHARDS = 8
+#: Least weight of a word.
+LEAST = 0.01
 
 #: Elements of HTML by role.
 BLOCKS = set(
@@ -36,22 +44,25 @@ BLOCKS = set(
     h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr
     ul""".split()
 )
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|select|button|head"
+RAW = "script|style|textarea|title|iframe"
+HIDDEN = set("head noscript template svg canvas select button datalist".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = set("nav footer aside form menu dialog fieldset search".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MARKS = set(
-    """ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
-    footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related share
-    sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split()
+    """ad ads adv advert adverts advertisement breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer
+    masthead menu nav navbar navigation newsletter sidebar sponsor sponsored subscribe""".split()
 )
+#: Marks that are words of articles too: every name beside them must be a mark or tell of a place.
+LOOSE_MARKS = set("banner header modal notice notices popup promo promotion related share sharing signup social toolbar widget".split())
+PLACES = set("left right top bottom main site page global sticky fixed floating box bar list item links container wrapper inner area block section".split())
 #: Heads of an article are part of it; names such as has-sidebar or content-with-nav tell of a neighbour.
 HEADERS = set("header masthead".split())
 QUALIFIERS = set("has have with without no not".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)"
+    rf"""<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>"']|"[^"]*"|'[^']*'|["'])*?(?:(?<=/)>|>.*?(?:</\1\b[^>]*(?:>|\Z)|\Z))|<[!?][^>]*(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""",
     re.S | re.I,
 )
@@ -60,7 +71,7 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))
 
 def _is_boilerplate(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     """(whether the element is boilerplate, whether only a part of a class or id says so)."""
-    if tag in BOILERPLATE or tag == "header" and not in_article:
+    if tag in BOILERPLATE or tag in HIDDEN or tag == "header" and not in_article:
         return True, False
     partly = False
     for name, a, b, c in _ATTR.findall(attrs):
@@ -69,30 +80,48 @@ def _is_boilerplate(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]
             if value in ROLES:
                 return True, False
         elif tag not in ("article", "main", "body", "html"):
-            for one in value.split():
-                tokens = re.split(r"[_-]+", one)
-                marks = MARKS.intersection(tokens) if QUALIFIERS.isdisjoint(tokens) else set()
-                marks -= HEADERS if in_article else set()
-                if len(tokens) == 1 and marks:
+            names = [re.split(r"[_-]+", one) for one in value.split()]
+            loose = all(not (MARKS | LOOSE_MARKS | PLACES).isdisjoint(tokens) for tokens in names)
+            marks = MARKS | LOOSE_MARKS if loose else MARKS
+            for tokens in names:
+                found = marks.intersection(tokens) if QUALIFIERS.isdisjoint(tokens) else set()
+                found -= HEADERS if in_article else set()
+                if len(tokens) == 1 and found:
                     return True, False
-                partly = partly or bool(marks)
+                partly = partly or bool(found)
     return partly, partly
 
 
 def scan(page: str) -> list[tuple]:
-    """The page's parts in order: ("tag", type, content) and ("text", block type, content, block no, text, out).
+    """The page's parts in order: ("tag", kind, content, block no, "", out) and ("text", kind, content, block no, text, out).
 
-    ``content``: inside an article or main element; ``out``: inside boilerplate. An element that only a part of its class
-    or id marks is none when it holds an article or main element.
+    ``content``: inside an article or main element; ``out``: inside boilerplate. Only tags of blocks are parts, with ``+a``
+    when most words of the block after it (before an end tag) are linked; text goes by its block, with ``+a`` when linked. An element that only a part of its class or id marks is none when it holds an
+    article or main element.
     """
     parts: list[tuple] = []
     stack: list[tuple[str, bool, bool, tuple]] = []  # tag, content, surely out, marks (lists, emptied when disproved)
     block, at = 0, 0
+    words, links = Counter(), Counter()
 
-    def text(upto: int) -> None:
-        if upto > at:
-            where = next((t for t, *_ in reversed(stack) if t in BLOCKS or t == "a"), "body")
-            parts.append(("text", where, bool(stack) and stack[-1][1], block, page[at:upto], stack[-1][2:] if stack else (False, ())))
+    def text(upto: int, found: str | None = None) -> None:
+        if upto > at or found:
+            where = next((t for t, *_ in reversed(stack) if t in BLOCKS), "body")
+            linked = any(t == "a" for t, *_ in stack)
+            inside, out, marks = stack[-1][1:] if stack else (False, False, ())
+            found = found or page[at:upto]
+            words[block] += len(found.split())
+            links[block] += len(found.split()) * linked
+            parts.append(("text", where + "+a" * linked, inside, block, found, (out, marks)))
+
+    def close(tags: set[str], within: set[str]) -> None:
+        """End the innermost open element of ``tags``, if no element of ``within`` is open inside it."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in tags:
+                del stack[k:]
+                return
+            if stack[k][0] in within:
+                return
 
     for m in _TOKEN.finditer(page):
         text(m.start())
@@ -101,34 +130,43 @@ def scan(page: str) -> list[tuple]:
             continue
         tag, closing = m[3].lower(), m[2]
         if tag == "br":
-            parts.append(("text", "br", False, block, " ", stack[-1][2:] if stack else (False, ())))
-        if tag in BLOCKS:
-            block += 1
-        inside, out, marks = stack[-1][1:] if stack else (False, False, ())
+            text(at, " ")
         if closing:
-            parts.append(("tag", "/" + tag, inside))
+            if tag in BLOCKS:
+                inside, out, marks = stack[-1][1:] if stack else (False, False, ())
+                parts.append(("tag", "/" + tag, inside, block, "", (out, marks)))
+                block += 1
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if depth is not None:
                 del stack[depth:]
             continue
-        if tag in BLOCKS and stack:  # blocks end an open paragraph, items end items
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in CLOSED_BY.get(tag, ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
-            inside, out, marks = stack[-1][1:] if stack else (False, False, ())
+        if tag == "body" or tag in BLOCKS:  # the end tags of head, paragraphs and items may be left out
+            close({"head"}, set())
+        if tag in BLOCKS:
+            close({"p"} | CLOSED_BY.get(tag, set()), BLOCKS - {"p"})
+        inside, out, marks = stack[-1][1:] if stack else (False, False, ())
         inside = inside or tag in ("article", "main")
         if tag in ("article", "main"):
             for mark in marks:
                 mark.clear()
-        parts.append(("tag", tag, inside))
+        block += tag in BLOCKS
         if tag not in VOID and not m[4].endswith("/"):
             found, partly = _is_boilerplate(tag, m[4], inside)
-            stack.append((tag, inside, out or found and not partly, (*marks, [tag]) if partly else marks))
+            out, marks = out or found and not partly, (*marks, [tag]) if partly else marks
+            stack.append((tag, inside, out, marks))
+        if tag in BLOCKS:
+            parts.append(("tag", tag, inside, block, "", (out, marks)))
     text(len(page))
-    return [(*p[:5], p[5][0] or any(p[5][1])) if p[0] == "text" else p for p in parts]
+    # a tag goes by the next block with words, an end tag by the last one
+    filled = sorted(n for n, k in words.items() if k)
+    linked = [False, *(2 * links[n] > words[n] for n in filled), False]
+
+    def kind(p: tuple) -> str:
+        if p[0] == "text":
+            return p[1]
+        return p[1] + "+a" * linked[bisect_right(filled, p[3]) if p[1][0] == "/" else bisect_left(filled, p[3]) + 1]
+
+    return [(p[0], kind(p), *p[2:5], p[5][0] or any(p[5][1])) for p in parts]
 
 
 def learn(pages: list[str]) -> tuple[Counter, Counter]:
@@ -136,7 +174,7 @@ def learn(pages: list[str]) -> tuple[Counter, Counter]:
     inside, outside = Counter(), Counter()
     for page in pages:
         for part in scan(page):
-            to = inside if part[2] and not (part[0] == "text" and part[5]) else outside
+            to = inside if part[2] and not part[5] else outside
             if part[0] == "tag":
                 to[part[1]] += 1
             else:
@@ -145,11 +183,12 @@ def learn(pages: list[str]) -> tuple[Counter, Counter]:
 
 
 def weights_of(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
-    """Log-odds by type; words at least slightly positive, tags at least slightly negative."""
-    out = {}
+    """Log-odds by kind, and of all words as ``w:``; words at least slightly positive, tags at least slightly negative."""
+    total = [sum(n for k, n in side.items() if k.startswith("w:")) for side in (inside, outside)]
+    out = {"w:": min(max(math.log((total[0] + 1) / (total[1] + 1)), LEAST), 3.0)} if any(total) else {}
     for kind in {*inside, *outside}:
         odds = math.log((inside.get(kind, 0) + 1) / (outside.get(kind, 0) + 1))
-        out[kind] = min(max(odds, 0.01), 3.0) if kind.startswith("w:") else max(min(odds, -0.1), -12.0)
+        out[kind] = min(max(odds, LEAST), 3.0) if kind.startswith("w:") else max(min(odds, -0.1), -12.0)
     return out
 
 
@@ -166,13 +205,25 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
+    """The main text. What is out weighs nothing; where an article or main element names the content, words elsewhere hardly do."""
     parts = scan(page or "")
-    word = weights.get("w:", 1.0)
-    scores = [weights.get(p[1], -1.0) if p[0] == "tag" else weights.get("w:" + p[1], word) * len(p[4].split()) for p in parts]
-    a, b = best_region(scores)
+    tag, named = -0.1 if weights else -1.0, any(p[2] for p in parts)
+
+    def score(p: tuple) -> float:
+        if p[5]:
+            return 0.0
+        if p[0] == "tag":
+            return weights.get(p[1], weights.get(p[1].removesuffix("+a"), tag))
+        if named and not p[2]:
+            return LEAST * len(p[4].split())
+        kind = "w:" + p[1]  # a linked word of an unseen kind weighs what its block's words do
+        return weights.get(kind, weights.get(kind.removesuffix("+a"), weights.get("w:", 1.0))) * len(p[4].split())
+
+    a, b = best_region([score(p) for p in parts])
+    kept = {p[3] for p in parts[a:b] if p[0] == "text" and not p[5]}
     blocks: dict[int, list[str]] = {}
-    for p in parts[a:b]:
-        if p[0] == "text" and not p[5]:
+    for p in parts:  # the first and last block of the region are whole
+        if p[0] == "text" and not p[5] and p[3] in kept:
             blocks.setdefault(p[3], []).append(p[4])
     lines = (" ".join(htmllib.unescape("".join(x)).split()) for x in blocks.values())
     return "\n".join(x for x in lines if x)
@@ -186,8 +237,9 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def fit(pages: DataFrame, max_rows: int = SAMPLE_ROWS) -> dict[str, float]:
     """Weights by type from pages with an article or main element."""
-    rows = bounded_sample(pages.select("page_id", "html"), "page_id", max_rows).where(F.col("html").rlike("(?i)<(article|main)\\b"))
-    sums = fit_on_shards(rows, _count, SHARDS, "kind string, i long, o long", key="page_id").groupBy("kind").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    labelled = pages.select("html", F.xxhash64("html").alias("key")).where(F.col("html").rlike("(?i)<(article|main)\\b"))
+    rows = bounded_sample(labelled, "key", max_rows).dropDuplicates(["html"])
+    sums = fit_on_shards(rows, _count, SHARDS, "kind string, i long, o long", key="key").groupBy("kind").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
     got = sums.collect()  # tag names of a bounded sample
     return weights_of({r["kind"]: r["i"] for r in got}, {r["kind"]: r["o"] for r in got})
 
