@@ -67,6 +67,13 @@ def labelled(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     )
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, text, label, key) of about ``max_rows`` rows at most: a sample of ids, and of their distinct texts if they have many."""
+    sample = bounded_sample(labels, "doc_id", max_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"])
+    return bounded_sample(cut(rows.withColumn("key", F.xxhash64("doc_id", "text")), "labelled"), "key", max_rows)
+
+
 def hash_word(raw: bytes, seed: int = 0) -> int:
     """A stable 64-bit hash of a word's UTF-8 bytes."""
     return xxhash.xxh3_64_intdigest(raw, seed)

@@ -7,7 +7,9 @@ text is scored in numpy from its sparse n-gram counts.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; a
 null lang is not learned from; without any training text every prediction is
-``und``; a null doc_id trains and is scored; ties go to the smaller name.
+``und``; a null doc_id trains and is scored; repeated rows train and are scored
+as they come; very long texts are hashed in blocks; ties go to the smaller name;
+columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -28,9 +30,16 @@ HELD = (4, 2)
 UNKNOWN = "und"
 #: Characters hashed at a time, so that very long texts take bounded memory.
 BLOCK = 1 << 20
+#: The matrix has at most so many entries: with more than 512 languages each gets fewer buckets.
+ENTRIES = 1 << 25
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is alphabetic; digits such as ² and ½ are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def ngram_counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
     """Counts by bucket of the 1-, 2- and 3-grams of a text."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -62,6 +71,11 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarra
         return {"lang": cols[0], "bucket": cols[1].astype(np.int32), "n": cols[2]}
 
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
+    n_langs = rows.agg(F.count_distinct("lang")).head()[0]
+    while buckets * n_langs > ENTRIES:
+        buckets //= 2
+    if not buckets:
+        raise ValueError(f"{n_langs} languages are too many for one matrix")
     sums = arrow_map(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toPandas()  # at most buckets x languages
     langs = sorted(got["lang"].unique())
@@ -79,7 +93,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
     def run(batch):
         names, scores, table = [], [], held.value
         for text in batch.column("text").to_pylist():
-            if not langs or not text or not _LETTER.search(text):
+            if not langs or not text or not has_letter(text):
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue

@@ -7,8 +7,12 @@ are averaged. A document's score is the mean marginal probability of "good"
 over its lines by forward-backward, weighted by line length.
 
 Edge cases: a text without words (null and empty too) scores 0; null ids are
-scored; repeated rows are scored once each; without training rows of both
-classes the chain keeps zero weights, so every text with words scores 0.5.
+scored; repeated rows are scored once each and learned from once; a very long
+text is scored as one chain, in time and memory that grow with its lines, and
+trains with at most ``CHAINS`` evenly spaced chains of ``CHAIN`` lines; without
+training rows of both classes the chain keeps zero weights, so every text with
+words scores 0.5 and is predicted 1; columns other than doc_id and text are not
+read.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, fit_on_shards, fold, labelled, read_table
+from .common import arrow_map, fit_on_shards, fold, labelled, labelled_rows, read_table
 
 #: At most about so many labelled documents are learned from.
 SAMPLE_ROWS = 12_000
 SHARDS = 8
 STEPS = 250
+#: Lines of a chain, and chains of a document, that are learned from.
+CHAIN, CHAINS = 512, 8
 RATE, DECAY = 1.0, 1e-4
 CUTOFF = 0.5
 HELD = (3, 1)
@@ -131,23 +137,29 @@ def train_crf(docs: list[np.ndarray], labels: np.ndarray, steps: int = STEPS) ->
     return params
 
 
+def chains_of(lines: np.ndarray) -> list[np.ndarray]:
+    """A document's lines as chains of at most CHAIN lines, at most CHAINS of them."""
+    if len(lines) <= CHAIN:
+        return [lines] if len(lines) else []
+    starts = np.linspace(0, len(lines) - CHAIN, min(CHAINS, -(-len(lines) // CHAIN))).astype(int)
+    return [lines[k : k + CHAIN] for k in starts]
+
+
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
-    docs = [line_features(t)[0] for t in pdf["text"]]
-    keep = [i for i, d in enumerate(docs) if len(d)]
-    labels = pdf["label"].to_numpy()[keep]
+    chains = [(c, y) for t, y in zip(pdf["text"], pdf["label"], strict=True) for c in chains_of(line_features(t)[0])]
+    labels = np.array([y for _, y in chains])
     if len(set(labels)) < 2:
         return pd.DataFrame({"i": [], "w": []})
-    w = train_crf([docs[i] for i in keep], labels)
+    w = train_crf([c for c, _ in chains], labels)
     return pd.DataFrame({"i": np.arange(len(w)), "w": w})
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS, shards: int = SHARDS) -> np.ndarray:
     """Averaged shard parameters, zeros when no shard had both classes."""
-    sample = bounded_sample(labels, "doc_id", max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = labelled_rows(docs, labels, max_rows)
     params = np.zeros(FEATURES + 5)
-    for r in fit_on_shards(rows, _fit, shards, "i int, w double").groupBy("i").agg(F.avg("w").alias("w")).collect():
+    for r in fit_on_shards(rows, _fit, shards, "i int, w double", key="key").groupBy("i").agg(F.avg("w").alias("w")).collect():
         params[r["i"]] = r["w"]
     return params
 

@@ -7,7 +7,10 @@ averaged weights, mostly zero, are broadcast (at most ``DIMS`` pairs).
 
 Edge cases: a null or empty text has only the bias as feature; documents
 without a label or with a null id are scored like any other; repeated rows are
-scored once each; without training rows every score is 0.
+scored once each and learned from once; of an id with several texts all count,
+within the sample's bound; a very long text takes a few times its own memory;
+without training rows every score is 0; columns other than doc_id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, arrow_map, bounded_sample, byte_words, fit_on_shards, fold, hash_word, kept, labelled, mix, read_table
+from .common import WordTable, arrow_map, byte_words, fit_on_shards, fold, hash_word, kept, labelled, labelled_rows, mix, read_table
 
 DIMS = 1 << 20
 BIAS = 0
@@ -96,10 +99,9 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> dict[int, float]:
     """Feature weights from labelled documents; empty without any. ``labels``: (doc_id, label)."""
-    sample = bounded_sample(labels, "doc_id", max_rows)
-    shards = max(1, round(min(max_rows, sample.count()) / SHARD_ROWS))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    sums = fit_on_shards(rows, _fit, shards, "i long, w double").groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    rows = labelled_rows(docs, labels, max_rows)
+    shards = max(1, round(min(max_rows, rows.count()) / SHARD_ROWS))
+    sums = fit_on_shards(rows, _fit, shards, "i long, w double", key="key").groupBy("i").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
     found = {r["i"]: (r["w"], r["n"]) for r in sums.collect()}  # at most DIMS rows
     fitted = found.get(BIAS, (0.0, 0))[1]  # every shard has a bias
     return {i: w / fitted for i, (w, _) in sorted(found.items())} if fitted else {}
