@@ -274,9 +274,16 @@ def stripped(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> Dat
     copied = cut(plain.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1"), "copied")
 
     anchors = cut(anchor_rows(plain, window, phrase), "anchors")
-    recurring = anchors.groupBy("anchor").agg(F.sum("c").alias("n")).where("n > 1").select("anchor")
-    by_text = anchors.select("k1", "k2", "anchor").join(recurring, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"))
-    by_text = cut(by_text.join(copied, ["k1", "k2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1))), "marked")
+    # other texts need the windows of a copied text only where they share an anchor with it
+    shared = (F.min("k1") != F.max("k1")).alias("shared")
+    recurring = anchors.groupBy("anchor").agg(F.sum("c").alias("n"), shared).where("n > 1").select("anchor", "shared")
+    by_text = anchors.select("k1", "k2", "anchor").join(recurring, "anchor").groupBy("k1", "k2").agg(
+        F.collect_set("anchor").alias("all"), F.collect_set(F.when(F.col("shared"), F.col("anchor"))).alias("shared")
+    )
+    by_text = by_text.join(copied, ["k1", "k2"], "left").select(
+        "k1", "k2", F.when(F.col("copies") > 1, F.col("shared")).otherwise(F.col("all")).alias("anchors"), F.coalesce("copies", F.lit(1)).alias("copies")
+    )
+    by_text = cut(by_text.where("size(anchors) > 0"), "marked")
 
     keys = small_side(by_text.select("k1", "k2"))
     some = plain.join(keys, ["k1", "k2"], "left_semi").join(by_text, ["k1", "k2"]).select("k1", "k2", "text", "copies", "anchors")
