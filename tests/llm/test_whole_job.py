@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lumenframe.llm import decontaminate, html_extract, jaccard_join, language_model, quality_rules
+from lumenframe.llm import decontaminate, html_extract, jaccard_join, quality_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -13,27 +13,6 @@ def prose(n, r, size=300):
     return " ".join(f"w{r.randrange(size)}" for _ in range(n))
 
 
-def test_language_model_keeps_every_ngram_that_occurs_twice(spark, monkeypatch):
-    r = random.Random(3)
-    texts = [prose(60, r) for _ in range(30)] + ["once upon a time there was", "once upon a time there were", None, ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    table = language_model.word_counts(docs).cache()
-
-    def scores():
-        parts = language_model.fit(docs, table)
-        rows = language_model.score(docs, table, parts).collect()
-        return len(parts["keys2"]), {x["doc_id"]: (x["n_known"], x["base_score"], x["score"]) for x in rows}
-
-    whole, expected = scores()  # all arcs are broadcast
-    monkeypatch.setattr(language_model, "CORE_SHARE", 4e-3)
-    monkeypatch.setattr(language_model, "GRAM_SHARE", 5e-3)
-    hot, got = scores()
-    assert hot < whole and got.keys() == expected.keys()
-    for i, x in expected.items():
-        assert got[i] == pytest.approx(x)
-    assert any(abs(x[2] - x[1]) > 1 for x in expected.values())
-
-
 def test_quality_verdicts_are_the_same_at_every_size(spark):
     r = random.Random(5)
     for n in (300, 2400):
@@ -74,3 +53,37 @@ def test_wrappers_named_after_a_neighbour_keep_their_article(wrapper):
     page = f"{wrapper}<article><div class='post-header'><h1>The head</h1></div><p>some words of text</p><div class='ad-slot'>buy</div></article><div class='sidebar'>other</div>"
     weights = {"w:": 1.0, "div": -0.1, "/div": -0.1, "article": -0.1, "/article": -0.1, "p": -0.1, "/p": -0.1, "h1": -0.1, "/h1": -0.1, "section": -0.1}
     assert html_extract.extract(page, weights) == "The head\nsome words of text"
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("<article><p><a>Alan Turing</a> was <a>a</a> mathematician.</p></article>", "Alan Turing was a mathematician."),
+        ("<article><table><tr><td>one</td><td>two</td></tr></table><p>some words of text</p></article>", "one\ntwo\nsome words of text"),
+        ("<article><p>Some text.</p><section class='related work'><h2>Related work</h2><p>Others did it.</p></section></article>", "Some text.\nRelated work\nOthers did it."),
+        ("<article><p>A <math><mi>x</mi></math> and <object>an object</object></p></article>", "A x and an object"),
+        ("<article><p>Items are</p><ul><li>one</li><li>two things</li><li>three</li></ul></article>", "Items are\none\ntwo things\nthree"),
+        ("<article><p>a b c</p><nav><ul>" + "<li><a>x</a></li>" * 30 + "</ul></nav><p>d e f</p></article>", "a b c\nd e f"),
+        ("<div><div><ul>" + "<li><a>Menu item</a></li>" * 5 + "</ul></div><div><p>main words of the page go on and on</p><ul><li>one of it</li></ul></div><div><a>About</a></div></div>", "main words of the page go on and on\none of it"),
+    ],
+)
+def test_extraction_loses_no_part_of_an_article(inner, text):
+    head = "<html><head><title>t</title></head><body><nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav>"
+    sample = [head + "<div class='ad'>buy it</div><article><h1>Head</h1>" + "<p>many words of prose in a row here</p>" * 9 + "</article><footer>me</footer></body></html>"]
+    weights = html_extract.weights_of(*html_extract.learn(sample * 50))
+    assert html_extract.extract(f"{head}{inner}<footer>&copy; x</footer></body></html>", weights) == text
+
+
+def test_optional_end_tags_and_quotes():
+    assert html_extract.extract("<html><head><title>t</title><meta charset=x><body><p>no end of head</p>", {}) == "no end of head"
+    assert html_extract.extract("<p title='a > b'>quoted</p><script data-x='>'>var a='<p>no</p>'</script><p>more</p><object>open <p>then</p>", {}) == "quoted\nmore\nopen\nthen"
+
+
+def test_ids_with_several_texts_lose_none(spark):
+    a, b, c = (" ".join(x * k for k in range(1, 9)) for x in "abc")
+    rows = [(1, a), (1, b), (2, c), (3, b), (None, c), (2, c)]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in jaccard_join.keep_first(docs).collect()) == sorted([(1, a), (1, b), (2, c), (0, c)])
+    bench = spark.createDataFrame([(1, b)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted([(1, a), (2, c), (2, c), (0, c)])
