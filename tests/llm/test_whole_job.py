@@ -76,7 +76,7 @@ def test_extraction_loses_no_part_of_an_article(inner, text):
 
 def test_optional_end_tags_and_quotes():
     assert html_extract.extract("<html><head><title>t</title><meta charset=x><body><p>no end of head</p>", {}) == "no end of head"
-    assert html_extract.extract("<p title='a > b'>quoted</p><script data-x='>'>var a='<p>no</p>'</script><p>more</p><object>open <p>then</p>", {}) == "quoted\nmore\nopen\nthen"
+    assert html_extract.extract("<p title='a > b'>quoted</p><script data-x='>'>var a='<p>no</p>'</script><p>more</p><object>open <p>then</p>", {"w:": 1.0}) == "quoted\nmore\nopen\nthen"
 
 
 def test_ids_with_several_texts_lose_none(spark):
