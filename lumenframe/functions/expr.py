@@ -51,3 +51,33 @@ def epoch_seconds(c: Column) -> Column:
 def long_form(df: DataFrame, keys: list[str], columns: list[str], name: str = "column_name", value: str = "value") -> DataFrame:
     """(keys, column_name, value): one row per column; values are cast to their common type by the caller."""
     return df.unpivot(keys, columns, name, value)
+
+
+#: The rows of one group are dealt to so many tasks.
+SALTS = 64
+
+
+def with_group_extremes(df: DataFrame, keys: list[str], spread: Column, extremes: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``df`` with the least ("min") or greatest ("max") value of each row's group; ``keys`` hold no NULL (a struct may).
+
+    Rows of a group meet in parts dealt by a hash of ``spread``, and only the parts' extremes meet in one task, so a group
+    may hold any share of the table.
+    """
+    pick = {"min": F.min, "max": F.max}
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    parts = dealt.groupBy(*keys, "_salt").agg(*[pick[how](c).alias(n) for n, (how, c) in extremes.items()])
+    whole = parts.groupBy(*keys).agg(*[pick[how](n).alias(n) for n, (how, _) in extremes.items()])
+    return dealt.join(parts.select(*keys, "_salt").join(whole, keys), [*keys, "_salt"]).drop("_salt")
+
+
+def pairs_within(df: DataFrame, id_col: str, keys: list[str], block: int = 1_000) -> DataFrame:
+    """(a, b), a < b: pairs of ids that share a group, once each. A group larger than a block becomes pairs of blocks."""
+    rows = df.select(F.col(id_col).alias("_id"), *keys)
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_k"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    own = rows.join(blocks, keys).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_k").cast("long")).cast("int"))
+    cells = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    cells = cells.select("_id", "_own", *keys, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    left = cells.where("_own = _i").select(*keys, "_i", "_j", F.col("_id").alias("_x"))
+    right = cells.where("_own = _j").select(*keys, "_i", "_j", F.col("_id").alias("_y"))
+    met = left.join(right, [*keys, "_i", "_j"]).where("_i < _j AND _x <> _y OR _x < _y")
+    return met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.expr import pairs_within, with_group_extremes
 from ..sources.tables import materialize
 
 MERSENNE = 2147483647
@@ -28,9 +29,9 @@ def hash_groups(df: DataFrame, id_col: str, text_col: str, keep: str = "first",
     """(id, group_id, is_duplicate): texts with one digest; keeps the first, last or longest of each group."""
     hashed = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256)}[digest](text_key(F.col(text_col), case_sensitive))
     keyed = df.select(F.col(id_col), hashed.alias("_key"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_len"))
-    w = W.partitionBy("_key")
-    best = {"first": F.min(id_col).over(w), "last": F.max(id_col).over(w), "longest": F.max_by(F.col(id_col), F.struct("_len", -F.col(id_col))).over(w)}[keep]
-    return keyed.select(id_col, F.min(id_col).over(w).alias("group_id"), (F.col(id_col) != best).alias("is_duplicate"))
+    best = {"first": ("min", F.struct(id_col)), "last": ("max", F.struct(id_col)), "longest": ("max", F.struct("_len", (-F.col(id_col)).alias("_minus"), id_col))}[keep]
+    found = with_group_extremes(keyed, ["_key"], F.col(id_col), {"group_id": ("min", F.col(id_col)), "_best": best})
+    return found.select(id_col, "group_id", (F.col(id_col) != F.col("_best")[id_col]).alias("is_duplicate"))
 
 
 def char_ngrams(c: Column, n: int) -> Column:
@@ -100,8 +101,7 @@ def lsh_pairs(signatures: DataFrame, id_col: str, bands: int, threshold: float)
     rows = F.size("signature") / bands
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", (i * rows + 1).cast("int"), rows.cast("int"))).alias("h")))
     keyed = reps.select("id", F.explode(band).alias("k")).select("id", "k.band", "k.h")
-    left, right = keyed.withColumnRenamed("id", "a"), keyed.withColumnRenamed("id", "b")
-    pairs = left.join(right, ["band", "h"]).where("a < b").select("a", "b").distinct()
+    pairs = pairs_within(keyed, "id", ["band", "h"])
     scored = pairs.join(reps.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
     return scored.select("a", "b", signature_similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -141,18 +141,21 @@ def simhash(df: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
 
 
 def simhash_pairs(hashes: DataFrame, id_col: str, max_distance: int = 3) -> DataFrame:
-    """(a, b, distance): pairs within ``max_distance`` bits; with up to 3 differing bits one of 4 16-bit parts is equal.
+    """(a, b, distance): pairs within ``max_distance`` bits. Of two parts more than that, two are equal, which makes the key.
 
     Equal hashes are joined through their smallest id alone.
     """
-    if max_distance > 3:
-        raise ValueError("four parts guarantee pairs of distance up to 3")
     reps = hashes.groupBy("simhash").agg(F.min(id_col).alias("id"))
-    parts = F.array(*[F.struct(F.lit(i).alias("p"), F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(65535)).alias("v")) for i in range(4)])
-    keyed = reps.select("id", "simhash", F.explode(parts).alias("k")).select("id", "simhash", "k.p", "k.v")
-    a, b = (keyed.select(F.col("id").alias(x), F.col("simhash").alias(f"h{x}"), "p", "v") for x in ("a", "b"))
-    pairs = a.join(b, ["p", "v"]).where("a < b").select("a", "b", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))).alias("distance"))
-    return pairs.where(F.col("distance") <= max_distance).distinct()
+    n = max_distance + 2
+    cuts = [64 * i // n for i in range(n + 1)]
+    part = [F.shiftrightunsigned("simhash", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    keys = [F.struct(F.lit(i * n + j).alias("p"), part[i].alias("v"), part[j].alias("w")) for i in range(n) for j in range(i)]
+    keyed = reps.select("id", F.explode(F.array(*keys)).alias("k")).select("id", "k.p", "k.v", "k.w")
+    pairs = pairs_within(keyed, "id", ["p", "v", "w"])
+    for x in ("a", "b"):
+        pairs = pairs.join(reps.select(F.col("id").alias(x), F.col("simhash").alias(f"h{x}")), x)
+    pairs = pairs.select("a", "b", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))).alias("distance"))
+    return pairs.where(F.col("distance") <= max_distance)
 
 
 # pair scores
@@ -171,20 +174,21 @@ def jaccard_similarity(a: Column, b: Column, n: int = 1) -> Column:
 
 def blocked_pairs(df: DataFrame, id_col: str, keys: Column, columns: list[str]) -> DataFrame:
     """(a, b, <c>_a, <c>_b): pairs of rows that share a key of the array ``keys``, once each."""
-    keyed = df.select(F.col(id_col), *[F.col(c) for c in columns if c != id_col], F.explode(F.array_distinct(keys)).alias("_key")).where("_key IS NOT NULL")
-    one = lambda x: keyed.select(F.col(id_col).alias(x), "_key", *[F.col(c).alias(f"{c}_{x}") for c in columns])
-    return one("a").join(one("b"), "_key").where("a < b").drop("_key").dropDuplicates(["a", "b"])
+    keyed = df.select(F.col(id_col), F.explode(F.array_distinct(keys)).alias("_key")).where("_key IS NOT NULL")
+    pairs = pairs_within(keyed, id_col, ["_key"])
+    for x in ("a", "b"):
+        pairs = pairs.join(df.select(F.col(id_col).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
+    return pairs.select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
 
 
 def cosine_trigram_pairs(df: DataFrame, id_col: str, text_col: str, block: Column, threshold: float) -> DataFrame:
-    """(a, b, similarity): cosine of lower-case trigram counts inside blocks, by a join on the grams."""
-    grams = df.select(F.col(id_col).alias("id"), block.alias("_block"), F.explode(char_ngrams(F.lower(F.col(text_col)), 3)).alias("g")).groupBy("id", "_block", "g").agg(F.count("*").alias("c"))
-    norms = grams.groupBy("id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    a, b = (grams.select(F.col("id").alias(x), "_block", "g", F.col("c").alias(f"c{x}")) for x in ("a", "b"))
-    dot = a.join(b, ["_block", "g"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"))
-    for x in ("a", "b"):
-        dot = dot.join(norms.select(F.col("id").alias(x), F.col("norm").alias(f"n{x}")), x)
-    return dot.select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    """(a, b, similarity): cosine of lower-case trigram counts of the pairs of each block."""
+    grams = df.select(F.col(id_col).alias("id"), F.explode(char_ngrams(F.lower(F.col(text_col)), 3)).alias("g")).groupBy("id", "g").agg(F.count("*").cast("double").alias("c"))
+    counts = grams.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("grams"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
+    rows = df.select(F.col(id_col).alias("id"), block.alias("_block")).join(counts, "id")
+    pairs = blocked_pairs(rows, "id", F.array("_block"), ["grams", "norm"])
+    dot = F.aggregate(F.map_entries("grams_a"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("grams_b", e["key"]), F.lit(0.0)))
+    return pairs.select("a", "b", (dot / (F.col("norm_a") * F.col("norm_b"))).alias("similarity")).where((F.col("similarity") > 0) & (F.col("similarity") >= threshold))
 
 
 def column_similarity(kind: str, a: Column, b: Column, date_days: float = 30.0) -> Column:
@@ -237,16 +241,9 @@ def flag_similar_records(df: DataFrame, id_col: str, pairs: DataFrame) -> DataFr
     return out.select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("group_id"), (F.coalesce("root", "id") != F.col("id")).alias("is_duplicate"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-#: The edges of one node are dealt to so many tasks.
-SALTS = 64
-
-
 def _with_least(edges: DataFrame) -> DataFrame:
-    """(a, b, m): every edge with the least b of its a. The edges of a hub meet in parts; only their minima meet in one task."""
-    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    parts = dealt.groupBy("a", "salt").agg(F.min("b").alias("m"))
-    least = parts.groupBy("a").agg(F.min("m").alias("m"))
-    return dealt.join(parts.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m")
+    """(a, b, m): every edge with the least b of its a; the edges of a hub are split."""
+    return with_group_extremes(edges.select("a", "b"), ["a"], F.col("b"), {"m": ("min", F.col("b"))})
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -300,6 +297,91 @@ def lineage(df: DataFrame, id_col: str, groups: DataFrame) -> DataFrame:
     return df.select(F.col(id_col).alias("original_id")).join(g, "original_id", "left").select("original_id", F.coalesce("kept_id", "original_id").alias("kept_id"))
 
 
+class DedupTracker:
+    """Where the rows of a table went over several deduplication steps; every step is a join, nothing is collected."""
+
+    def __init__(self, df: DataFrame, id_col: str):
+        self.id_col, self.map = id_col, df.select(F.col(id_col).alias("original_id"), F.col(id_col).alias("kept_id"))
+
+    def update(self, groups: DataFrame) -> DedupTracker:
+        """A step that keeps one row of each group. ``groups``: (id, group_id) of the rows that were left, group_id the kept one."""
+        g = groups.select(F.col(self.id_col).alias("kept_id"), F.col("group_id").alias("_to"))
+        self.map = self.map.join(g, "kept_id", "left").select("original_id", F.coalesce("_to", "kept_id").alias("kept_id"))
+        return self
+
+    def update_kept(self, kept: DataFrame) -> DedupTracker:
+        """A step that drops all rows but ``kept`` without naming who stands for them: their kept_id becomes NULL."""
+        k = kept.select(F.col(self.id_col).alias("kept_id"), F.lit(True).alias("_in"))
+        self.map = self.map.join(k, "kept_id", "left").select("original_id", F.when(F.col("_in"), F.col("kept_id")).alias("kept_id"))
+        return self
+
+    def map_to_original(self, result: DataFrame) -> DataFrame:
+        """Values of kept rows for all original rows that they stand for."""
+        return self.map.join(result.withColumnRenamed(self.id_col, "kept_id"), "kept_id").withColumnRenamed("original_id", self.id_col).drop("kept_id")
+
+    def full_result(self, original: DataFrame, result: DataFrame, fill: dict | None = None) -> DataFrame:
+        """``original`` with the values of its kept rows; rows without one get ``fill`` or NULL."""
+        out = original.join(self.map_to_original(result), self.id_col, "left")
+        return out.na.fill(fill) if fill else out
+
+
+def fuzzy_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, block: Column | None = None, score=levenshtein_similarity) -> DataFrame:
+    """(id, group_id, is_duplicate): components of the pairs of a block whose normalised texts reach the threshold.
+
+    The block is by default the text's first four characters.
+    """
+    rows = df.select(F.col(id_col), text_key(F.col(text_col)).alias("_t"), *([] if block is None else [block.alias("_block")]))
+    rows = rows if block is not None else rows.withColumn("_block", F.substring("_t", 1, 4))
+    pairs = blocked_pairs(rows, id_col, F.array(F.col("_block").cast("string")), ["_t"]).select("a", "b", score(F.col("_t_a"), F.col("_t_b")).alias("similarity"))
+    found = flag_similar_records(df, id_col, pairs.where(F.col("similarity") >= threshold))
+    return found.select(id_col, "group_id", "is_duplicate")
+
+
+def fingerprint_groups(df: DataFrame, id_col: str, text_col: str, n: int = 3, top: int = 100) -> DataFrame:
+    """(id, group_id, is_duplicate): texts with one n-gram fingerprint; texts without one stay alone."""
+    prints = ngram_fingerprints(df, id_col, text_col, n, top)
+    some = with_group_extremes(prints.where("fingerprint IS NOT NULL"), ["fingerprint"], F.col(id_col), {"group_id": ("min", F.col(id_col))})
+    none = prints.where("fingerprint IS NULL").withColumn("group_id", F.col(id_col))
+    return some.select(id_col, "group_id").unionAll(none.select(id_col, "group_id")).withColumn("is_duplicate", F.col(id_col) != F.col("group_id"))
+
+
+#: What flag_text_duplicates knows; each takes (df, id, text, ...) and returns (id, group_id, is_duplicate).
+TEXT_METHODS = {"hash": hash_groups, "ngram": fingerprint_groups, "fuzzy": fuzzy_groups, "lsh": lsh_groups}
+
+
+def flag_text_duplicates(df: DataFrame, id_col: str, text_col: str, method: str = "hash", **params) -> DataFrame:
+    """(id, group_id, is_duplicate) by equal normalised text, n-gram fingerprint, edit distance in blocks, or MinHash LSH."""
+    if method not in TEXT_METHODS:
+        raise ValueError(f"method {method!r} is not one of {sorted(TEXT_METHODS)}")
+    return TEXT_METHODS[method](df, id_col, text_col, **params)
+
+
+def deduplicate_texts(df: DataFrame, id_col: str, text_col: str, method: str = "hash", **params) -> DataFrame:
+    """The rows that stay."""
+    flags = flag_text_duplicates(df, id_col, text_col, method, **params)
+    return df.join(flags.where("is_duplicate"), id_col, "left_anti")
+
+
+def add_duplicate_columns(df: DataFrame, id_col: str, text_col: str, methods: dict[str, dict]) -> DataFrame:
+    """``df`` with <method>_group and <method>_duplicate for every method, and ``duplicate_votes`` of them."""
+    out = df
+    for m, params in methods.items():
+        f = flag_text_duplicates(df, id_col, text_col, m, **params)
+        out = out.join(f.select(id_col, F.col("group_id").alias(f"{m}_group"), F.col("is_duplicate").alias(f"{m}_duplicate")), id_col, "left")
+    return out.withColumn("duplicate_votes", sum((F.col(f"{m}_duplicate").cast("int") for m in methods), F.lit(0)))
+
+
+def projection_pairs(df: DataFrame, id_col: str, vector: str, max_distance: float, bucket_length: float = 2.0, tables: int = 4, seed: int = 42) -> DataFrame:
+    """(a, b, distance): candidate pairs of random projections within an Euclidean distance."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    x = df.select(id_col, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(x)
+    met = model.approxSimilarityJoin(x, x, max_distance, "distance")
+    return met.select(F.col(f"datasetA.{id_col}").alias("a"), F.col(f"datasetB.{id_col}").alias("b"), "distance").where("a < b")
+
+
 def pair_features(pairs: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Similarity features ``f_<c>`` of pairs with columns <c>_a and <c>_b, for a supervised model."""
     return pairs.withColumns({f"f_{c}": column_similarity(kind, F.col(f"{c}_a"), F.col(f"{c}_b")) for c, kind in columns.items()})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import count_if, is_missing, numeric_columns, ratio
+from ..functions.expr import count_if, is_missing, numeric_columns, ratio, with_group_extremes
 
 
 def _rows_of(one: DataFrame, names: list[str], metrics: dict[str, str]) -> DataFrame:
@@ -61,13 +61,14 @@ def duplicate_value_counts(df: DataFrame, subset: list[str]) -> DataFrame:
 
 
 def flag_duplicates(df: DataFrame, subset: list[str], order_by: list[str], keep: str | None = "first") -> DataFrame:
-    """``df`` with is_duplicate and group_id (the first order value of the group, 0-based count for singletons is absent)."""
-    w = W.partitionBy(*subset)
-    first = F.min(F.struct(*order_by)).over(w)
-    last = F.max(F.struct(*order_by)).over(w)
-    own = F.struct(*order_by)
-    flag = F.count("*").over(w) > 1 if keep is None else own != (first if keep == "first" else last)
-    return df.withColumn("is_duplicate", flag).withColumn("group_id", first[order_by[0]])
+    """``df`` with is_duplicate and group_id (the first order value of the group; ``order_by`` tells all rows apart)."""
+    own = F.struct(*[F.col(c) for c in order_by])
+    # a struct of the subset is a key that may hold NULLs
+    extremes = {"_first": ("min", own), "_last": ("max", own)}
+    found = with_group_extremes(df.withColumn("_key", F.struct(*subset)), ["_key"], own, extremes)
+    kept = own if keep is None else F.col("_first" if keep == "first" else "_last")
+    flag = F.col("_first") != F.col("_last") if keep is None else own != kept
+    return found.select(*df.columns, flag.alias("is_duplicate"), F.col("_first")[order_by[0]].alias("group_id"))
 
 
 def remove_duplicates(df: DataFrame, subset: list[str], order_by: list[str], keep: str | None = "first") -> DataFrame:
