@@ -35,8 +35,8 @@ def hash_groups(df: DataFrame, id_col: str, text_col: str, keep: str = "first",
 
 
 def char_ngrams(c: Column, n: int) -> Column:
-    """All character n-grams of a text, repeats kept; none for a shorter or null text."""
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All character n-grams of a text, repeats kept, in time linear in its length; none for a shorter or null text."""
+    return F.coalesce(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def word_ngrams(c: Column, n: int) -> Column:
@@ -125,19 +125,19 @@ def lsh_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7
 
 
 def simhash(df: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
-    """(id, simhash): 64 votes over the low 64 bits of every shingle's md5, repeats counted; a bit is set when its votes are positive."""
-    low = lambda s: F.struct(F.conv(F.substring(F.md5(s), 17, 8), 16, 10).cast("long").alias("hi"), F.conv(F.substring(F.md5(s), 25, 8), 16, 10).cast("long").alias("lo"))
-    halves = df.select(id_col, F.transform(char_ngrams(F.coalesce(F.col(text_col), F.lit("")), k), low).alias("_h"))
-
-    def vote(bit: Column) -> Column:
-        word = lambda s: F.when(bit < 32, F.shiftright(s["lo"], 0)).otherwise(s["hi"])
-        power = F.pow(F.lit(2.0), bit % 32).cast("long")
-        ones = F.aggregate("_h", F.lit(0), lambda a, s: a + F.when((word(s) / power).cast("long") % 2 == 1, 1).otherwise(-1))
-        return F.when(ones > 0, 1).otherwise(0)
-
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), vote)
-    value = F.aggregate(F.reverse(F.col("_b")), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b.cast("long")))
-    return halves.select(id_col, bits.alias("_b")).select(id_col, value.alias("simhash"))
+    """(id, simhash): 64 votes over the low 64 bits of every shingle's md5, repeats counted; a bit is set when its votes are positive.
+
+    Votes are sums of one aggregate, combined inside the tasks; ids tell rows apart, and a text without shingles has 0.
+    """
+    grams = df.select(id_col, F.explode(char_ngrams(F.coalesce(F.col(text_col), F.lit("")), k)).alias("g"))
+    half = lambda at: F.conv(F.substring(F.md5("g"), at, 8), 16, 10).cast("long")
+    halves = grams.select(id_col, half(17).alias("hi"), half(25).alias("lo"))
+    vote = lambda b: F.sum(F.shiftright("lo" if b < 32 else "hi", b % 32).bitwiseAND(F.lit(1)) * 2 - 1)
+    votes = halves.groupBy(id_col).agg(*[vote(b).alias(f"v{b}") for b in range(64)])
+    value = F.lit(0).cast("long")
+    for b in range(64):
+        value = value.bitwiseOR(F.when(F.col(f"v{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    return df.select(id_col).join(votes.select(id_col, value.alias("simhash")), id_col, "left").na.fill(0, ["simhash"])
 
 
 def simhash_pairs(hashes: DataFrame, id_col: str, max_distance: int = 3) -> DataFrame:

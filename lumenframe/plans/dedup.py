@@ -8,9 +8,8 @@ from .base import query, table
 KEY = r"lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))"
 
 
-def docs(spark, d, n=None):
-    df = table(spark, d, "documents").select("doc_id", "text")
-    return df.withColumn("text", F.substring("text", 1, n)) if n else df
+def docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 for _keep, _sql in (("first", "min(doc_id)"), ("last", "max(doc_id)"), ("longest", "arg_max(doc_id, (length(text), -doc_id))")):
@@ -49,9 +48,14 @@ def minhash_lsh_groups(spark, d):
     return D.lsh_groups(table(spark, d, "part"), "p_partkey", "p_name", threshold=0.7, num_perm=40)
 
 
+@query("minhash_lsh_documents")
+def minhash_lsh_documents(spark, d):
+    return D.lsh_groups(docs(spark, d), "doc_id", "text", threshold=0.8, num_perm=40)
+
+
 @query("simhash_pairs")
 def simhash_pairs(spark, d):
-    return D.simhash_pairs(D.simhash(table(spark, d, "part"), "p_partkey", "p_name"), "p_partkey")
+    return D.simhash_pairs(D.simhash(docs(spark, d), "doc_id", "text"), "doc_id")
 
 
 PAIRS = "x AS (SELECT a.{id} AS a, b.{id} AS b, a.{c} AS ta, b.{c} AS tb FROM {t} a JOIN {t} b ON a.{k} = b.{k} AND a.{id} < b.{id})"
@@ -137,7 +141,7 @@ def dedup_threshold_sweep(spark, d):
     return D.threshold_sweep(customer_pairs(spark, d, "composite", 0.8), [0.85, 0.9, 0.95])
 
 
-@query("dedup_metrics", """WITH k AS (SELECT (doc_id <> min(doc_id) OVER (PARTITION BY md5(text)))::INT AS p, (doc_id <> min(doc_id) OVER (PARTITION BY md5(lower(left(text, 60)))))::INT AS t FROM documents),
+@query("dedup_metrics", f"""WITH k AS (SELECT (doc_id <> min(doc_id) OVER (PARTITION BY md5(text)))::INT AS p, (doc_id <> min(doc_id) OVER (PARTITION BY md5({KEY})))::INT AS t FROM documents),
  c AS (SELECT sum(p * t)::BIGINT AS tp, sum(p * (1 - t))::BIGINT AS fp, sum((1 - p) * t)::BIGINT AS fn, sum((1 - p) * (1 - t))::BIGINT AS tn FROM k)
  SELECT tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6)::DOUBLE AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6)::DOUBLE AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6)::DOUBLE AS f1, round((tp + tn) / (tp + fp + fn + tn), 6)::DOUBLE AS accuracy FROM c""")
 def dedup_metrics(spark, d):
@@ -145,7 +149,7 @@ def dedup_metrics(spark, d):
 
     df = table(spark, d, "documents")
     first = lambda key: (F.col("doc_id") != F.min("doc_id").over(W.partitionBy(key))).cast("int")
-    out = D.dedup_metrics(df.select(first(F.md5("text")).alias("p"), first(F.md5(F.lower(F.substring("text", 1, 60)))).alias("t")), "p", "t")
+    out = D.dedup_metrics(df.select(first(F.md5("text")).alias("p"), first(F.md5(D.text_key(F.col("text")))).alias("t")), "p", "t")
     return out.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
 
 
@@ -157,7 +161,55 @@ def dbscan_names(spark, d):
 
 @query("supervised_duplicates")
 def supervised_duplicates(spark, d):
-    p = table(spark, d, "customer")
-    pairs = D.blocked_pairs(p, "c_custkey", F.array(F.col("c_nationkey").cast("string")), ["c_name", "c_acctbal"])
-    train = pairs.withColumn("label", (D.levenshtein_similarity(F.col("c_name_a"), F.col("c_name_b")) >= 0.9).cast("double"))
-    return D.supervised_pairs(train, pairs, COLS)
+    """Same brand or not, from names, prices and sizes; learned on two thirds of the pairs, predicted for the rest."""
+    pairs = D.blocked_pairs(table(spark, d, "part"), "p_partkey", F.array("p_type"), ["p_name", "p_retailprice", "p_size", "p_brand"])
+    pairs = pairs.withColumn("label", (F.col("p_brand_a") == F.col("p_brand_b")).cast("double"))
+    learned = F.pmod(F.xxhash64("a", "b"), F.lit(3)) != 0
+    return D.supervised_pairs(pairs.where(learned), pairs.where(~learned), {"p_name": "text", "p_retailprice": "number", "p_size": "number"}, threshold=0.0)
+
+
+GROUPS = "SELECT p_partkey, min(p_partkey) OVER w AS group_id, p_partkey <> min(p_partkey) OVER w AS is_duplicate FROM f WINDOW w AS (PARTITION BY coalesce(fingerprint, p_partkey::VARCHAR))"
+
+
+@query("dedup_ngram_groups", f"""WITH {NAMES}, g AS (SELECT p_partkey, unnest([substring(t, i, 3) FOR i IN range(1, length(t) - 1)]) AS g FROM p), c AS (SELECT p_partkey, g, count(*) AS n FROM g GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, g) AS rk FROM c), s AS (SELECT p_partkey, string_agg(g, ' ' ORDER BY rk) AS fingerprint FROM r WHERE rk <= 5 GROUP BY 1), f AS (SELECT p.p_partkey, s.fingerprint FROM p LEFT JOIN s USING (p_partkey)) {GROUPS}""")
+def dedup_ngram_groups(spark, d):
+    return D.flag_text_duplicates(table(spark, d, "part"), "p_partkey", "p_name", "ngram", top=5)
+
+
+@query("dedup_fuzzy_groups", f"""WITH RECURSIVE {PART}, e AS (SELECT a AS u, b AS v FROM x WHERE CASE WHEN lower(ta) = lower(tb) THEN 1 ELSE 1 - levenshtein(lower(ta), lower(tb)) / greatest(length(ta), length(tb)) END >= 0.7),
+ s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u AS id, u AS l FROM s UNION SELECT s.v, r.l FROM r JOIN s ON s.u = r.id), m AS (SELECT id, min(l) AS root FROM r GROUP BY 1)
+ SELECT p_partkey, coalesce(root, p_partkey) AS group_id, coalesce(root, p_partkey) <> p_partkey AS is_duplicate FROM part LEFT JOIN m ON id = p_partkey""")
+def dedup_fuzzy_groups(spark, d):
+    return D.flag_text_duplicates(table(spark, d, "part"), "p_partkey", "p_name", "fuzzy", threshold=0.7, block=F.col("p_type"))
+
+
+@query("deduplicate_texts", f"WITH k AS (SELECT doc_id, n_chars, doc_id = arg_max(doc_id, (length(text), -doc_id)) OVER (PARTITION BY md5({KEY})) AS kept FROM documents) SELECT doc_id, n_chars FROM k WHERE kept")
+def deduplicate_texts(spark, d):
+    return D.deduplicate_texts(table(spark, d, "documents"), "doc_id", "text", "hash", keep="longest").select("doc_id", "n_chars")
+
+
+@query("duplicate_columns", f"""WITH k AS (SELECT doc_id, md5({KEY}) AS a, md5(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS b FROM documents), g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY a) AS hash_group FROM k)
+ SELECT doc_id, hash_group, doc_id <> hash_group AS hash_duplicate, (doc_id <> hash_group)::INT AS duplicate_votes FROM g""")
+def duplicate_columns(spark, d):
+    return D.add_duplicate_columns(docs(spark, d), "doc_id", "text", {"hash": {}}).drop("text")
+
+
+@query("dedup_tracker", f"""WITH k AS (SELECT doc_id, lang, source, min(doc_id) OVER (PARTITION BY md5({KEY})) AS one FROM documents), s AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, source, n // 100) AS two
+ FROM (SELECT doc_id, lang, source, n_chars AS n FROM documents WHERE doc_id IN (SELECT one FROM k))) SELECT k.doc_id, s.two AS kept_id, t.n_chars AS kept_chars FROM k JOIN s ON s.doc_id = k.one JOIN documents t ON t.doc_id = s.two""")
+def dedup_tracker(spark, d):
+    """Two steps: equal texts, then documents of about one length per language and source."""
+    from pyspark.sql import Window as W
+
+    df = table(spark, d, "documents")
+    first = D.hash_groups(df, "doc_id", "text")
+    left = df.join(first.where("NOT is_duplicate").select("doc_id"), "doc_id", "left_semi")
+    second = left.select("doc_id", F.min("doc_id").over(W.partitionBy("lang", "source", F.expr("n_chars div 100"))).alias("group_id"))
+    tracker = D.DedupTracker(df, "doc_id").update(first).update(second)
+    values = df.select("doc_id", F.col("doc_id").alias("kept_id_"), F.col("n_chars").alias("kept_chars"))
+    return tracker.map_to_original(values).select("doc_id", F.col("kept_id_").alias("kept_id"), "kept_chars")
+
+
+@query("embedding_projection_pairs")
+def embedding_projection_pairs(spark, d):
+    return D.projection_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5)
