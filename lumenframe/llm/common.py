@@ -22,7 +22,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 #: A table of at most so many narrow rows (tens of bytes each) is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of rows that Python code turns into objects at a time.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -51,7 +51,7 @@ BLOCK = 64
 #: Rows of one window or passage are dealt to so many tasks.
 SALTS = 32
 #: Bytes of text hashed at a time.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 _TEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
