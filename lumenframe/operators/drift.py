@@ -74,7 +74,7 @@ def psi_numeric(reference: DataFrame, current: DataFrame, column: str, bins: int
 
 
 def categorical_drift(reference: DataFrame, current: DataFrame, column: str, max_categories: int = 20) -> DataFrame:
-    """One row (feature, n_categories, chi2, dof, psi, js); no row when there are too many categories.
+    """One row (feature, n_categories, chi2, dof, psi, js, reason); with too many categories the statistics are NULL and ``reason`` says so.
 
     Counts of 0 become 1 for chi-square; 2 x 2 tables use Yates' correction.
     """
@@ -94,7 +94,10 @@ def categorical_drift(reference: DataFrame, current: DataFrame, column: str, max
     mid = (jr + jc) / 2
     js = F.sum(jr * F.log(jr / mid) + jc * F.log(jc / mid)) / 2
     out = x.agg(F.max("k").alias("n_categories"), chi.alias("chi2"), psi.alias("psi"), js.alias("js"))
-    return out.where(F.col("n_categories") <= max_categories).select(F.lit(column).alias("feature"), "n_categories", "chi2", (F.col("n_categories") - 1).alias("dof"), "psi", "js")
+    few = F.col("n_categories") <= max_categories
+    held = {"chi2": F.col("chi2"), "dof": F.col("n_categories") - 1, "psi": F.col("psi"), "js": F.col("js")}
+    reason = F.when(few, F.lit(None).cast("string")).otherwise(F.lit(f"over {max_categories} categories"))
+    return out.select(F.lit(column).alias("feature"), "n_categories", *[F.when(few, v).alias(n) for n, v in held.items()], reason.alias("reason"))
 
 
 def datetime_drift(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
@@ -103,10 +106,14 @@ def datetime_drift(reference: DataFrame, current: DataFrame, column: str) -> Dat
     return detect_numeric_drift(r, c, [column]).select("feature", "ks", "p_value", ((F.col("mean_cur") - F.col("mean_ref")) / 86400).alias("mean_shift_days"), "drift")
 
 
-def detect_all_drift(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str], threshold: float = 0.05) -> DataFrame:
-    """(feature, kind, statistic, drift) of all features, numeric by KS and categorical by PSI of 0.2 or more."""
+def detect_all_drift(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str], threshold: float = 0.05, datetimes: list[str] | None = None) -> DataFrame:
+    """(feature, kind, statistic, drift) of all features: numbers and datetimes by KS, categories by PSI of 0.2 or more.
+
+    A categorical feature with too many categories has NULL in both.
+    """
     parts = [detect_numeric_drift(reference, current, numeric, threshold).select("feature", F.lit("numeric").alias("kind"), F.col("ks").alias("statistic"), "drift")] if numeric else []
     parts += [categorical_drift(reference, current, c).select("feature", F.lit("categorical").alias("kind"), F.col("psi").alias("statistic"), (F.col("psi") >= 0.2).alias("drift")) for c in categorical]
+    parts += [datetime_drift(reference, current, c).select("feature", F.lit("datetime").alias("kind"), F.col("ks").alias("statistic"), "drift") for c in datetimes or []]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

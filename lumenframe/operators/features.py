@@ -59,12 +59,21 @@ def datetime_features(df: DataFrame, column: str, features: list[str] | None = N
 
 
 def binned(df: DataFrame, column: str, n_bins: int = 5, strategy: str = "uniform") -> DataFrame:
-    """``df`` with <column>_bin, codes from 0: right-closed equal-width bins, or bins at exact quantiles without repeated edges."""
+    """``df`` with <column>_bin, codes from 0: right-closed equal-width bins, bins at exact quantiles without repeated edges, or k-means cells."""
     if strategy == "uniform":
         s = df.agg(F.min(column).cast("double").alias("_lo"), F.max(column).cast("double").alias("_hi"))
         width = (F.col("_hi") - F.col("_lo")) / n_bins
         code = F.greatest(F.lit(0), F.ceil(F.try_divide(F.col(column) - F.col("_lo"), width)) - 1)
         return df.join(F.broadcast(s), F.lit(True)).withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), F.least(F.lit(n_bins - 1), F.coalesce(code, F.lit(0)))).cast("int")).drop("_lo", "_hi")
+    if strategy == "kmeans":
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.feature import VectorAssembler
+
+        x = VectorAssembler(inputCols=[column], outputCol="_v").transform(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias(column)))
+        centres = sorted(float(c[0]) for c in KMeans(k=n_bins, seed=42, featuresCol="_v").fit(x).clusterCenters())
+        edges = [(lo + hi) / 2 for lo, hi in zip(centres, centres[1:], strict=False)]
+        code = sum((F.when(F.col(column) > e, 1).otherwise(0) for e in edges), F.lit(0))
+        return df.withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), code))
     if strategy != "quantile":
         raise ValueError(f"unknown strategy {strategy!r}")
     edges = df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)]))).alias("_e"))

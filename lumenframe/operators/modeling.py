@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
-from .stats import anova, pearson
+from .stats import anova, feature_importance, pearson
 
 # selection
 
@@ -33,6 +33,41 @@ def select_by_anova(df: DataFrame, columns: list[str], category: str, k: int = 1
     return out.orderBy(F.desc("f_statistic"), "feature").limit(k)
 
 
+def mutual_information(df: DataFrame, feature: str, target: str, bins: int = 10) -> DataFrame:
+    """One row (feature, n, mi, nmi): mutual information in nats from joint counts, and over the larger entropy.
+
+    Numbers with more than ``bins`` distinct values are cut into as many equal widths; strings, booleans and few values count as they are.
+    """
+    rows = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull())
+
+    def discrete(c: str, out: DataFrame) -> DataFrame:
+        if df.schema[c].dataType.typeName() in ("string", "boolean") or out.select(c).distinct().limit(bins + 1).count() <= bins:
+            return out.withColumn(f"_{c}", F.col(c).cast("string"))
+        s = out.agg(F.min(c).cast("double").alias("_lo"), F.max(c).cast("double").alias("_hi"))
+        at = F.least(F.lit(bins - 1), F.floor((F.col(c) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))
+        return out.join(F.broadcast(s), F.lit(True)).withColumn(f"_{c}", at.cast("string")).drop("_lo", "_hi")
+
+    joint = discrete(target, discrete(feature, rows)).groupBy(F.col(f"_{feature}").alias("x"), F.col(f"_{target}").alias("y")).agg(F.count("*").alias("c"))
+    sides = {k: joint.groupBy(k).agg(F.sum("c").alias(f"c_{k}")) for k in ("x", "y")}
+    total = joint.agg(F.sum("c").alias("n"))
+    cells = joint.join(sides["x"], "x").join(sides["y"], "y").join(F.broadcast(total), F.lit(True))
+    mi = cells.agg(F.max("n").alias("n"), F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("c_x") * F.col("c_y")))).alias("mi"))
+    for k, side in sides.items():
+        share = F.col(f"c_{k}") / F.col("n")
+        mi = mi.join(F.broadcast(side.join(F.broadcast(total), F.lit(True)).agg((-F.sum(share * F.log(share))).alias(f"h_{k}"))), F.lit(True))
+    return mi.select(F.lit(feature).alias("feature"), "n", "mi", F.try_divide("mi", F.greatest("h_x", "h_y")).alias("nmi"))
+
+
+def select_by_mutual_information(df: DataFrame, columns: list[str], target: str, k: int | None = None, percentile: float | None = None, bins: int = 10) -> DataFrame:
+    """(feature, mi, nmi) of the k features, or of the given share of them, that tell most about the target."""
+    out = None
+    for c in columns:
+        one = mutual_information(df, c, target, bins).select("feature", "mi", "nmi")
+        out = one if out is None else out.unionByName(one)
+    k = k if k is not None else max(1, round(len(columns) * (percentile if percentile is not None else 0.5)))
+    return out.orderBy(F.desc("mi"), "feature").limit(k)
+
+
 def select_by_lag(df: DataFrame, columns: list[str], target: str, order_by: list[str], max_lag: int = 5) -> DataFrame:
     """(feature, lag, r): the lag at which a feature's past correlates most with the target."""
     w = W.orderBy(*order_by)
@@ -247,6 +282,47 @@ def cross_validate(df: DataFrame, id_col: str, target: str, features: list[str],
     return out
 
 
+#: What select_features knows; each takes (df, columns, target, ...) and returns a table with ``feature``.
+SELECTORS = {
+    "variance": lambda df, columns, target, **p: select_by_variance(df, columns, **p),
+    "correlation": select_by_correlation,
+    "anova": select_by_anova,
+    "mutual_information": select_by_mutual_information,
+    "percentile": lambda df, columns, target, percentile=0.5, **p: select_by_mutual_information(df, columns, target, percentile=percentile, **p),
+    "importance": lambda df, columns, target, k=5, **p: feature_importance(df, columns, target, **p).orderBy(F.desc("importance"), "feature").limit(k),
+    "lag": select_by_lag,
+}
+
+
+def select_features(df: DataFrame, columns: list[str], target: str, method: str, **params) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with the selected features and all columns that were no candidates, the table of selected features)."""
+    if method not in SELECTORS:
+        raise ValueError(f"method {method!r} is not one of {sorted(SELECTORS)}")
+    found = SELECTORS[method](df, columns, target, **params)
+    kept = {r["feature"] for r in found.select("feature").collect()}  # at most the number of columns
+    return df.select(*[c for c in df.columns if c in kept or c not in columns]), found
+
+
+def train_cross_validated(df: DataFrame, id_col: str, target: str, features: list[str], model: str = "linear", problem: str = "regression", grid: dict[str, list] | None = None, k: int = 3, parallelism: int = 2):
+    """(best model, table of params and mean metric): a parameter grid over k folds dealt by hash of the id."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    estimator = make_model(model, problem).setLabelCol(target)
+    builder = ParamGridBuilder()
+    for name, values in (grid or {}).items():
+        builder = builder.addGrid(estimator.getParam(name), values)
+    evaluator = RegressionEvaluator(labelCol=target) if problem == "regression" else MulticlassClassificationEvaluator(labelCol=target)
+    whole = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), estimator])
+    rows = kfold(df.withColumns({c: F.col(c).cast("double") for c in [*features, target]}), id_col, k).withColumn("fold", F.col("fold").cast("int"))
+    cv = CrossValidator(estimator=whole, estimatorParamMaps=builder.build(), evaluator=evaluator, numFolds=k, foldCol="fold", parallelism=parallelism).fit(rows)
+    names = [",".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)) for m in cv.getEstimatorParamMaps()]
+    table = df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, cv.avgMetrics, strict=True)], f"params string, {evaluator.getMetricName()} double")
+    return cv.bestModel, table
+
+
 def permutation_importance(fitted, df: DataFrame, id_col: str, target: str, features: list[str], metric: str = "rmse", seed: int = 42) -> DataFrame:
     """(feature, importance): how much worse a regression metric gets when a feature's values are dealt anew by hash order.
 

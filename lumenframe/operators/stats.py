@@ -111,12 +111,15 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     c = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     ra, cb = (c.groupBy(k).agg(F.sum("n").alias(f"n_{k}")) for k in ("a", "b"))
     t = c.agg(F.sum("n").alias("n_all"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("k"))
-    # categories crossed with categories: both sides are value lists of a contingency table
-    cells = ra.join(F.broadcast(cb), F.lit(True)).join(c, ["a", "b"], "left").join(F.broadcast(t), F.lit(True)).na.fill(0, ["n"])
-    e = F.col("n_a") * F.col("n_b") / F.col("n_all")
-    off = F.abs(F.col("n") - e)
-    off = off - F.when((F.col("r") == 2) & (F.col("k") == 2), F.least(F.lit(0.5), off)).otherwise(0.0)
-    out = cells.agg(F.sum(off * off / e).alias("chi2"), F.max("n_all").alias("n"), F.max("r").alias("r"), F.max("k").alias("k"))
+    # cells without rows add nothing to n * (sum of o^2 / (row * column) - 1), so only cells with rows are read
+    cells = c.join(ra, "a").join(cb, "b").join(F.broadcast(t), F.lit(True))
+    share = F.sum(F.col("n") * F.col("n") / (F.col("n_a") * F.col("n_b").cast("double")))
+    out = cells.agg((F.max("n_all") * (share - 1)).alias("plain"), F.max("n_all").alias("n"), F.max("r").alias("r"), F.max("k").alias("k"), F.max(F.struct("n", "n_a", "n_b")).alias("one"))
+    # 2 x 2: |o - e| is the same in all four cells, and Yates' correction takes half a row off it
+    e = F.col("one.n_a") * F.col("one.n_b") / F.col("n")
+    off = F.abs(F.col("one.n") - e)
+    yates = F.col("plain") * F.pow(F.coalesce(F.try_divide(off - F.least(F.lit(0.5), off), off), F.lit(0.0)), 2)
+    out = out.withColumn("chi2", F.greatest(F.lit(0.0), F.when((F.col("r") == 2) & (F.col("k") == 2), yates).otherwise(F.col("plain"))))
     r, k, n = F.col("r"), F.col("k"), F.col("n")
     phi = F.greatest(F.lit(0.0), F.col("chi2") / n - (r - 1) * (k - 1) / (n - 1))
     rc, kc = r - (r - 1) * (r - 1) / (n - 1), k - (k - 1) * (k - 1) / (n - 1)
@@ -135,6 +138,20 @@ def pca(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "component int, explained double, cumulative double")
 
 
+def pca_scores(df: DataFrame, id_col: str, columns: list[str], k: int = 2) -> tuple[DataFrame, DataFrame]:
+    """((id, pc1..pck) of every row, (feature, pc1..pck) loadings) after filling nulls with 0 and standardising."""
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    x = VectorAssembler(inputCols=columns, outputCol="v").transform(df.select(id_col, *columns).na.fill(0, columns))
+    x = StandardScaler(inputCol="v", outputCol="s", withMean=True).fit(x).transform(x)
+    model = PCA(k=k, inputCol="s", outputCol="p").fit(x)
+    names = [f"pc{i + 1}" for i in range(k)]
+    scores = model.transform(x).select(id_col, vector_to_array("p").alias("p")).select(id_col, *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+    rows = [(c, *map(float, model.pc.toArray()[j])) for j, c in enumerate(columns)]
+    return scores, df.sparkSession.createDataFrame(rows, "feature string, " + ", ".join(f"{n} double" for n in names))
+
+
 def feature_importance(df: DataFrame, features: list[str], target: str, trees: int = 20, seed: int = 42) -> DataFrame:
     """(feature, importance) of a random forest; classification for at most ten distinct targets."""
     from pyspark.ml.classification import RandomForestClassifier

@@ -137,6 +137,16 @@ def most_similar(df: DataFrame, id_col: str, vector: str, query: list[float], k:
     return df.select(id_col, cosine(F.col(vector), q).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+def document_embeddings(df: DataFrame, id_col: str, column: str, size: int = 50, min_count: int = 2, iterations: int = 1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """((id, embedding) of every text, (word, embedding)): Word2Vec, a text being the mean of its words; zeros without a known word."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    x = df.select(id_col, F.coalesce(tokens(clean(F.col(column))), F.array().cast("array<string>")).alias("ws"))
+    model = Word2Vec(vectorSize=size, minCount=min_count, maxIter=iterations, seed=seed, inputCol="ws", outputCol="v").fit(x)
+    return model.transform(x).select(id_col, vector_to_array("v").alias("embedding")), model.getVectors().select("word", vector_to_array("vector").alias("embedding"))
+
+
 def topic_model(df: DataFrame, id_col: str, column: str, n_topics: int = 5, max_features: int = 1000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """LDA: (topic, term, weight) of the ten heaviest terms, and (id, topic weights) of all documents."""
     from pyspark.ml.clustering import LDA

@@ -45,6 +45,33 @@ def candidate_periods(acf: DataFrame) -> DataFrame:
     return acf.withColumn("peak", F.max("acf").over(w)).where("significant AND acf > 0 AND acf = peak AND lag > 1").select("lag", "acf")
 
 
+def partial_autocorrelation(series: DataFrame, lags: int = 20) -> DataFrame:
+    """(lag, pacf, significant) by the Durbin-Levinson recursion over the autocorrelations (one row per lag)."""
+    found = autocorrelation(series, lags).orderBy("lag").collect()
+    r, n = [row["acf"] for row in found], series.where("value IS NOT NULL").count()
+    phi: list[float] = []
+    out = []
+    for k in range(len(r)):
+        rest = 1 - sum(p * x for p, x in zip(phi, r, strict=False))
+        last = (r[k] - sum(p * x for p, x in zip(phi, reversed(r[:k]), strict=True))) / rest if rest else 0.0
+        phi = [p - last * q for p, q in zip(phi, reversed(phi), strict=True)] + [last]
+        out.append((k + 1, float(last), bool(abs(last) > 2 / n**0.5)))
+    return series.sparkSession.createDataFrame(out, "lag int, pacf double, significant boolean")
+
+
+def suggest_lags(series: DataFrame, lags: int = 20, top: int = 5, partial: bool = True) -> DataFrame:
+    """(lag, strength): the significant lags with the strongest (partial) autocorrelation."""
+    found = partial_autocorrelation(series, lags).withColumnRenamed("pacf", "r") if partial else autocorrelation(series, lags).withColumnRenamed("acf", "r")
+    return found.where("significant").select("lag", F.abs("r").alias("strength")).orderBy(F.desc("strength"), "lag").limit(top)
+
+
+def suggest_windows(series: DataFrame, lags: int = 40, defaults: tuple = (3, 7, 14)) -> list[int]:
+    """Rolling windows: the candidate periods and their halves, or defaults that fit the series."""
+    periods = [r["lag"] for r in candidate_periods(autocorrelation(series, lags)).orderBy(F.desc("acf"), "lag").limit(3).collect()]
+    n = series.where("value IS NOT NULL").count()
+    return sorted({w for p in periods for w in (p, p // 2) if w > 1} or {w for w in defaults if 2 * w < n})
+
+
 def decompose(series: DataFrame, period: int, multiplicative: bool = False) -> DataFrame:
     """(ts, value, trend, seasonal, residual): centred moving average and normalised means by position."""
     w = W.orderBy("ts")

@@ -35,17 +35,20 @@ SEMANTIC = {
 
 
 def best_types(df: DataFrame) -> DataFrame:
-    """(column_name, storage_type, best_type): the narrowest integer for the range, float for double; one scan."""
+    """(column_name, storage_type, best_type): the narrowest integer for the range, float where every double survives it; one scan."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     whole = [c for c, t in kinds.items() if t in INTEGERS]
     rows = []
-    bounds = df.agg(*[f(c).alias(f"{n}__{c}") for c in whole for n, f in (("lo", F.min), ("hi", F.max))]).head() if whole else None  # one row
+    doubles = [c for c, t in kinds.items() if t == "double"]
+    aggs = [f(c).alias(f"{n}__{c}") for c in whole for n, f in (("lo", F.min), ("hi", F.max))]
+    aggs += [F.bool_and(F.col(c).cast("float").cast("double").eqNullSafe(F.col(c))).alias(f"exact__{c}") for c in doubles]
+    bounds = df.agg(*aggs).head() if aggs else None  # one row
     for c, t in kinds.items():
         if c in whole and bounds[f"lo__{c}"] is not None:
             lo, hi = bounds[f"lo__{c}"], bounds[f"hi__{c}"]
             best = next((n for n, bits in zip(INTEGERS, (8, 16, 32, 64), strict=True) if -(1 << bits - 1) <= lo and hi < 1 << bits - 1))
         else:
-            best = "float" if t == "double" else t
+            best = "float" if c in doubles and bounds[f"exact__{c}"] else t
         rows.append((c, t, best))
     return df.sparkSession.createDataFrame(rows, "column_name string, storage_type string, best_type string")
 

@@ -52,6 +52,10 @@ def drift_datetime(spark, d):
     return out.select("feature", F.round("ks", 6).alias("ks"), F.round("mean_shift_days", 5).alias("mean_shift_days"), "drift")
 
 
-@query("drift_all")
+@query("drift_all", CDF + f""", k AS (SELECT max(abs(fr - fc)) AS ks FROM f), m AS (SELECT ks, ks * sqrt((SELECT sum(r) FROM g)::DOUBLE * (SELECT sum(c) FROM g) / (SELECT sum(r) + sum(c) FROM g)) AS x FROM k),
+ v AS (SELECT ks, CASE WHEN x < .2 THEN 1 ELSE least(1, greatest(0, (SELECT sum(CASE WHEN i % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * (i * x) ** 2)) FROM range(1, 101) t(i)))) END AS p FROM m),
+ t AS (SELECT event_type, sum(1 - s) / (SELECT sum(1 - s) FROM e) AS p, sum(s) / (SELECT sum(s) FROM e) AS q FROM e GROUP BY 1), c AS (SELECT sum((q - p) * ln((q + 1e-6::DOUBLE) / (p + 1e-6::DOUBLE))) AS psi FROM t)
+ SELECT 'value' AS feature, 'numeric' AS kind, round(ks, 6)::DOUBLE AS statistic, p < .05 AS drift FROM v UNION ALL SELECT 'event_type', 'categorical', round(psi, 6)::DOUBLE, psi >= .2 FROM c
+ UNION ALL SELECT 'ts', 'datetime', 1, true UNION ALL SELECT 'event_id', 'categorical', NULL, false""")
 def drift_all(spark, d):
-    return D.detect_all_drift(*halves(spark, d), ["value"], ["event_type"])
+    return D.detect_all_drift(*halves(spark, d), ["value"], ["event_type", "event_id"], datetimes=["ts"]).withColumns({"statistic": F.round("statistic", 6), "drift": F.coalesce("drift", F.lit(False))})

@@ -121,3 +121,6 @@ def encode_woe(spark, d):
     return rounded(X.woe_mapping(df, "c_mktsegment", "y"))
 
 
+@query("bin_kmeans")
+def bin_kmeans(spark, d):
+    return X.binned(table(spark, d, "part"), "p_retailprice", 4, "kmeans").select("p_partkey", "p_retailprice_bin")

@@ -168,3 +168,46 @@ def permutation_importance(spark, d):
     df = table(spark, d, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
     fitted, _ = M.auto_model(df, "id", "l_extendedprice", ["l_quantity", "l_tax"], ["l_returnflag"])
     return M.permutation_importance(fitted, df.withColumns({c: F.col(c).cast("double") for c in ("l_quantity", "l_tax", "l_extendedprice")}), "id", "l_extendedprice", ["l_quantity", "l_tax"])
+
+
+MI = """c AS (SELECT {x} AS x, {y} AS y, count(*)::DOUBLE AS c FROM {t} GROUP BY ALL), n AS (SELECT sum(c) AS n FROM c), a AS (SELECT x, sum(c) AS cx FROM c GROUP BY x), b AS (SELECT y, sum(c) AS cy FROM c GROUP BY y),
+ m AS (SELECT sum(c / n * ln(c * n / (cx * cy))) AS mi FROM c JOIN a USING (x) JOIN b USING (y), n), h AS (SELECT greatest((SELECT -sum(cx / n * ln(cx / n)) FROM a), (SELECT -sum(cy / n * ln(cy / n)) FROM b)) AS h FROM n)"""
+WIDTHS = "least(9, floor(({c} - (SELECT min({c}) FROM {t})) / ((SELECT max({c}) FROM {t}) - (SELECT min({c}) FROM {t})) * 10))"
+
+
+def _mi_sql(feature, target, t, x):
+    return f"WITH {MI.format(x=x, y=target, t=t)} SELECT '{feature}' AS feature, n::BIGINT AS n, round(mi, 6) AS mi, round(mi / h, 6) AS nmi FROM m, h, n"
+
+
+@query("mutual_information", _mi_sql("l_quantity", "l_returnflag", "lineitem", WIDTHS.format(c="l_quantity", t="lineitem")))
+def mutual_information(spark, d):
+    out = M.mutual_information(table(spark, d, "lineitem"), "l_quantity", "l_returnflag")
+    return out.select("feature", "n", F.round("mi", 6).alias("mi"), F.round("nmi", 6).alias("nmi"))
+
+
+@query("select_mutual_information", "SELECT feature, mi FROM (" + " UNION ALL ".join(f"({_mi_sql(c, 'l_linestatus', 'lineitem', x)})" for c, x in (("l_returnflag", "l_returnflag"), ("l_quantity", WIDTHS.format(c="l_quantity", t="lineitem")), ("l_linenumber", "l_linenumber"))) + ") ORDER BY mi DESC, feature LIMIT 1")
+def select_mutual_information(spark, d):
+    _, found = M.select_features(table(spark, d, "lineitem"), ["l_returnflag", "l_quantity", "l_linenumber"], "l_linestatus", "percentile", percentile=0.34)
+    return found.select("feature", F.round("mi", 6).alias("mi"))
+
+
+@query("select_features_variance", "SELECT l_orderkey, l_extendedprice, l_quantity FROM lineitem WHERE l_linenumber = 1")
+def select_features_variance(spark, d):
+    kept, _ = M.select_features(table(spark, d, "lineitem").where("l_linenumber = 1"), ["l_extendedprice", "l_quantity", "l_discount", "l_tax"], "l_orderkey", "variance", threshold=1.0)
+    return kept.select("l_orderkey", "l_extendedprice", "l_quantity")
+
+
+@query("train_cross_validated")
+def train_cross_validated(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return M.train_cross_validated(rows, "id", "l_extendedprice", ["l_quantity", "l_discount"], "linear", grid={"regParam": [0.0, 0.1]})[1]
+
+
+@query("pipeline_steps", """WITH b AS (SELECT *, (greatest(0, ceil((o_totalprice - (SELECT min(o_totalprice) FROM orders)) / (((SELECT max(o_totalprice) FROM orders) - (SELECT min(o_totalprice) FROM orders)) / 5)) - 1))::INT AS bin FROM orders)
+ SELECT o_custkey, o_orderkey, least(4, bin)::INT AS o_totalprice_bin FROM b WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_custkey)""")
+def pipeline_steps(spark, d):
+    from ..operators import pipeline as P
+
+    orders = table(spark, d, "orders")
+    steps = P.make_pipeline(P.step("bins", "features.binned", column="o_totalprice", n_bins=5), P.step("first", "quality.remove_duplicates", subset=["o_custkey"], order_by=["o_orderkey"]))
+    return steps.fit(orders).transform(orders).select("o_custkey", "o_orderkey", "o_totalprice_bin")

@@ -150,7 +150,7 @@ def _int_fit(c):
     return f"SELECT '{c}' AS column_name, CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint' WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END AS best_type FROM lineitem"
 
 
-@query("optimize_dtypes", " UNION ALL ".join(map(_int_fit, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])) + "".join(f" UNION ALL SELECT '{c}', 'float'" for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+@query("optimize_dtypes", " UNION ALL ".join(map(_int_fit, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])) + "".join(f" UNION ALL SELECT '{c}', CASE WHEN bool_and({c}::FLOAT::DOUBLE = {c}) THEN 'float' ELSE 'double' END FROM lineitem" for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 def optimize_dtypes(spark, d):
     return Y.best_types(table(spark, d, "lineitem")).where("best_type NOT IN ('string', 'timestamp_ntz')").select("column_name", "best_type")
 

@@ -106,3 +106,8 @@ def pca_variance(spark, d):
 @query("feature_importance_forest")
 def feature_importance_forest(spark, d):
     return S.feature_importance(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", trees=5)
+
+
+@query("pca_scores")
+def pca_scores(spark, d):
+    return S.pca_scores(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"])[0]

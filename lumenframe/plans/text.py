@@ -88,3 +88,8 @@ def embedding_topk(spark, d):
 @query("topic_model")
 def topic_model(spark, d):
     return T.topic_model(docs(spark, d).where("lang = 'en'"), "doc_id", "text", 3)[0]
+
+
+@query("document_embeddings")
+def document_embeddings(spark, d):
+    return T.document_embeddings(table(spark, d, "documents"), "doc_id", "text", size=16)[0]

@@ -50,6 +50,25 @@ def forecast_baselines(spark, d):
     return T.forecast_baselines(hours(spark, d)).select("method", F.round("mae", 5).alias("mae"), F.round("rmse", 5).alias("rmse"), F.round("mape", 3).alias("mape"))
 
 
-@query("seasonal_periods")
+WAVE = f"""{HOURS}, y AS (SELECT ts, value / 10 + 10 * sin(2 * pi() * hour(ts) / 12) AS v FROM h), x AS (SELECT v - avg(v) OVER () AS x, row_number() OVER (ORDER BY ts) AS i FROM y),
+ k AS (SELECT unnest(range(1, 31)) AS lag), a AS (SELECT lag, sum(p.x * q.x) / (SELECT sum(x * x) FROM x) AS acf, (SELECT count(*) FROM x) AS n FROM k, x p JOIN x q ON q.i = p.i - lag GROUP BY lag)"""
+
+
+def wave(spark, d):
+    """Hourly means, with a period of twelve hours added."""
+    return hours(spark, d).where("value IS NOT NULL").select("ts", (F.col("value") / 10 + 10 * F.sin(2 * F.pi() * F.hour("ts") / 12)).alias("value"))
+
+
+@query("seasonal_periods", f"WITH {WAVE}, m AS (SELECT *, max(acf) OVER (ORDER BY lag ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS peak FROM a) SELECT lag::INT AS lag, round(acf, 6) AS acf FROM m WHERE abs(acf) > 2 / sqrt(n) AND acf > 0 AND acf = peak AND lag > 1")
 def seasonal_periods(spark, d):
-    return T.candidate_periods(T.autocorrelation(hours(spark, d), 30))
+    return T.candidate_periods(T.autocorrelation(wave(spark, d), 30)).select("lag", F.round("acf", 6).alias("acf"))
+
+
+@query("partial_autocorrelation", f"WITH {WAVE}, r AS (SELECT max(acf) FILTER (lag = 1) AS r1, max(acf) FILTER (lag = 2) AS r2, max(n) AS n FROM a), p AS (SELECT 1 AS lag, r1 AS pacf, n FROM r UNION ALL SELECT 2, (r2 - r1 * r1) / (1 - r1 * r1), n FROM r) SELECT lag, round(pacf, 6) AS pacf, abs(pacf) > 2 / sqrt(n) AS significant FROM p")
+def partial_autocorrelation(spark, d):
+    return T.partial_autocorrelation(wave(spark, d), 2).select("lag", F.round("pacf", 6).alias("pacf"), "significant")
+
+
+@query("suggest_lags")
+def suggest_lags(spark, d):
+    return T.suggest_lags(wave(spark, d), 24)
