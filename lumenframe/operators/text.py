@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from ..functions.expr import clip, ratio
 
 #: Sentiment words.
-POSITIVE = "good great excellent amazing wonderful best love happy positive fantastic awesome nice perfect beautiful brilliant enjoy superb like".split()
-NEGATIVE = "bad terrible awful horrible worst hate sad negative poor disappointing disgusting ugly boring annoying wrong fail broken useless dislike".split()
+POSITIVE = """good great excellent positive best amazing wonderful fantastic beautiful happy love joy success successful win winning
+    perfect brilliant""".split()
+NEGATIVE = """bad terrible awful negative worst horrible poor sad hate fail failure lose losing difficult wrong problem trouble
+    angry upset""".split()
 #: Words that split key phrases.
-STOPWORDS = "a an and are as at be by for from has have he her his i in is it its not of on or she that the their they this to was we were which will with you".split()
+STOPWORDS = """a an the and or but is are was were in on at to for with by about like from of that this these those it its it's he
+    she they them their have has had do does did can could will would should""".split()
 #: Patterns of personal data.
 PII = {"email": r"[\w.+-]+@[\w-]+(\.[\w-]+)+", "phone": r"\+?\d{1,3}[ -]?\(?\d{2,4}\)?([ -]?\d{2,4}){2,4}", "ip_address": r"\b\d{1,3}(\.\d{1,3}){3}\b", "ssn": r"\b\d{3}-\d{2}-\d{4}\b", "credit_card": r"\b\d{4}([ -]?\d{4}){3}\b"}
 

@@ -63,14 +63,20 @@ def text_ctfidf(spark, d):
     return out.select("lang", "term", F.round("score", 5).alias("score"))
 
 
-@query("text_pii_counts", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}'))::INT AS n_{k}" for k, p in T.PII.items() if k in ("email", "ssn")) + " FROM documents")
+@query("text_pii_counts", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p}'))::INT AS n_{k}" for k, p in T.PII.items()) + " FROM documents")
 def text_pii_counts(spark, d):
-    return T.pii_counts(docs(spark, d), "text").select("doc_id", "n_email", "n_ssn")
+    return T.pii_counts(docs(spark, d), "text").select("doc_id", *[f"n_{k}" for k in T.PII])
 
 
-@query("text_anonymize", r"SELECT doc_id, md5(regexp_replace(text, '[\w.+-]+@[\w-]+(\.[\w-]+)+', '[EMAIL]', 'g')) AS h FROM documents")
+def _replaced(c):
+    for k, p in T.PII.items():
+        c = f"regexp_replace({c}, '{p}', '[{k.upper()}]', 'g')"
+    return c
+
+
+@query("text_anonymize", f"SELECT doc_id, md5({_replaced('text')}) AS h FROM documents")
 def text_anonymize(spark, d):
-    return docs(spark, d).select("doc_id", F.md5(F.regexp_replace("text", T.PII["email"], "[EMAIL]")).alias("h"))
+    return docs(spark, d).select("doc_id", F.md5(T.anonymize(F.col("text"))).alias("h"))
 
 
 @query("text_rake")
