@@ -10,7 +10,8 @@ so that the groups cost hardly any room.
 
 Edge cases: a null or empty text is one piece with the end id alone; repeated
 rows are packed once each; a null doc_id stays null; an empty table gives an
-empty result; columns other than doc_id and text are not read.
+empty result; ties go by id, piece and content; a very long text takes a few times its
+own memory; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,10 +37,6 @@ VOCABULARY = "word_bpe_49k.json"
 #: Punctuation that cannot start a contraction or a special token, at the end of a word.
 _TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 _LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([" + re.escape(_TAIL.decode()) + r"]*)")
-PIECES = 1500
-VOCABULARY = "word_bpe_49k.json"
-#: Latin letters, then punctuation that cannot start a contraction or a special token.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\\[-`{-~]*)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
