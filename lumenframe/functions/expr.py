@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType, TimestampNTZType, TimestampType
 
@@ -81,3 +82,27 @@ def pairs_within(df: DataFrame, id_col: str, keys: list[str], block: int = 1_000
     right = cells.where("_own = _j").select(*keys, "_i", "_j", F.col("_id").alias("_y"))
     met = left.join(right, [*keys, "_i", "_j"]).where("_i < _j AND _x <> _y OR _x < _y")
     return met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+
+
+def running_totals(df: DataFrame, keys: list[str], value: str, sums: list[str], ranges: int = 256) -> DataFrame:
+    """``df`` with, for every c of ``sums``, run_c (its total up to this number, inclusive) and all_c, and next_value.
+
+    ``df`` has one row per key and number. A key's numbers are cut into ranges at approximate quantiles; rows are only put in
+    order within a range, and the totals before it come from a table of at most ``ranges`` + 1 rows per key.
+    """
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000).alias("_bounds"))
+    held = df.join(F.broadcast(bounds), keys or F.lit(True))
+    held = held.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
+    parts = held.groupBy(*keys, "_range").agg(*[F.sum(c).alias(c) for c in sums], F.min(value).alias("_least"))
+    in_order, all_parts = W.partitionBy(*keys).orderBy("_range"), W.partitionBy(*keys)
+    parts = parts.select(
+        *keys,
+        "_range",
+        *[(F.sum(c).over(in_order) - F.col(c)).alias(f"_before_{c}") for c in sums],
+        *[F.sum(c).over(all_parts).alias(f"all_{c}") for c in sums],
+        F.lead("_least").over(in_order).alias("_after"),
+    )
+    inside = W.partitionBy(*keys, "_range").orderBy(value)
+    out = held.join(F.broadcast(parts), [*keys, "_range"])
+    runs = [(F.col(f"_before_{c}") + F.sum(c).over(inside)).alias(f"run_{c}") for c in sums]
+    return out.select(*df.columns, *runs, *[f"all_{c}" for c in sums], F.coalesce(F.lead(value).over(inside), "_after").alias("next_value"))

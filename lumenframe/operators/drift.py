@@ -5,10 +5,9 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import epoch_seconds
+from ..functions.expr import epoch_seconds, running_totals
 
 
 def _sides(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,16 +19,15 @@ def _sides(reference: DataFrame, current: DataFrame, columns: list[str]) -> Data
 def numeric_distances(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, n_ref, n_cur, ks, wasserstein): from cumulative counts over distinct values.
 
-    Counts are combined before the shuffle, so the window of a feature holds its distinct values.
+    Counts are combined before the shuffle, and windows hold the distinct values of a range.
     """
     steps = _sides(reference, current, columns).groupBy("feature", "value").agg(F.sum(1 - F.col("side")).alias("r"), F.sum("side").alias("c"))
-    run = W.partitionBy("feature").orderBy("value")
-    all_rows = W.partitionBy("feature")
+    steps = running_totals(steps, ["feature"], "value", ["r", "c"])
     cdf = steps.select(
-        "feature", "value",
-        (F.sum("r").over(run) / F.sum("r").over(all_rows)).alias("fr"),
-        (F.sum("c").over(run) / F.sum("c").over(all_rows)).alias("fc"),
-        (F.lead("value").over(run) - F.col("value")).alias("width"),
+        "feature",
+        (F.col("run_r") / F.col("all_r")).alias("fr"),
+        (F.col("run_c") / F.col("all_c")).alias("fc"),
+        (F.col("next_value") - F.col("value")).alias("width"),
         "r", "c",
     )
     gap = F.abs(F.col("fr") - F.col("fc"))

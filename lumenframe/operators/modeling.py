@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import ratio
+from ..functions.expr import ratio, running_totals
 from .stats import anova, feature_importance, pearson
 
 # selection
@@ -174,8 +174,8 @@ def classification_metrics(df: DataFrame, truth: str, predicted: str, average: s
 def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """One row (auc): by average ranks over distinct scores, so ties count half."""
     c = df.groupBy(score).agg(F.sum(truth).alias("p"), F.count("*").alias("n"))
-    below = F.sum("n").over(W.orderBy(score)) - F.col("n")
-    r = c.select("p", "n", (below + (F.col("n") + 1) / 2).alias("rank"))
+    c = running_totals(c, [], score, ["n"])
+    r = c.select("p", "n", (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
     pos, neg = F.sum("p"), F.sum(F.col("n") - F.col("p"))
     return r.agg(F.try_divide(F.sum(F.col("rank") * F.col("p")) - pos * (pos + 1) / 2, (pos * neg).cast("double")).alias("auc"))
 

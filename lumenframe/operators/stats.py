@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import count_if, is_missing
+from ..functions.expr import count_if, is_missing, running_totals
 
 PERCENTILES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -59,11 +59,10 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Average ranks through the distinct values: the global window sees one row per value, not per record."""
+    """Average ranks through the distinct values, which are put in order range by range."""
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-        below = F.sum("_n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, 0))
-        ranks = counts.select(F.col(c).alias(f"_key_{c}"), (below - (F.col("_n") - 1) / 2).alias(f"_rank_{c}"))
+        ranks = running_totals(counts, [], c, ["_n"]).select(F.col(c).alias(f"_key_{c}"), (F.col("run__n") - (F.col("_n") - 1) / 2).alias(f"_rank_{c}"))
         df = df.join(ranks, F.col(c) == F.col(f"_key_{c}"), "left").drop(f"_key_{c}")
     return df.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
 
