@@ -234,6 +234,15 @@ def undersample(df: DataFrame, label: str, id_col: str, seed: int = 42) -> DataF
     return df.join(F.broadcast(share), F.col(label) == F.col("_l")).where(unit < F.col("_s")).drop("_l", "_s")
 
 
+def oversample(df: DataFrame, label: str, id_col: str, seed: int = 42) -> DataFrame:
+    """Every class brought to about the largest one's size by whole copies, and one more of a part of its rows, by hash of the id."""
+    c = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    times = c.select("_l", (F.max("_n").over(W.partitionBy()) / F.col("_n")).alias("_t"))
+    unit = F.conv(F.substring(hash_order(id_col, seed), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    copies = (F.floor("_t") + (unit < F.col("_t") - F.floor("_t")).cast("int")).cast("int")
+    return df.join(F.broadcast(times), F.col(label) == F.col("_l")).select(*df.columns, F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+
+
 # models
 
 

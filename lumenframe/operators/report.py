@@ -6,10 +6,10 @@ import html
 
 from pyspark.sql import DataFrame
 
-from ..functions.expr import numeric_columns, string_columns
+from ..functions.expr import datetime_columns, numeric_columns, string_columns
 from .drift import detect_all_drift
-from .quality import cardinality, column_kinds, detect_duplicates, missing_profile
-from .stats import numeric_summary, pearson
+from .quality import cardinality, column_kinds, detect_duplicates, missing_profile, top_values
+from .stats import bivariate, datetime_summary, numeric_summary, pca, pearson
 
 #: Rows of a table in a report.
 ROWS = 100
@@ -55,11 +55,30 @@ def quality_report(df: DataFrame, title: str = "Data quality", form: str = "mark
     return _document(title, quality_parts(df), form)
 
 
+def eda_parts(df: DataFrame, target: str | None = None, top: int = 10) -> dict[str, DataFrame]:
+    """Every table of an exploration by name: columns one by one, against the target, and together; each is one aggregate or a few."""
+    numbers, texts, dates = numeric_columns(df), string_columns(df), datetime_columns(df)
+    parts = {"Missing values": missing_profile(df)}
+    if numbers:
+        parts["Numbers"] = numeric_summary(df, numbers)
+    parts |= {f"Values of {c}": top_values(df, c, top) for c in texts}
+    parts |= {f"Range of {c}": datetime_summary(df, c) for c in dates}
+    if target:
+        parts[f"Against {target}"] = bivariate(df, [c for c in [*numbers, *texts] if c != target], target)
+    if len(numbers) > 1:
+        parts |= {"Correlation": pearson(df, numbers), "Principal components": pca(df, numbers, min(3, len(numbers)))}
+    return parts
+
+
+def eda_report(df: DataFrame, target: str | None = None, title: str = "Exploration", form: str = "markdown") -> str:
+    return _document(title, eda_parts(df, target), form)
+
+
 def drift_report(reference: DataFrame, current: DataFrame, title: str = "Drift", form: str = "markdown") -> str:
     both = set(current.columns)
     numbers = [c for c in numeric_columns(reference) if c in both]
     texts = [c for c in string_columns(reference) if c in both]
-    return _document(title, {"Features": detect_all_drift(reference, current, numbers, texts)}, form)
+    return _document(title, {"Features": detect_all_drift(reference, current, numbers, texts, datetimes=[c for c in datetime_columns(reference) if c in both])}, form)
 
 
 def pipeline_diagram(steps: list[str]) -> str:

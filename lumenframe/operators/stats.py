@@ -98,6 +98,23 @@ def group_stats(df: DataFrame, category: str, value: str) -> DataFrame:
     return df.groupBy(category).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
 
 
+def bivariate(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(feature, measure, value) of every feature against the target: pearson, eta_squared (one side of categories) or cramers_v."""
+    text = {c for c, t in df.dtypes if t in ("string", "boolean")}
+    out = None
+    for f in features:
+        if f in text and target in text:
+            one = chi_square(df, f, target).select(F.lit("cramers_v").alias("measure"), F.col("cramers_v").alias("value"))
+        elif f in text or target in text:
+            category, number = (f, target) if f in text else (target, f)
+            one = anova(df, category, number).select(F.lit("eta_squared").alias("measure"), F.col("eta_squared").alias("value"))
+        else:
+            one = df.agg(F.corr(f, target).alias("value")).select(F.lit("pearson").alias("measure"), "value")
+        one = one.select(F.lit(f).alias("feature"), "measure", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n, row_pct, col_pct) in long form."""
     c = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))

@@ -125,6 +125,11 @@ def undersample(spark, d):
     return M.undersample(table(spark, d, "labels"), "quality", "doc_id").select("doc_id", "quality")
 
 
+@query("oversample", "WITH m AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1), t AS (SELECT quality, (SELECT max(n) FROM m) / n AS t FROM m), c AS (SELECT doc_id, quality, floor(t)::INT + (('0x' || md5('42-' || doc_id)[1:8])::BIGINT / 4294967296.0::DOUBLE < t - floor(t))::INT AS k FROM labels JOIN t USING (quality)) SELECT doc_id, quality, unnest(range(1, k + 1))::INT AS copy FROM c")
+def oversample(spark, d):
+    return M.oversample(table(spark, d, "labels"), "quality", "doc_id").select("doc_id", "quality", "copy")
+
+
 @query("group_importance", "SELECT 'price' AS pattern, 0.8::DOUBLE AS importance UNION ALL SELECT 'lag', 0.5::DOUBLE")
 def group_importance(spark, d):
     v = spark.createDataFrame([("price_lag", 0.3), ("price", 0.5), ("size_lag", 0.2)], "feature string, importance double")

@@ -74,6 +74,11 @@ def assoc_cat_num(spark, d):
     return out.select("k", "n", F.round("f_statistic", 4).alias("f_statistic"), F.round("eta_squared", 6).alias("eta_squared"))
 
 
+@query("bivariate", "WITH " + ANOVA.format(c="o_orderstatus", v="o_totalprice", t="orders") + " SELECT 'o_orderstatus' AS feature, 'eta_squared' AS measure, round(b / (b + w), 6) AS value FROM t UNION ALL SELECT 'o_custkey', 'pearson', round(corr(o_custkey, o_totalprice), 6) FROM orders")
+def bivariate(spark, d):
+    return S.bivariate(table(spark, d, "orders"), ["o_orderstatus", "o_custkey"], "o_totalprice").select("feature", "measure", F.round("value", 6).alias("value"))
+
+
 @query("assoc_num_cat", "SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 3) AS mean, round(stddev_samp(l_extendedprice), 3) AS std FROM lineitem GROUP BY 1")
 def assoc_num_cat(spark, d):
     return rounded(S.group_stats(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice"), 3)

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from lumenframe.functions.expr import pairs_within, with_group_extremes
-from lumenframe.operators import dedup, drift, features, modeling, pipeline, quality, stats, text, timeseries, types
+from lumenframe.operators import dedup, drift, features, modeling, pipeline, quality, report, stats, text, timeseries, types
 from lumenframe.sources import tables
 
 
@@ -156,3 +156,11 @@ def test_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         tables.shared_folder(Session())
+
+
+def test_exploration_in_one_call(spark):
+    df = spark.sql("SELECT id, double(id % 5) AS x, double(id % 5) * 2 + id % 2 AS y, if(id % 2 = 0, 'even', 'odd') AS g, timestamp'2024-01-01' + make_interval(0, 0, 0, int(id)) AS at FROM range(50)")
+    parts = report.eda_parts(df, "y")
+    assert {"Missing values", "Numbers", "Values of g", "Range of at", "Against y", "Correlation", "Principal components"} == set(parts)
+    assert {r["feature"]: r["measure"] for r in parts["Against y"].collect()} == {"id": "pearson", "x": "pearson", "g": "eta_squared"}
+    assert "## Against y" in report.eda_report(df, "y") and "<h2>Numbers</h2>" in report.eda_report(df, form="html")
