@@ -319,5 +319,5 @@ def language_model(docs: DataFrame, trained: Column) -> DataFrame:
 def op8_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     got = language_model(docs, ~fold(F.col("doc_id"), *HELD))
-    return got.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return got.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("score_per_token"))
 
