@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import epoch_seconds, running_totals
+from ..functions.expr import datetime_columns, epoch_seconds, numeric_columns, running_totals, string_columns
 
 
 def _sides(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
@@ -104,11 +104,23 @@ def datetime_drift(reference: DataFrame, current: DataFrame, column: str) -> Dat
     return detect_numeric_drift(r, c, [column]).select("feature", "ks", "p_value", ((F.col("mean_cur") - F.col("mean_ref")) / 86400).alias("mean_shift_days"), "drift")
 
 
-def detect_all_drift(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str], threshold: float = 0.05, datetimes: list[str] | None = None) -> DataFrame:
+def detect_all_drift(
+    reference: DataFrame,
+    current: DataFrame,
+    numeric: list[str] | None = None,
+    categorical: list[str] | None = None,
+    threshold: float = 0.05,
+    datetimes: list[str] | None = None,
+) -> DataFrame:
     """(feature, kind, statistic, drift) of all features: numbers and datetimes by KS, categories by PSI of 0.2 or more.
 
-    A categorical feature with too many categories has NULL in both.
+    Without any list the columns of both tables are dealt by their type. A categorical feature with too many categories has
+    NULL in both.
     """
+    if numeric is None and categorical is None and datetimes is None:
+        both = set(current.columns)
+        numeric, categorical, datetimes = ([c for c in f(reference) if c in both] for f in (numeric_columns, string_columns, datetime_columns))
+    numeric, categorical = numeric or [], categorical or []
     parts = [detect_numeric_drift(reference, current, numeric, threshold).select("feature", F.lit("numeric").alias("kind"), F.col("ks").alias("statistic"), "drift")] if numeric else []
     parts += [categorical_drift(reference, current, c).select("feature", F.lit("categorical").alias("kind"), F.col("psi").alias("statistic"), (F.col("psi") >= 0.2).alias("drift")) for c in categorical]
     parts += [datetime_drift(reference, current, c).select("feature", F.lit("datetime").alias("kind"), F.col("ks").alias("statistic"), "drift") for c in datetimes or []]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 
 from pyspark.sql import DataFrame
 
@@ -75,10 +76,7 @@ def eda_report(df: DataFrame, target: str | None = None, title: str = "Explorati
 
 
 def drift_report(reference: DataFrame, current: DataFrame, title: str = "Drift", form: str = "markdown") -> str:
-    both = set(current.columns)
-    numbers = [c for c in numeric_columns(reference) if c in both]
-    texts = [c for c in string_columns(reference) if c in both]
-    return _document(title, {"Features": detect_all_drift(reference, current, numbers, texts, datetimes=[c for c in datetime_columns(reference) if c in both])}, form)
+    return _document(title, {"Features": detect_all_drift(reference, current)}, form)
 
 
 def pipeline_diagram(steps: list[str]) -> str:
@@ -87,5 +85,10 @@ def pipeline_diagram(steps: list[str]) -> str:
 
 
 def escape_markup(text: str) -> str:
-    """Escape the characters that plot markup would read."""
-    return "".join("\\" + c if c in "$_^%{}" else c for c in text)
+    """Escape the characters that plot markup would read, and the backslash."""
+    return "".join("\\" + c if c in "\\$_^%{}" else c for c in text)
+
+
+def unescape_markup(text: str) -> str:
+    """The inverse of escape_markup."""
+    return re.sub(r"\\([\\$_^%{}])", r"\1", text)

@@ -34,14 +34,27 @@ def iterate_rows(df: DataFrame) -> Iterator[Row]:
     return df.toLocalIterator(prefetchPartitions=True)
 
 
-def process_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``fn`` on every Arrow batch of rows, in parallel."""
+def iterate_chunks(df: DataFrame, chunk_size: int = 100_000) -> Iterator[pd.DataFrame]:
+    """pandas frames of at most ``chunk_size`` rows, a partition at a time; the driver holds one chunk and one partition."""
+    held: list[Row] = []
+    for row in iterate_rows(df):
+        held.append(row)
+        if len(held) == chunk_size:
+            yield pd.DataFrame(held, columns=df.columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=df.columns)
+
+
+def process_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, combine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``fn`` on every Arrow batch of rows, in parallel; ``combine`` turns the table of all results into the final one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield fn(batch)
 
-    return df.mapInPandas(run, schema)
+    out = df.mapInPandas(run, schema)
+    return combine(out) if combine else out
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -80,6 +93,22 @@ def estimate_bytes(df: DataFrame) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def frame_kind(data) -> str:
+    """spark, pandas, arrow or unknown."""
+    if isinstance(data, DataFrame):
+        return "spark"
+    if isinstance(data, pd.DataFrame):
+        return "pandas"
+    return "arrow" if type(data).__module__.startswith("pyarrow") else "unknown"
+
+
+def to_local(df: DataFrame, kind: str = "pandas", max_rows: int = 1_000_000):
+    """A pandas or Arrow table on the driver; an error when there are more rows than ``max_rows``."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows; use iterate_chunks")
+    return {"pandas": df.toPandas, "arrow": df.toArrow}[kind]()
+
+
 def to_spark(spark: SparkSession, data) -> DataFrame:
     """A Spark table from a Spark, pandas or Arrow one."""
     return data if isinstance(data, DataFrame) else spark.createDataFrame(data)

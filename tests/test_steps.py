@@ -164,3 +164,25 @@ def test_exploration_in_one_call(spark):
     assert {"Missing values", "Numbers", "Values of g", "Range of at", "Against y", "Correlation", "Principal components"} == set(parts)
     assert {r["feature"]: r["measure"] for r in parts["Against y"].collect()} == {"id": "pearson", "x": "pearson", "g": "eta_squared"}
     assert "## Against y" in report.eda_report(df, "y") and "<h2>Numbers</h2>" in report.eda_report(df, form="html")
+
+
+def test_chunks_and_local_tables(spark):
+    df = spark.range(25).select("id")
+    assert [len(c) for c in tables.iterate_chunks(df, 10)] == [10, 10, 5]
+    total = tables.process_chunks(df, lambda p: p[["id"]].sum().to_frame().T, "id long", lambda t: t.agg(F.sum("id").alias("id")))
+    assert total.head()["id"] == 300
+    assert tables.frame_kind(df) == "spark" and tables.frame_kind(tables.to_local(df)) == "pandas" and tables.frame_kind(tables.to_local(df, "arrow")) == "arrow"
+    with pytest.raises(ValueError):
+        tables.to_local(df, max_rows=3)
+
+
+def test_markup_round_trip():
+    text = "a_b $x$ {50%} back\\slash ^"
+    assert report.unescape_markup(report.escape_markup(text)) == text and "\\$" in report.escape_markup(text)
+
+
+def test_drift_infers_types(spark):
+    a = spark.sql("SELECT double(id) AS x, if(id % 2 = 0, 'a', 'b') AS g, timestamp'2024-01-01' + make_interval(0, 0, 0, int(id)) AS at FROM range(60)")
+    b = spark.sql("SELECT double(id) + 40 AS x, if(id % 10 = 0, 'a', 'b') AS g, timestamp'2024-06-01' + make_interval(0, 0, 0, int(id)) AS at FROM range(60)")
+    got = {r["feature"]: (r["kind"], r["drift"]) for r in drift.detect_all_drift(a, b).collect()}
+    assert got == {"x": ("numeric", True), "g": ("categorical", True), "at": ("datetime", True)}
