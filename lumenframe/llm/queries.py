@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .byte_pairs import op12_byte_pairs
 from .decontaminate import op5_decontaminate
+from .fill_middle import ORACLE as OP13_SQL
+from .fill_middle import op13_fill_middle
 from .html_extract import op2_html_extract
 from .jaccard_join import op10_jaccard_join
 from .language_id import op9_langid_nb
@@ -13,6 +16,8 @@ from .quality_rules import op7_quality_rules
 from .substring_dedup import ORACLE as OP6_SQL
 from .substring_dedup import op6_substring_dedup
 from .toxicity import op1_toxicity_ftrl
+from .vector_codes import ORACLE as OP11_SQL
+from .vector_codes import op11_vector_codes
 
 QUERIES = {
     "op1_toxicity_ftrl": op1_toxicity_ftrl,
@@ -25,6 +30,9 @@ QUERIES = {
     "op8_lm_backoff": op8_lm_backoff,
     "op9_langid_nb": op9_langid_nb,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_byte_pairs": op12_byte_pairs,
+    "op13_fill_middle": op13_fill_middle,
 }
 
-ORACLES: dict[str, str] = {"op6_substring_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op11_vector_codes": OP11_SQL, "op13_fill_middle": OP13_SQL}

@@ -30,6 +30,11 @@ COLUMNS = {
     },
     "op9_langid_nb": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op10_jaccard_join": {"doc_id": "bigint", "class_id": "bigint", "n_links": "bigint"},
+    "op11_vector_codes": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
+    "op12_byte_pairs": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op13_fill_middle": {
+        "doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint", "output_sha256": "string", "restored_sha256": "string",
+    },
 }
 HELD = {"op1_toxicity_ftrl": (4, 2), "op4_quality_crf": (3, 1), "op8_lm_backoff": (7, 2), "op9_langid_nb": (4, 2)}
 
@@ -57,6 +62,8 @@ def folder(spark, path, rows):
     spark.createDataFrame(pages if rows else [], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     items = [(1, rows[7][1]), (2, rows[7][1]), (3, None), (4, ""), (None, rows[9][1])] if rows else []
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    vectors = [(5, [0.5, -0.25, 0.0, 1.0], 1, "x"), (5, [0.1, 0.2, 0.3, 0.4], 1, "y"), (None, [1.0, 1.0, 1.0, 1.0], None, "z"), (2, None, 1, ""), (3, [1.0, None, 0.0, 0.0], 1, ""), (4, [float("nan"), 0.0, 0.0, 0.0], 1, "")]
+    spark.createDataFrame(vectors if rows else [], "vec_id long, embedding array<float>, label int, code string").write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
@@ -79,6 +86,8 @@ def test_query_keeps_its_contract(spark, small, nothing, name):
     ids = collections.Counter(r[0] for r in texts())
     if name == "op2_html_extract":
         assert sorted((str(r["page_id"]), r["text"][:11], r["n_chars"]) for r in rows) == [("1", "", 0), ("1", "a few words", 11), ("2", "long long l", 249_999), ("None", "", 0)]
+    elif name == "op11_vector_codes":
+        assert sorted(str(r["vec_id"]) for r in rows) == ["5", "5", "None"]
     elif name == "op5_decontaminate":
         assert {(r["doc_id"], r["item_id"]) for r in rows} == {(7, 1), (9, None)}
     elif name == "op3_pack_mbs":
