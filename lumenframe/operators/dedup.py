@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.expr import pairs_within, with_group_extremes
 from ..sources.tables import materialize
@@ -172,13 +173,25 @@ def jaccard_similarity(a: Column, b: Column, n: int = 1) -> Column:
     return F.when(a == b, 1.0).otherwise(F.coalesce(F.try_divide(F.size(F.array_intersect(ga, gb)).cast("double"), F.size(F.array_union(ga, gb))), F.lit(0.0)))
 
 
-def blocked_pairs(df: DataFrame, id_col: str, keys: Column, columns: list[str]) -> DataFrame:
-    """(a, b, <c>_a, <c>_b): pairs of rows that share a key of the array ``keys``, once each."""
-    keyed = df.select(F.col(id_col), F.explode(F.array_distinct(keys)).alias("_key")).where("_key IS NOT NULL")
-    pairs = pairs_within(keyed, id_col, ["_key"])
-    for x in ("a", "b"):
-        pairs = pairs.join(df.select(F.col(id_col).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
-    return pairs.select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
+def blocked_pairs(df: DataFrame, id_col: str, keys: Column, columns: list[str], block: int = 1_000) -> DataFrame:
+    """(a, b, <c>_a, <c>_b), a < b: pairs of rows that share a key of ``keys`` (one column, or an array of several), once each.
+
+    Ids are unique. Rows meet in one join with their columns at hand, so what is asked of a pair afterwards becomes the
+    join's condition, and a pair that fails it is never written. A pair that shares several keys comes from the least. The
+    rows of a key with more than ``block`` of them are dealt to cells, a row of cells on the left and a column on the right.
+    """
+    many = isinstance(df.select(keys.alias("k")).schema["k"].dataType, ArrayType)
+    rows = df.select(F.col(id_col).alias("_id"), (F.array_distinct(keys) if many else keys).alias("_keys"), *columns)
+    keyed = rows.withColumn("_key", F.explode("_keys") if many else F.col("_keys")).where("_key IS NOT NULL")
+    sizes = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key", F.ceil(F.col("_n") / block).cast("int").alias("_k"))
+    cells = keyed.join(sizes, "_key").withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_k").cast("long")).cast("int"))
+    every, more = F.explode(F.sequence(F.lit(0), F.col("_k") - 1)), ["_keys"] if many else []
+    left = cells.select("_key", F.col("_own").alias("_i"), every.alias("_j"), F.col("_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in [*columns, *more]])
+    right = cells.select("_key", every.alias("_i"), F.col("_own").alias("_j"), F.col("_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in [*columns, *more]])
+    met = left.join(right, ["_key", "_i", "_j"]).where("a < b")
+    if many:
+        met = met.where(F.array_min(F.array_intersect("_keys_a", "_keys_b")) == F.col("_key"))
+    return met.select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
 
 
 def cosine_trigram_pairs(df: DataFrame, id_col: str, text_col: str, block: Column, threshold: float) -> DataFrame:
@@ -186,7 +199,7 @@ def cosine_trigram_pairs(df: DataFrame, id_col: str, text_col: str, block: Colum
     grams = df.select(F.col(id_col).alias("id"), F.explode(char_ngrams(F.lower(F.col(text_col)), 3)).alias("g")).groupBy("id", "g").agg(F.count("*").cast("double").alias("c"))
     counts = grams.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("grams"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     rows = df.select(F.col(id_col).alias("id"), block.alias("_block")).join(counts, "id")
-    pairs = blocked_pairs(rows, "id", F.array("_block"), ["grams", "norm"])
+    pairs = blocked_pairs(rows, "id", F.col("_block"), ["grams", "norm"])
     dot = F.aggregate(F.map_entries("grams_a"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("grams_b", e["key"]), F.lit(0.0)))
     return pairs.select("a", "b", (dot / (F.col("norm_a") * F.col("norm_b"))).alias("similarity")).where((F.col("similarity") > 0) & (F.col("similarity") >= threshold))
 
@@ -217,20 +230,11 @@ def similar_records(df: DataFrame, id_col: str, columns: dict[str, str], block:
     """(a, b, similarity) of record pairs inside blocks. ``columns``: name to kind of column_similarity.
 
     composite sums weighted similarities, exact_subset weighted equality, fuzzy_subset weighted similarities over a cut.
+    ``record_lsh.similar_pairs`` finds the same pairs, or some beyond the blocks, without scoring all pairs of a block.
     """
-    weights = weights or dict.fromkeys(columns, 1.0)
-    whole = sum(weights[c] for c in columns)
-    pairs = blocked_pairs(df, id_col, block, list(columns))
-    score = F.lit(0.0)
-    for c, kind in columns.items():
-        a, b = F.col(f"{c}_a"), F.col(f"{c}_b")
-        s = column_similarity("exact" if method == "exact_subset" and kind != "date" else kind, a, b, date_days)
-        if method == "fuzzy_subset":
-            s = (s >= CUTS[kind]).cast("double")
-        elif method == "exact_subset" and kind == "date":
-            s = (s > 0).cast("double")
-        score = score + F.lit(weights[c] / whole) * s
-    return pairs.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+    from .record_lsh import similar_pairs
+
+    return similar_pairs(df, id_col, columns, threshold, "block", block, method, weights, date_days)
 
 
 def flag_similar_records(df: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:
@@ -332,7 +336,7 @@ def fuzzy_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0
     """
     rows = df.select(F.col(id_col), text_key(F.col(text_col)).alias("_t"), *([] if block is None else [block.alias("_block")]))
     rows = rows if block is not None else rows.withColumn("_block", F.substring("_t", 1, 4))
-    pairs = blocked_pairs(rows, id_col, F.array(F.col("_block").cast("string")), ["_t"]).select("a", "b", score(F.col("_t_a"), F.col("_t_b")).alias("similarity"))
+    pairs = blocked_pairs(rows, id_col, F.col("_block").cast("string"), ["_t"]).select("a", "b", score(F.col("_t_a"), F.col("_t_b")).alias("similarity"))
     found = flag_similar_records(df, id_col, pairs.where(F.col("similarity") >= threshold))
     return found.select(id_col, "group_id", "is_duplicate")
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import dedup as D
+from ..operators import record_lsh as R
 from .base import query, table
 
 KEY = r"lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))"
@@ -64,7 +65,7 @@ PART = PAIRS.format(id="p_partkey", c="p_name", t="part", k="p_type")
 
 def part_pairs(spark, d):
     p = table(spark, d, "part")
-    return D.blocked_pairs(p, "p_partkey", F.array("p_type"), ["p_name"])
+    return D.blocked_pairs(p, "p_partkey", F.col("p_type"), ["p_name"])
 
 
 @query("levenshtein_pairs", f"WITH {PART}, s AS (SELECT a, b, round(CASE WHEN ta = tb THEN 1 ELSE 1 - levenshtein(ta, tb) / greatest(length(ta), length(tb)) END, 6)::DOUBLE AS similarity FROM x) SELECT * FROM s WHERE similarity >= 0.6")
@@ -136,6 +137,42 @@ def similar_records_groups(spark, d):
     return D.flag_similar_records(table(spark, d, "customer"), "c_custkey", pairs).select("c_custkey", "group_id", "is_duplicate")
 
 
+ALL_SIM = """WITH {r}x AS (SELECT a.c_custkey AS a, b.c_custkey AS b, a.c_name AS na, b.c_name AS nb, a.c_acctbal AS ba, b.c_acctbal AS bb FROM customer a JOIN customer b ON {on} AND a.c_custkey < b.c_custkey),
+ p AS (SELECT a, b, (2 * (CASE WHEN na = nb THEN 1 ELSE 1 - levenshtein(lower(na), lower(nb)) / greatest(length(na), length(nb)) END) + CASE WHEN greatest(abs(ba), abs(bb)) = 0 THEN 1 ELSE 1 - least(1, abs(ba - bb) / greatest(abs(ba), abs(bb))) END) / 3 AS similarity FROM x)"""
+WEIGHTS = {"c_name": 2.0, "c_acctbal": 1.0}
+
+
+@query("similar_records_lsh_in_blocks", ALL_SIM.format(r="", on="a.c_nationkey = b.c_nationkey") + " SELECT a, b, round(similarity, 6)::DOUBLE AS similarity FROM p WHERE similarity >= 0.955")
+def similar_records_lsh_in_blocks(spark, d):
+    """Customers of a nation with names one edit apart and close balances, by keys of name and balance inside the nation."""
+    out = R.similar_pairs(table(spark, d, "customer"), "c_custkey", COLS, 0.955, "intersection", F.col("c_nationkey"), weights=WEIGHTS)
+    return out.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("similar_records_lsh", ALL_SIM.format(r="", on="true") + " SELECT a, b, round(similarity, 6)::DOUBLE AS similarity FROM p WHERE similarity >= 0.96")
+def similar_records_lsh(spark, d):
+    """The same over all customers, by keys or segments."""
+    out = R.similar_pairs(table(spark, d, "customer"), "c_custkey", COLS, 0.96, "lsh", weights=WEIGHTS)
+    return out.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("similar_records_lsh_groups", ALL_SIM.format(r="RECURSIVE ", on="true") + """, h AS (SELECT * FROM p WHERE similarity >= 0.96), e AS (SELECT a AS u, b AS v, similarity AS s FROM h UNION SELECT b, a, similarity FROM h), r AS (SELECT u AS id, u AS l FROM e UNION SELECT e.v, r.l FROM r JOIN e ON e.u = r.id),
+ m AS (SELECT id, min(l) AS root FROM r GROUP BY 1), g AS (SELECT u, max(s) AS s FROM e GROUP BY 1) SELECT c_custkey, coalesce(root, c_custkey) AS group_id, coalesce(root, c_custkey) <> c_custkey AS is_duplicate, round(coalesce(s, 0), 6)::DOUBLE AS similarity FROM customer LEFT JOIN m ON id = c_custkey LEFT JOIN g ON g.u = c_custkey""")
+def similar_records_lsh_groups(spark, d):
+    """Groups of similar customers by keys or segments (hybrid candidates)."""
+    out = R.similar_groups(table(spark, d, "customer"), "c_custkey", COLS, 0.96, "union", F.concat_ws("|", F.col("c_nationkey").cast("string"), "c_mktsegment"), weights=WEIGHTS)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("similar_orders_lsh", """WITH x AS (SELECT a.o_orderkey AS a, b.o_orderkey AS b, abs(date_diff('microsecond', a.o_orderdate, b.o_orderdate)) / 86400e6 AS gap, abs(a.o_totalprice - b.o_totalprice) AS off, greatest(abs(a.o_totalprice), abs(b.o_totalprice)) AS most FROM orders a JOIN orders b
+ ON a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus AND a.o_orderkey < b.o_orderkey), p AS (SELECT a, b, (CASE WHEN most = 0 THEN 1 ELSE 1 - least(1, off / most) END + greatest(0, 1 - gap / 5) + 1) / 3 AS similarity FROM x) SELECT a, b, round(similarity, 6)::DOUBLE AS similarity FROM p WHERE similarity >= 0.97 - 1e-9""")
+def similar_orders_lsh(spark, d):
+    """Orders of one priority and status with close dates and prices."""
+    kinds = {"o_totalprice": "number", "o_orderdate": "date", "o_orderstatus": "exact"}
+    out = R.similar_pairs(table(spark, d, "orders"), "o_orderkey", kinds, 0.97, "intersection", F.col("o_orderpriority"), date_days=5.0)
+    return out.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query("dedup_threshold_sweep", SIM.format(s="(sn + sb) / 2", t=0.8) + ", t AS (SELECT unnest([.85, .9, .95])::DOUBLE AS threshold), h AS (SELECT threshold, a, b FROM p, t WHERE similarity >= threshold) SELECT threshold, count(*) AS n_pairs, (SELECT count(DISTINCT i) FROM (SELECT unnest([a, b]) AS i FROM h k WHERE k.threshold = h.threshold)) AS n_records FROM h GROUP BY threshold")
 def dedup_threshold_sweep(spark, d):
     return D.threshold_sweep(customer_pairs(spark, d, "composite", 0.8), [0.85, 0.9, 0.95])
@@ -161,11 +198,11 @@ def dbscan_names(spark, d):
 
 @query("supervised_duplicates")
 def supervised_duplicates(spark, d):
-    """Same brand or not, from names, prices and sizes; learned on two thirds of the pairs, predicted for the rest."""
-    pairs = D.blocked_pairs(table(spark, d, "part"), "p_partkey", F.array("p_type"), ["p_name", "p_retailprice", "p_size", "p_brand"])
-    pairs = pairs.withColumn("label", (F.col("p_brand_a") == F.col("p_brand_b")).cast("double"))
+    """Parts of one brand with sizes close by, told from names, brands and sizes; learned on two thirds of a type's pairs, predicted for the rest."""
+    pairs = D.blocked_pairs(table(spark, d, "part"), "p_partkey", F.col("p_type"), ["p_name", "p_size", "p_brand"])
+    pairs = pairs.withColumn("label", ((F.col("p_brand_a") == F.col("p_brand_b")) & (F.abs(F.col("p_size_a") - F.col("p_size_b")) <= 5)).cast("double"))
     learned = F.pmod(F.xxhash64("a", "b"), F.lit(3)) != 0
-    return D.supervised_pairs(pairs.where(learned), pairs.where(~learned), {"p_name": "text", "p_retailprice": "number", "p_size": "number"}, threshold=0.0)
+    return D.supervised_pairs(pairs.where(learned), pairs.where(~learned), {"p_name": "text", "p_brand": "exact", "p_size": "number"}, threshold=0.5)
 
 
 GROUPS = "SELECT p_partkey, min(p_partkey) OVER w AS group_id, p_partkey <> min(p_partkey) OVER w AS is_duplicate FROM f WINDOW w AS (PARTITION BY coalesce(fingerprint, p_partkey::VARCHAR))"
