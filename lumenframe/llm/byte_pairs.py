@@ -21,7 +21,6 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +53,19 @@ def words_pattern(letter: str, number: str) -> str:
 
 _WORDS = regex.compile(words_pattern(r"\p{L}", r"\p{N}"))
 _WORDS_NEW = regex.compile(words_pattern(rf"[\p{{L}}--[{_NEW}]]", rf"[\p{{N}}--[{_NEW}]]"), regex.V1)
-_IS_NEW = regex.compile(f"[{_NEW}]")
+_RUNS = np.array([[int(c, 16) for c in run.split("-")] for run in NEWER.split()], np.uint32)
+
+
+def has_newer(text: str) -> bool:
+    """Whether a character of NEWER occurs."""
+    if text.isascii():
+        return False
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    codes = codes[codes >= _RUNS[0, 0]]
+    run = np.searchsorted(_RUNS[:, 0], codes, "right") - 1
+    return bool((codes <= _RUNS[run, 1]).any())
+
+
 _EDGE = regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
 #: Words of so many bytes at most are encoded by scans, and kept.
 SHORT = 96
@@ -70,24 +81,32 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
-def merge_short(word: bytes, ranks: dict) -> list[bytes]:
-    """Parts of a word by scans over the rank array."""
-    bounds = list(range(len(word) + 1))
-    near = [ranks.get((word[i : i + 1], word[i + 1 : i + 2]), NO_RANK) for i in range(len(word) - 1)]
+def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """Parts of a word by scans over the rank array.
+
+    ``ranks``: what a pair makes -> its rank * 2^16 + the length of its left part, which tells the pair from others of the same bytes.
+    """
+    n, get = len(word), ranks.get
+    bounds = list(range(n + 1))
+    near = [get(word[i : i + 2], NO_RANK) for i in range(n - 1)]
     while near:
         least = min(near)
         if least == NO_RANK:
             break
         i = near.index(least)
         del bounds[i + 1], near[i]
+        a, b = bounds[i], bounds[i + 1]
         if i < len(near):
-            near[i] = ranks.get((word[bounds[i] : bounds[i + 1]], word[bounds[i + 1] : bounds[i + 2]]), NO_RANK)
+            rank = get(word[a : bounds[i + 2]], NO_RANK)
+            near[i] = rank if rank & 0xFFFF == b - a else NO_RANK
         if i:
-            near[i - 1] = ranks.get((word[bounds[i - 1] : bounds[i]], word[bounds[i] : bounds[i + 1]]), NO_RANK)
+            left = bounds[i - 1]
+            rank = get(word[left:b], NO_RANK)
+            near[i - 1] = rank if rank & 0xFFFF == a - left else NO_RANK
     return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def merge_long(word: bytes, ranks: dict) -> list[bytes]:
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The same parts by a heap of (rank, place): n log n steps for n bytes."""
     n = len(word)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the beginnings of a part's neighbours
@@ -96,8 +115,8 @@ def merge_long(word: bytes, ranks: dict) -> list[bytes]:
     def offer(i: int) -> None:
         j = after[i]
         if j < n:
-            rank = ranks.get((word[i:j], word[j : after[j]]))
-            if rank is not None:
+            rank = ranks.get(word[i : after[j]])
+            if rank is not None and rank & 0xFFFF == j - i:
                 heapq.heappush(heap, (rank, i, j, after[j]))
 
     for i in range(n - 1):
@@ -119,6 +138,13 @@ def merge_long(word: bytes, ranks: dict) -> list[bytes]:
     return parts
 
 
+class ShortWords(WordCache):
+    """word -> its ids as 32-bit numbers; longer words are not kept."""
+
+    def __missing__(self, word: str) -> bytes:
+        return super().__missing__(word) if len(word) <= SHORT else self.make(word)
+
+
 class BytePairs:
     """Encoder and decoder of one vocabulary file of a byte-level BPE without normalizer, prefix space or post-processing of ids."""
 
@@ -137,7 +163,9 @@ class BytePairs:
         raw = {token: bytes(map(of_letter.__getitem__, token)) for token in model["vocab"]}
         self.ids = {raw[token]: i for token, i in model["vocab"].items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(raw[a], raw[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {raw[a] + raw[b]: (rank << 16) + len(raw[a]) for rank, (a, b) in enumerate(pairs)}
+        if len(self.ranks) < len(model["merges"]):
+            raise ValueError(f"{path} makes one token of several pairs")
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
@@ -146,11 +174,13 @@ class BytePairs:
             self.bytes[i] = part
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self.cache = WordCache(lambda word: self._ids(word.encode()))
+        self.packed = {part: np.int32(i).tobytes() for part, i in self.ids.items()}
+        self.cache = ShortWords(self._packed_ids)
 
-    def _ids(self, word: bytes) -> tuple[int, ...]:
-        parts = (merge_short if len(word) <= SHORT else merge_long)(word, self.ranks)
-        return tuple(map(self.ids.__getitem__, parts))
+    def _packed_ids(self, word: str) -> bytes:
+        raw = word.encode()
+        parts = (merge_short if len(raw) <= SHORT else merge_long)(raw, self.ranks)
+        return b"".join(map(self.packed.__getitem__, parts))
 
     def _sections(self, text: str) -> Iterator[str]:
         """Pieces of about SECTION characters that end before white space, where every word ends too."""
@@ -165,16 +195,15 @@ class BytePairs:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, special tokens' strings as those tokens."""
-        found: list[np.ndarray] = []
+        found: list[bytes] = []
         for k, piece in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                found.append(np.array([self.special[piece]], np.int32))
+                found.append(np.int32(self.special[piece]).tobytes())
                 continue
             for section in self._sections(piece):
-                words = (_WORDS if section.isascii() or not _IS_NEW.search(section) else _WORDS_NEW).findall(section)
-                of = [self.cache[w] if len(w) <= SHORT else self._ids(w.encode()) for w in words]
-                found.append(np.fromiter(chain.from_iterable(of), np.int32))
-        return np.concatenate(found)
+                words = (_WORDS_NEW if has_newer(section) else _WORDS).findall(section)
+                found.append(b"".join(map(self.cache.__getitem__, words)))
+        return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters, as always in such decoders."""
