@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio, running_totals
+from .ordered import by_pos, ordered
 from .stats import anova, feature_importance, pearson
 
 # selection
@@ -70,9 +73,9 @@ def select_by_mutual_information(df: DataFrame, columns: list[str], target: str,
 
 def select_by_lag(df: DataFrame, columns: list[str], target: str, order_by: list[str], max_lag: int = 5) -> DataFrame:
     """(feature, lag, r): the lag at which a feature's past correlates most with the target."""
-    w = W.orderBy(*order_by)
-    lagged = df.select(F.col(target).alias("_t"), *[F.lag(c, k).over(w).alias(f"{c}@{k}") for c in columns for k in range(1, max_lag + 1)])
-    wide = lagged.agg(*[F.corr(F.col(f"`{c}@{k}`"), F.col("_t")).alias(f"{c}@{k}") for c in columns for k in range(1, max_lag + 1)])
+    blocks = ordered(df.select(*dict.fromkeys([*columns, target, *order_by])), order_by).blocks(max_lag)
+    lagged = blocks.select("_own", F.col(target).alias("_t"), *[F.lag(c, k).over(by_pos()).alias(f"{c}@{k}") for c in columns for k in range(1, max_lag + 1)])
+    wide = lagged.where("_own").agg(*[F.corr(F.col(f"`{c}@{k}`"), F.col("_t")).alias(f"{c}@{k}") for c in columns for k in range(1, max_lag + 1)])
     rows = [F.struct(F.lit(c).alias("feature"), F.lit(k).alias("lag"), F.col(f"`{c}@{k}`").alias("r")) for c in columns for k in range(1, max_lag + 1)]
     out = wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     return out.groupBy("feature").agg(F.max_by(F.struct("lag", "r"), F.struct(F.abs("r"), -F.col("lag"))).alias("b")).select("feature", "b.lag", "b.r")
@@ -122,12 +125,10 @@ def split_hash(df: DataFrame, id_col: str, test_size: float = 0.2, stratify_by:
 def split_time(df: DataFrame, date_col: str, test_size: float = 0.2, gap: str | None = None) -> DataFrame:
     """``df`` with split: rows from the date at place n - floor(n * test_size) on are test; train ends ``gap`` before; NULL in between.
 
-    The place is found on counts per date, so no window holds all rows.
+    The place is found by numbered ranges, so no window holds all rows.
     """
-    counts = df.groupBy(date_col).agg(F.count("*").alias("_c"))
-    run = counts.withColumn("_upto", F.sum("_c").over(W.orderBy(date_col)))
-    n = df.agg(F.count("*").alias("_n"))
-    cut = run.join(F.broadcast(n), F.lit(True)).where(F.col("_upto") > F.col("_n") - F.floor(F.col("_n") * test_size)).agg(F.min(date_col).alias("_cut"))
+    o = ordered(df.select(date_col), [date_col])
+    cut = o.rows.where(F.col("pos") == o.n - math.floor(o.n * test_size)).agg(F.min(date_col).alias("_cut"))
     out = df.join(F.broadcast(cut), F.lit(True))
     edge = F.col("_cut") - F.expr(f"INTERVAL {gap}") if gap else F.col("_cut")
     return out.withColumn("split", F.when(F.col(date_col) >= F.col("_cut"), "test").when(F.col(date_col) < edge, "train")).drop("_cut")
@@ -148,7 +149,8 @@ def kfold(df: DataFrame, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
 
 def walk_forward(df: DataFrame, order_by: list[str], folds: int = 5, expanding: bool = True) -> DataFrame:
     """(fold, role, n, first, last) over rows in order: equal test blocks, all or only the last block before as train."""
-    rn = df.select(F.col(order_by[0]).alias("o"), F.ntile(folds + 1).over(W.orderBy(*order_by)).alias("block"))
+    o = ordered(df.select(*order_by), order_by)
+    rn = o.rows.select(F.col(order_by[0]).alias("o"), o.ntile(folds + 1).alias("block"))
     blocks = rn.groupBy("block").agg(F.count("*").alias("n"), F.min("o").alias("first"), F.max("o").alias("last"))
     f = df.sparkSession.range(1, folds + 1).select(F.col("id").cast("int").alias("fold"))
     near = (F.col("block") <= F.col("fold") + 1) if expanding else F.col("block").between(F.col("fold"), F.col("fold") + 1)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import count_if, is_missing, numeric_columns, ratio, with_group_extremes
+from .ordered import filled
 
 
 def _rows_of(one: DataFrame, names: list[str], metrics: dict[str, str]) -> DataFrame:
@@ -119,15 +120,7 @@ def impute(df: DataFrame, columns: list[str], strategy: str, value=None, order_b
         raise ValueError(f"unknown strategy {strategy!r}")
     if not order_by:
         raise ValueError("strategy 'interpolate' needs order_by")
-    w = W.partitionBy(*(partition_by or [])).orderBy(*order_by)
-    df = df.withColumn("_rn", F.row_number().over(w))
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    for c, m in missing.items():
-        held = F.when(~m, F.struct(F.col("_rn").alias("at"), F.col(c).cast("double").alias("v")))
-        a, b = F.last(held, True).over(back), F.first(held, True).over(ahead)
-        line = a["v"] + (b["v"] - a["v"]) * (F.col("_rn") - a["at"]) / F.nullif(b["at"] - a["at"], F.lit(0))
-        df = df.withColumn(c, F.when(~m, F.col(c).cast("double")).when(a.isNull(), None).when(b.isNull(), a["v"]).otherwise(line))
-    return df.drop("_rn")
+    return filled(df, missing, order_by, partition_by or [])
 
 
 def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float = 1.5) -> DataFrame:

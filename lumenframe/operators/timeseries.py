@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
+from .ordered import Ordered, by_pos, ordered
 
 
 def resample(df: DataFrame, ts: str, value: str, freq: str = "day", how=F.avg) -> DataFrame:
@@ -17,38 +17,46 @@ def resample(df: DataFrame, ts: str, value: str, freq: str = "day", how=F.avg) -
     return spine.join(grouped, "ts", "left")
 
 
+def in_order(series: DataFrame) -> Ordered:
+    """The (ts, v) rows of a (ts, value) series with a value, numbered by ts."""
+    return ordered(series.where("value IS NOT NULL").select("ts", F.col("value").cast("double").alias("v")), ["ts"])
+
+
 def trend(series: DataFrame) -> DataFrame:
     """One row of a (ts, value) series: n, first, middle, last, percentage change and its direction."""
-    s = series.where("value IS NOT NULL")
-    rn = s.withColumn("rn", F.row_number().over(W.orderBy("ts"))).withColumn("n", F.count("*").over(W.partitionBy()))
-    at = lambda k: F.max(F.when(F.col("rn") == k, F.col("value")))
-    out = rn.agg(F.max("n").alias("n"), at(1).alias("first"), at(F.floor(F.col("n") / 2) + 1).alias("middle"), at(F.col("n")).alias("last"))
+    o = in_order(series)
+    at = lambda k: F.max(F.when(F.col("pos") == k, F.col("v")))
+    out = o.rows.agg(F.lit(o.n).cast("long").alias("n"), at(0).alias("first"), at(o.n // 2).alias("middle"), at(o.n - 1).alias("last"))
     change = ratio((F.col("last") - F.col("first")) * 100, F.abs("first"))
     return out.withColumn("pct_change", change).withColumn("trend", F.when(change > 0, "increasing").when(change < 0, "decreasing").otherwise("flat"))
 
 
+def _autocorrelation(o: Ordered, lags: int) -> DataFrame:
+    mean = o.rows.agg(F.avg("v").alias("m"))
+    x = F.col("v") - F.col("m")
+    wide = o.blocks(lags).join(F.broadcast(mean), F.lit(True)).withColumn("x", x).select("x", "_own", *[F.lag("x", k).over(by_pos()).alias(f"l{k}") for k in range(1, lags + 1)])
+    one = wide.where("_own").agg(F.sum(F.col("x") * F.col("x")).alias("d"), *[F.sum(F.col("x") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, lags + 1)])
+    rows = [F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"s{k}"), F.col("d")).alias("acf")) for k in range(1, lags + 1)]
+    out = one.select(F.explode(F.array(*rows)).alias("r"))
+    return out.where("r.acf IS NOT NULL").select("r.lag", "r.acf", (F.abs("r.acf") > 2 / F.sqrt(F.lit(float(o.n)))).alias("significant"))
+
+
 def autocorrelation(series: DataFrame, lags: int = 20) -> DataFrame:
     """(lag, acf, significant): the biased estimate around the global mean; significant beyond 2 / sqrt(n)."""
-    s = series.where("value IS NOT NULL").select("ts", F.col("value").cast("double").alias("v"))
-    s = s.join(F.broadcast(s.agg(F.avg("v").alias("m"), F.count("*").alias("n"))), F.lit(True)).select("ts", (F.col("v") - F.col("m")).alias("x"), "n")
-    w = W.orderBy("ts")
-    wide = s.select("x", "n", *[F.lag("x", k).over(w).alias(f"l{k}") for k in range(1, lags + 1)])
-    one = wide.agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("d"), *[F.sum(F.col("x") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, lags + 1)])
-    rows = [F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"s{k}"), F.col("d")).alias("acf")) for k in range(1, lags + 1)]
-    out = one.select("n", F.explode(F.array(*rows)).alias("r"))
-    return out.where("r.acf IS NOT NULL").select("r.lag", "r.acf", (F.abs("r.acf") > 2 / F.sqrt("n")).alias("significant"))
+    return _autocorrelation(in_order(series), lags)
 
 
 def candidate_periods(acf: DataFrame) -> DataFrame:
     """Lags whose autocorrelation is significant, positive and the highest of its neighbourhood."""
-    w = W.orderBy("lag").rowsBetween(-2, 2)
-    return acf.withColumn("peak", F.max("acf").over(w)).where("significant AND acf > 0 AND acf = peak AND lag > 1").select("lag", "acf")
+    near = acf.select(F.explode(F.array(*[F.col("lag") + k for k in range(-2, 3)])).alias("lag"), F.col("acf").alias("other"))
+    peaks = near.groupBy("lag").agg(F.max("other").alias("peak"))
+    return acf.join(peaks, "lag").where("significant AND acf > 0 AND acf = peak AND lag > 1").select("lag", "acf")
 
 
 def partial_autocorrelation(series: DataFrame, lags: int = 20) -> DataFrame:
     """(lag, pacf, significant) by the Durbin-Levinson recursion over the autocorrelations (one row per lag)."""
-    found = autocorrelation(series, lags).orderBy("lag").collect()
-    r, n = [row["acf"] for row in found], series.where("value IS NOT NULL").count()
+    o = in_order(series)
+    r, n = [row["acf"] for row in _autocorrelation(o, lags).orderBy("lag").collect()], o.n
     phi: list[float] = []
     out = []
     for k in range(len(r)):
@@ -74,16 +82,15 @@ def suggest_windows(series: DataFrame, lags: int = 40, defaults: tuple = (3, 7,
 
 def decompose(series: DataFrame, period: int, multiplicative: bool = False) -> DataFrame:
     """(ts, value, trend, seasonal, residual): centred moving average and normalised means by position."""
-    w = W.orderBy("ts")
-    s = series.where("value IS NOT NULL").withColumn("pos", F.row_number().over(w) - 1)
-    half = period // 2
+    o, half = in_order(series), period // 2
+    s, w = o.blocks(half, half).withColumnRenamed("v", "value"), by_pos()
+    full = F.count("value").over(w.rowsBetween(-half, half)) == 2 * half + 1
     if period % 2:
-        full, mean = F.count("value").over(w.rowsBetween(-half, half)) == period, F.avg("value").over(w.rowsBetween(-half, half))
+        mean = F.avg("value").over(w.rowsBetween(-half, half))
     else:  # two moving averages of the period, half weight at the ends
         inner = F.sum("value").over(w.rowsBetween(-half + 1, half - 1))
-        full = F.count("value").over(w.rowsBetween(-half, half)) == period + 1
         mean = (inner + (F.lag("value", half).over(w) + F.lead("value", half).over(w)) / 2) / period
-    s = s.withColumn("trend", F.when(full, mean))
+    s = s.withColumn("trend", F.when(full, mean)).where("_own")
     off = ratio(F.col("value"), F.col("trend")) if multiplicative else F.col("value") - F.col("trend")
     means = s.withColumn("off", off).groupBy((F.col("pos") % period).alias("phase")).agg(F.avg("off").alias("m"))
     centre = means.agg(F.avg("m").alias("c"))
@@ -95,17 +102,17 @@ def decompose(series: DataFrame, period: int, multiplicative: bool = False) -> D
 
 def variance_stability(series: DataFrame) -> DataFrame:
     """One row: standard deviations of both halves and whether one is more than twice the other."""
-    s = series.where("value IS NOT NULL").withColumn("half", F.ntile(2).over(W.orderBy("ts")))
-    sd = lambda k: F.stddev_samp(F.when(F.col("half") == k, F.col("value")))
-    out = s.agg(sd(1).alias("sd_first"), sd(2).alias("sd_second"))
+    o = in_order(series)
+    sd = lambda k: F.stddev_samp(F.when(F.col("half") == k, F.col("v")))
+    out = o.rows.withColumn("half", o.ntile(2)).agg(sd(1).alias("sd_first"), sd(2).alias("sd_second"))
     r = F.greatest(ratio(F.col("sd_first"), F.col("sd_second")), ratio(F.col("sd_second"), F.col("sd_first")))
     return out.withColumn("unstable", r > 2)
 
 
 def forecast_baselines(series: DataFrame, test_size: float = 0.2) -> DataFrame:
     """(method, mae, rmse, mape) of naive, mean and drift forecasts on the last part of a series."""
-    s = series.where("value IS NOT NULL").select("ts", F.col("value").cast("double").alias("v"))
-    s = s.withColumn("rn", F.row_number().over(W.orderBy("ts"))).withColumn("n", F.count("*").over(W.partitionBy()))
+    o = in_order(series)
+    s = o.rows.select("ts", "v", (F.col("pos") + 1).alias("rn"), F.lit(o.n).alias("n"))
     cut = F.col("n") - F.floor(F.col("n") * test_size)
     train = s.where(F.col("rn") <= cut).agg(F.max(cut).alias("k"), F.avg("v").alias("mean"), F.max_by("v", "rn").alias("last"), F.min_by("v", "rn").alias("first"))
     test = s.where(F.col("rn") > cut).join(F.broadcast(train), F.lit(True))

@@ -50,25 +50,46 @@ def forecast_baselines(spark, d):
     return T.forecast_baselines(hours(spark, d)).select("method", F.round("mae", 5).alias("mae"), F.round("rmse", 5).alias("rmse"), F.round("mape", 3).alias("mape"))
 
 
-WAVE = f"""{HOURS}, y AS (SELECT ts, value / 10 + 10 * sin(2 * pi() * hour(ts) / 12) AS v FROM h), x AS (SELECT v - avg(v) OVER () AS x, row_number() OVER (ORDER BY ts) AS i FROM y),
- k AS (SELECT unnest(range(1, 31)) AS lag), a AS (SELECT lag, sum(p.x * q.x) / (SELECT sum(x * x) FROM x) AS acf, (SELECT count(*) FROM x) AS n FROM k, x p JOIN x q ON q.i = p.i - lag GROUP BY lag)"""
+LAGS = f"""x AS (SELECT value - avg(value) OVER () AS x, row_number() OVER (ORDER BY ts) AS i FROM events),
+ k AS (SELECT unnest(range(1, 169)) AS lag), a AS (SELECT lag, sum(p.x * q.x) / (SELECT sum(x * x) FROM x) AS acf, (SELECT count(*) FROM x) AS n FROM k, x p JOIN x q ON q.i = p.i - lag GROUP BY lag)"""
 
 
-def wave(spark, d):
-    """Hourly means, with a period of twelve hours added."""
-    return hours(spark, d).where("value IS NOT NULL").select("ts", (F.col("value") / 10 + 10 * F.sin(2 * F.pi() * F.hour("ts") / 12)).alias("value"))
-
-
-@query("seasonal_periods", f"WITH {WAVE}, m AS (SELECT *, max(acf) OVER (ORDER BY lag ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS peak FROM a) SELECT lag::INT AS lag, round(acf, 6) AS acf FROM m WHERE abs(acf) > 2 / sqrt(n) AND acf > 0 AND acf = peak AND lag > 1")
+@query("seasonal_periods", f"WITH {LAGS}, m AS (SELECT *, max(acf) OVER (ORDER BY lag ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS peak FROM a) SELECT lag::INT AS lag, round(acf, 6) AS acf FROM m WHERE abs(acf) > 2 / sqrt(n) AND acf > 0 AND acf = peak AND lag > 1")
 def seasonal_periods(spark, d):
-    return T.candidate_periods(T.autocorrelation(wave(spark, d), 30)).select("lag", F.round("acf", 6).alias("acf"))
+    return T.candidate_periods(T.autocorrelation(raw(spark, d), 168)).select("lag", F.round("acf", 6).alias("acf"))
 
 
-@query("partial_autocorrelation", f"WITH {WAVE}, r AS (SELECT max(acf) FILTER (lag = 1) AS r1, max(acf) FILTER (lag = 2) AS r2, max(n) AS n FROM a), p AS (SELECT 1 AS lag, r1 AS pacf, n FROM r UNION ALL SELECT 2, (r2 - r1 * r1) / (1 - r1 * r1), n FROM r) SELECT lag, round(pacf, 6) AS pacf, abs(pacf) > 2 / sqrt(n) AS significant FROM p")
+@query("partial_autocorrelation", f"WITH {LAGS.replace("169", "3")}, r AS (SELECT max(acf) FILTER (lag = 1) AS r1, max(acf) FILTER (lag = 2) AS r2, max(n) AS n FROM a), p AS (SELECT 1 AS lag, r1 AS pacf, n FROM r UNION ALL SELECT 2, (r2 - r1 * r1) / (1 - r1 * r1), n FROM r) SELECT lag, round(pacf, 6) AS pacf, abs(pacf) > 2 / sqrt(n) AS significant FROM p")
 def partial_autocorrelation(spark, d):
-    return T.partial_autocorrelation(wave(spark, d), 2).select("lag", F.round("pacf", 6).alias("pacf"), "significant")
+    return T.partial_autocorrelation(raw(spark, d), 2).select("lag", F.round("pacf", 6).alias("pacf"), "significant")
 
 
 @query("suggest_lags")
 def suggest_lags(spark, d):
-    return T.suggest_lags(wave(spark, d), 24)
+    return T.suggest_lags(raw(spark, d), 168)
+
+
+def raw(spark, d):
+    return table(spark, d, "events").select("ts", "value")
+
+
+@query("autocorrelation_events", "WITH x AS (SELECT value - avg(value) OVER () AS x, row_number() OVER (ORDER BY ts) AS i FROM events), l AS (" + " UNION ALL ".join(f"SELECT {k} AS lag, x, lag(x, {k}) OVER (ORDER BY i) AS y FROM x" for k in range(1, 9)) + ") SELECT lag, round(sum(x * y) / (SELECT sum(x * x) FROM x), 6) AS acf, abs(sum(x * y) / (SELECT sum(x * x) FROM x)) > 2 / sqrt((SELECT count(*) FROM x)) AS significant FROM l GROUP BY lag")
+def autocorrelation_events(spark, d):
+    """Of every event in order of time, not of hourly means."""
+    return rounded(T.autocorrelation(raw(spark, d), 8))
+
+
+@query("trend_events", "WITH r AS (SELECT value, row_number() OVER (ORDER BY ts) AS rn, count(*) OVER () AS n FROM events), x AS (SELECT any_value(n) AS n, max(value) FILTER (rn = 1) AS first, max(value) FILTER (rn = n // 2 + 1) AS middle, max(value) FILTER (rn = n) AS last FROM r) SELECT n, first, middle, last, round((last - first) * 100 / abs(first), 4) AS pct_change, CASE WHEN last > first THEN 'increasing' WHEN last < first THEN 'decreasing' ELSE 'flat' END AS trend FROM x")
+def trend_events(spark, d):
+    return T.trend(raw(spark, d)).withColumn("pct_change", F.round("pct_change", 4))
+
+
+@query("interpolate_events", """WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 7 = 0 OR event_id < 3 THEN NULL ELSE value END AS v, row_number() OVER (ORDER BY ts) AS rn FROM events),
+ k AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN rn END IGNORE NULLS) OVER (ORDER BY rn) AS a, first_value(CASE WHEN v IS NOT NULL THEN rn END IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM e)
+ SELECT k.event_id, round(CASE WHEN k.v IS NOT NULL THEN k.v WHEN k.a IS NULL THEN NULL WHEN k.b IS NULL THEN x.v ELSE x.v + (y.v - x.v) * (k.rn - k.a) / (k.b - k.a) END, 6) AS value FROM k LEFT JOIN e x ON x.rn = k.a LEFT JOIN e y ON y.rn = k.b""")
+def interpolate_events(spark, d):
+    """A value in seven is missing, and the first ones; all events in one order."""
+    from ..operators.quality import impute
+
+    e = table(spark, d, "events").withColumn("value", F.expr("CASE WHEN event_id % 7 = 0 OR event_id < 3 THEN NULL ELSE value END"))
+    return impute(e, ["value"], "interpolate", order_by=["ts"]).select("event_id", F.round("value", 6).alias("value"))
