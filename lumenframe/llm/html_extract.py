@@ -50,34 +50,42 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BOILERPLATE = set("nav footer aside form menu dialog fieldset search".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MARKS = set(
-    """ad ads adv advert adverts advertisement breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer
-    masthead menu nav navbar navigation newsletter sidebar sponsor sponsored subscribe""".split()
+    """ad ads adv advert adverts advertisement breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus
+    footer gdpr masthead menu nav navbar navigation newsletter replies respond responses sidebar sponsor sponsored subscribe""".split()
 )
 #: Marks that are words of articles too: every name beside them must be a mark or tell of a place.
-LOOSE_MARKS = set("banner header modal notice notices popup promo promotion related share sharing signup social toolbar widget".split())
+LOOSE_MARKS = set("banner discussion header modal notice notices popup promo promotion related share sharing signup social toolbar widget".split())
 PLACES = set("left right top bottom main site page global sticky fixed floating box bar list item links container wrapper inner area block section".split())
 #: Heads of an article are part of it; names such as has-sidebar or content-with-nav tell of a neighbour.
 HEADERS = set("header masthead".split())
 QUALIFIERS = set("has have with without no not".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
+#: Every part of a tag can be read in one way only, so a tag that never ends costs no more than its length.
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>"']|"[^"]*"|'[^']*'|["'])*?(?:(?<=/)>|>.*?(?:</\1\b[^>]*(?:>|\Z)|\Z))|<[!?][^>]*(?:>|\Z)"""
-    r"""|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""",
+    rf"""<!--.*?(?:-->|\Z)|<({RAW})\b{_INSIDE}(?:(?<=/)>|>.*?(?:</\1\b[^>]*+(?:>|\Z)|\Z))|<[!?][^>]*+(?:>|\Z)"""
+    rf"""|<(/?)([a-zA-Z][\w:-]*+)({_INSIDE})(?:>|\Z)""",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTR = re.compile(r"""(?<![\w:-])(class|id|role|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_QUOTED = re.compile(r""""[^"]*+"|'[^']*+'""")
+_HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", re.I)
+_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 def _is_boilerplate(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     """(whether the element is boilerplate, whether only a part of a class or id says so)."""
     if tag in BOILERPLATE or tag in HIDDEN or tag == "header" and not in_article:
         return True, False
+    if "hidden" in attrs.lower() and _HIDDEN.search(_QUOTED.sub('""', attrs)):
+        return True, False
     partly = False
     for name, a, b, c in _ATTR.findall(attrs):
-        value = (a or b or c).lower()
-        if name.lower() == "role":
-            if value in ROLES:
+        name, value = name.lower(), _CAMEL.sub("-", a or b or c).lower()
+        if name in ("role", "style", "aria-hidden"):
+            if value in ROLES if name == "role" else _NOT_SHOWN.search(value) if name == "style" else value == "true":
                 return True, False
         elif tag not in ("article", "main", "body", "html"):
             names = [re.split(r"[_-]+", one) for one in value.split()]
@@ -100,28 +108,32 @@ def scan(page: str) -> list[tuple]:
     article or main element.
     """
     parts: list[tuple] = []
-    stack: list[tuple[str, bool, bool, tuple]] = []  # tag, content, surely out, marks (lists, emptied when disproved)
+    stack: list[tuple] = []  # tag, inside, out, mark, innermost block, whether linked
+    top = ("", False, False, None, "body", False)
+    nested: list[int] = []  # places in the stack of open blocks
+    opened: Counter = Counter()
     block, at = 0, 0
     words, links = Counter(), Counter()
 
     def text(upto: int, found: str | None = None) -> None:
         if upto > at or found:
-            where = next((t for t, *_ in reversed(stack) if t in BLOCKS), "body")
-            linked = any(t == "a" for t, *_ in stack)
-            inside, out, marks = stack[-1][1:] if stack else (False, False, ())
+            _, inside, out, mark, where, linked = stack[-1] if stack else top
             found = found or page[at:upto]
-            words[block] += len(found.split())
-            links[block] += len(found.split()) * linked
-            parts.append(("text", where + "+a" * linked, inside, block, found, (out, marks)))
-
-    def close(tags: set[str], within: set[str]) -> None:
-        """End the innermost open element of ``tags``, if no element of ``within`` is open inside it."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in within:
-                return
+            n = len(found.split())
+            words[block] += n
+            links[block] += n * linked
+            parts.append(("text", where + "+a" * linked, inside, block, found, (out, mark)))
+
+    def end(k: int) -> None:
+        """Close the open elements from the k-th on; each is closed once, so a page takes time in proportion to its length."""
+        for t, *_ in stack[k:]:
+            opened[t] -= 1
+        del stack[k:]
+        while nested and nested[-1] >= k:
+            nested.pop()
+
+    def innermost(tag: str) -> int:
+        return next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
 
     for m in _TOKEN.finditer(page):
         text(m.start())
@@ -133,29 +145,32 @@ def scan(page: str) -> list[tuple]:
             text(at, " ")
         if closing:
             if tag in BLOCKS:
-                inside, out, marks = stack[-1][1:] if stack else (False, False, ())
-                parts.append(("tag", "/" + tag, inside, block, "", (out, marks)))
+                _, inside, out, mark, *_ = stack[-1] if stack else top
+                parts.append(("tag", "/" + tag, inside, block, "", (out, mark)))
                 block += 1
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if opened[tag]:
+                end(innermost(tag))
             continue
-        if tag == "body" or tag in BLOCKS:  # the end tags of head, paragraphs and items may be left out
-            close({"head"}, set())
-        if tag in BLOCKS:
-            close({"p"} | CLOSED_BY.get(tag, set()), BLOCKS - {"p"})
-        inside, out, marks = stack[-1][1:] if stack else (False, False, ())
+        if (tag == "body" or tag in BLOCKS) and opened["head"]:  # the end tags of head, paragraphs and items may be left out
+            end(innermost("head"))
+        if tag in BLOCKS and nested and stack[nested[-1]][0] in {"p"} | CLOSED_BY.get(tag, set()):
+            end(nested[-1])
+        _, inside, out, mark, where, linked = stack[-1] if stack else top
         inside = inside or tag in ("article", "main")
-        if tag in ("article", "main"):
-            for mark in marks:
-                mark.clear()
+        if tag in ("article", "main"):  # disproves the marks around it; those around a disproved one are so already
+            above = mark
+            while above and above[0]:
+                above[0], above = False, above[1]
         block += tag in BLOCKS
         if tag not in VOID and not m[4].endswith("/"):
             found, partly = _is_boilerplate(tag, m[4], inside)
-            out, marks = out or found and not partly, (*marks, [tag]) if partly else marks
-            stack.append((tag, inside, out, marks))
+            out, mark = out or found and not partly, [True, mark] if partly else mark
+            if tag in BLOCKS:
+                nested.append(len(stack))
+            opened[tag] += 1
+            stack.append((tag, inside, out, mark, tag if tag in BLOCKS else where, linked or tag == "a"))
         if tag in BLOCKS:
-            parts.append(("tag", tag, inside, block, "", (out, marks)))
+            parts.append(("tag", tag, inside, block, "", (out, mark)))
     text(len(page))
     # a tag goes by the next block with words, an end tag by the last one
     filled = sorted(n for n, k in words.items() if k)
@@ -166,7 +181,7 @@ def scan(page: str) -> list[tuple]:
             return p[1]
         return p[1] + "+a" * linked[bisect_right(filled, p[3]) if p[1][0] == "/" else bisect_left(filled, p[3]) + 1]
 
-    return [(p[0], kind(p), *p[2:5], p[5][0] or any(p[5][1])) for p in parts]
+    return [(p[0], kind(p), *p[2:5], bool(p[5][0] or p[5][1] and p[5][1][0])) for p in parts]
 
 
 def learn(pages: list[str]) -> tuple[Counter, Counter]:
