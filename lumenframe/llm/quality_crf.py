@@ -28,8 +28,8 @@ from .common import arrow_map, fit_on_shards, fold, labelled, labelled_rows, rea
 SAMPLE_ROWS = 12_000
 SHARDS = 8
 STEPS = 250
-#: Lines of a chain, and chains of a document, that are learned from.
-CHAIN, CHAINS = 512, 8
+#: Lines of a chain; a longer document is learned as several chains, one after another.
+CHAIN = 512
 RATE, DECAY = 1.0, 1e-4
 CUTOFF = 0.5
 HELD = (3, 1)
@@ -138,11 +138,8 @@ def train_crf(docs: list[np.ndarray], labels: np.ndarray, steps: int = STEPS) ->
 
 
 def chains_of(lines: np.ndarray) -> list[np.ndarray]:
-    """A document's lines as chains of at most CHAIN lines, at most CHAINS of them."""
-    if len(lines) <= CHAIN:
-        return [lines] if len(lines) else []
-    starts = np.linspace(0, len(lines) - CHAIN, min(CHAINS, -(-len(lines) // CHAIN))).astype(int)
-    return [lines[k : k + CHAIN] for k in starts]
+    """All lines of a document, once each, as consecutive chains of at most CHAIN lines."""
+    return [lines[k : k + CHAIN] for k in range(0, len(lines), CHAIN)]
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -168,11 +168,10 @@ def test_quality_score_equals_enumeration():
         assert score == pytest.approx(np.average(marginal, weights=lengths))
 
 
-def test_long_documents_train_with_bounded_chains():
-    x = np.arange(10_000.0)[:, None]
-    found = quality_crf.chains_of(x)
-    assert len(found) == quality_crf.CHAINS and {len(c) for c in found} == {quality_crf.CHAIN} and found[-1][-1] == 9_999
-    assert quality_crf.chains_of(x[:0]) == [] and len(quality_crf.chains_of(x[:7])) == 1
+def test_every_line_of_a_long_document_is_learned_once():
+    for n in (0, 1, 7, 511, 512, 513, 10_000):
+        found = quality_crf.chains_of(np.arange(float(n))[:, None])
+        assert all(len(c) <= quality_crf.CHAIN for c in found) and np.concatenate([np.zeros((0, 1)), *found]).ravel().tolist() == list(range(n))
 
 
 # 5: every alignment of every item
@@ -331,6 +330,9 @@ def test_language_id_equals_dictionary(spark):
     train = [(" ".join(prose(6, r)), lang) for lang in ("en", "de", "fr") for _ in range(4)]
     docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(train)], "doc_id long, text string, lang string")
     langs, matrix = language_id.train(docs, 128)
+    assert matrix.shape == (128, 3)
+    again, same = language_id.train(docs.unionAll(docs), 128)  # twice the counts, and no other switch
+    assert again == langs and same.shape == matrix.shape
     sums = {lang: sum(language_id.ngram_counts(t, 128) for t, own in train if own == lang) for lang in langs}
     probes = [prose(5, r), "x", "A1b"]
     for got, text in zip(language_id.predict(spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string"), langs, matrix).orderBy("doc_id").collect(), probes, strict=True):
