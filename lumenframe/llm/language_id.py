@@ -2,7 +2,8 @@
 
 Lower-cased character 1-, 2- and 3-grams are hashed into a fixed number of
 buckets. Counts by language cover every training document and are summed by
-Spark; the log-probability matrix (buckets x languages) is broadcast and each
+Spark, which also makes each language's column of log-probabilities; the
+matrix (buckets x languages, of fixed size a language) is broadcast and each
 text is scored in numpy from its sparse n-gram counts.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; a
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +32,7 @@ HELD = (4, 2)
 UNKNOWN = "und"
 #: Characters hashed at a time, so that very long texts take bounded memory.
 BLOCK = 1 << 20
-#: The matrix has at most so many entries: with more than 512 languages each gets fewer buckets.
+#: The matrix that is broadcast has at most so many entries (128 MB); more than 512 languages are an error.
 ENTRIES = 1 << 25
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -72,18 +74,18 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarra
 
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
     n_langs = rows.agg(F.count_distinct("lang")).head()[0]
-    while buckets * n_langs > ENTRIES:
-        buckets //= 2
-    if not buckets:
-        raise ValueError(f"{n_langs} languages are too many for one matrix")
+    if buckets * n_langs > ENTRIES:
+        raise ValueError(f"{n_langs} languages are too many for one matrix of {buckets} buckets")
+
+    def column(pdf: pd.DataFrame) -> pd.DataFrame:
+        smooth = np.full(buckets, SMOOTHING)
+        smooth[pdf["bucket"]] += pdf["n"]
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "logs": [np.log(smooth / smooth.sum()).astype(np.float32).tobytes()]})
+
     sums = arrow_map(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.toPandas()  # at most buckets x languages
-    langs = sorted(got["lang"].unique())
-    matrix = np.full((buckets, len(langs)), SMOOTHING)
-    for k, lang in enumerate(langs):
-        part = got[got["lang"] == lang]
-        matrix[part["bucket"], k] += part["n"]
-    return langs, np.log(matrix / matrix.sum(0)).astype(np.float32)
+    got = sorted(sums.groupBy("lang").applyInPandas(column, "lang string, logs binary").collect())  # a packed row per language
+    logs = [np.frombuffer(r["logs"], np.float32) for r in got]
+    return [r["lang"] for r in got], np.stack(logs, axis=1) if got else np.zeros((buckets, 0), np.float32)
 
 
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
