@@ -30,9 +30,9 @@ class Ordered:
     n: int
     starts: list[int]
 
-    def blocks(self, before: int, after: int = 0, size: int = BLOCK) -> DataFrame:
+    def blocks(self, before: int, after: int = 0, size: int | None = None) -> DataFrame:
         """``rows`` with _block and _own: every row in the block that owns it, and again in a neighbour as halo."""
-        size = max(size, before, after)
+        size = max(size or BLOCK, before, after)
         block, place = F.expr(f"pos div {size}"), F.col("pos") % size
         spots = F.array(
             F.struct(block.alias("_block"), F.lit(True).alias("_own")),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.rank import kendall
 from ..operators import stats as S
 from .base import query, table
 
@@ -116,3 +117,11 @@ def feature_importance_forest(spark, d):
 @query("pca_scores")
 def pca_scores(spark, d):
     return S.pca_scores(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"])[0]
+
+
+@query("correlation_kendall", """WITH p AS (SELECT p_partkey AS i, p_size AS x, p_retailprice AS y, length(p_name) AS z FROM part), s AS (SELECT sign(a.x - b.x) AS x, sign(a.y - b.y) AS y, sign(a.z - b.z) AS z FROM p a JOIN p b ON a.i < b.i),
+ t AS (SELECT unnest(['p_size', 'p_size', 'p_retailprice']) AS a, unnest(['p_retailprice', 'name_length', 'name_length']) AS b, unnest([sum(x * y) / sqrt(sum(abs(x))) / sqrt(sum(abs(y))), sum(x * z) / sqrt(sum(abs(x))) / sqrt(sum(abs(z))), sum(y * z) / sqrt(sum(abs(y))) / sqrt(sum(abs(z)))]) AS tau FROM s)
+ SELECT a, b, (SELECT count(*) FROM p) AS n, round(tau, 6) AS tau FROM t""")
+def correlation_kendall(spark, d):
+    p = table(spark, d, "part").withColumn("name_length", F.length("p_name"))
+    return kendall(p, ["p_size", "p_retailprice", "name_length"]).select("a", "b", "n", F.round("tau", 6).alias("tau"))

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import stationarity as S
+from ..operators import stl as STL
 from ..operators import timeseries as T
 from .base import query, table
 from .stats import rounded
@@ -93,3 +95,41 @@ def interpolate_events(spark, d):
 
     e = table(spark, d, "events").withColumn("value", F.expr("CASE WHEN event_id % 7 = 0 OR event_id < 3 THEN NULL ELSE value END"))
     return impute(e, ["value"], "interpolate", order_by=["ts"]).select("event_id", F.round("value", 6).alias("value"))
+
+
+@query("stl_hourly")
+def stl_hourly(spark, d):
+    """Hourly means with a daily period, robust."""
+    return STL.stl(hours(spark, d), 24, robust=True, outer=3).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stl_strengths")
+def stl_strengths(spark, d):
+    return STL.strengths(STL.stl(hours(spark, d), 24))
+
+
+@query("stl_two_periods")
+def stl_two_periods(spark, d):
+    """Daily and weekly seasons of hourly means at once."""
+    return STL.multiple_stl(hours(spark, d), [24, 168]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("dickey_fuller", """WITH e AS (SELECT value - lag(value) OVER (ORDER BY ts) AS d, lag(value) OVER (ORDER BY ts) AS l FROM events),
+ f AS (SELECT regr_slope(d, l) AS b, regr_sxx(d, l) AS sxx, regr_syy(d, l) AS syy, regr_count(d, l)::BIGINT AS n FROM e), t AS (SELECT b / sqrt((syy - b * b * sxx) / (n - 2) / sxx) AS t, n FROM f)
+ SELECT round(t, 5) AS statistic, n, 0 AS lag, t < -2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.04 / n ** 3 AS below_5 FROM t""")
+def dickey_fuller(spark, d):
+    """Of all events in order of time, without lagged changes."""
+    out = S.adf(raw(spark, d), 0, choose=False)
+    return out.select(F.round("statistic", 5).alias("statistic"), "n", "lag", (F.col("statistic") < F.col("critical_5")).alias("below_5"))
+
+
+@query("kpss", """WITH x AS (SELECT value - avg(value) OVER () AS x, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n FROM events), s AS (SELECT x, n, sum(x) OVER (ORDER BY i) AS s, lag(x, 1) OVER (ORDER BY i) AS x1, lag(x, 2) OVER (ORDER BY i) AS x2, lag(x, 3) OVER (ORDER BY i) AS x3 FROM x)
+ SELECT round(sum(s * s) / any_value(n) ** 2 / ((sum(x * x) + 2 * (0.75 * sum(x * x1) + 0.5 * sum(x * x2) + 0.25 * sum(x * x3))) / any_value(n)), 5) AS statistic, 3 AS lags, any_value(n) AS n FROM s""")
+def kpss(spark, d):
+    return S.kpss(raw(spark, d), 3).select(F.round("statistic", 5).alias("statistic"), "lags", "n")
+
+
+@query("stationarity")
+def stationarity(spark, d):
+    """Both tests on all events, with the numbers of lags that the data ask for."""
+    return S.stationarity(raw(spark, d))
