@@ -1,12 +1,17 @@
 """Operator 10: n-gram Jaccard join by a MinHash LSH forest.
 
 A text is the set of its five-word shingles (a shorter text is one shingle, all
-its words). Rows with the same set are one class. Every class has TREES min-wise
-signatures of DEPTH values; in each tree the signatures are the strings of a
-prefix trie, and two classes are candidates when they share a node at the
-matched depth. That is the longest at which a pair just at the threshold is
-found with the target probability, so no link depends on what else the table
-holds; every candidate is verified exactly.
+its words). Rows with the same set are one class. Every class has TREES labels of
+DEPTH min-wise values. The forest is a table of them sorted by tree and label, so
+the nodes of a tree's prefix trie at any depth are runs of its rows. Two classes
+are candidates when they share a node; every candidate is verified exactly.
+
+The join starts at a long prefix, at which a pair just at the threshold is still
+found with probability FLOOR. From the similarities of the links found there it
+estimates, in every bin of similarity, how many were missed. Where a bin's recall
+is below the target, prefixes are shortened to the longest at which such pairs
+reach it, and the pairs that share only the shorter prefix are verified too. As
+bins are judged apart, large groups of close copies can't hide others' links.
 
 Nodes with more members, or longer texts, than a block holds are dealt into
 pairs of blocks, so a node of any size becomes tasks of bounded size, and a task
@@ -36,10 +41,12 @@ from .common import arrow_map, cut, mix, read_table, shingle_hashes, small_side,
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 16
-#: The longest match; there a pair at the threshold is found with probability 0.9998.
-DEPTH = 4
-#: Least probability with which any pair at or above the threshold is found.
-RECALL = 0.999
+#: Values of a label, the longest prefix.
+DEPTH = 6
+#: Probability with which a pair at the threshold is found at the first prefix, and the recall wanted in every bin.
+FLOOR, RECALL = 0.99, 0.999
+#: Bins of similarity between the threshold and 1.
+BINS = 8
 #: Members of a block, and about so many shingles; a task verifies a pair of blocks.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 19
 #: About so many members of small nodes, and so many shingles, share a task.
@@ -104,30 +111,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, t1 long, t2 long, s1 long, s2 long, n long, sig binary")
 
 
-def node_members(classes: DataFrame, depth: int) -> DataFrame:
-    """(node, tree, rep, n): membership in the forest's nodes at a depth."""
+def forest(classes: DataFrame) -> DataFrame:
+    """(tree, label, rep, n) sorted by tree and label: the prefix tries of all trees, a row for every class and tree."""
+    width = 2 * DEPTH
+    label = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", t * width + 1, F.lit(width)))
+    rows = classes.select("rep", "n", F.posexplode(label).alias("tree", "label"))
+    return cut(rows.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep"), "forest")
 
-    def run(batch):
-        keys = node_keys(_signatures(batch.column("sig")), depth)
-        reps, n = (np.repeat(batch.column(c).to_numpy(), TREES) for c in ("rep", "n"))
-        return {"node": keys.ravel(), "tree": np.tile(np.arange(TREES, dtype=np.int32), len(keys)), "rep": reps, "n": n}
-
-    return arrow_map(classes.select("rep", "n", "sig"), run, "node long, tree int, rep long, n long")
 
+def node_members(tries: DataFrame, depth: int) -> DataFrame:
+    """(node, tree, rep, n): membership in the forest's nodes at a depth, runs of rows with equal prefixes."""
+    node = F.xxhash64("tree", F.substring("label", 1, 2 * depth))
+    return tries.select(node.alias("node"), "tree", "rep", "n")
 
-def node_cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(node, tree, i, j, b, rep, n, small): the members of every pair of a node's blocks; b is the member's own block.
 
-    Nodes with the same members in several trees are kept in the first one.
-    """
-    nodes = members.groupBy("node", "tree").agg(
+def node_sets(members: DataFrame) -> DataFrame:
+    """(node, tree, size, shingles, x1, x2) of every node with several members; x1 and x2 stand for their set."""
+    return members.groupBy("node", "tree").agg(
         F.count("*").alias("size"),
         F.sum("n").alias("shingles"),
         F.bit_xor(F.xxhash64("rep")).alias("x1"),
         F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x2"),
-    )
+    ).where("size > 1")
+
+
+def node_cells(members: DataFrame, known: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(node, tree, i, j, b, rep, n, small): the members of every pair of a node's blocks; b is the member's own block.
+
+    Nodes with the same members in several trees are kept in the first one, and those with the members of a node in
+    ``known``, whose pairs are all verified, are left out.
+    """
+    nodes, alike = node_sets(members), ["size", "shingles", "x1", "x2"]
+    if known is not None:
+        nodes = nodes.join(known, alike, "left_anti")
     blocks = F.ceil(F.greatest(F.col("size") / block, F.col("shingles") / BLOCK_SHINGLES))
-    nodes = nodes.where("size > 1").groupBy("size", "shingles", "x1", "x2").agg(F.min(F.struct("tree", "node")).alias("at"))
+    nodes = nodes.groupBy(*alike).agg(F.min(F.struct("tree", "node")).alias("at"))
     nodes = nodes.select("at.node", "at.tree", F.least(blocks, F.col("size")).cast("int").alias("blocks"))
     placed = members.join(nodes, ["node", "tree"]).withColumn(
         "b", F.pmod(F.xxhash64("rep", "node"), F.col("blocks").cast("long")).cast("int")
@@ -158,37 +176,54 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(float)
 
 
-def cell_links(sets: list[np.ndarray], earlier: np.ndarray, block: np.ndarray, mixed: bool, threshold: float) -> np.ndarray:
-    """Links of a cell's members: a pair counts in the first tree in which it meets, and in one cell there."""
+def chance(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
+    """The probability that a pair shares a node at a depth."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def cell_links(sets: list[np.ndarray], keys: np.ndarray, tree: int, longer: np.ndarray | None, block: np.ndarray, mixed: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links, similarities) of a cell's members: a pair counts in the first tree in which it meets, and in one cell there.
+
+    ``keys``, and ``longer`` where longer prefixes have been verified: the members' nodes in all trees.
+    """
     n = np.array([len(s) for s in sets], float)
     shared = shared_counts(sets)
     sim = shared / (n[:, None] + n - shared)
     link = sim >= threshold - 1e-12
-    for t in range(earlier.shape[1]):
-        link &= earlier[:, None, t] != earlier[None, :, t]
+    for t in range(tree):
+        link &= keys[:, None, t] != keys[None, :, t]
+    if longer is not None:
+        for t in range(TREES):
+            link &= longer[:, None, t] != longer[None, :, t]
     np.fill_diagonal(link, False)
     if mixed:  # pairs inside one block belong to the block's own cell
         link &= block[:, None] != block[None, :]
-    return link
+    return link, sim
 
 
-def _verify(depth: int, threshold: float):
+def _verify(depth: int, longer: int | None, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("node", "tree", "i", "j", "rep")])
         node, tree, i, j, b, rep, copies = (table.column(c).to_numpy() for c in ("node", "tree", "i", "j", "b", "rep", "copies"))
-        keys = node_keys(_signatures(table.column("sig")), depth)
+        labels = _signatures(table.column("sig"))
+        keys, more = node_keys(labels, depth), None if longer is None else node_keys(labels, longer)
+        edges = np.linspace(threshold, 1, BINS + 1)[1:-1]
         ids, first = np.unique(rep, return_index=True)
         texts = table.column("text").take(pa.array(first)).to_pylist()
         sets = dict(zip(ids.tolist(), map(shingles_of, text_hashes(texts)), strict=True))
         new = np.flatnonzero((node[1:] != node[:-1]) | (tree[1:] != tree[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        reps, links, roots = [], [], []
+        reps, links, roots, seen = [], [], [], np.zeros(2 * BINS)
         for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(rep)], strict=True):
             if hi - lo < 2:
                 continue
             ids = rep[lo:hi]
-            link = cell_links([sets[r] for r in ids.tolist()], keys[lo:hi, : tree[lo]], b[lo:hi], i[lo] != j[lo], threshold)
+            link, sim = cell_links([sets[r] for r in ids.tolist()], keys[lo:hi], tree[lo], None if more is None else more[lo:hi], b[lo:hi], i[lo] != j[lo], threshold)
             if not link.any():
                 continue
+            found = sim[link]
+            at = np.searchsorted(edges, found, "right")
+            seen[:BINS] += np.bincount(at, minlength=BINS)
+            seen[BINS:] += np.bincount(at, 1 / np.maximum(chance(found, depth), 1e-9) - 1, BINS)
             root = ids
             while True:  # members of a local component get its least class
                 grown = np.minimum(root, np.where(link, root[None, :], root[:, None]).min(1))
@@ -200,26 +235,52 @@ def _verify(depth: int, threshold: float):
             links.append((link @ copies[lo:hi])[some])
             roots.append(root[some])
         cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"rep": cat(reps), "links": cat(links), "root": cat(roots)})
+        told = [seen.tolist()] + [None] * max(0, sum(map(len, reps)) - 1) if reps else []
+        return pa.table({"rep": cat(reps), "links": cat(links), "root": cat(roots), "seen": pa.array(told, pa.list_(pa.float64()))})
 
     return run
 
 
-def verified(docs: DataFrame, classes: DataFrame, depth: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(rep, links, root) from all cells at a depth. ``docs``: t1, t2, text; ``classes``: (rep, t1, t2, n, copies, sig)."""
-    cells = cut(node_cells(node_members(classes, depth)), "cells")
+def verified(docs: DataFrame, classes: DataFrame, tries: DataFrame, depth: int, longer: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """(rep, links, root, seen) from all cells at a depth, without the pairs that share a ``longer`` prefix.
+
+    ``docs``: t1, t2, text; ``classes``: (rep, t1, t2, n, copies, sig). ``seen``, once a task: the links of each bin, and how
+    many were missed for as many at this depth.
+    """
+    known = None if longer is None else node_sets(node_members(tries, longer)).select("size", "shingles", "x1", "x2").distinct()
+    cells = cut(node_cells(node_members(tries, depth), known), "cells")
     size = cells.where("small").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).head()
     packs = max(1, -(-size["rows"] // PACK_ROWS), -(-(size["n"] or 0) // PACK_SHINGLES))
     wanted = cut(classes.join(cells.select("rep").distinct(), "rep", "left_semi").select("t1", "t2", "rep", "copies", "sig"), "wanted")
     texts = docs.select("t1", "t2", "text").join(small_side(wanted), ["t1", "t2"]).drop("t1", "t2").dropDuplicates(["rep"])
     pack = F.when(F.col("small"), F.pmod(F.xxhash64("node"), F.lit(packs))).otherwise(F.xxhash64("node", "tree", "i", "j"))
     rows = cells.join(texts, "rep").select(pack.alias("pack"), "node", "tree", "i", "j", "b", "rep", "copies", "sig", "text")
-    return rows.groupBy("pack").applyInArrow(_verify(depth, threshold), "rep long, links long, root long")
+    return rows.groupBy("pack").applyInArrow(_verify(depth, longer, threshold), "rep long, links long, root long, seen array<double>")
+
+
+def match_depth(similarity: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest prefix that a pair of this similarity shares in some tree with probability ``recall``."""
+    return next((d for d in range(DEPTH, 1, -1) if chance(similarity, d) >= recall), 1)
+
+
+def depth_needed(found: DataFrame, depth: int, threshold: float, recall: float) -> int:
+    """The depth at which every bin of similarity that has links reaches the recall; ``depth`` where all do already."""
+    seen = np.zeros(2 * BINS)
+    for r in found.where("seen IS NOT NULL").select(F.posexplode("seen").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():
+        seen[r["at"]] = r["x"]
+    links, missed = seen[:BINS], seen[BINS:]
+    short = [k for k in range(BINS) if links[k] and links[k] < recall * (links[k] + missed[k])]
+    return min([depth, *(match_depth(threshold + (1 - threshold) * k / BINS, recall) for k in short)])
 
 
-def match_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest depth at which a pair at the threshold, the hardest to find, shares a node with probability ``recall``."""
-    return next((d for d in range(DEPTH, 1, -1) if 1 - (1 - threshold**d) ** TREES >= recall), 1)
+def linked(docs: DataFrame, classes: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> tuple[DataFrame, int]:
+    """((rep, links, root), depth): the links of all classes, and the length to which prefixes were shortened."""
+    tries, depth = forest(classes), match_depth(threshold, min(FLOOR, recall))
+    found = cut(verified(docs, classes, tries, depth, None, threshold), "links")
+    shorter = depth_needed(found, depth, threshold, recall)
+    if shorter < depth:
+        found = found.unionAll(cut(verified(docs, classes, tries, shorter, depth, threshold), "links"))
+    return found.drop("seen"), shorter
 
 
 def grouped(docs: DataFrame, recall: float = RECALL, threshold: float = THRESHOLD) -> DataFrame:
@@ -234,7 +295,7 @@ def grouped(docs: DataFrame, recall: float = RECALL, threshold: float = THRESHOL
         F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.count("*").alias("copies"), F.min("sig").alias("sig")
     )
     classes = cut(classes.select(rep, "first", "first.t1", "first.t2", "n", "copies", "sig"), "classes")
-    found = cut(verified(docs, classes, match_depth(threshold, recall), threshold), "links")
+    found, _ = linked(docs, classes, recall, threshold)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     # a component goes by the least first row of its classes
     ends = found.where("root <> rep").select("rep", "root").distinct()
