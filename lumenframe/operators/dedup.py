@@ -194,6 +194,22 @@ def blocked_pairs(df: DataFrame, id_col: str, keys: Column, columns: list[str],
     return met.select("a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
 
 
+def block_keys(c: Column, method: str, n: int = 3) -> Column:
+    """The array of block keys of a value: itself ("exact"), its first letter or soundex code, or all its n-grams; none for NULL."""
+    if method == "ngram":
+        return F.array_distinct(char_ngrams(c, n))
+    one = {"exact": lambda: c.cast("string"), "first_letter": lambda: F.upper(F.substring(c, 1, 1)), "soundex": lambda: F.soundex(c)}
+    if method not in one:
+        raise ValueError(f"method {method!r} is not one of {sorted([*one, 'ngram'])}")
+    return F.filter(F.array(one[method]()), lambda k: k.isNotNull())
+
+
+def block_sizes(df: DataFrame, keys: Column) -> DataFrame:
+    """(block, n, n_pairs): rows of every key of the array ``keys``, and how many pairs they make."""
+    sizes = df.select(F.explode(F.array_distinct(keys)).alias("block")).groupBy("block").agg(F.count("*").alias("n"))
+    return sizes.withColumn("n_pairs", F.expr("n * (n - 1) div 2"))
+
+
 def cosine_trigram_pairs(df: DataFrame, id_col: str, text_col: str, block: Column, threshold: float) -> DataFrame:
     """(a, b, similarity): cosine of lower-case trigram counts of the pairs of each block."""
     grams = df.select(F.col(id_col).alias("id"), F.explode(char_ngrams(F.lower(F.col(text_col)), 3)).alias("g")).groupBy("id", "g").agg(F.count("*").cast("double").alias("c"))

@@ -93,24 +93,30 @@ def cosine_trigram_pairs(spark, d):
 
 @query("blocking_exact", "SELECT c_nationkey, c_mktsegment, count(*) AS n, (count(*) * (count(*) - 1) // 2)::BIGINT AS n_pairs FROM customer GROUP BY ALL")
 def blocking_exact(spark, d):
-    g = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
-    return g.withColumn("n_pairs", F.expr("n * (n - 1) div 2"))
+    keyed = D.block_sizes(table(spark, d, "customer"), F.array(F.struct("c_nationkey", "c_mktsegment")))
+    return keyed.select("block.c_nationkey", "block.c_mktsegment", "n", "n_pairs")
 
 
-@query("blocking_first_letter", "SELECT upper(substring(p_name, 1, 1)) AS block, count(*) AS n FROM part GROUP BY 1")
+@query("blocking_first_letter", "SELECT upper(substring(p_name, 1, 1)) AS block, count(*) AS n, (count(*) * (count(*) - 1) // 2)::BIGINT AS n_pairs FROM part GROUP BY 1")
 def blocking_first_letter(spark, d):
-    return table(spark, d, "part").groupBy(F.upper(F.substring("p_name", 1, 1)).alias("block")).agg(F.count("*").alias("n"))
+    return D.block_sizes(table(spark, d, "part"), D.block_keys(F.col("p_name"), "first_letter"))
 
 
 @query("blocking_phonetic")
 def blocking_phonetic(spark, d):
-    return table(spark, d, "part").groupBy(F.soundex("p_name").alias("block")).agg(F.count("*").alias("n"))
+    return D.block_sizes(table(spark, d, "part"), D.block_keys(F.col("p_name"), "soundex"))
 
 
-@query("blocking_ngram", "WITH g AS (SELECT DISTINCT p_partkey, unnest([substring(lower(p_name), i, 3) FOR i IN range(1, length(p_name) - 1)]) AS block FROM part) SELECT block, count(*) AS n FROM g GROUP BY 1")
+@query("blocking_ngram", "WITH g AS (SELECT DISTINCT p_partkey, unnest([substring(lower(p_name), i, 3) FOR i IN range(1, length(p_name) - 1)]) AS block FROM part) SELECT block, count(*) AS n, (count(*) * (count(*) - 1) // 2)::BIGINT AS n_pairs FROM g GROUP BY 1")
 def blocking_ngram(spark, d):
-    grams = F.explode(F.array_distinct(D.char_ngrams(F.lower(F.col("p_name")), 3))).alias("block")
-    return table(spark, d, "part").select("p_partkey", grams).groupBy("block").agg(F.count("*").alias("n"))
+    return D.block_sizes(table(spark, d, "part"), D.block_keys(F.lower(F.col("p_name")), "ngram"))
+
+
+@query("blocked_list_pairs", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND (a.p_brand = b.p_brand AND a.p_size = b.p_size OR a.p_name = b.p_name AND a.p_type = b.p_type)")
+def blocked_list_pairs(spark, d):
+    """Parts that share one of two keys; a pair that shares both comes once."""
+    keys = F.array(F.concat_ws("|", "p_brand", F.col("p_size").cast("string")), F.concat_ws("|", "p_name", "p_type"))
+    return D.blocked_pairs(table(spark, d, "part"), "p_partkey", keys, [])
 
 
 SIM = """WITH x AS (SELECT a.c_custkey AS a, b.c_custkey AS b, a.c_name AS na, b.c_name AS nb, a.c_acctbal AS ba, b.c_acctbal AS bb FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey),
@@ -247,6 +253,6 @@ def dedup_tracker(spark, d):
     return tracker.map_to_original(values).select("doc_id", F.col("kept_id_").alias("kept_id"), "kept_chars")
 
 
-@query("embedding_projection_pairs")
+@query("embedding_projection_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.1")
 def embedding_projection_pairs(spark, d):
-    return D.projection_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5)
+    return D.projection_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 1.1, bucket_length=1.0, tables=8).withColumn("distance", F.round("distance", 5))

@@ -32,10 +32,19 @@ def select_lagcorr(spark, d):
     return rounded(M.select_by_lag(h, ["c"], "v", ["ts"]))
 
 
-@query("select_cumulative", "WITH v AS (SELECT * FROM (VALUES ('a', .5), ('b', .3), ('c', .15), ('d', .05)) t(feature, importance)) SELECT feature, importance::DOUBLE AS importance, round(c, 6)::DOUBLE AS cumulative FROM (SELECT *, sum(importance) OVER (ORDER BY importance DESC) AS c FROM v) WHERE c - importance < .75")
+STRENGTH = "v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, l_extendedprice)) AS importance FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey", "l_partkey")) + ")"
+
+
+def strengths(spark, d):
+    """(feature, importance): how strongly each number of a line goes with its price, either way."""
+    features = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey", "l_partkey"]
+    wide = table(spark, d, "lineitem").agg(*[F.abs(F.corr(c, "l_extendedprice")).alias(c) for c in features])
+    return wide.unpivot([], features, "feature", "importance")
+
+
+@query("select_cumulative", f"WITH {STRENGTH}, c AS (SELECT *, sum(importance) OVER (ORDER BY importance DESC, feature) / sum(importance) OVER () AS c, importance / sum(importance) OVER () AS own FROM v) SELECT feature, round(importance, 6)::DOUBLE AS importance, round(c, 6)::DOUBLE AS cumulative FROM c WHERE c - own < .999 - 1e-12")
 def select_cumulative(spark, d):
-    v = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.15), ("d", 0.05)], "feature string, importance double")
-    return rounded(M.select_cumulative(v, 0.75))
+    return rounded(M.select_cumulative(strengths(spark, d), 0.999))
 
 
 @query("split_time", "WITH n AS (SELECT count(*) AS n FROM orders), c AS (SELECT o_orderdate AS cut FROM orders, n QUALIFY row_number() OVER (ORDER BY o_orderdate) = n - floor(n * .2) + 1) SELECT o_orderkey, CASE WHEN o_orderdate >= cut THEN 'test' WHEN o_orderdate < cut - INTERVAL 7 DAY THEN 'train' END AS split FROM orders, c")
@@ -130,10 +139,9 @@ def oversample(spark, d):
     return M.oversample(table(spark, d, "labels"), "quality", "doc_id").select("doc_id", "quality", "copy")
 
 
-@query("group_importance", "SELECT 'price' AS pattern, 0.8::DOUBLE AS importance UNION ALL SELECT 'lag', 0.5::DOUBLE")
+@query("group_importance", f"WITH {STRENGTH} SELECT p AS pattern, round(sum(importance), 6)::DOUBLE AS importance FROM v, (VALUES ('key'), ('n'), ('tax')) t(p) WHERE contains(feature, p) GROUP BY p")
 def group_importance(spark, d):
-    v = spark.createDataFrame([("price_lag", 0.3), ("price", 0.5), ("size_lag", 0.2)], "feature string, importance double")
-    return rounded(M.group_importance(v, ["price", "lag"]))
+    return rounded(M.group_importance(strengths(spark, d), ["key", "n", "tax"]))
 
 
 @query("auto_model_eval")
@@ -196,9 +204,9 @@ def select_mutual_information(spark, d):
     return found.select("feature", F.round("mi", 6).alias("mi"))
 
 
-@query("select_features_variance", "SELECT l_orderkey, l_extendedprice, l_quantity FROM lineitem WHERE l_linenumber = 1")
+@query("select_features_variance", "SELECT l_orderkey, l_extendedprice, l_quantity FROM lineitem")
 def select_features_variance(spark, d):
-    kept, _ = M.select_features(table(spark, d, "lineitem").where("l_linenumber = 1"), ["l_extendedprice", "l_quantity", "l_discount", "l_tax"], "l_orderkey", "variance", threshold=1.0)
+    kept, _ = M.select_features(table(spark, d, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount", "l_tax"], "l_orderkey", "variance", threshold=1.0)
     return kept.select("l_orderkey", "l_extendedprice", "l_quantity")
 
 

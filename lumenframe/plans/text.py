@@ -93,7 +93,7 @@ def embedding_topk(spark, d):
 
 @query("topic_model")
 def topic_model(spark, d):
-    return T.topic_model(docs(spark, d).where("lang = 'en'"), "doc_id", "text", 3)[0]
+    return T.topic_model(docs(spark, d), "doc_id", "text", 3)[0]
 
 
 @query("document_embeddings")
