@@ -48,7 +48,7 @@ FLOOR, RECALL = 0.99, 0.999
 #: Bins of similarity between the threshold and 1.
 BINS = 8
 #: Members of a block, and about so many shingles; a task verifies a pair of blocks.
-BLOCK, BLOCK_SHINGLES = 128, 1 << 19
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 #: About so many members of small nodes, and so many shingles, share a task.
 PACK_ROWS, PACK_SHINGLES = 250, 1 << 18
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
