@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.expr import ratio
 
 EPS = 1e-10
@@ -76,10 +77,9 @@ def binned(df: DataFrame, column: str, n_bins: int = 5, strategy: str = "uniform
         return df.withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), code))
     if strategy != "quantile":
         raise ValueError(f"unknown strategy {strategy!r}")
-    edges = df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)]))).alias("_e"))
-    inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
-    code = F.aggregate(inner, F.lit(0), lambda a, e: a + F.when(F.col(column) > e, 1).otherwise(0))
-    return df.join(F.broadcast(edges), F.lit(True)).withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), code)).drop("_e")
+    edges = sorted({x for x in exact_quantiles(df, {column: F.col(column)}, [i / n_bins for i in range(n_bins + 1)])[column] if x is not None})
+    code = sum((F.when(F.col(column) > e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
+    return df.withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), code))
 
 
 def lagged(df: DataFrame, columns: list[str], lags: list[int], order_by: list[str], partition_by: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio, running_totals
+from ..functions.quantiles import exact_quantiles
 from .ordered import by_pos, ordered
 from .stats import anova, feature_importance, pearson
 
@@ -185,7 +186,8 @@ def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
 def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """One row: mse, rmse, mae, median_ae, mape (denominators of at least 1e-10) and r2."""
     e, t = F.col(truth) - F.col(predicted), F.col(truth)
-    out = df.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"), F.avg(F.abs(e) / F.greatest(F.abs(t), F.lit(1e-10))).alias("mape"), F.var_pop(t).alias("_v"))
+    middle = exact_quantiles(df, {"e": F.abs(e)}, [0.5])["e"][0]
+    out = df.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.max(F.lit(middle).cast("double")).alias("median_ae"), F.avg(F.abs(e) / F.greatest(F.abs(t), F.lit(1e-10))).alias("mape"), F.var_pop(t).alias("_v"))
     return out.select("mse", F.sqrt("mse").alias("rmse"), "mae", "median_ae", "mape", (1 - ratio(F.col("mse"), F.col("_v"))).alias("r2"))
 
 

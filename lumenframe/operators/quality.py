@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import count_if, is_missing, numeric_columns, ratio, with_group_extremes
+from ..functions.quantiles import exact_quantiles
 from .ordered import filled
 
 
@@ -111,8 +112,11 @@ def impute(df: DataFrame, columns: list[str], strategy: str, value=None, order_b
         if value is None:
             raise ValueError("strategy 'constant' needs a value")
         return df.withColumns({c: F.when(m, F.lit(value)).otherwise(F.col(c)) for c, m in missing.items()})
-    if strategy in ("mean", "median", "mode"):
-        how = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "mode": lambda c: F.mode(c, True)}[strategy]
+    if strategy == "median":
+        middle = exact_quantiles(df, {c: F.when(~m, F.col(c)) for c, m in missing.items()}, [0.5])
+        return df.withColumns({c: F.when(m, F.lit(middle[c][0]).cast("double")).otherwise(F.col(c)) for c, m in missing.items()})
+    if strategy in ("mean", "mode"):
+        how = {"mean": F.avg, "mode": lambda c: F.mode(c, True)}[strategy]
         fill = df.agg(*[how(F.when(~m, F.col(c))).alias(f"_fill_{c}") for c, m in missing.items()])
         df = df.join(F.broadcast(fill), F.lit(True))
         return df.withColumns({c: F.when(m, F.col(f"_fill_{c}")).otherwise(F.col(c)) for c, m in missing.items()}).drop(*[f"_fill_{c}" for c in columns])
@@ -126,10 +130,11 @@ def impute(df: DataFrame, columns: list[str], strategy: str, value=None, order_b
 def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float = 1.5) -> DataFrame:
     """One row with lo__<c> and hi__<c>: a value outside is an outlier; NULL bounds flag nothing."""
     aggs = []
+    quartiles = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75]) if method == "iqr" else {}
     for c in columns:
         if method == "iqr":
-            q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-            lo, hi = q[0] - threshold * (q[1] - q[0]), q[1] + threshold * (q[1] - q[0])
+            q = [F.lit(x).cast("double") for x in quartiles[c]]
+            lo, hi = F.max(q[0] - threshold * (q[1] - q[0])), F.max(q[1] + threshold * (q[1] - q[0]))
         elif method == "zscore":
             sd = F.nullif(F.stddev_samp(c), F.lit(0.0))
             lo, hi = F.avg(c) - threshold * sd, F.avg(c) + threshold * sd
@@ -142,13 +147,11 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", thres
 def detect_outliers(df: DataFrame, columns: list[str], method: str = "iqr", threshold: float = 1.5) -> DataFrame:
     """``df`` with outlier_<c> per column. Methods: iqr, zscore, modified_zscore (median and MAD)."""
     if method == "modified_zscore":
-        med = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"med__{c}") for c in columns])
-        df = df.join(F.broadcast(med), F.lit(True))
-        mad = df.agg(*[F.percentile(F.abs(F.col(c) - F.col(f"med__{c}")), F.lit(0.5)).alias(f"mad__{c}") for c in columns])
-        df = df.join(F.broadcast(mad), F.lit(True))
-        score = {c: ratio(F.lit(0.6745) * F.abs(F.col(c) - F.col(f"med__{c}")), F.nullif(F.col(f"mad__{c}"), F.lit(0.0))) for c in columns}
-        out = df.withColumns({f"outlier_{c}": F.coalesce(s > threshold, F.lit(False)) for c, s in score.items()})
-        return out.drop(*[f"{p}__{c}" for c in columns for p in ("med", "mad")])
+        middle = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.5])
+        off = {c: F.abs(F.col(c) - F.lit(middle[c][0]).cast("double")) for c in columns}
+        mad = exact_quantiles(df, off, [0.5])
+        score = {c: ratio(F.lit(0.6745) * off[c], F.nullif(F.lit(mad[c][0]).cast("double"), F.lit(0.0))) for c in columns}
+        return df.withColumns({f"outlier_{c}": F.coalesce(s > threshold, F.lit(False)) for c, s in score.items()})
     df = df.join(F.broadcast(outlier_bounds(df, columns, method, threshold)), F.lit(True))
     flag = {f"outlier_{c}": F.coalesce((F.col(c) < F.col(f"lo__{c}")) | (F.col(c) > F.col(f"hi__{c}")), F.lit(False)) for c in columns}
     return df.withColumns(flag).drop(*[f"{p}__{c}" for c in columns for p in ("lo", "hi")])

@@ -9,21 +9,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import count_if, is_missing, running_totals
+from ..functions.quantiles import exact_quantiles
 
 PERCENTILES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column: counts, moments, exact percentiles, zeros and negatives; one scan for all columns."""
+    """One row per column: counts, moments, exact percentiles, zeros and negatives, all columns at once."""
     names = [f"p{round(q * 100):02d}" for q in PERCENTILES]
     aggs = []
     for i, c in enumerate(columns):
         v = F.when(~is_missing(df, c), F.col(c).cast("double"))
-        one = {"n": F.count(v), "n_missing": count_if(is_missing(df, c)), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "n_zero": count_if(v == 0), "n_negative": count_if(v < 0), "q": F.percentile(v, F.array(*map(F.lit, PERCENTILES)))}
+        one = {"n": F.count(v), "n_missing": count_if(is_missing(df, c)), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "n_zero": count_if(v == 0), "n_negative": count_if(v < 0)}
         aggs += [a.alias(f"{k}__{i}") for k, a in one.items()]
     wide = df.agg(*aggs)
+    q = exact_quantiles(df, {c: F.when(~is_missing(df, c), F.col(c).cast("double")) for c in columns}, PERCENTILES)
     plain = ["n", "n_missing", "mean", "std", "min", "max", "n_zero", "n_negative"]
-    rows = [F.struct(F.lit(c).alias("column_name"), *[F.col(f"{k}__{i}").alias(k) for k in plain], *[F.col(f"q__{i}")[j].alias(n) for j, n in enumerate(names)]) for i, c in enumerate(columns)]
+    rows = [F.struct(F.lit(c).alias("column_name"), *[F.col(f"{k}__{i}").alias(k) for k in plain], *[F.lit(q[c][j]).cast("double").alias(n) for j, n in enumerate(names)]) for i, c in enumerate(columns)]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
