@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import explain as E
 from ..operators import modeling as M
 from ..sources import tables as S
 from .base import query, table
@@ -224,3 +225,31 @@ def pipeline_steps(spark, d):
     orders = table(spark, d, "orders")
     steps = P.make_pipeline(P.step("bins", "features.binned", column="o_totalprice", n_bins=5), P.step("first", "quality.remove_duplicates", subset=["o_custkey"], order_by=["o_orderkey"]))
     return steps.fit(orders).transform(orders).select("o_custkey", "o_orderkey", "o_totalprice_bin")
+
+
+def _price_forest(spark, d):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    features = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    rows = table(spark, d, "lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    model = RandomForestRegressor(labelCol="l_extendedprice", numTrees=5, maxDepth=4, seed=42).fit(VectorAssembler(inputCols=features, outputCol="features").transform(rows))
+    return rows, features, E.shap_values(rows, "id", features, model)
+
+
+@query("shap_values")
+def shap_values(spark, d):
+    """What each number of a line adds to a forest's guess of its price, for every line."""
+    return _price_forest(spark, d)[2]
+
+
+@query("shap_importance")
+def shap_importance(spark, d):
+    _, features, values = _price_forest(spark, d)
+    return E.shap_importance(values, features)
+
+
+@query("shap_cohorts")
+def shap_cohorts(spark, d):
+    rows, features, values = _price_forest(spark, d)
+    return E.shap_cohorts(values.join(rows.select("id", "l_returnflag"), "id"), "l_returnflag", features)
