@@ -27,6 +27,13 @@ def drift_wasserstein(spark, d):
     return D.numeric_distances(*halves(spark, d), ["value"]).select("feature", F.round("wasserstein", 5).alias("wasserstein"))
 
 
+@query("drift_anderson", f"""WITH {SIDES}, g AS (SELECT value, sum(1 - s)::DOUBLE AS r, sum(s)::DOUBLE AS c FROM e GROUP BY value), t AS (SELECT sum(r) AS n, sum(c) AS m, sum(r + c) AS k FROM g),
+ f AS (SELECT r, c, sum(r) OVER w AS ur, sum(c) OVER w AS uc, n, m, k FROM g, t WINDOW w AS (ORDER BY value)), b AS (SELECT *, ur + uc - (r + c) / 2 AS b FROM f)
+ SELECT 'value' AS feature, any_value(n)::BIGINT AS n_ref, any_value(m)::BIGINT AS n_cur, round(any_value((k - 1) / k) * sum((r + c) / k * ((k * (ur - r / 2) - b * n) ** 2 / n + (k * (uc - c / 2) - b * m) ** 2 / m) / (b * (k - b) - k * (r + c) / 4)), 6) AS a2 FROM b""")
+def drift_anderson(spark, d):
+    return D.anderson_darling(*halves(spark, d), ["value"]).select("feature", "n_ref", "n_cur", F.round("a2", 6).alias("a2"))
+
+
 @query("drift_psi_numeric", f"""WITH {SIDES}, b AS (SELECT min(value) AS lo, max(value) AS hi FROM e WHERE s = 0),
  k AS (SELECT s, CASE WHEN value = hi THEN 9 WHEN value BETWEEN lo AND hi THEN floor((value - lo) / ((hi - lo) / 10))::INT END AS bin FROM e, b),
  n AS (SELECT bin, count(*) FILTER (s = 0) AS r, count(*) FILTER (s = 1) AS c FROM k GROUP BY bin), t AS (SELECT sum(r) AS nr, sum(c) AS nc FROM n),

@@ -1,8 +1,10 @@
 """Queries over text operators."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import text as T
+from ..operators import topics as N
 from .base import query, table
 from .stats import rounded
 
@@ -99,3 +101,28 @@ def topic_model(spark, d):
 @query("document_embeddings")
 def document_embeddings(spark, d):
     return T.document_embeddings(table(spark, d, "documents"), "doc_id", "text", size=16)[0]
+
+
+@query("nmf_topics")
+def nmf_topics(spark, d):
+    return N.nmf(docs(spark, d), "doc_id", "text", 4)[0]
+
+
+@query("nmf_document_topics")
+def nmf_document_topics(spark, d):
+    return N.nmf(docs(spark, d), "doc_id", "text", 4)[1]
+
+
+@query("topic_coherence", f"""WITH {TERMS}, c AS (SELECT DISTINCT doc_id, term FROM x), g AS (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS rk FROM c JOIN documents USING (doc_id) GROUP BY lang, term), t AS (SELECT dense_rank() OVER (ORDER BY lang) - 1 AS topic, term FROM g WHERE rk <= 6),
+ n AS (SELECT count(*)::DOUBLE AS n FROM documents), f AS (SELECT term, count(*)::DOUBLE AS df FROM c GROUP BY 1), q AS (SELECT a.topic, a.term AS a, b.term AS b, x.df AS x, y.df AS y FROM t a JOIN t b ON a.topic = b.topic AND a.term < b.term JOIN f x ON x.term = a.term JOIN f y ON y.term = b.term),
+ m AS (SELECT q.*, (SELECT count(*) FROM c p JOIN c r ON p.doc_id = r.doc_id WHERE p.term = q.a AND r.term = q.b)::DOUBLE AS k FROM q)
+ SELECT topic::INT AS topic, round(avg(CASE WHEN k = 0 THEN -1 ELSE ln(k * n / (x * y)) / -ln(k / n) END), 6) AS npmi, round(avg(k / (x * y)), 8) AS lift FROM m, n GROUP BY topic""")
+def topic_coherence(spark, d):
+    """Of the six terms that most documents of each language hold."""
+    df = docs(spark, d)
+    found = T.term_counts(df, "doc_id", "text").join(df.select("doc_id", "lang"), "doc_id").groupBy("lang", "term").agg(F.count("*").alias("n"))
+    best = found.withColumn("rk", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "term"))).where("rk <= 6")
+    names = [r["lang"] for r in df.select("lang").distinct().orderBy("lang").collect()]
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int") - 1
+    topics = best.select(number.alias("topic"), "term")
+    return N.coherence(df, "doc_id", "text", topics).select("topic", F.round("npmi", 6).alias("npmi"), F.round("lift", 8).alias("lift"))

@@ -200,3 +200,35 @@ def test_inversions():
     for n in (0, 1, 2, 3, 7, 64, 100):
         x = [r.randrange(max(1, n // 2)) for _ in range(n)]
         assert inversions(np.array(x, np.int64)) == sum(a > b for i, a in enumerate(x) for b in x[i + 1 :])
+
+
+# Anderson-Darling by its definition
+
+
+def plain_anderson(x, y):
+    pooled, total = sorted(x + y), len(x) + len(y)
+    out = 0.0
+    for sample in (x, y):
+        for z in sorted(set(pooled)):
+            here, upto = pooled.count(z), sum(v < z for v in pooled) + pooled.count(z) / 2
+            own = sum(v < z for v in sample) + sample.count(z) / 2
+            out += here / total * (total * own - upto * len(sample)) ** 2 / (upto * (total - upto) - total * here / 4) / len(sample)
+    return out * (total - 1) / total
+
+
+def test_anderson_darling(spark):
+    from lumenframe.operators import drift
+
+    r = random.Random(6)
+    x, y = [round(r.gauss(0, 1), 1) for _ in range(70)], [round(r.gauss(0.8, 1), 1) for _ in range(50)]
+    frame = lambda v: spark.createDataFrame([(a, 1.0 if a is None else None) for a in v], "v double, w double")
+    got = {g["feature"]: g for g in drift.anderson_darling(frame([*x, None]), frame(y), ["v", "w"]).collect()}
+    assert got["v"]["a2"] == pytest.approx(plain_anderson(x, y)) and got["v"]["drift"] and got["v"]["p_value"] == 0.001
+    same = drift.anderson_darling(frame(x[:35]), frame(x[35:]), ["v"]).head()
+    assert not same["drift"] and same["p_value"] > 0.05
+    # the sums over harmonic numbers against their definition, and their limits
+    h, g = drift._ad_harmonics(40)
+    assert h == pytest.approx(sum(1 / i for i in range(1, 40))) and g == pytest.approx(sum(1 / ((40 - i) * j) for i in range(1, 39) for j in range(i + 1, 40)))
+    assert drift._ad_harmonics(1_000_000) == pytest.approx(drift._ad_harmonics(1_000_001), abs=2e-4)
+    # at a tabulated statistic the p-value is the level
+    assert drift.anderson_p_value(1.0, 500, 500)[1] == pytest.approx(0.25, abs=0.01)
