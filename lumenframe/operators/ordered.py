@@ -129,11 +129,11 @@ def filled(df: DataFrame, columns: dict[str, Column], order_by: list[str], parti
     names = [f"_{s}{i} struct<at: bigint, v: double>" for i in range(len(columns)) for s in ("before", "after")]
     hints = spark.createDataFrame(carried, f"_range int, {', '.join(names)}")
     out = rows.join(F.broadcast(ends), "_range").join(F.broadcast(hints), "_range")
-    w = W.partitionBy("_range", *partition_by).orderBy("pos")
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    of_range = W.partitionBy("_range", *partition_by)  # both ways from the start: a frame that ends at the last row is counted anew for every row
+    back, ahead = (of_range.orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc("pos"), F.desc("pos")))
     for i, (c, missing) in enumerate(columns.items()):
         a = F.coalesce(F.last(f"_held{i}", True).over(back), F.when(F.col("_group").eqNullSafe(F.col("first")), F.col(f"_before{i}")))
-        b = F.coalesce(F.first(f"_held{i}", True).over(ahead), F.when(F.col("_group").eqNullSafe(F.col("last")), F.col(f"_after{i}")))
+        b = F.coalesce(F.last(f"_held{i}", True).over(ahead), F.when(F.col("_group").eqNullSafe(F.col("last")), F.col(f"_after{i}")))
         out = out.withColumns({"_a": a, "_b": b})
         a, b = F.col("_a"), F.col("_b")
         line = a["v"] + (b["v"] - a["v"]) * (F.col("pos") - a["at"]) / F.nullif(b["at"] - a["at"], F.lit(0))

@@ -68,6 +68,13 @@ def test_interpolation_over_ranges(spark, groups, gap):
                 assert got[i] == pytest.approx(np.interp(k, [a for a, _ in known], [b for _, b in known]) if v is None else v)
 
 
+def test_interpolation_has_no_frame_to_the_last_row(spark):
+    """Such a frame is counted anew for every row, which takes the square of a range's rows."""
+    df = spark.range(300).selectExpr("id", "if(id % 7 = 0, null, id * 1.0) AS v")
+    plan = quality.impute(df, ["v"], "interpolate", order_by=["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "unboundedfollowing" not in plan
+
+
 def test_series_plans_have_no_window_over_everything(spark, rows):
     df = spark.createDataFrame([(i, x[3] or 1.0, float(i % 7)) for i, x in enumerate(rows)], "ts long, value double, x double")
     for plan in (timeseries.autocorrelation(df, 3), timeseries.decompose(df, 6), timeseries.trend(df), timeseries.variance_stability(df), timeseries.forecast_baselines(df), modeling.select_by_lag(df, ["x"], "value", ["ts"], 2), modeling.walk_forward(df, ["ts"]), quality.impute(df, ["value"], "interpolate", order_by=["ts"])):
