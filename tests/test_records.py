@@ -168,3 +168,69 @@ def test_candidates_grow_in_proportion(spark):
         keys = R.record_keys(df, columns, weights, 0.955, within=F.array(F.col("c_nationkey").cast("string")))
         counts.append(D.blocked_pairs(df, "c_custkey", keys, []).count())
     assert 0 < counts[0] and counts[1] < 20 * counts[0]  # ten times the rows; all pairs of a nation grow a hundredfold
+
+
+def names(spark, copies=7):
+    texts = ["red bolt", "red bolts", "blue nut", None, "ab", "Red bolt", "grey gear"]
+    return spark.createDataFrame([(i, texts[i % 7], "xyz"[i % 2] if i % 11 else None, i % 3) for i in range(7 * copies)], "id long, t string, k string, v int")
+
+
+def test_classes_expand_to_all_pairs(spark):
+    df = names(spark)
+    score = D.levenshtein_similarity(F.col("t_a"), F.col("t_b"))
+    by_rows = D.blocked_pairs(df, "id", F.col("k"), ["t"]).select("a", "b", score.alias("s")).where("s >= 0.7")
+    met, members = D.class_pairs(df, "id", F.col("k"), ["t"], 2)
+    for block in (2, 1000):
+        got = sorted(map(tuple, D.expanded(met.select("a", "b", score.alias("s")).where("s >= 0.7"), members, block).collect()))
+        assert got == sorted(map(tuple, by_rows.collect())) and len(got) > 50
+
+
+def test_copies_are_scored_once_and_lists_of_keys_dedupe(spark):
+    df = spark.range(600).selectExpr("id", "concat('k', id % 3) AS k", "concat('name ', id % 3) AS t", "array(concat('k', id % 3), concat('n', id % 2), null) AS ks")
+    met, members = D.class_pairs(df, "id", F.col("k"), ["t"])
+    assert met.count() == 3  # 59,700 pairs of rows
+    assert D.expanded(met.select("a", "b"), members, 50).distinct().count() == 3 * 200 * 199 // 2
+    got = D.expanded(*D.class_pairs(df, "id", F.col("ks"), []), 50)
+    assert got.count() == got.distinct().count() == sum(1 for a in range(600) for b in range(a + 1, 600) if a % 3 == b % 3 or a % 2 == b % 2)
+
+
+def test_pairs_meet_in_many_tasks_and_none_goes_to_the_driver(spark):
+    df = spark.range(3000).selectExpr("id", "id % 2 AS k", "id AS v")
+    made = D.blocked_pairs(df, "id", F.col("k"), ["v"], 100)
+    assert made.count() == 2 * 1500 * 1499 // 2
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_grams_of_classes(spark):
+    df = names(spark)
+    got = {(r["a"], r["b"]): r["similarity"] for r in D.cosine_trigram_pairs(df, "id", "t", F.col("k"), 0.5).collect()}
+    rows = [r for r in df.collect() if r["k"] and r["t"] and len(r["t"]) > 2]
+
+    def counts(t):
+        grams = [t.lower()[i : i + 3] for i in range(len(t) - 2)]
+        return {g: grams.count(g) for g in grams}
+
+    expected = {}
+    for p in rows:
+        for q in rows:
+            x, y = counts(p["t"]), counts(q["t"])
+            s = sum(n * y.get(g, 0) for g, n in x.items()) / (sum(n * n for n in x.values()) * sum(n * n for n in y.values())) ** 0.5
+            if p["id"] < q["id"] and p["k"] == q["k"] and s >= 0.5:
+                expected[p["id"], q["id"]] = s
+    assert got == pytest.approx(expected) and expected
+
+
+def test_clusters_and_groups_of_classes(spark):
+    df = names(spark)
+    near = lambda a, b: 1 - D.levenshtein_similarity(F.col(a), F.col(b)) <= 0.3
+    ids = df.select("id")
+    by_rows = D.dbscan(ids, D.blocked_pairs(df, "id", F.col("k"), ["t"]).where(near("t_a", "t_b")).select("a", "b"), 7)
+    met, members = D.class_pairs(df, "id", F.col("k"), ["t"])
+    got = D.dbscan(ids, met.where(near("t_a", "t_b")).select("a", "b"), 7, members)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_rows.collect()))
+    assert len({r["cluster"] for r in got.collect()}) == 3  # two clusters and noise
+    rows = df.withColumn("_t", D.text_key(F.col("t")))
+    links = D.blocked_pairs(rows, "id", F.col("k"), ["_t"]).select("a", "b", D.levenshtein_similarity(F.col("_t_a"), F.col("_t_b")).alias("similarity"))
+    expected = D.flag_similar_records(df, "id", links.where("similarity >= 0.8")).select("id", "group_id", "is_duplicate")
+    assert sorted(map(tuple, D.fuzzy_groups(df, "id", "t", 0.8, F.col("k")).collect())) == sorted(map(tuple, expected.collect()))
