@@ -234,3 +234,25 @@ def test_clusters_and_groups_of_classes(spark):
     links = D.blocked_pairs(rows, "id", F.col("k"), ["_t"]).select("a", "b", D.levenshtein_similarity(F.col("_t_a"), F.col("_t_b")).alias("similarity"))
     expected = D.flag_similar_records(df, "id", links.where("similarity >= 0.8")).select("id", "group_id", "is_duplicate")
     assert sorted(map(tuple, D.fuzzy_groups(df, "id", "t", 0.8, F.col("k")).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_blocks_are_searched_by_keys_that_lose_no_pair(spark):
+    df = spark.range(400).selectExpr("id", "concat('name ', lpad(id, 6, '0')) AS t", "cast(id % 40 * 25 + 1 AS double) AS v", "'one' AS k")
+    columns = {"t": "text", "v": "number"}
+    for method, threshold in (("exact_subset", 0.5), ("fuzzy_subset", 1.0), ("composite", 0.95)):
+        pairs = R.similar_pairs(df, "id", columns, threshold, "block", F.col("k"), method)
+        keys, sure = R._keys_of(df.withColumn("_blocks", F.array("k")), columns, None, threshold, method, 30.0, 0.99, F.col("_blocks"), lossless=True)
+        met = D.blocked_pairs(df.withColumn("_blocks", F.array("k")), "id", keys, []).count()
+        assert sure and 0 < met < 400 * 399 / 2 / 4  # all pairs of the block met before
+        rows = [(r["id"], r["t"], r["v"]) for r in df.collect()]
+        w = {"exact_subset": lambda k, a, b: float(a == b), "fuzzy_subset": lambda k, a, b: float(one(k, a, b) >= 0.9), "composite": one}[method]
+        expected = {(p[0], q[0]) for i, p in enumerate(rows) for q in rows[i + 1 :] if (w("text", p[1], q[1]) + w("number", p[2], q[2])) / 2 >= threshold - 1e-9}
+        assert {(r["a"], r["b"]) for r in pairs.collect()} == expected
+    assert D.threshold_sweep(pairs, [0.95, 0.99, 1.0]).count() <= 3
+
+
+def test_union_needs_no_blocks_where_keys_lose_no_pair(spark):
+    df = spark.range(1000).selectExpr("id", "concat('name ', lpad(id * 37, 6, '0')) AS t", "cast(id AS double) AS v", "'one' AS k")
+    got = R.similar_pairs(df, "id", {"t": "text", "v": "number"}, 0.97, "union", F.col("k"), weights={"t": 2.0, "v": 1.0})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat(block" not in plan and got.count() >= 0
