@@ -62,14 +62,17 @@ def mutual_information(df: DataFrame, feature: str, target: str, bins: int = 10)
     return mi.select(F.lit(feature).alias("feature"), "n", "mi", F.try_divide("mi", F.greatest("h_x", "h_y")).alias("nmi"))
 
 
-def select_by_mutual_information(df: DataFrame, columns: list[str], target: str, k: int | None = None, percentile: float | None = None, bins: int = 10) -> DataFrame:
-    """(feature, mi, nmi) of the k features, or of the given share of them, that tell most about the target."""
+def select_by_mutual_information(df: DataFrame, columns: list[str], target: str, k: int | None = None, percentile: float | None = None, bins: int = 10, digits: int | None = None) -> DataFrame:
+    """(feature, mi, nmi) of the k features, or of the given share of them, that tell most about the target.
+
+    Features that tell as much, to ``digits`` decimals where given, go by name.
+    """
     out = None
     for c in columns:
         one = mutual_information(df, c, target, bins).select("feature", "mi", "nmi")
         out = one if out is None else out.unionByName(one)
     k = k if k is not None else max(1, round(len(columns) * (percentile if percentile is not None else 0.5)))
-    return out.orderBy(F.desc("mi"), "feature").limit(k)
+    return out.orderBy(F.desc("mi" if digits is None else F.round("mi", digits)), "feature").limit(k)
 
 
 def select_by_lag(df: DataFrame, columns: list[str], target: str, order_by: list[str], max_lag: int = 5) -> DataFrame:
