@@ -186,3 +186,54 @@ def test_drift_infers_types(spark):
     b = spark.sql("SELECT double(id) + 40 AS x, if(id % 10 = 0, 'a', 'b') AS g, timestamp'2024-06-01' + make_interval(0, 0, 0, int(id)) AS at FROM range(60)")
     got = {r["feature"]: (r["kind"], r["drift"]) for r in drift.detect_all_drift(a, b).collect()}
     assert got == {"x": ("numeric", True), "g": ("categorical", True), "at": ("datetime", True)}
+
+
+def test_projections_lose_no_pair(spark):
+    r = random.Random(2)
+    points = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(120)] + [(500, None), (501, [None] * 6)]
+    points += [(200 + i, list(points[0][1])) for i in range(9)]
+    df = spark.createDataFrame(points, "id long, v array<double>")
+    dist = lambda p, q: sum((x - y) ** 2 for x, y in zip(p, q, strict=True)) ** 0.5
+    known = [p for p in points if p[0] not in (500, 501)]
+    expected = {(p[0], q[0]): dist(p[1], q[1]) for p in known for q in known if p[0] < q[0] and dist(p[1], q[1]) <= 1.5}
+    for length, block in ((0.1, 7), (50.0, 2000)):
+        got = dedup.projection_pairs(df, "id", "v", 1.5, bucket_length=length, tables=2, block=block).collect()
+        assert {(x["a"], x["b"]): x["distance"] for x in got} == pytest.approx(expected) and len(got) == len(expected) > 50
+
+
+def test_equal_texts_are_worked_out_once(spark):
+    df = spark.range(400).selectExpr("id", "if(id % 5 = 4, null, concat('some text ', id % 4)) AS t")
+    for fn, n in ((dedup.minhash, 4), (dedup.minhash_exact, 5), (dedup.ngram_fingerprints, 5)):
+        seen = []
+        real = dedup._by_text
+
+        def spy(df, id_col, text, of_texts, real=real, seen=seen):
+            return real(df, id_col, text, lambda texts: (seen.append(texts.count()), of_texts(texts))[1])
+
+        dedup._by_text = spy
+        try:
+            rows = fn(df, "id", "t").collect()
+        finally:
+            dedup._by_text = real
+        assert seen == [5] and len({str(r[1]) for r in rows}) == n and len(rows) == (320 if fn is dedup.minhash else 400)
+
+
+def test_word_vectors_are_learned_in_several_tasks(spark, monkeypatch):
+    from pyspark.ml import feature
+
+    from lumenframe.operators import text
+
+    asked, real = [], feature.Word2Vec.fit
+    monkeypatch.setattr(feature.Word2Vec, "fit", lambda self, x: (asked.append(self.getNumPartitions()), real(self, x))[1])
+    monkeypatch.setattr(text, "TRAINING_PART", 100)
+    df = spark.range(40).selectExpr("id", "'one word and another word' AS t")
+    assert text.document_embeddings(df, "id", "t", size=4)[0].count() == 40 and asked == [1 + 40 * 25 // 100]
+
+
+def test_mutual_information_ties_go_by_name(spark):
+    rows = [(x, y, 0 if (x, y) == (1, 1) and i == 0 else x, y) for x in (0, 1) for y in (0, 1) for i in range(1000)]
+    df = spark.createDataFrame([(a, b, str(y)) for a, _, b, y in rows], "plain long, off long, y string")
+    pick = lambda **p: modeling.select_by_mutual_information(df, ["plain", "off"], "y", k=1, **p).first()["feature"]
+    assert pick(digits=5) == "off" and pick() == "off"
+    renamed = df.withColumnsRenamed({"off": "z_off"})
+    assert modeling.select_by_mutual_information(renamed, ["plain", "z_off"], "y", k=1, digits=5).first()["feature"] == "plain"
