@@ -26,3 +26,28 @@ def test_simhash_votes_where_the_rows_lie(spark, monkeypatch):
     found = dedup.simhash(spark.createDataFrame(list(enumerate([*texts, None])), "id long, t string"), "id", "t")
     assert [x["simhash"] for x in found.orderBy("id").collect()] == [*[expected(t) for t in texts], 0]
     assert "Exchange" not in plan(found)
+
+
+def test_supervised_pairs_learn_from_counts(spark):
+    from lumenframe.plans.catalog import QUERIES
+
+    rows = [(a, b, x, y, float(x == y)) for a in range(12) for b in range(a + 1, 12) for x, y in [(a % 3, b % 4)]]
+    pairs = spark.createDataFrame(rows, "a long, b long, k_a int, k_b int, label double")
+    found = dedup.supervised_pairs(pairs, pairs, {"k": "exact"})
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(a, b) for a, b, x, y, _ in rows if x == y}
+    double = pairs.withColumn("w", F.lit(2))
+    assert {tuple(r)[:2] for r in dedup.supervised_pairs(double, pairs, {"k": "exact"}, weight="w").collect()} == {tuple(r)[:2] for r in found.collect()}
+    assert "supervised_duplicates" in QUERIES
+
+
+def test_supervised_duplicates_pair_classes_of_copies(spark, tmp_path):
+    from lumenframe.plans.catalog import QUERIES
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    n = part.count()
+    part.unionAll(part.withColumn("p_partkey", F.col("p_partkey") + 1_000_000)).write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["supervised_duplicates"](spark, str(tmp_path)).collect()
+    classes = part.select("p_name", "p_size", "p_brand", "p_type").distinct().count()
+    assert sum(r["copy"] for r in found) == 2 * n - classes
+    assert all(r["a"] < 1_000_000 and r["b"] < 1_000_000 for r in found if not r["copy"])  # pairs are of first keys
+    assert any(not r["copy"] for r in found) and len({(r["a"], r["b"], r["copy"]) for r in found}) == len(found)
