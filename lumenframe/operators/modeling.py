@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ratio, running_totals
 from ..functions.quantiles import exact_quantiles
+from ..sources.tables import materialize
 from .ordered import by_pos, ordered
 from .stats import anova, feature_importance, pearson
 
@@ -114,16 +115,20 @@ def hash_order(id_col: str, seed: int = 42) -> Column:
 def split_hash(df: DataFrame, id_col: str, test_size: float = 0.2, stratify_by: str | None = None, seed: int = 42) -> DataFrame:
     """``df`` with split: exactly floor(n * test_size) test rows of every stratum, by hash order.
 
-    With few or no strata the order is found by range partitions, not in one window.
+    Hashes are counted by their first digits; only rows whose digits are those of a stratum's cut are put in order.
     """
     key = F.col(stratify_by) if stratify_by else F.lit(0)
-    keyed = df.withColumn("_h", hash_order(id_col, seed)).withColumn("_k", key).withColumn("_p", F.substring("_h", 1, 2))
-    sizes = keyed.groupBy("_k", "_p").agg(F.count("*").alias("_c"))
-    w = W.partitionBy("_k").orderBy("_p")
-    sizes = sizes.select("_k", "_p", (F.sum("_c").over(w) - F.col("_c")).alias("_start"), F.sum("_c").over(W.partitionBy("_k")).alias("_n"))
-    out = keyed.join(F.broadcast(sizes), ["_k", "_p"])
-    rank = F.col("_start") + F.row_number().over(W.partitionBy("_k", "_p").orderBy("_h"))
-    return out.withColumn("split", F.when(rank <= F.floor(F.col("_n") * test_size), "test").otherwise("train")).drop("_h", "_k", "_p", "_start", "_n")
+    keyed = df.withColumn("_h", hash_order(id_col, seed)).withColumn("_k", key).withColumn("_p", F.substring("_h", 1, 3))
+    sizes = keyed.where("_p IS NOT NULL AND _k IS NOT NULL").groupBy("_k", "_p").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy("_k").orderBy("_p"))
+    want = F.floor(F.sum("_c").over(W.partitionBy("_k")) * test_size)
+    before = sizes.select("_k", "_p", (want - upto + F.col("_c")).alias("_left")).where("_left >= 0")
+    cuts = before.groupBy("_k").agg(F.max(F.struct(F.col("_p").alias("_cut"), "_left")).alias("_at")).select("_k", "_at.*")
+    met = keyed.where("_p IS NOT NULL").join(F.broadcast(cuts), "_k")
+    sure = met.where("_p <> _cut").withColumn("split", F.when(F.col("_p") < F.col("_cut"), "test").otherwise("train"))
+    rank = F.row_number().over(W.partitionBy("_k").orderBy("_h"))
+    near = met.where("_p = _cut").withColumn("split", F.when(rank <= F.col("_left"), "test").otherwise("train"))
+    return sure.unionAll(near).drop("_h", "_k", "_p", "_cut", "_left")
 
 
 def split_time(df: DataFrame, date_col: str, test_size: float = 0.2, gap: str | None = None) -> DataFrame:
@@ -188,10 +193,15 @@ def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """One row: mse, rmse, mae, median_ae, mape (denominators of at least 1e-10) and r2."""
+    middle = exact_quantiles(df, {"e": F.abs(F.col(truth) - F.col(predicted))}, [0.5])["e"][0]
+    return mean_errors(df, truth, predicted).select("mse", "rmse", "mae", F.lit(middle).cast("double").alias("median_ae"), "mape", "r2")
+
+
+def mean_errors(df: DataFrame, truth: str, predicted: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, mse, rmse, mae, mape, r2): what one scan tells, without the median."""
     e, t = F.col(truth) - F.col(predicted), F.col(truth)
-    middle = exact_quantiles(df, {"e": F.abs(e)}, [0.5])["e"][0]
-    out = df.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.max(F.lit(middle).cast("double")).alias("median_ae"), F.avg(F.abs(e) / F.greatest(F.abs(t), F.lit(1e-10))).alias("mape"), F.var_pop(t).alias("_v"))
-    return out.select("mse", F.sqrt("mse").alias("rmse"), "mae", "median_ae", "mape", (1 - ratio(F.col("mse"), F.col("_v"))).alias("r2"))
+    out = df.groupBy(*(keys or [])).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(F.abs(e) / F.greatest(F.abs(t), F.lit(1e-10))).alias("mape"), F.var_pop(t).alias("_v"))
+    return out.select(*(keys or []), "mse", F.sqrt("mse").alias("rmse"), "mae", "mape", (1 - ratio(F.col("mse"), F.col("_v"))).alias("r2"))
 
 
 def threshold_curve(df: DataFrame, truth: str, score: str, steps: int = 99) -> DataFrame:
@@ -268,11 +278,16 @@ def make_model(name: str, problem: str, **params):
 
 
 def auto_model(df: DataFrame, id_col: str, target: str, numeric: list[str], categorical: list[str], problem: str = "regression", model: str | None = None):
-    """(fitted pipeline, test metrics): hash split, imputed numbers, one-hot categories, one model."""
+    """(fitted pipeline, test metrics): hash split, imputed numbers, one-hot categories, one model.
+
+    The columns at work are split and written once; every stage reads them again.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 
-    rows = split_hash(df.where(F.col(target).isNotNull()), id_col).withColumns({c: F.col(c).cast("double") for c in [*numeric, target]})
+    used = list(dict.fromkeys([*numeric, *categorical, target]))
+    rows = split_hash(df.where(F.col(target).isNotNull()).select(*dict.fromkeys([id_col, *used])), id_col).select(*used, "split")
+    rows = materialize(rows.withColumns({c: F.col(c).cast("double") for c in [*numeric, target]}), "split")
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     stages = [Imputer(inputCols=numeric, outputCols=[f"{c}_in" for c in numeric])]
     for c in categorical:
@@ -332,7 +347,8 @@ def train_cross_validated(df: DataFrame, id_col: str, target: str, features: lis
         builder = builder.addGrid(estimator.getParam(name), values)
     evaluator = RegressionEvaluator(labelCol=target) if problem == "regression" else MulticlassClassificationEvaluator(labelCol=target)
     whole = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), estimator])
-    rows = kfold(df.withColumns({c: F.col(c).cast("double") for c in [*features, target]}), id_col, k).withColumn("fold", F.col("fold").cast("int"))
+    rows = kfold(df, id_col, k).select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, target])], F.col("fold").cast("int").alias("fold"))
+    rows = materialize(rows, "folds")
     cv = CrossValidator(estimator=whole, estimatorParamMaps=builder.build(), evaluator=evaluator, numFolds=k, foldCol="fold", parallelism=parallelism).fit(rows)
     names = [",".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)) for m in cv.getEstimatorParamMaps()]
     table = df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, cv.avgMetrics, strict=True)], f"params string, {evaluator.getMetricName()} double")
@@ -342,21 +358,26 @@ def train_cross_validated(df: DataFrame, id_col: str, target: str, features: lis
 def permutation_importance(fitted, df: DataFrame, id_col: str, target: str, features: list[str], metric: str = "rmse", seed: int = 42) -> DataFrame:
     """(feature, importance): how much worse a regression metric gets when a feature's values are dealt anew by hash order.
 
-    Rows and values are matched by their number in two written orders of the same table.
+    Rows are dealt to buckets and numbered there in two orders; a row takes the features' values of the row with its number in
+    the other order. Every row comes once as it is and once for every feature, and one model run scores them all.
     """
-
-    base = regression_metrics(fitted.transform(df), target, "prediction").select(F.col(metric).alias("base"))
-    buckets = 64
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets))
-    out = None
-    for f in features:
-        rows = df.withColumn("_b", place)
-        own = rows.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(id_col)))
-        other = rows.select("_b", F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + 1), F.col(id_col)))).alias("_r"), F.col(f).alias("_v"))
-        dealt = own.join(other, ["_b", "_r"]).withColumn(f, F.col("_v")).drop("_b", "_r", "_v")
-        one = regression_metrics(fitted.transform(dealt), target, "prediction").join(F.broadcast(base), F.lit(True)).select(F.lit(f).alias("feature"), (F.col(metric) - F.col("base")).alias("importance"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(64)).alias("_b")
+    own = df.select("*", place).withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(id_col)))
+    other = df.select(place, F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("_h"), *[F.col(f).alias(f"_v{i}") for i, f in enumerate(features)])
+    other = other.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy("_h"))).drop("_h")
+    versions = [F.struct(F.lit(n).alias("_n"), *[F.col(f"_v{i}" if n == i + 1 else f).alias(f"_v{i}") for i, f in enumerate(features)]) for n in range(len(features) + 1)]
+    kept = [c for c in df.columns if c not in features]
+    each = own.join(other, ["_b", "_r"]).select(*kept, F.explode(F.array(*versions)).alias("_x"))
+    dealt = each.select(*kept, "_x._n", *[F.col(f"_x._v{i}").alias(f) for i, f in enumerate(features)])
+    scored = fitted.transform(dealt).select("_n", F.col(target).alias("_t"), F.col("prediction").alias("_p"))
+    if metric == "median_ae":
+        scored = materialize(scored, "scored")
+        middle = exact_quantiles(scored, {str(n): F.when(F.col("_n") == n, F.abs(F.col("_t") - F.col("_p"))) for n in range(len(versions))}, [0.5])
+        found = df.sparkSession.createDataFrame([(int(n), v[0]) for n, v in middle.items()], "_n int, m double")
+    else:
+        found = mean_errors(scored, "_t", "_p", ["_n"]).select("_n", F.col(metric).alias("m"))
+    base = F.max(F.when(F.col("_n") == 0, F.col("m"))).over(W.partitionBy())
+    return found.withColumn("_base", base).where("_n > 0").select(F.element_at(F.array(*map(F.lit, features)), F.col("_n")).alias("feature"), (F.col("m") - F.col("_base")).alias("importance"))
 
 
 def calibrate(df: DataFrame, truth: str, score: str, method: str = "isotonic") -> DataFrame:
@@ -394,13 +415,14 @@ def recursive_elimination(df: DataFrame, id_col: str, features: list[str], targe
     """(n_features, features, r2): drop the feature with the weakest standardised weight, refit, repeat; test r2 by hash split."""
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    left, rows = list(features), []
-    data = split_hash(df, id_col).withColumns({c: F.col(c).cast("double") for c in [*features, target]})
+    left, rows, used = list(features), [], list(dict.fromkeys([*features, target]))
+    data = split_hash(df.select(*dict.fromkeys([id_col, *used])), id_col).select(*[F.col(c).cast("double").alias(c) for c in used], "split")
+    data = materialize(data, "split")
     while len(left) >= least:
         x = VectorAssembler(inputCols=left, outputCol="_raw", handleInvalid="skip").transform(data)
         x = StandardScaler(inputCol="_raw", outputCol="features").fit(x).transform(x)
         fitted = make_model("linear", "regression").setLabelCol(target).fit(x.where("split = 'train'"))
-        score = regression_metrics(fitted.transform(x.where("split = 'test'")), target, "prediction").head()["r2"]
+        score = mean_errors(fitted.transform(x.where("split = 'test'")), target, "prediction").head()["r2"]
         rows.append((len(left), ",".join(left), float(score)))
         weakest = min(zip(map(abs, fitted.coefficients.toArray()), left, strict=True))[1]
         left.remove(weakest)

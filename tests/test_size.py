@@ -51,3 +51,44 @@ def test_supervised_duplicates_pair_classes_of_copies(spark, tmp_path):
     assert sum(r["copy"] for r in found) == 2 * n - classes
     assert all(r["a"] < 1_000_000 and r["b"] < 1_000_000 for r in found if not r["copy"])  # pairs are of first keys
     assert any(not r["copy"] for r in found) and len({(r["a"], r["b"], r["copy"]) for r in found}) == len(found)
+
+
+def test_split_is_exact_and_orders_only_the_cut(spark):
+    from lumenframe.operators import modeling
+
+    rows = spark.range(5000).select("id", (F.col("id") % 3).alias("s"))
+    for share in (0.0, 0.2, 0.5, 1.0):
+        for by in (None, "s"):
+            found = modeling.split_hash(rows, "id", share, by).withColumn("h", modeling.hash_order("id"))
+            for key, size in ([(None, 5000)] if by is None else [(0, 1667), (1, 1667), (2, 1666)]):
+                own = found if key is None else found.where(F.col("s") == key)
+                got = {(r["split"], r["n"]): (r["lo"], r["hi"]) for r in own.groupBy("split").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).collect()}
+                test = int(size * share)
+                assert set(got) == {x for x in (("test", test), ("train", size - test)) if x[1]}
+                if len(got) == 2:
+                    assert got["test", test][1] < got["train", size - test][0]
+    text = modeling.split_hash(rows, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_p#" in text and "Union" in text  # rows outside the cut's part skip the window
+    same = spark.createDataFrame([("x", 1)] * 10, "id string, v int")
+    assert modeling.split_hash(same, "id", 0.3).where("split = 'test'").count() == 3
+
+
+def test_steps_of_models_are_written_narrow(spark, monkeypatch):
+    from lumenframe.operators import modeling
+
+    written = {}
+
+    def seen(df, name="step"):
+        written[name] = df.columns
+        return df
+
+    monkeypatch.setattr(modeling, "materialize", seen)
+    df = spark.range(400).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b"), (F.col("id") % 7 * 2 + F.col("id") % 5).alias("y"), F.lit("wide").alias("z"))
+    fitted, _ = modeling.auto_model(df, "id", "y", ["a"], [])
+    assert written["split"] == ["a", "y", "split"]
+    assert modeling.recursive_elimination(df, "id", ["a", "b"], "y").count() == 2 and written["split"] == ["a", "b", "y", "split"]
+    modeling.train_cross_validated(df, "id", "y", ["a", "b"])
+    assert written["folds"] == ["a", "b", "y", "fold"]
+    twice = df.withColumns({c: F.col(c).cast("double") for c in "aby"})
+    found = {m: {r["feature"]: r["importance"] for r in modeling.permutation_importance(fitted, twice, "id", "y", ["a", "b"], m).collect()} for m in ("rmse", "median_ae")}
+    assert found["rmse"]["a"] > 1 and found["median_ae"]["a"] > 0.5 and found["rmse"]["b"] == found["median_ae"]["b"] == 0
