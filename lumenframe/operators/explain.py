@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows explained at a time.
-ROWS = 4096
+ROWS = 1 << 16
+#: Combinations of intervals whose values a task keeps.
+KNOWN = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -102,26 +104,63 @@ def shapley(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
     return out
 
 
-def shap_values(df: DataFrame, id_col: str, features: list[str], model, label: int = 1) -> DataFrame:
-    """(id, base, shap_<feature> ..., explained): base and the features' values add up to ``explained``, what the model says.
-
-    ``features`` in the order of the model's vector. A NULL counts as NaN.
+class Explainer:
+    """Shapley values by the intervals between a model's thresholds: rows with the same intervals are worked out once a task."""
+
+    def __init__(self, leaves: list[Leaf], n_features: int):
+        self.leaves = leaves
+        found: list[set[float]] = [set() for _ in range(n_features)]
+        for leaf in leaves:
+            for f, low, high in zip(leaf.features, leaf.low, leaf.high, strict=True):
+                found[f] |= {t for t in (low, high) if math.isfinite(t)}
+        self.cuts = [np.array(sorted(t)) for t in found]
+        self.plain = math.prod(len(t) + 1 for t in self.cuts) >= 1 << 62
+        self.known, self.values = np.zeros(0, np.int64), np.zeros((0, n_features))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.plain:  # more combinations than a number tells apart
+            return shapley(x, self.leaves)
+        code = np.zeros(len(x), np.int64)
+        for i, t in enumerate(self.cuts):  # NaN is sorted behind all thresholds: the right branch
+            code = code * (len(t) + 1) + np.searchsorted(t, x[:, i])
+        own, at = np.unique(code, return_inverse=True)
+        new = np.setdiff1d(own, self.known, assume_unique=True)
+        if len(new):
+            if len(self.known) + len(new) > KNOWN:
+                self.known, self.values, new = self.known[:0], self.values[:0], own
+            sample, left = np.zeros((len(new), len(self.cuts))), new
+            for i, t in reversed(list(enumerate(self.cuts))):
+                left, place = np.divmod(left, len(t) + 1)
+                sample[:, i] = np.append(t, math.inf)[place]
+            known = np.concatenate([self.known, new])
+            order = np.argsort(known)
+            self.known, self.values = known[order], np.concatenate([self.values, shapley(sample, self.leaves)])[order]
+        return self.values[np.searchsorted(self.known, own)][at]
+
+
+def shap_values(df: DataFrame, id_col: str, features: list[str], model, label: int = 1, keep: list[str] | None = None) -> DataFrame:
+    """(id, base, shap_<feature> ..., explained, keep ...): base and the features' values add up to ``explained``, what the model says.
+
+    ``features`` in the order of the model's vector. A NULL counts as NaN. ``keep`` names columns that come along.
     """
+    keep = keep or []
     leaves = leaves_of(model, label)
     base = base_value(leaves)
     held = df.sparkSession.sparkContext.broadcast(leaves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        explain, last = Explainer(held.value, len(features)), 1 + len(features)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]], axis=1)
-                values = shapley(x, held.value)
-                columns = [batch.column(0), pa.array(np.full(len(x), base)), *[pa.array(v) for v in values.T], pa.array(base + values.sum(1))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "base", *[f"shap_{f}" for f in features], "explained"])
-
-    rows = df.select(F.col(id_col).alias("id"), *[F.col(f).cast("double").alias(f) for f in features])
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, base double, {', '.join(f'`shap_{f}` double' for f in features)}, explained double"
+                x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:last]], axis=1)
+                values = explain(x)
+                columns = [batch.column(0), pa.array(np.full(len(x), base)), *[pa.array(v) for v in values.T], pa.array(base + values.sum(1)), *batch.columns[last:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "base", *[f"shap_{f}" for f in features], "explained", *keep])
+
+    rows = df.select(F.col(id_col).alias("id"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], *keep)
+    kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, base double, {', '.join(f'`shap_{f}` double' for f in features)}, explained double{kept}"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

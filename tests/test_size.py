@@ -92,3 +92,24 @@ def test_steps_of_models_are_written_narrow(spark, monkeypatch):
     twice = df.withColumns({c: F.col(c).cast("double") for c in "aby"})
     found = {m: {r["feature"]: r["importance"] for r in modeling.permutation_importance(fitted, twice, "id", "y", ["a", "b"], m).collect()} for m in ("rmse", "median_ae")}
     assert found["rmse"]["a"] > 1 and found["median_ae"]["a"] > 0.5 and found["rmse"]["b"] == found["median_ae"]["b"] == 0
+
+
+def test_explainer_equals_plain_values(spark):
+    import numpy as np
+
+    from lumenframe.operators import explain
+
+    leaves = [explain.Leaf(1.0, (0, 2), (-np.inf, 0.5), (3.0, np.inf), (0.4, 0.7)), explain.Leaf(-2.0, (0,), (3.0,), (np.inf,), (0.6,)), explain.Leaf(0.5, (), (), (), ())]
+    x = np.random.default_rng(1).choice([-1.0, 0.5, 0.6, 3.0, 4.0, np.inf, np.nan], size=(500, 3))
+    one = explain.Explainer(leaves, 3)
+    for part in (x[:10], x, x[::-1]):
+        assert np.array_equal(one(part), explain.shapley(part, leaves))
+    assert 0 < len(one.known) <= 4
+
+
+def test_cohorts_count_rows_with_one_id_once(spark, tmp_path):
+    from lumenframe.plans.catalog import QUERIES
+
+    line = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(2000)
+    line.withColumn("l_orderkey", F.lit(1)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert QUERIES["shap_cohorts"](spark, str(tmp_path)).agg(F.sum("n")).head()[0] == 2000
