@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, ratio
+from ..sources.tables import materialize
 
 #: Sentiment words.
 POSITIVE = """good great excellent positive best amazing wonderful fantastic beautiful happy love joy success successful win winning
@@ -22,17 +23,24 @@ PII = {"email": r"[\w.+-]+@[\w-]+(\.[\w-]+)+", "phone": r"\+?\d{1,3}[ -]?\(?\d{2
 
 #: Characters of text that one task of Word2Vec learns from.
 TRAINING_PART = 1 << 25
+#: A table of at most so many terms is broadcast.
+VOCABULARY = 1_000_000
 
 
 def tokens(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
 
 
-def clean(c: Column, min_length: int = 3, stopwords: list[str] | None = None) -> Column:
-    """Lower case, punctuation and digits to spaces, short tokens and stop words dropped."""
+def words(c: Column, min_length: int = 3, stopwords: list[str] | None = None) -> Column:
+    """The words of a text in lower case: punctuation and digits to spaces, short tokens and stop words dropped."""
     c = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\w\s]", " "), r"\d+", " ")
-    kept = F.filter(tokens(c), lambda w: F.length(w) >= min_length)
-    return F.array_join(F.array_except(kept, F.array(*map(F.lit, stopwords))) if stopwords else kept, " ")
+    kept = F.filter(F.split(c, r"\s+"), lambda w: F.length(w) >= max(1, min_length))
+    return F.array_except(kept, F.array(*map(F.lit, stopwords))) if stopwords else kept
+
+
+def clean(c: Column, min_length: int = 3, stopwords: list[str] | None = None) -> Column:
+    """The ``words`` of a text, joined by a space."""
+    return F.array_join(words(c, min_length, stopwords), " ")
 
 
 def text_stats(df: DataFrame, column: str, prefix: str = "text") -> DataFrame:
@@ -73,24 +81,49 @@ def sentiment(c: Column) -> Column:
     return F.coalesce(ratio(pos - neg, pos + neg), F.lit(0.0))
 
 
+def worded(df: DataFrame, id_col: str, column: str, *others: str) -> DataFrame:
+    """(id, others, _ws): the words of every text, cleaned once and written."""
+    return materialize(df.select(id_col, *others, words(F.col(column)).alias("_ws")), "words")
+
+
+def counted(texts: DataFrame, id_col: str) -> DataFrame:
+    """(id, term, tf) of a table (id, _ws), whose rows are shuffled by id, and not their terms."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select(id_col, "_ws").repartition(parts, id_col)
+    return dealt.select(id_col, F.explode("_ws").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+
+
 def term_counts(df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """(id, term, tf) of cleaned texts, combined before the shuffle."""
-    return df.select(id_col, F.explode(tokens(clean(F.col(column)))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf) of cleaned texts."""
+    return counted(df.select(id_col, words(F.col(column)).alias("_ws")), id_col)
+
+
+def document_terms(texts: DataFrame, id_col: str, *others: str) -> DataFrame:
+    """(id, others, term): the different terms of every id of a table (id, others, _ws), without a shuffle where ids have one row."""
+    if texts.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        return texts.select(id_col, *others, F.explode(F.array_distinct("_ws")).alias("term"))
+    found = counted(texts, id_col).drop("tf")
+    return found.join(texts.select(id_col, *others), id_col).select(id_col, *others, "term") if others else found
 
 
 def bag_of_words(df: DataFrame, id_col: str, column: str, max_features: int = 1000) -> DataFrame:
-    """term_counts for the terms in the most documents (ties by term); the vocabulary is bounded, so it is broadcast."""
-    counts = term_counts(df, id_col, column)
-    top = counts.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(max_features)
-    return counts.join(F.broadcast(top), "term")
+    """term_counts for the terms in the most documents (ties by term); the vocabulary is bounded, so it is broadcast.
+
+    The terms are found first, and only theirs are counted.
+    """
+    texts = worded(df, id_col, column)
+    top = document_terms(texts, id_col).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(max_features)
+    found = texts.select(id_col, F.explode("_ws").alias("term")).join(F.broadcast(materialize(top, "vocabulary")), "term")
+    return found.groupBy(id_col, "term", "df").agg(F.count("*").alias("tf")).select("term", id_col, "tf", "df")
 
 
 def tfidf(df: DataFrame, id_col: str, column: str) -> DataFrame:
     """(id, term, tfidf): smooth idf ln((1 + N) / (1 + df)) + 1, rows of unit length."""
-    counts = term_counts(df, id_col, column)
+    texts = worded(df, id_col, column)
     n = df.agg(F.count("*").alias("n"))
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    held = document_terms(texts, id_col).groupBy("term").agg(F.count("*").alias("df"))
+    idf = materialize(held.join(F.broadcast(n), F.lit(True)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    raw = counted(texts, id_col).join(F.broadcast(idf) if idf.count() <= VOCABULARY else idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     return raw.select(id_col, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(id_col)))).alias("tfidf"))
 
 

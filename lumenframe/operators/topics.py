@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
-from .text import bag_of_words, term_counts
+from .text import bag_of_words, document_terms, worded
 
 #: Updates of a document's weights a round, and of the topics.
 INNER = 30
@@ -111,7 +111,8 @@ def coherence(df: DataFrame, id_col: str, column: str, topics: DataFrame) -> Dat
     product of both terms' documents. Only the topics' terms are counted. A topic with fewer than two terms has NULL.
     """
     terms = topics.select("topic", "term").distinct()
-    held = term_counts(df, id_col, column).join(F.broadcast(terms.select("term").distinct()), "term").select(id_col, "term")
+    terms = materialize(terms, "topic_terms")
+    held = document_terms(worded(df, id_col, column), id_col).join(F.broadcast(terms.select("term").distinct()), "term").select(id_col, "term")
     held = materialize(held, "held")
     n = df.count()
     per_term = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}

@@ -120,7 +120,7 @@ def nmf_document_topics(spark, d):
 def topic_coherence(spark, d):
     """Of the six terms that most documents of each language hold."""
     df = docs(spark, d)
-    found = T.term_counts(df, "doc_id", "text").join(df.select("doc_id", "lang"), "doc_id").groupBy("lang", "term").agg(F.count("*").alias("n"))
+    found = T.document_terms(T.worded(df, "doc_id", "text", "lang"), "doc_id", "lang").groupBy("lang", "term").agg(F.count("*").alias("n"))
     best = found.withColumn("rk", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "term"))).where("rk <= 6")
     names = [r["lang"] for r in df.select("lang").distinct().orderBy("lang").collect()]
     number = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int") - 1

@@ -113,3 +113,20 @@ def test_cohorts_count_rows_with_one_id_once(spark, tmp_path):
     line = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(2000)
     line.withColumn("l_orderkey", F.lit(1)).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert QUERIES["shap_cohorts"](spark, str(tmp_path)).agg(F.sum("n")).head()[0] == 2000
+
+
+def test_terms_are_counted_without_shuffling_them(spark):
+    from lumenframe.operators import text
+
+    rows = [(1, "Red red apple-pie 12", "en"), (2, "apple pie, pie", "en"), (3, None, "de"), (4, "to be", "de")]
+    once = spark.createDataFrame(rows, "id long, t string, lang string")
+    twice = spark.createDataFrame([*rows, (2, "blue apple", "en")], "id long, t string, lang string")
+    assert {tuple(r) for r in text.term_counts(twice, "id", "t").collect()} == {(1, "red", 2), (1, "apple", 1), (1, "pie", 1), (2, "apple", 2), (2, "pie", 2), (2, "blue", 1)}
+    found = text.document_terms(text.worded(once, "id", "t", "lang"), "id", "lang")
+    assert "Exchange" not in plan(found) and found.count() == 5
+    again = text.document_terms(text.worded(twice, "id", "t", "lang"), "id", "lang").groupBy("id", "term").count()
+    assert {(r["id"], r["term"], r["count"]) for r in again.collect()} == {(1, "red", 1), (1, "apple", 1), (1, "pie", 1), (2, "apple", 2), (2, "pie", 2), (2, "blue", 2)}
+    assert {(r["term"], r["id"], r["tf"], r["df"]) for r in text.bag_of_words(twice, "id", "t", 2).collect()} == {("apple", 1, 1, 2), ("apple", 2, 2, 2), ("pie", 1, 1, 2), ("pie", 2, 2, 2)}
+    assert plan(text.term_counts(once, "id", "t")).count("Exchange") == 1
+    for r in text.tfidf(twice, "id", "t").groupBy("id").agg(F.sum(F.col("tfidf") * F.col("tfidf")).alias("n")).collect():
+        assert abs(r["n"] - 1) < 1e-9
