@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import count_if, is_missing, running_totals
 from ..functions.quantiles import exact_quantiles
+from ..sources.tables import materialize
 
 PERCENTILES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -60,19 +61,40 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def _average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Average ranks through the distinct values, which are put in order range by range."""
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-        ranks = running_totals(counts, [], c, ["_n"]).select(F.col(c).alias(f"_key_{c}"), (F.col("run__n") - (F.col("_n") - 1) / 2).alias(f"_rank_{c}"))
-        df = df.join(ranks, F.col(c) == F.col(f"_key_{c}"), "left").drop(f"_key_{c}")
-    return df.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
+#: Ranks of a column with so many distinct values, approximately, are broadcast; beyond them rows meet their ranks by shuffle.
+BROADCAST_VALUES = 1_000_000
+
+
+def _centred_ranks(counts: DataFrame, column: str, n: int) -> DataFrame:
+    """``counts`` with _rank: the average rank of each distinct value less the mean of all n, a multiple of a half and so exact."""
+    ranks = running_totals(counts, [], column, ["_n"])
+    return ranks.select(*counts.columns, (F.col("run__n") - (F.col("_n") - 1) / 2 - F.lit((n + 1) / 2)).alias("_rank"))
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r): Pearson on average ranks over rows where all columns are present."""
-    whole = df.select(*columns).na.drop()
-    return pearson(_average_ranks(whole, columns), columns)
+    """(a, b, r): Pearson on average ranks over rows where all columns are present; NULL without variation.
+
+    Ranks come from written counts of distinct values. Rows get those of all columns but the one with most values; its
+    products are sums per value, so its rows are counted and never joined.
+    """
+    whole = df.select(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)]).na.drop()
+    at = range(len(columns))
+    n, *distinct = whole.agg(F.count("*"), *[F.approx_count_distinct(f"_v{i}") for i in at]).head()
+    *others, last = sorted(at, key=lambda i: distinct[i])
+    rows = whole
+    for i in others:
+        counts = materialize(whole.groupBy(f"_v{i}").agg(F.count("*").alias("_n")), "counts")
+        ranks = _centred_ranks(counts, f"_v{i}", n).select(f"_v{i}", F.col("_rank").alias(f"_r{i}"))
+        few = distinct[i] <= BROADCAST_VALUES
+        rows = rows.join(F.broadcast(ranks) if few else ranks, f"_v{i}").drop(f"_v{i}")
+        rows = rows if few else materialize(rows, "ranks")
+    among = rows.agg(*[F.sum(F.col(f"_r{i}") * F.col(f"_r{j}")).alias(f"p{min(i, j)}_{max(i, j)}") for i, j in combinations_with_replacement(others, 2)])
+    counts = materialize(rows.groupBy(f"_v{last}").agg(F.count("*").alias("_n"), *[F.sum(f"_r{i}").alias(f"_r{i}") for i in others]), "counts")
+    ranks = _centred_ranks(counts, f"_v{last}", n)
+    beside = ranks.agg(F.sum(F.col("_n") * F.col("_rank") * F.col("_rank")).alias(f"p{last}_{last}"), *[F.sum(F.col("_rank") * F.col(f"_r{i}")).alias(f"p{min(i, last)}_{max(i, last)}") for i in others])
+    r = lambda i, j: F.try_divide(F.col(f"p{i}_{j}"), F.sqrt(f"p{i}_{i}") * F.sqrt(f"p{j}_{j}"))
+    found = [F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), r(i, j).alias("r")) for i, j in combinations(at, 2)]
+    return among.join(beside, F.lit(True)).select(F.explode(F.array(*found)).alias("x")).select("x.*")
 
 
 def correlation_network(df: DataFrame, columns: list[str], threshold: float = 0.5) -> DataFrame:

@@ -130,3 +130,41 @@ def test_terms_are_counted_without_shuffling_them(spark):
     assert plan(text.term_counts(once, "id", "t")).count("Exchange") == 1
     for r in text.tfidf(twice, "id", "t").groupBy("id").agg(F.sum(F.col("tfidf") * F.col("tfidf")).alias("n")).collect():
         assert abs(r["n"] - 1) < 1e-9
+
+
+def test_spearman_counts_rows_and_joins_them_to_few_ranks_only(spark, monkeypatch):
+    import numpy as np
+
+    from lumenframe.operators import stats
+
+    r = random.Random(5)
+    rows = [(r.choice([-1.0, -0.0, 0.0, 2.5]), 2**53 + r.randrange(40), r.gauss(0, 1), 7) for _ in range(300)]
+    odd = [(None, 1, 1.0, 7), (float("nan"), 2, 2.0, 7), (1.0, None, 3.0, 7)]
+    df = spark.createDataFrame(rows + odd, "x double, y long, z double, same int")
+
+    def ranks(v: list) -> list:
+        return [sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v]
+
+    x, y, z = (ranks([t[i] for t in rows]) for i in range(3))
+    expected = {("x", "y"): (x, y), ("x", "z"): (x, z), ("y", "z"): (y, z)}
+    expected = {k: round(float(np.corrcoef(*v)[0, 1]), 12) for k, v in expected.items()}
+    assert "SortMergeJoin" not in plan(stats.spearman(df, ["x", "y", "z"]))
+    for few in (stats.BROADCAST_VALUES, 0):  # beyond it rows meet their ranks by shuffle
+        monkeypatch.setattr(stats, "BROADCAST_VALUES", few)
+        for columns in (["x", "y", "z"], ["z", "y", "x"]):
+            found = {tuple(sorted((t["a"], t["b"]))): round(t["r"], 12) for t in stats.spearman(df, columns).collect()}
+            assert found == expected
+    assert [tuple(t) for t in stats.spearman(df, ["x", "same"]).collect()] == [("x", "same", None)]
+    assert [t["r"] for t in stats.spearman(df.where("false"), ["x", "y", "z"]).collect()] == [None] * 3
+
+
+def test_ranges_of_running_totals_are_found_by_halving(spark):
+    from lumenframe.functions.expr import running_totals
+
+    for ranges in (1, 2, 7, 256):
+        df = spark.createDataFrame([(k, float(i * i), i % 3) for k in "ab" for i in range(-40, 41) if i <= 0 or k == "a" and i * i % 7], "k string, v double, n long").groupBy("k", "v").agg(F.sum("n").alias("n"))
+        found = running_totals(df, ["k"], "v", ["n"], ranges)
+        assert "lambda" not in plan(found)
+        kept = sorted(tuple(t) for t in df.collect())
+        expected = [(k, v, n, sum(m for j, u, m in kept if j == k and u <= v), sum(m for j, _, m in kept if j == k), min((u for j, u, _ in kept if j == k and u > v), default=None)) for k, v, n in kept]
+        assert sorted(tuple(t) for t in found.collect()) == expected
