@@ -21,3 +21,22 @@ def test_simhash_pairs_hold_rows_of_one_hash(spark):
     found = [tuple(t) for t in D.simhash_pairs(spark.createDataFrame(rows, "id long, simhash long"), "id").collect()]
     assert set(found) == expected and len(found) == len(expected)
     assert sum(t[2] == 0 for t in found) >= 140 * 139 // 2
+
+
+def test_listed_pairs_shuffle_rows_only(spark):
+    rows = [(i, "xyz"[i % 3] if i % 11 else None, i % 2, "pq"[i % 2], "r|s" if i % 5 else "r") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, k string, v int, m string, n string")
+    keys = F.array(F.when(F.col("k").isNotNull(), F.concat_ws("|", "k", F.col("v").cast("string"))), F.concat_ws("|", "m", "n"))
+    found = D.listed_pairs(df, "id", keys)
+    expected = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[1] and a[1:3] == b[1:3] or a[3:] == b[3:]))
+    assert sorted(map(tuple, found.collect())) == expected
+    text = plan(found)
+    assert "Generate explode(_rows_" in text and "Exchange" not in text[: text.index("SortMergeJoin")]  # nothing is shuffled after pairs have met
+
+
+def test_list_keys_of_odd_parts(spark, tmp_path):
+    from lumenframe.plans.catalog import QUERIES
+
+    rows = [(1, "a|b", "c", "B", 5), (2, "a", "b|c", "C", 6), (3, "n", None, None, 5), (4, "m", "t", "B", None), (5, "o", "t", None, 5), (6, "B", "5", "D", 7), (7, "a", "b|c", "E", 8), (8, "q", "u", "B", 5)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(map(tuple, QUERIES["blocked_list_pairs"](spark, str(tmp_path)).collect())) == [(1, 8), (2, 7)]
