@@ -40,3 +40,11 @@ def test_list_keys_of_odd_parts(spark, tmp_path):
     rows = [(1, "a|b", "c", "B", 5), (2, "a", "b|c", "C", 6), (3, "n", None, None, 5), (4, "m", "t", "B", None), (5, "o", "t", None, 5), (6, "B", "5", "D", 7), (7, "a", "b|c", "E", 8), (8, "q", "u", "B", 5)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert sorted(map(tuple, QUERIES["blocked_list_pairs"](spark, str(tmp_path)).collect())) == [(1, 8), (2, 7)]
+
+
+def test_cosine_is_rounded_once_for_all_copies(spark):
+    df = spark.range(60).selectExpr("id", "concat('name ', id % 3) AS t", "'one' AS k")
+    found = D.cosine_trigram_pairs(df, "id", "t", F.col("k"), 0.5, digits=6)
+    whole = plan(found)
+    assert "round(" not in whole.split("Generate explode(_ys")[0]
+    assert {r["similarity"] for r in found.collect()} == {round(r["similarity"], 6) for r in D.cosine_trigram_pairs(df, "id", "t", F.col("k"), 0.5).collect()}
