@@ -42,6 +42,16 @@ def test_list_keys_of_odd_parts(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["blocked_list_pairs"](spark, str(tmp_path)).collect())) == [(1, 8), (2, 7)]
 
 
+def test_copies_are_multiplied_a_slice_at_a_time(spark):
+    members = spark.range(1000).select("id", F.when(F.col("id") < 700, 0).otherwise(700).cast("long").alias("rep"))
+    pairs = spark.createDataFrame([(0, 0, 1.0), (0, 700, 0.5)], "a long, b long, similarity double")
+    found = D.expanded(pairs, members)
+    assert found.distinct().count() == found.count() == 700 * 699 // 2 + 700 * 300
+    assert plan(found).count("Generate explode(transform(sequence") == 2  # Spark holds the rows of one slice by another, not of whole chunks
+    ids = spark.range(5).select(F.array(F.lit(1)).alias("c")).select(D._slices(F.col("c"), 2).alias("s")).head()
+    assert ids["s"] == [[1]] and spark.range(1).select(D._slices(F.sequence(F.lit(1), F.lit(5)), 2).alias("s")).head()["s"] == [[1, 2], [3, 4], [5]]
+
+
 def test_cosine_is_rounded_once_for_all_copies(spark):
     df = spark.range(60).selectExpr("id", "concat('name ', id % 3) AS t", "'one' AS k")
     found = D.cosine_trigram_pairs(df, "id", "t", F.col("k"), 0.5, digits=6)
