@@ -58,3 +58,23 @@ def test_cosine_is_rounded_once_for_all_copies(spark):
     whole = plan(found)
     assert "round(" not in whole.split("Generate explode(_ys")[0]
     assert {r["similarity"] for r in found.collect()} == {round(r["similarity"], 6) for r in D.cosine_trigram_pairs(df, "id", "t", F.col("k"), 0.5).collect()}
+
+
+def test_bundles_open_to_all_pairs(spark):
+    rows = [(i, "xy"[i % 2], f"name {i % 3}" if i % 7 else None, i % 50) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, k string, t string, v int")
+    found = D.bundles(df, "id", ["k", "t"], ["v"], 16)
+    assert found.count() < 60 and found.selectExpr("sum(size(_rows))").head()[0] == 200
+    met = D.blocked_pairs(found, "id", F.col("k"), ["t", "_rows"], 5).unionByName(D.among(found, ["t"]))
+    assert met.count() < 60 * 61 // 2  # names are compared once for the sizes of a bundle
+    got = sorted(map(tuple, D.opened(met.withColumn("same", F.expr("t_a <=> t_b")), ["v"]).select("a", "b", "v_a", "v_b", "same").collect()))
+    assert got == sorted((p[0], q[0], p[3], q[3], p[2] == q[2]) for p in rows for q in rows if p[0] < q[0] and p[1] == q[1])
+
+
+def test_pairs_that_cannot_reach_the_threshold_are_left_before_they_are_opened(spark):
+    rows = [(float(x), y / 10) for x in (0, 1) for y in range(11)]
+    df = spark.createDataFrame(rows, "f_x double, f_y double").selectExpr("1L AS a", "2L AS b", "*")
+    for model in (({"f_x": 5.0, "f_y": 3.0}, -6.0), ({"f_x": 1.0, "f_y": -3.0}, 0.5)):
+        whole = {t["probability"] for t in D.predicted_pairs(df, {}, model).collect()}
+        assert whole and {t["probability"] for t in D.predicted_pairs(df.where(D.may_reach(model, ["f_x"])), {}, model).collect()} == whole
+    assert df.where(D.may_reach(({"f_x": 5.0, "f_y": 3.0}, -6.0), ["f_x"])).count() == 11
