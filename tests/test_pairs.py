@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lumenframe.operators import dedup as D
+from lumenframe.operators import record_lsh as R
 
 
 def plan(df) -> str:
@@ -78,3 +79,25 @@ def test_pairs_that_cannot_reach_the_threshold_are_left_before_they_are_opened(s
         whole = {t["probability"] for t in D.predicted_pairs(df, {}, model).collect()}
         assert whole and {t["probability"] for t in D.predicted_pairs(df.where(D.may_reach(model, ["f_x"])), {}, model).collect()} == whole
     assert df.where(D.may_reach(({"f_x": 5.0, "f_y": 3.0}, -6.0), ["f_x"])).count() == 11
+
+
+def test_letters_bound_the_similarity_of_texts(spark):
+    r = random.Random(9)
+    texts = ["", "A", "aaaaaaaaaa", "été", "😀 x", *["".join(r.choices("abcé19 ", k=r.randint(0, 12))) for _ in range(60)]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("t"), R.letter_bag(F.col("t")).alias("g"), F.length(F.lower("t")).alias("n"))
+    both = df.selectExpr("t AS t1", "g AS g1", "n AS n1").crossJoin(df.selectExpr("t AS t2", "g AS g2", "n AS n2"))
+    bound = R.most_similar_texts(*map(F.col, ("g1", "g2", "n1", "n2")))
+    found = both.select(bound.alias("most"), D.levenshtein_similarity(F.col("t1"), F.col("t2")).alias("s"), (F.col("t1") == F.col("t2")).alias("same")).collect()
+    assert all(t["most"] >= t["s"] - 1e-12 for t in found) and all(t["most"] == 1 for t in found if t["same"])
+    assert sum(t["most"] < 0.5 for t in found) > 500
+
+
+def test_records_with_few_keys_are_not_shuffled_after_they_met(spark):
+    df = spark.range(300).selectExpr("id", "concat('name ', lpad(id % 150, 6, '0')) AS t", "cast(id % 75 * 3 + 50 AS double) AS v", "'one' AS k")
+    found = R.similar_pairs(df, "id", {"t": "text", "v": "number"}, 0.85, "block", F.col("k"))
+    text = plan(found)
+    assert "Exchange" not in text[: text.index("SortMergeJoin")]
+    rows = [(t["id"], t["t"], t["v"]) for t in df.collect()]
+    score = lambda p, q: sum(x != y for x, y in zip(p[1], q[1], strict=True)) / 11 / 2 + abs(p[2] - q[2]) / max(p[2], q[2]) / 2
+    got = {(t["a"], t["b"]) for t in found.collect()}
+    assert {(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and score(p, q) <= 0.05} <= got and len(got) == found.count()
