@@ -101,3 +101,17 @@ def test_records_with_few_keys_are_not_shuffled_after_they_met(spark):
     score = lambda p, q: sum(x != y for x, y in zip(p[1], q[1], strict=True)) / 11 / 2 + abs(p[2] - q[2]) / max(p[2], q[2]) / 2
     got = {(t["a"], t["b"]) for t in found.collect()}
     assert {(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and score(p, q) <= 0.05} <= got and len(got) == found.count()
+
+
+def test_minhash_shuffles_signatures_and_no_texts(spark, monkeypatch):
+    rows = [(1, "The quick  brown fox"), (2, "the quick brown fox"), (3, "ab"), (4, None), (5, "abc"), (6, "other words here")]
+    df = spark.createDataFrame(rows, "id long, t string")
+
+    def never(*_):
+        raise AssertionError("texts are written")
+
+    monkeypatch.setattr(D, "materialize", never)
+    found = D.minhash(df, "id", "t", 4)
+    sig = {t["id"]: t["signature"] for t in found.collect()}
+    assert sorted(sig) == [1, 2, 5, 6] and sig[1] == sig[2] and sig[5] == [spark.range(1).select(F.xxhash64(F.lit("abc"), F.lit(i))).head()[0] for i in range(4)]
+    assert plan(D.minhash(df, "id", "t", 4)).count("Exchange") == 1
